@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from plumbline.llm.jaccard import op10_jaccard_join
+from plumbline.llm.lm import op1_lm_scoring
 from plumbline.llm.packing import op5_packing
 from plumbline.llm.quality import op7_quality_rules
 from plumbline.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    return {"op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_quality_rules": op7_quality_rules, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_lm_scoring": op1_lm_scoring, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_quality_rules": op7_quality_rules, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
