@@ -57,6 +57,12 @@ class WordBpe:
         for k, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[raw(a), raw(b)] = k
+        keys = np.array([(self.id_of[a] << 20) | self.id_of[b] for a, b in self.rank], np.int64)
+        order = np.argsort(keys)
+        self.pair_key, self.never = keys[order], np.int64(1 << 40)
+        self.pair_rank = np.array(list(self.rank.values()), np.int64)[order]
+        self.pair_id = np.array([self.id_of[a + b] for a, b in self.rank], np.int64)[order]
+        self.symbol = np.array([self.id_of.get(bytes([b]) + stop, -1) for stop in (b"", _STOP) for b in range(256)], np.int64)
         by_size: dict[int, list[bytes]] = {}
         for b in self.id_of:
             by_size.setdefault(len(b), []).append(b)
@@ -106,6 +112,52 @@ class WordBpe:
             parts = out
         return tuple(self.id_of[p] for p in parts)
 
+    def merged_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """merged() of many: all short words as rows of a matrix, one merge (the lowest rank, leftmost) in each row at a time."""
+        out: list = [None] * len(words)
+        sizes = np.fromiter((len(w) - w.endswith(_STOP) for w in words), np.int64, len(words))
+        for low, high in ((0, 8), (8, 16), (16, 48)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for part in np.split(rows, range(20_000, len(rows), 20_000)):
+                for r, ids in zip(part.tolist(), self._merged_rows([words[r] for r in part], high), strict=True):
+                    out[r] = ids
+        return [self.merged(w) if o is None else o for w, o in zip(words, out, strict=True)]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = np.where((a < 0) | (b < 0), np.int64(-1), (a << 20) | b)
+        spot = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        hit = self.pair_key[spot] == key
+        return np.where(hit, self.pair_rank[spot], self.never), np.where(hit, self.pair_id[spot], -1)
+
+    def _merged_rows(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
+        symbols = np.full((len(words), width + 1), -1, np.int64)
+        for r, w in enumerate(words):
+            own = self.symbol[np.frombuffer(w.removesuffix(_STOP), np.uint8)]
+            symbols[r, : len(own)] = own
+            if w.endswith(_STOP):
+                symbols[r, len(own) - 1] = self.symbol[256 + w[-2]]
+        rank, into = self._ranks(symbols[:, :-1], symbols[:, 1:])
+        rank, into = (np.concatenate([x, np.full((len(words), 1), fill)], axis=1) for x, fill in ((rank, self.never), (into, -1)))
+        live, cols = np.arange(len(words)), np.arange(width + 1)
+        while len(live):
+            at = rank[live].argmin(axis=1)
+            more = rank[live, at] < self.never
+            live, at = live[more], at[more]
+            if not len(live):
+                break
+            symbols[live, at] = into[live, at]
+            move = np.minimum(cols + (cols > at[:, None]), width)  # what is right of the merged pair moves up by one
+            for x, fill in ((symbols, -1), (rank, self.never), (into, -1)):
+                y = np.take_along_axis(x[live], move, axis=1)
+                y[:, -1] = fill
+                x[live] = y
+            for k in (at - 1, at):
+                ok = (k >= 0) & (k < width)
+                r, c = live[ok], k[ok]
+                rank[r, c], into[r, c] = self._ranks(symbols[r, c], symbols[r, c + 1])
+        count = (symbols >= 0).sum(axis=1).tolist()
+        return [tuple(row[:n]) for row, n in zip(symbols.tolist(), count, strict=True)]
+
     def _compatible(self, pairs: np.ndarray) -> np.ndarray:
         """Per pair key (left << 32 | right) whether the two tokens stay apart; what is new is merged once and kept."""
         each, at = np.unique(pairs, return_inverse=True)
@@ -114,7 +166,8 @@ class WordBpe:
         if len(new):
             if len(self.known) > KEPT_PAIRS:
                 self.known, self.fits, new = self.known[:0], self.fits[:0], each
-            fits = [self.merged(self.raw_of[int(p >> 32)] + self.raw_of[int(p & 0xFFFFFFFF)]) == (int(p >> 32), int(p & 0xFFFFFFFF)) for p in new]
+            two = [(p >> 32, p & 0xFFFFFFFF) for p in new.tolist()]
+            fits = [m == p for m, p in zip(self.merged_many([self.raw_of[a] + self.raw_of[b] for a, b in two]), two, strict=True)]
             known = np.concatenate([self.known, new])
             order = np.argsort(known)
             self.known, self.fits = known[order], np.concatenate([self.fits, np.array(fits, bool)])[order]
@@ -165,8 +218,11 @@ class WordBpe:
             bad[of[inside[~apart]]] = True
         cut = np.searchsorted(of, np.arange(len(words) + 1))
         listed = tokens.tolist()
-        for k, w in enumerate(words):
-            self.of_word[w] = self.merged(raw[k]) if bad[k] else tuple(listed[cut[k] : cut[k + 1]])
+        for k in np.flatnonzero(~bad).tolist():
+            self.of_word[words[k]] = tuple(listed[cut[k] : cut[k + 1]])
+        failed = np.flatnonzero(bad).tolist()
+        for k, ids in zip(failed, self.merged_many([raw[k] for k in failed]), strict=True):
+            self.of_word[words[k]] = ids
 
     def _split(self, part: str) -> list[str | int]:
         """Words and special ids of a stretch without ASCII white space."""
