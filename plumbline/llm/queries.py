@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.bpe import op6_bpe
+from plumbline.llm.chat import OP2_SQL, op2_chat_formatting
 from plumbline.llm.jaccard import op10_jaccard_join
 from plumbline.llm.lm import op1_lm_scoring
 from plumbline.llm.packing import op5_packing
@@ -11,8 +12,8 @@ from plumbline.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    return {"op1_lm_scoring": op1_lm_scoring, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_quality_rules": op7_quality_rules, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_chat_formatting": op2_chat_formatting, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_quality_rules": op7_quality_rules, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": OP2_SQL}
