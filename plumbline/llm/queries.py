@@ -9,10 +9,11 @@ from plumbline.llm.lm import op1_lm_scoring
 from plumbline.llm.packing import op5_packing
 from plumbline.llm.quality import op7_quality_rules
 from plumbline.llm.toxicity import op3_toxicity
+from plumbline.llm.vectors import op4_vector_duplicates
 
 
 def queries() -> dict:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_chat_formatting": op2_chat_formatting, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_quality_rules": op7_quality_rules, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_chat_formatting": op2_chat_formatting, "op3_toxicity": op3_toxicity, "op4_vector_duplicates": op4_vector_duplicates, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_quality_rules": op7_quality_rules, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
