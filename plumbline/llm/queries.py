@@ -5,15 +5,17 @@ from __future__ import annotations
 from plumbline.llm.bpe import op6_bpe
 from plumbline.llm.chat import OP2_SQL, op2_chat_formatting
 from plumbline.llm.jaccard import op10_jaccard_join
+from plumbline.llm.licences import op9_license_scan
 from plumbline.llm.lm import op1_lm_scoring
 from plumbline.llm.packing import op5_packing
 from plumbline.llm.quality import op7_quality_rules
+from plumbline.llm.shards import op8_sharding
 from plumbline.llm.toxicity import op3_toxicity
 from plumbline.llm.vectors import op4_vector_duplicates
 
 
 def queries() -> dict:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_chat_formatting": op2_chat_formatting, "op3_toxicity": op3_toxicity, "op4_vector_duplicates": op4_vector_duplicates, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_quality_rules": op7_quality_rules, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_chat_formatting": op2_chat_formatting, "op3_toxicity": op3_toxicity, "op4_vector_duplicates": op4_vector_duplicates, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_quality_rules": op7_quality_rules, "op8_sharding": op8_sharding, "op9_license_scan": op9_license_scan, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
