@@ -97,6 +97,14 @@ def _slices(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, np.array(edges, _U)), [len(hashes)]])
 
 
+def _small(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i8").tobytes())
+
+
+def _large(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), "<i8")
+
+
 def totals(parts: DataFrame, buckets: int) -> DataFrame:
     """(chunk, left_out, kind, bucket, kept, held, n, v): for the chunk's n-grams in hash order, in how many tokens of counted
     and of left-out documents they are. n and v: tokens and distinct tokens that the bucket has, given once."""
@@ -104,36 +112,38 @@ def totals(parts: DataFrame, buckets: int) -> DataFrame:
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                t = Tokens(row.ends, row.texts)
-                role = np.asarray(row.roles)[t.doc]
-                first = role[np.flatnonzero(np.diff(t.doc, prepend=-1))]
-                out = []
+                t, out = Tokens(row.ends, row.texts), []
+                learnt = np.asarray(row.roles) != UNSEEN
+                counted = learnt[t.doc]
                 for kind, hashes, at in ((1, t.ones, t.token_at), (2, t.twos, t.pair_at)):
-                    counts = [np.bincount(at[role == r], minlength=len(hashes)) for r in (COUNTED, LEFT_OUT)]
+                    counts = np.bincount(at[counted], minlength=len(hashes))
                     if kind == 1:  # a text's beginning is a context too
-                        for c, r in zip(counts, (COUNTED, LEFT_OUT), strict=True):
-                            c[np.searchsorted(hashes, _BEGIN)] += np.count_nonzero(first == r)
+                        counts[np.searchsorted(hashes, _BEGIN)] += np.count_nonzero(learnt)
                     cut = _slices(hashes, buckets)
                     for b in np.flatnonzero(np.diff(cut)):
                         s = slice(cut[b], cut[b + 1])
-                        out.append((int(b), row.chunk, row.left_out, kind, hashes[s].tobytes(), *(c[s].astype(np.int32).tobytes() for c in counts)))
-                yield pd.DataFrame(out, columns=["bucket", "chunk", "left_out", "kind", "hashes", "kept", "held"])
+                        out.append((int(b), row.chunk, row.left_out, kind, hashes[s].tobytes(), _small(counts[s])))
+                del t
+                yield pd.DataFrame(out, columns=["bucket", "chunk", "left_out", "kind", "hashes", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, rows in frame.groupby("kind"):
             hashes = [np.frombuffer(x, _U) for x in rows.hashes]
             each, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([np.frombuffer(x, np.int32) for x in rows[c]]), len(each)).astype(np.int64) for c in ("kept", "held")]
-            real = (each != _BEGIN) & (sums[0] + sums[1] > 0)
-            n, v = (int((sums[0] + sums[1])[real].sum()), int(real.sum())) if kind == 1 else (0, 0)
             ends = np.cumsum([len(x) for x in hashes])
-            for row, s, e in zip(rows.itertuples(), ends - [len(x) for x in hashes], ends, strict=True):
-                out.append((row.chunk, row.left_out, kind, row.bucket, *(x[at[s:e]].tobytes() for x in sums), n, v))
+            spans = list(zip(ends - [len(x) for x in hashes], ends, strict=True))
+            sums = np.zeros((2, len(each)), np.int64)
+            for row, (s, e) in zip(rows.itertuples(), spans, strict=True):
+                sums[int(row.left_out), at[s:e]] += _large(row.counts)  # distinct within a message
+            real = (each != _BEGIN) & (sums[0] + sums[1] > 0)
+            n, v = (int(sums[:, real].sum()), int(real.sum())) if kind == 1 else (0, 0)
+            for row, (s, e) in zip(rows.itertuples(), spans, strict=True):
+                out.append((row.chunk, row.left_out, kind, row.bucket, _small(sums[0, at[s:e]]), _small(sums[1, at[s:e]]), n, v))
                 n = v = 0
         return pd.DataFrame(out, columns=["chunk", "left_out", "kind", "bucket", "kept", "held", "n", "v"])
 
-    asked = parts.mapInPandas(ask, "bucket int, chunk long, left_out boolean, kind int, hashes binary, kept binary, held binary")
+    asked = parts.mapInPandas(ask, "bucket int, chunk long, left_out boolean, kind int, hashes binary, counts binary")
     return stored(asked.groupBy("bucket").applyInPandas(add, "chunk long, left_out boolean, kind int, bucket int, kept binary, held binary, n long, v long"), "lm-totals")
 
 
@@ -144,7 +154,7 @@ def _looked_up(rows: pd.DataFrame, answers: pd.DataFrame) -> Iterator[tuple]:
         for kind, hashes in ((1, t.ones), (2, t.twos)):
             own = answers[answers.kind == kind].sort_values("bucket")
             for c in ("kept", "held"):
-                found[kind, c] = np.frombuffer(b"".join(own[c]), np.int64)
+                found[kind, c] = np.concatenate([_large(x) for x in own[c]])
                 if len(found[kind, c]) != len(hashes):
                     raise ValueError(f"chunk {row.chunk}: {len(found[kind, c])} answers for {len(hashes)} n-grams")
         yield row, t, found
