@@ -20,17 +20,19 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 12) -> DataFrame:
+def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 8) -> DataFrame:
     """(image_id, side) with side "val" for exactly round-half-even(n * ratio) images, else "train". labels: (image_id, label).
 
     A label with n images wants about n * ratio of them in val, at least one if it has two, and never all. In each round every
-    image stands for its rarest label that still lacks some; the first by tie break are taken, as long as none of their labels
-    would lose its last training image (counted over all that stand, hence on the safe side). The rest fills the exact size with
-    images whose labels are furthest below their share, under the same guard; labels of one image never block it.
+    image stands for its rarest label that still lacks some; of each label's, those that help most are taken, so many that the
+    other labels of the same images are not overfilled, and only if none of their labels would lose its last training image
+    (counted over all that stand, hence on the safe side). The rest fills the exact size with images whose labels are furthest
+    below their share, under the same guard; labels of one image never block it.
     """
     own = labels.select("image_id", "label").distinct()
     n = own.select("image_id").distinct().count()
     target = round(n * ratio)  # half-even
+    width = max(1.0, own.count() / max(1, n))  # labels of an image
     support = own.groupBy("label").agg(F.count("*").alias("s"))
     want = F.least(F.greatest(F.bround(F.col("s") * ratio), F.when(F.col("s") >= 2, 1).otherwise(0)), F.col("s") - 1).cast("long")
     own = _checkpointed(own.join(support.withColumn("want", want), "label").withColumn("tie", stable_tie_break(seed, "image_id")))
@@ -42,10 +44,10 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
         rarest = free.where("lack > 0").groupBy("image_id").agg(F.min(F.struct("s", "label")).alias("r"), F.first("tie").alias("tie"), F.sum(F.col("lack") / F.col("s")).alias("need"))
         rarest = rarest.select("image_id", F.col("r.label").alias("label"), "tie", "need").join(have, "label", "left").join(support, "label").withColumn("got", F.coalesce("got", F.lit(0)))
         lack = F.least(F.greatest(F.bround(F.col("s") * ratio), F.when(F.col("s") >= 2, 1).otherwise(0)), F.col("s") - 1) - F.col("got")
-        stands = rarest.withColumn("at", F.row_number().over(W.partitionBy("label").orderBy(F.desc("need"), "tie"))).where(F.col("at") <= lack).select("image_id", "tie")
+        stands = rarest.withColumn("at", F.row_number().over(W.partitionBy("label").orderBy(F.desc("need"), "tie"))).where(F.col("at") <= F.ceil(lack / (2 * width))).select("image_id", "tie")
         taken = _guarded(free, stands).join(stands, "image_id")
         room = target - chosen.count()
-        new = taken.orderBy("tie").limit(max(0, room)).select("image_id")
+        new = taken.orderBy("tie").limit(max(0, min(room, -(-target // 2)))).select("image_id")
         chosen, before = _checkpointed(chosen.union(new)), chosen
         if chosen.count() == before.count():
             break
@@ -55,7 +57,7 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
             break
         have = own.join(chosen, "image_id", "left_semi").groupBy("label").agg(F.count("*").alias("got"))
         free = own.join(have, "label", "left").withColumn("got", F.coalesce("got", F.lit(0))).join(chosen, "image_id", "left_anti")
-        below = free.groupBy("image_id").agg(F.avg(F.col("got") + 1 - F.col("s") * ratio).alias("over"), F.first("tie").alias("tie")).orderBy("over", "tie").limit(room)
+        below = free.groupBy("image_id").agg(F.avg(F.col("got") + 1 - F.col("s") * ratio).alias("over"), F.first("tie").alias("tie")).orderBy("over", "tie").limit(-(-room // 2) if k + 1 < rounds else room)
         new = _guarded(free, below).select("image_id")
         chosen, before = _checkpointed(chosen.union(new)), chosen
         if chosen.count() == before.count():
