@@ -71,8 +71,13 @@ def read_voc_annotations(spark: SparkSession, path: str) -> DataFrame:
     A file may hold several annotation roots; identical ones count once. objects is an array of (name, xmin, ymin, xmax, ymax) in
     order; a coordinate that is not a number is null there. status: ok, no_annotation, no_size or no_object.
     """
-    text = "size struct<width string, height string>, object array<struct<name string, bndbox struct<xmin string, ymin string, xmax string, ymax string>>>"
     whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1).alias("image_id"), "value")
+    return parsed_annotations(whole)
+
+
+def parsed_annotations(whole: DataFrame) -> DataFrame:
+    """read_voc_annotations for texts that are read already: (image_id, value)."""
+    text = "size struct<width string, height string>, object array<struct<name string, bndbox struct<xmin string, ymin string, xmax string, ymax string>>>"
     docs = whole.withColumn("all", F.regexp_extract_all("value", F.lit(r"(?s)<annotation\b.*?</annotation>"), F.lit(0))).withColumn("docs", F.array_distinct("all"))
     each = docs.select("image_id", F.size("docs").alias("n_docs"), (F.size("all") - F.size("docs")).alias("n_dup"), F.posexplode_outer("docs").alias("d", "doc"))
     each = each.withColumn("x", F.from_xml("doc", text, {"rowTag": "annotation"}))

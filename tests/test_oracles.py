@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.plans import detection, manifests, scoring, streams
+from plumbline.plans import detection, files, manifests, scoring, streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = sorted(n for m in (manifests, detection, scoring, streams) for n in m.SQL)
+NAMES = sorted(n for m in (manifests, detection, scoring, streams, files) for n in m.SQL)
 
 
 def plain(v):
