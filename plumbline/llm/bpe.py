@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,9 +79,12 @@ class WordBpe:
         self.clear()
 
     def clear(self) -> None:
-        self.of_word: dict[str, tuple[int, ...]] = {}
-        self.of_part: dict[str, int] = {}
-        self.flat, self.sizes, self.decoded = [], [], []
+        """Begins the tables anew: of words (and special ids) and of stretches without white space, their ids and decoded text."""
+        special = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
+        self.word_ids: dict[str | int, bytes] = dict(special)
+        self.word_text: dict[str | int, bytes] = {i: self.text[i].encode() for i in special}
+        self.part_ids: dict[str, bytes] = {}
+        self.part_text: dict[str, bytes] = {}
 
     @staticmethod
     def _hash(rows: np.ndarray) -> np.ndarray:
@@ -207,7 +211,7 @@ class WordBpe:
         return tokens[order], of[order], np.unique(np.concatenate(stuck)) if stuck else np.zeros(0, np.int64)
 
     def words(self, words: list[str]) -> None:
-        """Encodes new words into of_word."""
+        """Encodes new words into the table."""
         raw = [w.encode() + _STOP for w in words]
         tokens, of, stuck = self.proposed(raw)
         bad = np.zeros(len(words), bool)
@@ -216,13 +220,16 @@ class WordBpe:
         if len(inside):
             apart = self._compatible((tokens[inside] << 32) | tokens[inside + 1])
             bad[of[inside[~apart]]] = True
-        cut = np.searchsorted(of, np.arange(len(words) + 1))
-        listed = tokens.tolist()
+        cut = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
+        listed, flat, text = tokens.tolist(), tokens.astype("<u4").tobytes(), self.text
         for k in np.flatnonzero(~bad).tolist():
-            self.of_word[words[k]] = tuple(listed[cut[k] : cut[k + 1]])
+            s, e = cut[k], cut[k + 1]
+            self.word_ids[words[k]] = flat[4 * s : 4 * e]
+            self.word_text[words[k]] = " ".join([text[i] for i in listed[s:e]]).encode()
         failed = np.flatnonzero(bad).tolist()
         for k, ids in zip(failed, self.merged_many([raw[k] for k in failed]), strict=True):
-            self.of_word[words[k]] = ids
+            self.word_ids[words[k]] = array("I", ids).tobytes()
+            self.word_text[words[k]] = " ".join([text[i] for i in ids]).encode()
 
     def _split(self, part: str) -> list[str | int]:
         """Words and special ids of a stretch without ASCII white space."""
@@ -238,22 +245,20 @@ class WordBpe:
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Per text, its ids (unsigned 32-bit, little-endian) and the decoded text in UTF-8."""
         parts = [_BREAK.split(t) for t in texts]
-        if len(self.of_part) > KEPT_WORDS or len(self.of_word) > KEPT_WORDS:
+        if len(self.part_ids) > KEPT_WORDS or len(self.word_ids) > KEPT_WORDS:
             self.clear()
-        new = {p for own in parts for p in own if p not in self.of_part}
+        new = set().union(*parts).difference(self.part_ids)
         split = {p: self._split(p) for p in new}
-        if fresh := list({w for own in split.values() for w in own if isinstance(w, str) and w not in self.of_word}):
+        if fresh := list({w for own in split.values() for w in own}.difference(self.word_ids)):
             self.words(fresh)
+        word_ids, word_text, part_ids, part_text = self.word_ids, self.word_text, self.part_ids, self.part_text
         for p, own in split.items():
-            ids = [i for w in own for i in (self.of_word[w] if isinstance(w, str) else (w,))]
-            self.of_part[p] = len(self.sizes)
-            self.sizes.append(len(ids))
-            self.flat.append(np.array(ids, "<u4").tobytes())
-            self.decoded.append(" ".join([self.text[i] for i in ids]).encode())
-        at, flat, decoded = self.of_part, self.flat, self.decoded
+            if len(own) == 1:
+                part_ids[p], part_text[p] = word_ids[own[0]], word_text[own[0]]
+            else:
+                part_ids[p], part_text[p] = b"".join([word_ids[w] for w in own]), b" ".join([word_text[w] for w in own])
         for own in parts:
-            spots = [at[p] for p in own]
-            yield np.frombuffer(b"".join([flat[s] for s in spots]), "<u4"), b" ".join([decoded[s] for s in spots if decoded[s]])
+            yield np.frombuffer(b"".join(map(part_ids.__getitem__, own)), "<u4"), b" ".join(filter(None, map(part_text.__getitem__, own)))
 
 
 @lru_cache(maxsize=1)
