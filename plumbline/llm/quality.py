@@ -141,3 +141,26 @@ def filtered(docs: DataFrame, **limits: float) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+
+
+#: The same in DuckDB's SQL, with the limits above.
+OP7_SQL = rf"""
+with d as (select row_number() over () as row, doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as t from documents),
+w as (select row, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+n as (select row, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars from w),
+x as (select row, unnest(range(1, len(w) - 1)) as i, w from w where len(w) > 2),
+y as (select row, i, count(*) over (partition by row, w[i], w[i + 1], w[i + 2]) as c from x),
+r as (select row, count(distinct p) as n_repeat_words from (select row, unnest([i, i + 1, i + 2]) as p from y where c > 1) group by 1),
+l0 as (select row, host, t, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as o from d),
+l as (select *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as lw from l0),
+dup as (select row, count(*) as n_dup_lines from (select row, row_number() over (partition by row, line order by o) as k from l where len(lw) > 0) where k > 1 group by 1),
+k as (select row, host, t, array_to_string(lw, ' ') as line, sum(len(lw)) as words from l where len(lw) > 0 group by all),
+texts as (select host, count(distinct t) as n from d group by 1),
+common as (select host, line from (select host, line, count(distinct t) as c from k group by all) join texts using (host) where c > {MIN_DOCS} and c > {MAX_SHARE}::double * n),
+lost as (select row, sum(words)::bigint as removed_words from k join common using (host, line) group by 1),
+a as (select doc_id, n_words, word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+  coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(removed_words, 0) as removed_words
+  from d join n using (row) left join r using (row) left join dup using (row) left join lost using (row))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (n_words - removed_words < {MIN_LEFT}::double * n_words) as kept from a
+"""

@@ -8,7 +8,7 @@ from plumbline.llm.jaccard import op10_jaccard_join
 from plumbline.llm.licences import op9_license_scan
 from plumbline.llm.lm import op1_lm_scoring
 from plumbline.llm.packing import op5_packing
-from plumbline.llm.quality import op7_quality_rules
+from plumbline.llm.quality import OP7_SQL, op7_quality_rules
 from plumbline.llm.shards import op8_sharding
 from plumbline.llm.toxicity import op3_toxicity
 from plumbline.llm.vectors import op4_vector_duplicates
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op7_quality_rules": OP7_SQL}
