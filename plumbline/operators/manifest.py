@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import error_text, stable_tie_break
+from plumbline.operators.lineage import checkpointed
 from plumbline.operators.prefix import running_total
 
 SPLITS = ("train", "val", "test")
@@ -50,7 +51,7 @@ def group_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.
     """
     counts = groups.groupBy("class_id").agg(F.count("*").alias("k"))
     home = groups.join(counts, "class_id").groupBy("group_id").agg(F.min(F.struct("k", "class_id")).alias("h"), F.first("size").alias("size"), F.first("tie_break").alias("tie_break"))
-    home = home.select("group_id", F.col("h.class_id").alias("home"), "size", "tie_break")
+    home = checkpointed(home.select("group_id", F.col("h.class_id").alias("home"), "size", "tie_break"))
     first = home.withColumn("rank", F.row_number().over(W.partitionBy("home").orderBy("size", "tie_break"))).where("rank <= 3").select("group_id", "rank")
     total = home.groupBy("home").agg(F.count("*").alias("k"), F.sum("size").alias("total"))
     all_ = home.join(total, "home").join(first, "group_id", "left")

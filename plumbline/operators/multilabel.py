@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import stable_tie_break
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder of spark.checkpoint.dir (one is made where none is set)."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-plumbline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+from plumbline.operators.lineage import checkpointed
 
 
 def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 8) -> DataFrame:
@@ -35,8 +25,8 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
     width = max(1.0, own.count() / max(1, n))  # labels of an image
     support = own.groupBy("label").agg(F.count("*").alias("s"))
     want = F.least(F.greatest(F.bround(F.col("s") * ratio), F.when(F.col("s") >= 2, 1).otherwise(0)), F.col("s") - 1).cast("long")
-    own = _checkpointed(own.join(support.withColumn("want", want), "label").withColumn("tie", stable_tie_break(seed, "image_id")))
-    chosen = _checkpointed(own.select("image_id").limit(0))
+    own = checkpointed(own.join(support.withColumn("want", want), "label").withColumn("tie", stable_tie_break(seed, "image_id")))
+    chosen = checkpointed(own.select("image_id").limit(0))
     for k in range(rounds):
         have = own.join(chosen, "image_id", "left_semi").groupBy("label").agg(F.count("*").alias("got"))
         state = own.join(have, "label", "left").withColumn("got", F.coalesce("got", F.lit(0))).withColumn("lack", F.col("want") - F.col("got"))
@@ -48,7 +38,7 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
         taken = _guarded(free, stands).join(stands, "image_id")
         room = target - chosen.count()
         new = taken.orderBy("tie").limit(max(0, min(room, -(-target // 2)))).select("image_id")
-        chosen, before = _checkpointed(chosen.union(new)), chosen
+        chosen, before = checkpointed(chosen.union(new)), chosen
         if chosen.count() == before.count():
             break
     for k in range(rounds):
@@ -59,7 +49,7 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
         free = own.join(have, "label", "left").withColumn("got", F.coalesce("got", F.lit(0))).join(chosen, "image_id", "left_anti")
         below = free.groupBy("image_id").agg(F.avg(F.col("got") + 1 - F.col("s") * ratio).alias("over"), F.first("tie").alias("tie")).orderBy("over", "tie").limit(-(-room // 2) if k + 1 < rounds else room)
         new = _guarded(free, below).select("image_id")
-        chosen, before = _checkpointed(chosen.union(new)), chosen
+        chosen, before = checkpointed(chosen.union(new)), chosen
         if chosen.count() == before.count():
             raise ValueError(f"{room} more images are wanted, but each would take a label's last training image")
     val = chosen.withColumn("side", F.lit("val"))

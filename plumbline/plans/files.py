@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import manifest as M
+from plumbline.operators.lineage import checkpointed
 from plumbline.plans import bindings as B
 from plumbline.plans.streams import _folder
 from plumbline.sources import readers as R
@@ -76,7 +77,7 @@ def read_id_list(spark, d):
 
 @query(f"with {B.SPLIT} select relative_path, class_id, m.sha256 from manifest m join split on group_id = m.sha256 where decode_status = 'ok' and split = 'val'")
 def read_manifest(spark, d):
-    m = B.manifest(spark, d)
+    m = checkpointed(B.manifest(spark, d))
     s = M.group_split(M.duplicate_groups(m)).select(F.col("group_id").alias("sha256"), "split")
     at = _folder(spark, "manifest")
     Wr.write_manifest(m.join(s, "sha256", "left").fillna("", ["split"]), at)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalars as S
 from plumbline.operators import manifest as M
 from plumbline.operators import taxonomy as T
+from plumbline.operators.lineage import checkpointed
 from plumbline.plans import bindings as B
 from plumbline.sources.writers import canonical_json
 
@@ -171,21 +172,21 @@ def required_splits(spark, d):
 
 @query(f"with {B.SPLIT} select * from split")
 def group_stratified_split(spark, d):
-    return M.group_split(M.duplicate_groups(B.manifest(spark, d)))
+    return M.group_split(checkpointed(M.duplicate_groups(B.manifest(spark, d))))
 
 
 @query(f"""with {B.SPLIT}, c as (select class_id, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'val') as val, count(*) filter (where split = 'test') as test
   from manifest join split on sha256 = group_id where decode_status = 'ok' group by 1)
 select class_id, coalesce(train, 0) as train, coalesce(val, 0) as val, coalesce(test, 0) as test, coalesce(train + val + test, 0) as total_images from classes left join c using (class_id)""")
 def split_summary(spark, d):
-    m = B.manifest(spark, d)
+    m = checkpointed(B.manifest(spark, d))  # digests, not texts
     return M.split_summary(m, M.group_split(M.duplicate_groups(m)), B.classes(spark, d))
 
 
 @query(f"""with {B.SPLIT}, want as (select class_id, unnest(case when k >= 3 then ['train', 'val', 'test'] when k = 2 then ['train', 'test'] else ['train'] end) as split from (select class_id, count(*) as k from groups group by 1)),
 have as (select distinct class_id, split from groups join split using (group_id)) select class_id, split, count(*) as n from want anti join have using (class_id, split) group by all""")
 def split_coverage_gaps(spark, d):
-    g = M.duplicate_groups(B.manifest(spark, d))
+    g = checkpointed(M.duplicate_groups(B.manifest(spark, d)))
     return M.missing_coverage(g, M.group_split(g)).groupBy("class_id", "split").agg(F.count("*").alias("n"))
 
 
@@ -252,6 +253,6 @@ select 'disjoint' as invariant, count(*) as violations from (select * from tr in
 union all select 'missing', count(*) from (select * from al except all (select * from tr union all select * from te))
 union all select 'unexpected', count(*) from ((select * from tr union all select * from te) except all select * from al)""")
 def split_invariants(spark, d):
-    g = M.duplicate_groups(B.manifest(spark, d))
-    s = M.group_split(g)
+    g = checkpointed(M.duplicate_groups(B.manifest(spark, d)))
+    s = checkpointed(M.group_split(g))
     return M.split_invariants(s.where("split = 'train'").select("group_id"), s.where("split <> 'train'").select("group_id"), g.select("group_id").distinct())
