@@ -6,10 +6,10 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
 * Light sets (up to a boundary size): sets of sizes n <= m link exactly when they share c(n, m) elements, so each emits the
   hashes of its subsets of that size, and a bucket with a set of size n links all its members to it.
 * Heavy sets: each is put in the inverted lists of the first n - ceil(n * num / den) + 1 of its shingles, in an order that
-  puts very frequent shingles last; two linked sets share one of those. First each list's members are compared with one of
-  them (linear in the list), which joins most groups. Lists that still hold several components are then scanned in square
-  cells of bounded size; pairs pass exact filters on set size and on a parity bitmap (whose Hamming distance never exceeds
-  the symmetric difference), at first only each member's nearest, and at last every pair of different components.
+  puts very frequent shingles last; two linked sets share one of those. The lists are scanned in square cells of bounded
+  size. Pairs pass exact filters on set size and on a parity bitmap (whose Hamming distance never exceeds the symmetric
+  difference). A scan at first sends on only each member's nearest, which joins most groups; lists that still hold several
+  components are scanned again, at last for every pair of different components.
 * The boundary is the size at which the rows of the two ways cost least, from the histogram of small sizes.
 
 Every candidate pair is verified on the whole sets. Pairs already known to be in one component are not compared again: the
@@ -37,11 +37,15 @@ from plumbline.llm.hashing import mix, shingle_sets
 _U = np.uint64
 #: Largest size for which subsets are considered at all.
 LIGHT_MAX = 24
-#: Shingles in more than this share of the documents go last in the order; so many at most are sent to all tasks (8 bytes each).
+#: Shingles in more documents than this go last in the order; so many at most, the most frequent, are sent to all tasks (8 bytes each).
 #: The order only decides how long lists get: any order gives the same result.
-FREQUENT_SHARE, FREQUENT_MAX = 0.004, 1 << 17
-#: Members of an inverted list that are compared in one cell, and bits of a set's parity bitmap.
-CELL, BITS = 512, 1024
+FREQUENT, FREQUENT_MAX = 12, 1 << 18
+#: Members of an inverted list that are compared in one cell; bits of a set's parity bitmap, at least one an element up to the most.
+CELL, BITS, MOST_BITS = 512, 512, 1 << 15
+#: 64-bit words of bitmaps that a task compares at once.
+WORDS = 1 << 21
+#: Ids of documents in candidate pairs are sent to all tasks up to this number (16 MB); beyond it their texts are shuffled.
+SENT_IDS = 1 << 20
 
 
 def overlap(n: int, m: int, num: int, den: int) -> int:
@@ -56,35 +60,35 @@ def prefix(n: int, num: int, den: int) -> int:
 
 def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """Sorted hashes of shingles that are frequent in the documents, at most FREQUENT_MAX. Tasks count all their documents and
-    send on what is frequent among them; a shingle frequent overall is frequent in some task."""
+    send on what several of them have: a shingle that no task's block has twice is not put last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, docs_held = [], 0, 0
+        held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             x, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count >= max(4, FREQUENT_SHARE * docs_held)
+            keep = count > 1
             return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)), pa.array(count[keep])], ["token", "n"])
 
         for _, texts in text_blocks(batches):
             sets = shingle_sets(texts, width)
             held += sets
             n += sum(map(len, sets))
-            docs_held += len(sets)
             if n > 4_000_000:
                 yield flush()
-                held, n, docs_held = [], 0, 0
+                held, n = [], 0
         if held:
             yield flush()
 
-    total = docs.count()
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > max(16, FREQUENT_SHARE * total / 2))
+    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MAX).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(_U))
 
 
 def _bitmap(x: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((x & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    """A power of two of bits; bit k is the parity of the number of elements that fall on it."""
+    bits = min(MOST_BITS, max(BITS, 1 << max(0, len(x) - 1).bit_length()))
+    return np.packbits(np.bincount((x & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def sketches(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
@@ -185,28 +189,46 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def scanned(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     """Candidate pairs (src, dst) from rows (token, i, j, part, doc, n, comp, bits) sorted by token, i, j within partitions."""
 
+    def distances(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hamming distances of bitmaps. Of two lengths the longer is folded: its parts' bits are of equal places of the shorter."""
+        words = np.array([len(b) // 8 for b in bits])
+        least, out = np.minimum(words[i], words[j]), np.zeros(len(i), np.int64)
+        for w in np.unique(least):
+            sel = np.flatnonzero(least == w)
+            used = np.unique(np.concatenate([i[sel], j[sel]]))
+            table = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[r], _U).reshape(-1, w), axis=0) for r in used])
+            a, b = np.searchsorted(used, i[sel]), np.searchsorted(used, j[sel])
+            for at in range(0, len(sel), max(1, WORDS // w)):
+                part = slice(at, at + max(1, WORDS // w))
+                out[sel[part]] = np.bitwise_count(table[a[part]] ^ table[b[part]]).sum(axis=1, dtype=np.int64)
+        return out
+
     def pairs(t: pa.Table) -> pa.RecordBatch | None:
         doc, n, comp, part = (t.column(c).to_numpy() for c in ("doc", "n", "comp", "part"))
         lo, hi = t.column("i").to_numpy(), t.column("j").to_numpy()
         token = t.column("token").to_numpy()
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), _U).reshape(len(doc), BITS // 64)
+        bits = t.column("bits").to_pylist()
         new = np.ones(len(doc), bool)
         new[1:] = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         start = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
         run = np.cumsum(new) - 1
         size = np.bincount(run)[run]
         left = start + size - np.arange(len(doc)) - 1
-        rows, step, found = np.flatnonzero(left > 0), 1, []
+        rows, step, found, open_, n_open = np.flatnonzero(left > 0), 1, [], [], 0
         while len(rows):
             i, j = rows, rows + step
             a, b = n[i].astype(np.int64), n[j].astype(np.int64)
             ok = (comp[i] != comp[j]) & (num * np.maximum(a, b) <= den * np.minimum(a, b)) & ((lo[i] == hi[i]) | (part[i] != part[j]))
-            i, j, total = i[ok], j[ok], (a + b)[ok]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            ok = apart <= total - 2 * (-(-num * total // (num + den)))
-            found.append((i[ok], j[ok], apart[ok] / total[ok]))
+            open_.append((i[ok], j[ok], (a + b)[ok]))
+            n_open += len(open_[-1][0])
             step += 1
             rows = rows[left[rows] >= step]
+            if n_open > 500_000 or not len(rows):
+                i, j, total = (np.concatenate(x) for x in zip(*open_, strict=True))
+                apart = distances(bits, i, j)
+                ok = apart <= total - 2 * (-(-num * total // (num + den)))
+                found.append((i[ok], j[ok], apart[ok] / total[ok]))
+                open_, n_open = [], 0
         if not found:
             return None
         i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -235,48 +257,66 @@ def scanned(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     return cells.mapInArrow(run, "src long, dst long").distinct()
 
 
-def _open_lists(lists: DataFrame, comps: DataFrame, bits: DataFrame) -> DataFrame:
-    """The rows of lists that hold members of several components, dealt to cells of at most about 2 * CELL members."""
-    now = lists.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    open_ = now.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a <> b").select("token", F.ceil(F.col("members") / CELL).cast("int").alias("parts"))
-    rows = now.join(open_, "token").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def _cells(lists: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows (token, doc, n, comp) of the lists that hold several components, dealt to cells of at most about 2 * CELL members."""
+    open_ = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a <> b").select("token", F.ceil(F.col("members") / CELL).cast("int").alias("parts"))
+    rows = lists.join(open_, "token").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("token", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc", "n", "comp")
     return rows.join(bits, "doc").repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j", "doc").select("token", "i", "j", "part", "doc", "n", "comp", "bits")
 
 
-def joined(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row of docs; see the module's text."""
-    all_ = stored(sketches(docs, width, num, den, frequent_shingles(docs, width)), "sketches")
-    classes = stored(all_.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("small").alias("small"), F.first("first").alias("first"), F.first("bits").alias("bits")), "classes").withColumnRenamed("rep", "doc_id")
-    sizes = {r.n: r.c for r in classes.where(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    most = boundary(sizes, num, den)
-    heavy = classes.where((F.col("n") > most) | (den * F.col("n") >= num * (most + 1)))
-    rows = postings(heavy)
-    hubs = rows.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("hub"), F.col("n").alias("hub_n"))).alias("x")).where("members > 1").select("token", "x.hub", "x.hub_n")
-    lists = stored(rows.join(hubs, "token"), "lists")
-    pairs = lists.where((F.col("hub") != F.col("doc")) & (num * F.greatest("n", "hub_n") <= den * F.least("n", "hub_n"))).select(F.least("hub", "doc").alias("src"), F.greatest("hub", "doc").alias("dst")).distinct()
-    light = light_edges(classes.where(F.col("n") <= most), most, num, den)
+def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set) of the documents in pairs (src, dst)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())], ["doc_id", "set"])
 
-    listed = lists.select(F.col("doc").alias("doc_id")).distinct()
-    large = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(listed, "doc_id").mapInArrow(run, "doc_id long, set binary")
-    sets = stored(large.union(classes.where(F.col("n") <= most).select("doc_id", F.col("small").alias("set"))).where("length(set) > 0"), "sets")
-    edges = stored(verified(pairs.union(light), sets, num, den), "links")
-    bits = classes.select(F.col("doc_id").alias("doc"), "bits")
-    lists = lists.select("token", "doc", "n")
-    for nearest in (True, True, False):
+    wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    return stored(own.mapInArrow(run, "doc_id long, set binary"), "sets")
+
+
+def joined(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) for each row of docs; see the module's text."""
+    all_ = stored(sketches(docs, width, num, den, frequent_shingles(docs, width)), "sketches")
+    classes = stored(all_.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+    own = all_.join(classes.select("doc_id", "key"), ["doc_id", "key"])  # one row of each class, or equal ones
+    sizes = {r.n: r.c for r in classes.where(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    most = boundary(sizes, num, den)
+    rows = postings(own.where((F.col("n") > most) | (den * F.col("n") >= num * (most + 1))))
+    several = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    several = several.where((F.col("members") > 2) | ((F.col("members") == 2) & (num * F.col("high") <= den * F.col("low")))).select("token")
+    lists = stored(rows.join(several, "token"), "lists")
+    light = light_edges(own.where(F.col("n") <= most), most, num, den)
+
+    # ids that repeat keep all their rows here, so no pair of texts is missed
+    listed = lists.select("doc").distinct()
+    bits = all_.select(F.col("doc_id").alias("doc"), "bits").join(listed, "doc").distinct()
+
+    def linked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = stored(found, "pairs")
+        return found, stored(verified(found, _sets_of(docs, found, width), num, den), "links")
+
+    nearest = scanned(_cells(lists.withColumn("comp", F.col("doc")), bits), num, den, nearest=True)
+    tried, edges = linked(nearest.union(light).distinct())
+    # a document that is in no pair now has no passing pair in any list
+    paired = tried.select(F.col("src").alias("doc")).union(tried.select("dst")).distinct()
+    lists = stored(lists.join(paired, "doc").select("token", "doc", "n"), "lists")
+    for only_nearest in (True, False):
         comps = components(edges).select(F.col("id").alias("doc"), F.col("component").alias("comp"))
-        found = scanned(_open_lists(lists, comps, bits), num, den, nearest)
-        edges = edges.union(stored(verified(found, sets, num, den), "links"))
+        now = lists.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        more, links = linked(scanned(_cells(now, bits), num, den, only_nearest).join(tried, ["src", "dst"], "left_anti"))
+        tried, edges = tried.union(more), edges.union(links)
     comps = components(edges)
     member = classes.select("key", F.col("doc_id").alias("class_id")).join(comps, F.col("class_id") == F.col("id"), "left").select("key", "class_id", F.coalesce("component", "class_id").alias("component"))
+    real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return all_.select("doc_id", "n", "key").join(member, "key", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(real, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(real, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
