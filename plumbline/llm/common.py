@@ -38,6 +38,16 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sampled(df: DataFrame, most: int, key: str) -> DataFrame:
+    """The rows of df whose hashed key is smallest, at most ``most``. Where there are many more, a bound on the hash (set for twice as
+    many) leaves tasks little to sort and to send."""
+    n, whole = df.count(), 1 << 30
+    at = F.pmod(F.xxhash64(key), F.lit(whole))
+    if n > 4 * most:
+        df = df.where(at < F.lit(int(whole * 2 * most / n)))
+    return df.orderBy(at, key).limit(most)
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", block: int = TEXT_BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about ``block`` bytes of text each, and their texts as UTF-8 bytes."""
     for batch in batches:

@@ -59,7 +59,7 @@ def prefix(n: int, num: int, den: int) -> int:
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of shingles that are frequent in the documents, at most FREQUENT_MAX. Tasks count all their documents and
+    """Sorted hashes of shingles that are frequent in the documents, at most FREQUENT_MAX (with counts from a power of two on). Tasks count all their documents and
     send on what several of them have: a shingle that no task's block has twice is not put last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,16 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
             yield flush()
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MAX).select("token").toArrow()
+    counts = stored(counts, "frequent")
+    log = F.floor(F.log2("n")).cast("int")
+    sizes = sorted(((r.k, r.c) for r in counts.groupBy(log.alias("k")).agg(F.count("*").alias("c")).collect()), reverse=True)  # a row a power of two
+    least, held = 1 << 62, 0
+    for k, c in sizes:
+        held += c
+        if held > FREQUENT_MAX:
+            break
+        least = 1 << k
+    top = counts.where(F.col("n") >= F.lit(least)).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(_U))
 
 

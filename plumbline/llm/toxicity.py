@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fold, stored, text_blocks
+from plumbline.llm.common import fold, sampled, stored, text_blocks
 from plumbline.llm.hashing import mix, word_hashes
 
 #: Features are hashed to 2 ** BITS coordinates; weights that L1 keeps are a few thousand of them.
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tupl
         known = known.where(fold("doc_id", held_out[0]) != held_out[1])
     known = stored(known.join(docs.select("doc_id").distinct(), "doc_id"), "labelled")
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
+    picked = [sampled(known.where(F.col("y") == y), most, "doc_id") for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
     sample = stored(picked[0].union(picked[1]), "label-sample")
     share = {y: max(1.0, total.get(y, 0) / most) for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))}
 

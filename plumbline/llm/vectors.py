@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, stored
+from plumbline.llm.common import components, sampled, stored
 
 #: Lists that a code is in; subspaces; codes of a subspace; Lloyd rounds.
 PROBES, SUBSPACES, CODES, ROUNDS = 8, 16, 64, 6
@@ -122,7 +122,7 @@ def _linked(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     total = classes.count()
     lists = int(min(max(total**0.5, LISTS[0]), LISTS[1]))
-    sample = classes.select(F.col("id"), "unit").orderBy(F.xxhash64("id"), "id").limit(lists * FITTED)
+    sample = sampled(classes.select("id", "unit"), lists * FITTED, "id")
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": [pickle.dumps(Quantiser(_rows(f.sort_values("id").unit, np.float64), lists))]})
