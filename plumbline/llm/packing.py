@@ -21,7 +21,7 @@ CAPACITY, END = 2048, 1
 #: What is left of a document after its full windows is cut into pieces of at most this many ids.
 PIECE = 512
 #: Pieces that are packed together, on average: the bound of a packing task's group.
-GROUP = 384
+GROUP = 768
 _EOT, _EOT_ID = "<|endoftext|>", 50256
 
 
