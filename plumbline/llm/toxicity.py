@@ -60,12 +60,18 @@ class Model:
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Model:
     """FTRL-proximal with per-coordinate rates, in the rows' order, EPOCHS times. rows: distinct coordinates of each example."""
-    at, count = np.unique(np.concatenate(rows), return_counts=True) if len(rows) else (np.zeros(0, np.int32), np.zeros(0, int))
-    at = at[count >= MIN_DOCS]
+    count = np.zeros(1 << BITS, np.uint16)
+    for r in rows:
+        count[r] += 1  # a row's coordinates are distinct, and there are fewer rows than 2 ** 16
+    at = np.flatnonzero(count >= MIN_DOCS).astype(np.int32)
+    del count
+    place = np.full(1 << BITS, -1, np.int32)
+    place[at] = np.arange(len(at), dtype=np.int32)
     own = []
     for r in rows:
-        spot = np.minimum(np.searchsorted(at, r), max(0, len(at) - 1))
-        own.append(np.append(spot[at[spot] == r] if len(at) else spot[:0], len(at)))  # the last is the bias
+        spot = place[r]
+        own.append(np.append(spot[spot >= 0], np.int32(len(at))))  # the last is the bias
+    del place
     z, n = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     l1 = np.full(len(at) + 1, L1)
     l1[-1] = 0
