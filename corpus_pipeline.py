@@ -13,8 +13,8 @@ from plumbline.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that too many documents of their host share."""
-    return quality.filtered(docs)
+    """Documents that pass the rules, without the lines that more than ten groups of near copies of their host share."""
+    return quality.filtered(docs, by_groups=True)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import jaccard
 from plumbline.llm.common import stored, text_blocks
 from plumbline.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -86,23 +87,42 @@ def text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{kept}, {_STATS}")
 
 
-def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def _text_id() -> Column:
+    return F.xxhash64("text").alias("text_id")
+
+
+def _in_groups(docs: DataFrame, stats: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """The lines (host, line) that are in more than ``min_docs`` groups of near copies (linked texts of docs, as in the near-duplicate
+    stage of the pipeline); only texts that have one of the lines are compared, each once."""
+    held = stored(stats.where("size(lines) > 0").select("host", "text_id", F.explode("lines").alias("line")).join(lines, ["host", "line"]).distinct(), "held-lines")
+    own = docs.select(_text_id(), "text").join(held.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
+    groups = jaccard.joined(stored(own.withColumnRenamed("text_id", "doc_id"), "line-texts"), width=5, num=80, den=100).select(F.col("doc_id").alias("text_id"), F.col("component_id").alias("group"))
+    each = held.join(groups, "text_id").select("host", "line", "group").distinct()
+    return each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).select("host", "line")
+
+
+def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, by_groups: bool = False) -> DataFrame:
     """Per row of docs: doc_id, the counts, removed_lines (hashes), removed_words, base_failed, depleted and kept.
 
-    A line counts once for each distinct text of a host, so exact copies do not make their own lines common. The lines are
+    A line counts once for each distinct text of a host, so exact copies do not make their own lines common. With ``by_groups``
+    it counts once for each group of near copies, and ``max_share`` is not used: the limit does not grow with the host. The lines are
     exploded to (host, line, content), de-duplicated and counted, with partial aggregation before each shuffle; the common
     lines go back to the documents by a join that AQE can split for a hot host. Nulls and empty texts have no words and fail
     the base rule; a null host is a host of its own; rows that repeat a doc_id are each judged and all returned.
     """
-    stats = stored(text_stats(docs.select(F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), "text"), ["doc_id", "host"]).withColumn("row", F.monotonically_increasing_id()), "line-stats")
-    texts = stats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
+    ids = [_text_id()] if by_groups else []
+    stats = stored(text_stats(docs.select(F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), *ids, "text"), ["doc_id", "host", *["text_id"] * by_groups]).withColumn("row", F.monotonically_increasing_id()), "line-stats")
     seen = stats.where("size(lines) > 0").select("host", "content", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    common = stored(seen.join(texts, "host").where(F.col("n_docs") > max_share * F.col("n_texts")).select("host", "line"), "common-lines")
+    if by_groups:
+        common = stored(_in_groups(docs, stats, stored(seen.select("host", "line"), "candidate-lines"), min_docs), "common-lines")
+    else:
+        texts = stats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
+        common = stored(seen.join(texts, "host").where(F.col("n_docs") > max_share * F.col("n_texts")).select("host", "line"), "common-lines")
     each = stats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     lost = each.join(common, ["host", "line"]).groupBy("row").agg(F.collect_list("line").alias("removed_lines"), F.sum("words").cast("long").alias("removed_words"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     return (
-        stats.drop("content", "lines", "line_words")
+        stats.drop("content", "lines", "line_words", "text_id")
         .join(lost, "row", "left")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

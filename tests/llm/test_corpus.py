@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from plumbline.llm import bpe, jaccard, licences, lm, packing, quality, shards, toxicity
 from plumbline.llm.hashing import shingle_sets, word_hashes
 
@@ -127,6 +128,19 @@ def test_copies_are_no_common_lines(spark):
     assert quality.verdicts(df).where("not depleted").count() == 310
 
 
+def test_common_lines_of_a_large_host(spark):
+    line = "Sign in to read more of this site and accept our terms"
+    ids = lambda a, n: range(a, a + n)
+    own = lambda i, n: " ".join(f"w{i}n{k}" for k in range(n))
+    shared = [(i, f"{line}\n{own(i, 60)}", "a") for i in ids(0, 25)]
+    copies = [(i, "\n".join(own(9000 + k, 10) for k in range(12)) + f"\ncopy {i}", "a") for i in ids(200, 40)]
+    rest = [(i, own(i, 60), "a") for i in ids(1000, 400)]
+    df = spark.createDataFrame(shared + copies + rest, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    assert all(out[i] == own(i, 60) for i in ids(0, 25))  # 25 of 465 texts, less than a tenth
+    assert all(out[i] == t for i, t, _ in copies + rest)
+
+
 def test_toxicity(spark, sf, odd, none):
     toxic = "you are a worthless grumbok"
     rows = [(i, f"some plain words w{i % 50} here {toxic if i % 3 == 0 else 'and nice'} text v{i % 31}") for i in range(900)]
