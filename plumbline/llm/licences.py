@@ -55,7 +55,7 @@ NONE, UNKNOWN = "none", "unknown"
 VARIANTS, NONE_LINES, CALIBRATION = 24, 2_000, 5
 #: A paragraph is compared with its family's templates by the share of a template's words that it has.
 CONFIRMED = 0.6
-#: A word is a licence word if it is in the templates and in less than this share of the corpus' sampled lines.
+#: A word is a licence word if it is in the templates and in less than this share of the corpus' sampled lines that resemble no template.
 RARE = 0.002
 
 
@@ -120,6 +120,9 @@ def fit(docs: DataFrame) -> Classifier:
     sample = stored(lines.orderBy(F.xxhash64("line"), "line").limit(NONE_LINES * 4).select(words("line").alias("w")).distinct(), "licence-lines")  # copies of a line count once
     templates = [set(r.w) for r in spark.createDataFrame([(t,) for x in TEMPLATES.values() for t in x], "t string").select(words("t").alias("w")).collect()]
     own = sorted(set().union(*templates))
+    # lines that resemble a template are notices: they neither make its words common nor stand for ``none``
+    likeness = F.greatest(*(F.size(F.array_intersect("w", F.array(*map(F.lit, sorted(t))))) / len(t) for t in templates))
+    sample = stored(sample.where(likeness < CONFIRMED), "licence-other-lines")
     n = max(1, sample.count())
     common = {r.x for r in sample.select(F.explode(F.array_distinct("w")).alias("x")).where(F.col("x").isin(own)).groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > RARE * n + 1).collect()}
     licence_words = [w for w in own if w not in common and not w.replace(".", "").isdigit()]

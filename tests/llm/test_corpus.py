@@ -305,3 +305,10 @@ def test_licences(spark, sf, odd, none):
     assert sum(out.get(k) == f for k, _, f in held) >= 0.85 * len(held)
     licences.scanned(odd, model).collect()
     assert licences.scanned(none, model).count() == 0
+
+
+def test_licences_of_many_holders(spark, sf):
+    notices = spark.range(400).selectExpr("100000 + id as doc_id", "concat('Copyright ', 2000 + id % 25, ' holder', id, '. Licensed under the MIT License.\n', 'own words of file number', id) as text")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(notices)
+    got = [r.family for r in licences.scanned(notices, licences.fit(docs)).where("paragraph = 0").collect()]
+    assert got == ["MIT"] * 400
