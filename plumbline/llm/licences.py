@@ -71,14 +71,13 @@ def grams(w: Column) -> Column:
 
 @dataclass
 class Classifier:
-    """Weights by n-gram and class (a DataFrame: gram, weights), intercepts, a temperature, and the anchors: a few licence words,
-    of which every template has at least two if it has two licence words."""
+    """Weights by n-gram and class (a DataFrame: gram, weights), intercepts, a temperature, and the licence words."""
 
     weights: DataFrame
     classes: list[str]
     intercepts: list[float]
     temperature: float
-    anchors: list[str]
+    licence_words: list[str]
 
 
 def _hashed(*cols: Column | str) -> Column:
@@ -102,17 +101,6 @@ def training_rows(spark: SparkSession, lines: DataFrame) -> DataFrame:
     return known.union(unknown).union(lines.select(F.lit(NONE).alias("label"), "w", _hashed("w").alias("h"))).select("label", "w", (F.col("h") % CALIBRATION == 0).alias("calibrates"))
 
 
-def anchors(templates: list[set[str]], words: list[str], each: int = 2) -> list[str]:
-    """A small set of the words such that every template has ``each`` of them, or all it has; the most useful first."""
-    need, chosen = [min(each, len(t.intersection(words))) for t in templates], []
-    while any(need):
-        gain = {w: sum(n > 0 and w in t for n, t in zip(need, templates, strict=True)) for w in words if w not in chosen}
-        best = max(sorted(gain), key=gain.get)
-        chosen.append(best)
-        need = [n - (n > 0 and best in t) for n, t in zip(need, templates, strict=True)]
-    return chosen
-
-
 def fit(docs: DataFrame) -> Classifier:
     """Learns from the templates and at most NONE_LINES lines of twice as many documents (those whose hashes are smallest)."""
     spark = docs.sparkSession
@@ -143,13 +131,13 @@ def fit(docs: DataFrame) -> Classifier:
     loss = lambda t: F.avg(F.log(F.aggregate("r", F.lit(0.0), lambda a, x: a + F.exp((x - F.array_max("r")) / t))) - (F.element_at("r", F.col("y") + 1) - F.array_max("r")) / t)
     grid = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
     losses = held.agg(*(F.coalesce(loss(t), F.lit(0.0)).alias(f"t{i}") for i, t in enumerate(grid))).first()
-    return Classifier(table, classes, [float(x) for x in model.interceptVector], min(zip(losses, grid, strict=True))[1], anchors(templates, licence_words))
+    return Classifier(table, classes, [float(x) for x in model.interceptVector], min(zip(losses, grid, strict=True))[1], licence_words)
 
 
 def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """(doc_id, paragraph, family, probability, likeness, confirmed) of each paragraph that is not of the class none.
 
-    A paragraph without an anchor is of the class none. The others are scored from their n-grams by a join with the weights.
+    A paragraph without a licence word is of the class none. The others are scored from their n-grams by a join with the weights.
     A family is confirmed if the paragraph has CONFIRMED of the words of one of its templates; a family that is not confirmed
     and below a probability of one half becomes unknown. Nulls and empty texts have no paragraphs; rows that repeat a doc_id
     are each scanned.
@@ -157,9 +145,9 @@ def scanned(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     model = model or fit(docs)
     spark = docs.sparkSession
     k = len(model.classes)
-    gate = F.array(*map(F.lit, model.anchors))
-    # a quick test of whole texts first: false only if no anchor is in the text
-    first = "(?i)" + "|".join(map(re.escape, model.anchors))
+    gate = F.array(*map(F.lit, model.licence_words))
+    # a quick test of whole texts first: false only if no word of the list is in the text
+    first = "(?i)" + "|".join(sorted({re.escape(w[:4]) for w in model.licence_words if len(w) >= 4} | {rf"\b{re.escape(w)}\b" for w in model.licence_words if len(w) < 4}))
     lines = docs.where(F.col("text").rlike(first)).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lines = stored(lines.where(F.col("line").rlike(first)).withColumn("w", words("line")).where(F.arrays_overlap("w", gate)).select("doc_id", "row", "paragraph", "w"), "licence-paragraphs")
     hits = lines.select("row", "paragraph", F.explode(grams(F.col("w"))).alias("gram")).join(F.broadcast(model.weights), "gram")

@@ -312,3 +312,9 @@ def test_licences_of_many_holders(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(notices)
     got = [r.family for r in licences.scanned(notices, licences.fit(docs)).where("paragraph = 0").collect()]
     assert got == ["MIT"] * 400
+
+
+def test_licences_in_few_words(spark, sf):
+    lines = ["Creative Commons Attribution 4.0 International", "BSD 3-Clause"]
+    model = licences.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    assert {r.doc_id for r in licences.scanned(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), model).collect()} == {0, 1}
