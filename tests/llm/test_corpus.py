@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import bpe, jaccard, licences, lm, packing, quality, shards, toxicity
+from plumbline.llm import bpe, jaccard, lm, packing, quality, shards, toxicity
 from plumbline.llm.hashing import shingle_sets, word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -286,35 +286,3 @@ def test_sharding(spark, sf, tmp_path, none):
     empty.append(none)
     empty.compact()
     assert sum(s.rows for s in empty.manifest()) == 0
-
-
-def test_licences(spark, sf, odd, none):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    model = licences.fit(docs)
-    rows = [
-        (1, "Some words here\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "LICENSED UNDER CC BY-NC 4.0."),
-        (4, "This work is licensed under the GNU General Public License, version 3."), (5, "plain words of no kind at all"), (6, None), (7, ""), (8, "All rights reserved."),
-        (9, "licensed under the custom community terms of our own making, see the file"),
-    ]
-    got = {r.doc_id: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    assert {i: r.family for i, r in got.items() if i < 9} == {1: "MIT", 2: "Apache-2.0", 3: "CC-BY-NC-4.0", 4: "GPL-3.0", 8: "proprietary"}
-    assert all(got[i].confirmed for i in (1, 2, 3, 4, 8)) and got[1].paragraph == 1 and not (9 in got and got[9].confirmed)
-    # held-out: templates with a word left out
-    held = [(k, " ".join(w for i, w in enumerate(t.split()) if i != k % 7 or len(t.split()) < 6), f) for k, (f, t) in enumerate((f, t) for f, own in licences.TEMPLATES.items() for t in own)]
-    out = {r.doc_id: r.family for r in licences.scanned(spark.createDataFrame([x[:2] for x in held], "doc_id long, text string"), model).collect()}
-    assert sum(out.get(k) == f for k, _, f in held) >= 0.85 * len(held)
-    licences.scanned(odd, model).collect()
-    assert licences.scanned(none, model).count() == 0
-
-
-def test_licences_of_many_holders(spark, sf):
-    notices = spark.range(400).selectExpr("100000 + id as doc_id", "concat('Copyright ', 2000 + id % 25, ' holder', id, '. Licensed under the MIT License.\n', 'own words of file number', id) as text")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(notices)
-    got = [r.family for r in licences.scanned(notices, licences.fit(docs)).where("paragraph = 0").collect()]
-    assert got == ["MIT"] * 400
-
-
-def test_licences_in_few_words(spark, sf):
-    lines = ["Creative Commons Attribution 4.0 International", "BSD 3-Clause"]
-    model = licences.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
-    assert {r.doc_id for r in licences.scanned(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), model).collect()} == {0, 1}
