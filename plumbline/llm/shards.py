@@ -1,34 +1,46 @@
 """Sharding: size-tiered compaction of small immutable shards, with a versioned manifest (operator 8).
 
-A table is a folder of Parquet shards, never changed once written, and manifests v<N>.json that list the live ones. An append
-writes a small shard per task; compaction merges the runs of one size tier, when enough are there, into files of about the
-target size. A new version is committed by creating its manifest file only if it does not exist yet, so of two writers one
-fails and leaves the table as it was; files that no manifest lists are never read.
+A table is a folder of runs, folders of Parquet shards that are never changed once written, and manifests v<N>.json that list
+the live runs. An arrival is written as one run of small shards; compaction merges the runs of one size tier (by the mean size
+of their shards), when enough shards are there, into a run of files of about the target size. A version is committed by
+creating its manifest, whole, under its name only if that name is free; a writer that was slower puts its change on top of the
+faster one's version and tries again. Files that no manifest lists are never read, and vacuum() removes them.
 
 Merging needs no shuffle: the scan packs small files into splits of the target size, and each split is written as one shard.
-The driver holds the manifest alone (a row a shard).
+The driver holds a row a run, not a row a shard: each merge makes one run of all runs of a tier.
+
+Rows are kept as they come: nulls, empty and very long texts, repeated rows and further columns. All arrivals of a table have the
+same columns (others are refused); an arrival without rows is a run without shards.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.llm.common import shared_folder
 
-#: Size of a merged shard, and of the smallest tier; each tier is FACTOR times the one below; runs of a tier that make it merge.
+#: Size of a merged shard, and of the smallest tier; each tier is FACTOR times the one below; shards of a tier that make it merge.
 TARGET, SMALLEST, FACTOR, RUNS = 128 << 20, 1 << 20, 4, 4
-#: Rows of a shard that an append writes at most.
-ROWS = 20_000
+#: Rows of a shard that an append writes at most; hours after which an unlisted folder is no writer's work in progress.
+ROWS, GRACE = 20_000, 24.0
 
 
 @dataclass(frozen=True)
-class Shard:
+class Run:
+    """A folder of shards below the table's root, with their number, rows and bytes."""
+
     path: str
+    shards: int
     rows: int
     size: int
 
@@ -41,111 +53,178 @@ def tier(size: int, smallest: int = SMALLEST, factor: int = FACTOR) -> int:
     return k
 
 
+def _as_stored(schema: StructType) -> StructType:
+    """The schema as Parquet gives it back: all columns may be null."""
+    return StructType.fromJson(json.loads(schema.json().replace('"nullable":false', '"nullable":true')))
+
+
 class ShardedTable:
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET, runs: int = RUNS, smallest: int = SMALLEST) -> None:
         self.spark, self.root, self.target, self.runs, self.smallest = spark, root.rstrip("/"), target, runs, smallest
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _manifest_path(self, version: int):
+        return self._path(f"{self.root}/manifests/v{version:08d}.json")
+
     def version(self) -> int:
         """The latest version, 0 for a table without any."""
         found = self._fs.globStatus(self._path(f"{self.root}/manifests/v*.json")) or []
         return max((int(s.getPath().getName()[1:-5]) for s in found), default=0)
 
-    def manifest(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
+    def _document(self, version: int) -> dict:
         if not version:
-            return []
-        stream = self._fs.open(self._path(f"{self.root}/manifests/v{version:08d}.json"))
+            return {"schema": None, "runs": []}
+        stream = self._fs.open(self._manifest_path(version))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
 
-    def commit(self, shards: list[Shard], base: int) -> int:
-        """Creates version base + 1; fails if another writer already has."""
-        text = json.dumps({"version": base + 1, "parent": base, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.path)]})
-        draft, final = (self._path(f"{self.root}/manifests/{x}") for x in (f".{uuid.uuid4().hex}", f"v{base + 1:08d}.json"))
+    def manifest(self, version: int | None = None) -> list[Run]:
+        return [Run(**x) for x in self._document(self.version() if version is None else version)["runs"]]
+
+    def _published(self, version: int, text: str) -> bool:
+        """Creates a version's manifest; False if there is one. On local disks by a hard link to a finished draft and on HDFS by renaming
+        one, both of which fail if the name is taken; on object stores by a create that doesn't overwrite, which shows the object when
+        it is whole (exclusive where the store has conditional writes)."""
+        final, scheme = self._manifest_path(version), self._fs.getUri().getScheme()
+        if scheme in ("s3a", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn"):
+            try:
+                out = self._fs.create(final, False)
+                out.write(bytearray(text.encode()))
+                out.close()
+            except Py4JJavaError as e:
+                if self._fs.exists(final):
+                    return False
+                raise e
+            return True
+        draft = self._path(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
         try:
-            out.write(bytearray(text.encode()))
+            if scheme != "file":
+                return bool(self._fs.rename(draft, final))
+            os.link(draft.toUri().getPath(), final.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
         finally:
-            out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
             self._fs.delete(draft, False)
+
+    def commit(self, runs: list[Run], base: int, schema: str | None = None) -> int:
+        """Creates version base + 1; fails if another writer already has."""
+        schema = schema or self._document(base)["schema"]
+        text = json.dumps({"version": base + 1, "parent": base, "schema": schema, "runs": [asdict(r) for r in sorted(runs, key=lambda r: r.path)]})
+        if not self._published(base + 1, text):
             raise RuntimeError(f"version {base + 1} was committed by another writer")
         return base + 1
 
-    def _write(self, df: DataFrame) -> list[Shard]:
-        at = f"{self.root}/shards/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(at)
-        return self._measured(at, df)
-
-    def _measured(self, at: str, df: DataFrame) -> list[Shard]:
-        read = self.spark.read.schema(df.schema).parquet(at).select("_metadata.file_path", "_metadata.file_size")
-        rows = read.groupBy("file_path").agg(F.count("*").alias("n"), F.max("file_size").alias("size")).collect()  # a row a shard
-        return [Shard(r.file_path, r.n, r["size"]) for r in rows]
-
-    def append(self, df: DataFrame, rows: int = ROWS) -> int:
-        """Adds df's rows as small shards of at most ``rows`` rows, and commits."""
-        base = self.version()
-        at = f"{self.root}/shards/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(at)
-        return self.commit(self.manifest(base) + self._measured(at, df), base)
+    def _changed(self, change: Callable[[list[Run]], list[Run] | None], schema: str | None = None) -> int:
+        """Commits change(live runs) on top of the latest version, again if another writer was faster; 0 if it gives None."""
+        while True:
+            base = self.version()
+            document = self._document(base)
+            if schema and document["schema"] and json.loads(schema) != json.loads(document["schema"]):
+                raise ValueError("the rows' columns are not the table's")
+            runs = change([Run(**x) for x in document["runs"]])
+            if runs is None:
+                return 0
+            try:
+                return self.commit(runs, base, schema or document["schema"])
+            except RuntimeError:
+                continue
+
+    def _measured(self, path: str, schema: StructType) -> Run:
+        files = self.spark.read.schema(schema).parquet(f"{self.root}/{path}").groupBy("_metadata.file_path").agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("size"))
+        r = files.agg(F.count("*").alias("shards"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+        return Run(path, r["shards"], r["n"], r["size"])
+
+    def append(self, df: DataFrame, rows: int = ROWS, arrival: Column | None = None) -> int:
+        """Adds df's rows as one run of small shards of at most ``rows`` rows, and commits. With ``arrival`` (a column of few values)
+        the rows of each value are a run of their own, written in the same job and committed in the same version."""
+        at = f"shards/{uuid.uuid4().hex}"
+        schema = _as_stored(df.schema)
+        writer = lambda d: d.write.option("compression", "zstd").option("maxRecordsPerFile", rows)
+        if arrival is None:
+            writer(df).parquet(f"{self.root}/{at}")
+            paths = [at]
+        else:
+            writer(df.withColumn("__arrival", arrival.cast("string"))).partitionBy("__arrival").parquet(f"{self.root}/{at}")
+            found = self._fs.globStatus(self._path(f"{self.root}/{at}/__arrival=*")) or []
+            paths = [f"{at}/{s.getPath().getName()}" for s in found] or [at]
+        new = [self._measured(p, schema) for p in paths]
+        return self._changed(lambda live: live + new, schema.json())
+
+    def _due(self, live: list[Run]) -> list[list[Run]]:
+        """The runs of each tier below half the target size that has at least ``runs`` shards."""
+        tiers: dict[int, list[Run]] = {}
+        for r in live:
+            if r.shards and r.size // r.shards < self.target // 2:
+                tiers.setdefault(tier(r.size // r.shards, self.smallest), []).append(r)
+        return [own for _, own in sorted(tiers.items()) if sum(r.shards for r in own) >= self.runs]
 
     def compact(self) -> int:
-        """Merges until no tier has ``runs`` runs below half the target size; each round is one job a tier and one commit."""
+        """Merges until no tier is due; each merge is one job and one commit. Runs that another compaction has merged meanwhile are left to it."""
+        settled: set[Run] = set()
         while True:
-            base = self.version()
-            shards = self.manifest(base)
-            tiers: dict[int, list[Shard]] = {}
-            for s in shards:
-                if s.size < self.target // 2:
-                    tiers.setdefault(tier(s.size, self.smallest), []).append(s)
-            due = {k: own for k, own in tiers.items() if len(own) >= self.runs}
+            due = [own for own in self._due(self.manifest()) if not settled.issuperset(own)]
             if not due:
-                return base
-            gone, new = set(), []
-            for own in due.values():
-                merged = self._merge([s.path for s in own])
-                if len(merged) < len(own):
-                    new += merged
-                    gone |= {s.path for s in own}
-            if not gone:
-                return base
-            self.commit([s for s in shards if s.path not in gone] + new, base)
-
-    def _merge(self, paths: list[str]) -> list[Shard]:
+                return self.version()
+            merged = self._merge(due[0])
+            old = set(due[0])
+            fewer = merged.shards < sum(r.shards for r in old)
+            if not fewer or not self._changed(lambda live: [r for r in live if r not in old] + [merged] if old.issubset(live) else None):
+                self._fs.delete(self._path(f"{self.root}/{merged.path}"), True)
+                settled |= old if not fewer else set()
+
+    def _merge(self, runs: list[Run]) -> Run:
         session = self.spark.newSession()  # its own settings of how scans pack files
         session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target))
         session.conf.set("spark.sql.files.openCostInBytes", "0")
         session.conf.set("spark.sql.files.minPartitionNum", "1")
-        return self._write(session.read.parquet(*paths))
+        at, schema = f"shards/{uuid.uuid4().hex}", self._schema()
+        rows = session.read.schema(schema).parquet(*(f"{self.root}/{r.path}" for r in runs))
+        rows.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{self.root}/{at}")
+        return self._measured(at, schema)
+
+    def _schema(self, version: int | None = None) -> StructType:
+        return StructType.fromJson(json.loads(self._document(self.version() if version is None else version)["schema"]))
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(*(s.path for s in self.manifest(version)))
+        """The rows of a version, the latest by default."""
+        version = self.version() if version is None else version
+        return self.spark.read.schema(self._schema(version)).parquet(*(f"{self.root}/{r.path}" for r in self.manifest(version)))
 
-    def vacuum(self, keep: int = 2) -> None:
-        """Deletes the shards that none of the last ``keep`` versions lists."""
+    def vacuum(self, keep: int = 2, grace: float = GRACE) -> None:
+        """Deletes all versions but the last ``keep``, the runs that only they list, and folders that no version lists and that
+        are older than ``grace`` hours (what lost commits and failed writers left)."""
         last = self.version()
-        live = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v)}
-        for v in range(1, last - keep + 1):
-            for s in self.manifest(v) if self._fs.exists(self._path(f"{self.root}/manifests/v{v:08d}.json")) else []:
-                if s.path not in live:
-                    self._fs.delete(self._path(s.path), False)
-            self._fs.delete(self._path(f"{self.root}/manifests/v{v:08d}.json"), False)
+        versions = [s.getPath() for s in self._fs.globStatus(self._path(f"{self.root}/manifests/v*.json")) or []]
+        old = [p for p in versions if int(p.getName()[1:-5]) <= last - keep]
+        live = {r.path for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v)}
+        gone = {r.path for p in old for r in self.manifest(int(p.getName()[1:-5]))} - live
+        for path in [*(self._path(f"{self.root}/{r}") for r in gone), *old]:
+            self._fs.delete(path, True)
+        before = (time.time() - 3600 * grace) * 1000
+        for s in self._fs.globStatus(self._path(f"{self.root}/shards/*")) or []:
+            name = f"shards/{s.getPath().getName()}"
+            if s.getModificationTime() < before and not any(r == name or r.startswith(f"{name}/") for r in live):
+                self._fs.delete(s.getPath(), True)
+
+
+#: Arrivals that op8 splits the table into.
+ARRIVALS = 4
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, appended and compacted: for each row, read from the last version's shards, its shard and how large that is."""
+    """documents, appended as ARRIVALS runs and compacted: for each row, read from the last version's shards, its shard and how large that is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     table = ShardedTable(spark, f"{shared_folder(spark)}/plumbline/shards-{uuid.uuid4().hex}")
-    table.append(docs, rows=2_000)
+    table.append(docs, rows=2_000, arrival=F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
     table.compact()
     table.vacuum(keep=1)
-    if not table.manifest():
-        return docs.select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).alias("tier"), F.sha2("text", 256).alias("text_sha256")).limit(0)
-    shard = F.col("_metadata.file_size")
-    tiers = F.when(shard <= SMALLEST, 0).otherwise(F.ceil(F.log(float(FACTOR), shard / SMALLEST) - 1e-12)).cast("int")
-    return table.read().select("doc_id", F.col("_metadata.file_name").alias("shard"), shard.alias("shard_bytes"), tiers.alias("tier"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    size = F.col("_metadata.file_size")
+    tiers = F.when(size <= SMALLEST, 0).otherwise(F.ceil(F.log(float(FACTOR), size / SMALLEST) - 1e-12)).cast("int")
+    return table.read().select("doc_id", F.col("_metadata.file_name").alias("shard"), size.alias("shard_bytes"), tiers.alias("tier"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

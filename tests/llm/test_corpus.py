@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import bpe, jaccard, lm, packing, quality, shards, toxicity
+from plumbline.llm import bpe, jaccard, lm, packing, quality, toxicity
 from plumbline.llm.hashing import shingle_sets, word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -263,26 +263,3 @@ def test_bpe_exact_merging_both_ways():
     assert coder.merged_many(raw) == [coder.merged(w) for w in raw]
     coder.words(some)
     assert [coder.word_ids[w] for w in some] == [__import__("numpy").array(coder.merged(w), "<u4").tobytes() for w in raw]
-
-
-def test_sharding(spark, sf, tmp_path, none):
-    df = spark.read.parquet(f"{sf}/documents.parquet")
-    table = shards.ShardedTable(spark, str(tmp_path / "t"), target=1 << 20, smallest=1 << 12, runs=3)
-    for k in range(5):
-        table.append(df.where(F.col("doc_id") % 5 == k), rows=20)
-    before, first = len(table.manifest()), table.version()
-    table.compact()
-    assert len(table.manifest()) < before and table.version() > first
-    assert table.read().exceptAll(df).count() == 0 and df.exceptAll(table.read()).count() == 0
-    assert table.read(first).count() == df.count()  # versions before are still there
-    assert sum(s.rows for s in table.manifest()) == df.count()
-    with pytest.raises(RuntimeError):
-        table.commit([], table.version() - 1)
-    table.vacuum(keep=1)
-    assert table.read().count() == df.count()
-    again = table.version()
-    assert table.compact() == again
-    empty = shards.ShardedTable(spark, str(tmp_path / "e"))
-    empty.append(none)
-    empty.compact()
-    assert sum(s.rows for s in empty.manifest()) == 0
