@@ -1,7 +1,8 @@
 """COCO detection metrics: average precision over IoU thresholds, by area and by label, and average recall.
 
-Truth: (image_id, obj_id, label, xmin..ymax); detections: (image_id, det_id, label, score, xmin..ymax). Matching is per image
-and label, in numpy inside tasks over partitions sorted by image and label; accumulation is by DataFrame windows.
+Truth: (image_id, obj_id, label, xmin..ymax); detections: (image_id, det_id, label, score, xmin..ymax). A setting is an area range
+with a threshold. What a detection is in each of the settings is kept as two bit masks (true positive; counted at all), so a
+detection stays one row until precision is taken at the true positives.
 """
 
 from __future__ import annotations
@@ -10,121 +11,151 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import box_area, box_iou
+from plumbline.operators.lineage import checkpointed
+
 THRESHOLDS = [0.5 + 0.05 * i for i in range(10)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+#: Detections of an image and label that count.
 MOST = 100
 _BOX = ["xmin", "ymin", "xmax", "ymax"]
+_T, _A = len(THRESHOLDS), len(AREAS)
+_EVERY = (1 << _T) - 1
 
 
-def _ious(d: np.ndarray, g: np.ndarray) -> np.ndarray:
-    w = np.minimum(d[:, None, 2], g[None, :, 2]) - np.maximum(d[:, None, 0], g[None, :, 0])
-    h = np.minimum(d[:, None, 3], g[None, :, 3]) - np.maximum(d[:, None, 1], g[None, :, 1])
-    inter = np.maximum(w, 0) * np.maximum(h, 0)
-    size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-    union = size(d)[:, None] + size(g)[None, :] - inter
-    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
-
+def _inside(area: Column, name: str) -> Column:
+    return area.between(*AREAS[name])
 
-def match(d: np.ndarray, g: np.ndarray, low: float, high: float, thresholds: list[float]) -> tuple[np.ndarray, np.ndarray, int]:
-    """tp and ignored flags [threshold, detection] and the number of ground truths that count, for one image, label and area.
 
-    d and g are boxes, d by falling score. Ground truths outside the area are ignored, and tried after the others; a detection
-    takes the free one with the highest IoU (the later of equals) and does not leave one that counts for an ignored one.
-    Detections that match an ignored one, or match none and lie outside the area, are ignored.
-    """
-    area = (g[:, 2] - g[:, 0]) * (g[:, 3] - g[:, 1])
-    skip = (area < low) | (area > high)
-    order = np.argsort(skip, kind="stable")
-    skip, iou = skip[order], _ious(d, g)[:, order]
-    out = (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
-    outside = (out < low) | (out > high)
-    tp, ignored = np.zeros((len(thresholds), len(d)), bool), np.zeros((len(thresholds), len(d)), bool)
-    for k, t in enumerate(thresholds):
-        used = np.zeros(len(skip), bool)
-        for i in range(len(d)):
-            best, at = min(t, 1 - 1e-10), -1
-            for j in range(len(skip)):
-                if used[j]:
-                    continue
-                if at >= 0 and not skip[at] and skip[j]:
-                    break
-                if iou[i, j] >= best:
-                    best, at = iou[i, j], j
-            if at >= 0:
-                used[at] = True
-                tp[k, i], ignored[k, i] = not skip[at], skip[at]
-            else:
-                ignored[k, i] = outside[i]
-    return tp, ignored, int((~skip).sum())
-
-
-def matches(truth: DataFrame, detections: DataFrame, score_min: float = 0.05, thresholds: list[float] | None = None, areas: list[str] | None = None) -> DataFrame:
-    """(label, area, t, score, image_id, det_id, tp, truths): one row for each detection that is not ignored, and one without a
-    score (t -1) with the number of ground truths, per image and label."""
-    thresholds, areas = thresholds or THRESHOLDS, areas or list(AREAS)
+def candidates(truth: DataFrame, detections: DataFrame, score_min: float) -> DataFrame:
+    """(image_id, label, det_id, score, area, cands): the detections of images and labels with ground truth, the first MOST of an
+    image and label by score, each with the ground truths (iou, obj_id, area) that it overlaps by the lowest threshold or more."""
     images, labels = truth.select("image_id").distinct(), truth.select("label").distinct()
     d = detections.where(F.col("score") >= score_min).join(images, "image_id", "left_semi").join(labels, "label", "left_semi")
     d = d.withColumn("r", F.row_number().over(W.partitionBy("image_id", "label").orderBy(F.desc("score"), "det_id"))).where(F.col("r") <= MOST)
-    rows = truth.select("image_id", "label", F.lit(None).cast("double").alias("score"), F.col("obj_id").cast("long").alias("id"), *_BOX).union(d.select("image_id", "label", "score", F.col("det_id").cast("long").alias("id"), *_BOX))
-    rows = rows.repartition("image_id", "label").sortWithinPartitions("image_id", "label", F.desc_nulls_first("score"), "id")
+    d = d.select("image_id", "label", "det_id", "score", box_area(*_BOX).alias("area"), *_BOX)
+    g = truth.select("image_id", "label", F.col("obj_id").cast("long").alias("obj_id"), box_area(*_BOX).alias("g_area"), *(F.col(c).alias(f"g_{c}") for c in _BOX))
+    iou = box_iou(_BOX, [f"g_{c}" for c in _BOX])
+    pairs = d.join(g, ["image_id", "label"], "left").withColumn("iou", iou)
+    cand = F.when(F.col("iou") >= THRESHOLDS[0], F.struct("iou", "obj_id", "g_area"))
+    return pairs.groupBy("image_id", "label", "det_id", "score", "area").agg(F.collect_list(cand).alias("cands"))
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """Masks of detections with at most one candidate, for which no other detection competes: plain arithmetic on columns."""
+    best = F.get("cands", F.lit(0))
+    passed = sum((F.coalesce(best["iou"] >= t, F.lit(False)).cast("int") for t in THRESHOLDS), F.lit(0))
+    met = F.element_at(F.array(*(F.lit((1 << k) - 1) for k in range(_T + 1))), passed + 1)
+    tp, counted = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i, a in enumerate(AREAS):
+        hit = F.when(F.coalesce(_inside(best["g_area"], a), F.lit(False)), met).otherwise(0)
+        free = F.when(_inside(F.col("area"), a), F.lit(_EVERY) - met).otherwise(0)
+        tp = tp + hit.cast("long") * F.lit(1 << (_T * i))
+        counted = counted + (hit + free).cast("long") * F.lit(1 << (_T * i))
+    return rows.select("label", "score", "image_id", "det_id", tp.alias("tp"), counted.alias("counted"))
+
+
+def _competing(groups: DataFrame) -> DataFrame:
+    """Masks of detections that compete: groups (image_id, label, dets by falling score), one fold for each setting.
+
+    A detection takes, of the free ground truths that it overlaps enough, one that counts in the area before one that doesn't,
+    then the one with the largest overlap, then the later one. What takes one that doesn't count, or takes none and lies outside
+    the area itself, is not counted.
+    """
+    limits = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in AREAS.values() for t in THRESHOLDS))
+
+    def step(s: Column, d: Column, setting: Column) -> Column:
+        free = F.filter(d["cands"], lambda x: (x["iou"] >= setting["t"]) & ~F.array_contains(s["used"], x["obj_id"]))
+        best = F.array_max(F.transform(free, lambda x: F.struct(x["g_area"].between(setting["lo"], setting["hi"]).alias("inside"), x["iou"].alias("iou"), x["obj_id"].alias("obj_id"))))
+        is_tp = F.coalesce(best["inside"], F.lit(False))
+        counted = F.coalesce(best["inside"], d["area"].between(setting["lo"], setting["hi"]))
+        used = F.when(best.isNull(), s["used"]).otherwise(F.concat(s["used"], F.array(best["obj_id"])))
+        return F.struct(used.alias("used"), F.concat(s["out"], F.array(F.struct(is_tp.alias("tp"), counted.alias("counted")))).alias("out"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<tp:boolean,counted:boolean>>").alias("out"))
+    done = groups.withColumn("m", F.transform(limits, lambda setting: F.aggregate("dets", start, lambda s, d: step(s, d, setting))["out"]))
+    each = done.select("image_id", "label", "m", F.posexplode("dets").alias("i", "d"))
+    bits = F.array(*(F.lit(1 << c) for c in range(_T * _A)))
+    mask = lambda what: F.aggregate(F.zip_with("m", bits, lambda row, b: F.when(F.get(row, F.col("i"))[what], b).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return each.select("label", (-F.col("d.minus")).alias("score"), "image_id", "d.det_id", mask("tp").alias("tp"), mask("counted").alias("counted"))
+
+
+def matches(truth: DataFrame, detections: DataFrame, score_min: float = 0.05) -> DataFrame:
+    """(label, score, image_id, det_id, tp, counted): a detection and its masks; bit area * 10 + threshold."""
+    rows = candidates(truth, detections, score_min)
+    # an image's and label's detections compete if one has two candidates or two have the same
+    of = W.partitionBy("image_id", "label")
+    objects = F.flatten(F.collect_list(F.transform("cands", lambda x: x["obj_id"])).over(of))
+    rows = rows.withColumn("competing", (F.max(F.size("cands")).over(of) > 1) | (F.size(F.array_distinct(objects)) < F.size(objects)))
+    det = F.struct((-F.col("score")).alias("minus"), "det_id", "area", "cands")
+    groups = rows.where("competing").groupBy("image_id", "label").agg(F.array_sort(F.collect_list(det)).alias("dets"))
+    return _alone(rows.where(~F.col("competing"))).unionByName(_competing(groups))
+
+
+def _true_positives(ranked: DataFrame) -> DataFrame:
+    """(label, part, setting, k, n): of each stretch ``part`` of a label's detections in order, the true positives with how many of the
+    stretch are true positives (k) and counted (n) up to there; and once for each stretch and setting, as k = 0 - total, n = total."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            f = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = (f.image_id != f.image_id.iloc[-1]) | (f.label != f.label.iloc[-1])
-            cut = int(np.flatnonzero(last.to_numpy())[-1]) + 1 if last.any() else 0
-            held = f.iloc[cut:]
-            if cut:
-                yield _matched(f.iloc[:cut], thresholds, areas)
-        if held is not None and len(held):
-            yield _matched(held, thresholds, areas)
-
-    return rows.mapInPandas(run, f"label {truth.schema['label'].dataType.simpleString()}, area string, t int, score double, image_id string, det_id long, tp int, truths int")
-
-
-def _matched(f: pd.DataFrame, thresholds: list[float], areas: list[str]) -> pd.DataFrame:
-    box, score, ids = f[_BOX].to_numpy(float), f.score.to_numpy(), f.id.to_numpy()
-    image, label = f.image_id.to_numpy(), f.label.to_numpy()
-    new = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (label[1:] != label[:-1])]))
-    out: list[tuple] = []
-    for s, e in zip(new, [*new[1:], len(f)], strict=True):
-        is_truth = np.isnan(score[s:e])
-        g, d, sc, di = box[s:e][is_truth], box[s:e][~is_truth], score[s:e][~is_truth], ids[s:e][~is_truth]
-        for a in areas:
-            tp, ignored, n = match(d, g, *AREAS[a], thresholds)
-            out.append((label[s], a, -1, None, image[s], -1, 0, n))
-            for k, i in zip(*np.nonzero(~ignored), strict=True):
-                out.append((label[s], a, int(k), float(sc[i]), image[s], int(di[i]), int(tp[k, i]), 0))
-    return pd.DataFrame(out, columns=["label", "area", "t", "score", "image_id", "det_id", "tp", "truths"])
-
-
-def precision_table(found: DataFrame) -> DataFrame:
+        shift = np.arange(_T * _A)
+        label = part = None
+        sums = np.zeros((2, _T * _A), np.int64)
+
+        def total() -> pd.DataFrame:
+            return pd.DataFrame({"label": label, "part": part, "setting": shift, "k": -sums[0], "n": sums[1]})
+
+        for f in frames:
+            at = np.flatnonzero(f.label.ne(f.label.shift()).to_numpy())
+            for s, e in zip(at, [*at[1:], len(f)], strict=True):
+                own = f.iloc[s:e]
+                if label is not None and own.label.iloc[0] != label:
+                    yield total()
+                    sums = np.zeros((2, _T * _A), np.int64)
+                label, part = own.label.iloc[0], own.part.iloc[0]
+                tp, counted = ((own[c].to_numpy()[:, None] >> shift) & 1 for c in ("tp", "counted"))
+                k, n = np.cumsum(tp, axis=0) + sums[0], np.cumsum(counted, axis=0) + sums[1]
+                i, c = np.nonzero(tp)
+                sums = np.stack([k[-1], n[-1]])
+                yield pd.DataFrame({"label": label, "part": part, "setting": c, "k": k[i, c], "n": n[i, c]})
+        if label is not None:
+            yield total()
+
+    return ranked.select("label", "part", "tp", "counted").mapInPandas(run, f"label {ranked.schema['label'].dataType.simpleString()}, part int, setting int, k long, n long")
+
+
+def precision_table(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(label, area, t, ap, recall) for labels with ground truth in the area; t is the threshold's place.
 
     By falling score, recall after the k-th true positive is k / truths. The precision at a recall point is the largest at or
     after the first rank that reaches it, so each true positive stands for the points p / 100 in ((k - 1) / truths, k / truths].
+    A label's detections are ranked in stretches of bounded size: the stretches' sums are totalled first, so no task ranks a whole label.
     """
-    truths = found.where("t < 0").groupBy("label", "area").agg(F.sum("truths").alias("truths")).where("truths > 0")
-    grid = truths.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))))
-    rank = W.partitionBy("label", "area", "t").orderBy(F.desc("score"), "image_id", "det_id")
-    ranked = found.where("t >= 0").select("label", "area", "t", "score", "image_id", "det_id", "tp", F.row_number().over(rank).alias("n"), F.sum("tp").over(rank.rowsBetween(W.unboundedPreceding, 0)).alias("k"))
-    hits = ranked.where("tp = 1").join(truths, ["label", "area"])
-    after = W.partitionBy("label", "area", "t").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
-    hits = hits.withColumn("envelope", F.max(F.col("k") / F.col("n")).over(after))
+    own = truth.select("label", box_area(*_BOX).alias("area"), F.explode(F.array(*(F.struct(F.lit(a).alias("name"), F.lit(i).alias("i"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (a, (lo, hi)) in enumerate(AREAS.items())))).alias("a"))
+    truths = own.where(F.col("area").between(F.col("a.lo"), F.col("a.hi"))).groupBy("label", F.col("a.name").alias("area"), F.col("a.i").alias("i")).agg(F.count("*").alias("truths"))
+    grid = truths.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(_T - 1)))).withColumn("setting", F.col("i") * _T + F.col("t"))
+    order = ["label", F.desc("score"), "image_id", "det_id"]
+    ranked = checkpointed(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    rows = checkpointed(_true_positives(ranked))
+    before = W.partitionBy("label", "setting").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = rows.where("k <= 0").select("label", "setting", "part", F.coalesce(F.sum(-F.col("k")).over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))  # a row a stretch and setting
+    hits = rows.where("k > 0").join(base, ["label", "setting", "part"]).select("label", "setting", "part", (F.col("k") + F.col("k0")).alias("k"), (F.col("n") + F.col("n0")).alias("n")).withColumn("p", F.col("k") / F.col("n"))
+    after = W.partitionBy("label", "setting").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    later = hits.groupBy("label", "setting", "part").agg(F.max("p").alias("p")).select("label", "setting", "part", F.max("p").over(after).alias("later"))
+    inside = W.partitionBy("label", "setting", "part").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
+    hits = hits.join(later, ["label", "setting", "part"]).join(grid, ["label", "setting"]).withColumn("envelope", F.greatest(F.max("p").over(inside), "later"))
     exact = lambda k: F.expr(f"(100 * {k}) div truths")
     hits = hits.withColumn("points", exact("k") - exact("(k - 1)") + F.when(F.col("k") == 1, 1).otherwise(0))
-    sums = hits.groupBy("label", "area", "t").agg((F.sum(F.col("envelope") * F.col("points")) / 101).alias("ap"), F.max(F.col("k") / F.col("truths")).alias("recall"))
-    return grid.join(sums, ["label", "area", "t"], "left").select("label", "area", "t", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    sums = hits.groupBy("label", "setting").agg((F.sum(F.col("envelope") * F.col("points")) / 101).alias("ap"), F.max(F.col("k") / F.col("truths")).alias("recall"))
+    return grid.join(sums, ["label", "setting"], "left").select("label", "area", "t", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 def coco_map(truth: DataFrame, detections: DataFrame, score_min: float = 0.05) -> DataFrame:
     """(metric, value): map, ap50, ap75, small, medium, large and ar100 in percent, 4 decimals; -100 where nothing counts."""
-    table = precision_table(matches(truth, detections, score_min))
+    table = precision_table(truth, matches(truth, detections, score_min))
     mean = lambda cond, c="ap": F.coalesce(F.round(F.avg(F.when(F.expr(cond), F.col(c))) * 100, 4), F.lit(-100.0))
     row = table.agg(
         mean("area = 'all'").alias("map"), mean("area = 'all' and t = 0").alias("ap50"), mean("area = 'all' and t = 5").alias("ap75"),
@@ -135,7 +166,7 @@ def coco_map(truth: DataFrame, detections: DataFrame, score_min: float = 0.05) -
 
 def per_class_ap(truth: DataFrame, detections: DataFrame, labels: DataFrame, score_min: float = 0.05) -> DataFrame:
     """(label, ap, ap50, ap75) in percent of every label of the dimension; -100 for labels without ground truth."""
-    table = precision_table(matches(truth, detections, score_min, areas=["all"]))
+    table = precision_table(truth, matches(truth, detections, score_min)).where("area = 'all'")
     mean = lambda cond: F.round(F.avg(F.when(F.expr(cond), F.col("ap"))) * 100, 4)
     rows = table.groupBy("label").agg(mean("true").alias("ap"), mean("t = 0").alias("ap50"), mean("t = 5").alias("ap75"))
     return labels.join(rows, "label", "left").fillna(-100.0, ["ap", "ap50", "ap75"])

@@ -176,13 +176,41 @@ def class_nms(spark, d):
     return X.class_nms(B.detections(B.boxes(spark, d)))
 
 
-@query()
+# What a detection takes, setting by setting: walks over an image's and label's detections in order of score; ``l`` lists what each could take, best first.
+_AP = f"""with recursive {B.DETECTIONS},
+setting as (select a, lo, hi, t, 0.5::double + 0.05::double * t as least from (values ('all', 0.0::double, 1e10::double), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 1e10)) v(a, lo, hi), range(0, 10) r(t)),
+gt as (select *, (xmax - xmin) * (ymax - ymin) as area from truth),
+nd as (select * from (select *, row_number() over (partition by image_id, label order by score desc, det_id) as r, greatest(0.0, xmax - xmin) * greatest(0.0, ymax - ymin) as area
+  from dets where score >= 0.05 and image_id in (select image_id from truth) and label in (select label from truth)) where r <= 100),
+p as (select gt.image_id, gt.label, obj_id, r, gt.area as g_area, gt.area + nd.area as s, greatest(0.0, least(gt.xmax, nd.xmax) - greatest(gt.xmin, nd.xmin)) * greatest(0.0, least(gt.ymax, nd.ymax) - greatest(gt.ymin, nd.ymin)) as i from gt join nd using (image_id, label)),
+c as (select image_id, label, obj_id, r, g_area, i / (s - i) as iou from p where s - i > 0 and i / (s - i) >= 0.5),
+cand as (select image_id, label, a, t, r, list({{'o': obj_id, 'inside': g_area between lo and hi}} order by (g_area between lo and hi) desc, iou desc, obj_id desc) as l from c join setting on iou >= least group by all),
+seq as (select *, row_number() over (partition by image_id, label, a, t order by r) as q from cand),
+walk as (select image_id, label, a, t, r, q, l[1:1] as pick, [l[1].o] as used from seq where q = 1
+  union all select s.image_id, s.label, s.a, s.t, s.r, s.q, ([x for x in s.l if not list_contains(w.used, x.o)])[1:1], list_concat(w.used, ([x.o for x in s.l if not list_contains(w.used, x.o)])[1:1])
+  from walk w join seq s on s.image_id = w.image_id and s.label = w.label and s.a = w.a and s.t = w.t and s.q = w.q + 1),
+judged as (select nd.image_id, nd.label, s.a, s.t, nd.score, nd.det_id, coalesce(len(pick), 0) > 0 as taken, coalesce(pick[1].inside, false) as tp, nd.area between lo and hi as inside
+  from nd cross join setting s left join walk w on w.image_id = nd.image_id and w.label = nd.label and w.a = s.a and w.t = s.t and w.r = nd.r),
+ranked as (select *, row_number() over w as n, sum(tp::int) over w as k from judged where tp or (not taken and inside) window w as (partition by label, a, t order by score desc, image_id, det_id rows unbounded preceding)),
+hits as (select label, a, t, k, max(k / n) over (partition by label, a, t order by k desc rows unbounded preceding) as envelope from ranked where tp),
+npig as (select label, a, t, count(*) as npig from gt join setting on area between lo and hi group by all),
+ap as (select label, a, t, sum(coalesce(envelope, 0.0)) / 101 as ap from (select label, a, t, greatest(1, (x * npig + 99) // 100) as k from npig, range(0, 101) r(x)) left join hits using (label, a, t, k) group by all),
+rec as (select label, a, t, max(k) / any_value(npig) as recall from hits join npig using (label, a, t) group by all),
+v as (select label, a, t, ap, coalesce(recall, 0.0) as recall from ap left join rec using (label, a, t))"""
+
+
+def _metric(name: str, cond: str, column: str = "ap") -> str:
+    return f"select '{name}' as metric, coalesce(round(avg({column}) filter (where {cond}) * 100, 4), -100.0) as value from v"
+
+
+@query(_AP + " union all ".join([" " + _metric("map", "a = 'all'"), _metric("ap50", "a = 'all' and t = 0"), _metric("ap75", "a = 'all' and t = 5"), *(_metric(a, f"a = '{a}'") for a in ("small", "medium", "large")), _metric("ar100", "a = 'all'", "recall")]))
 def coco_map(spark, d):
     b = B.boxes(spark, d)
     return coco.coco_map(B.truth(b), B.detections(b))
 
 
-@query()
+@query(_AP + """ select l.label, coalesce(round(avg(ap) * 100, 4), -100.0) as ap, coalesce(round(avg(ap) filter (where t = 0) * 100, 4), -100.0) as ap50, coalesce(round(avg(ap) filter (where t = 5) * 100, 4), -100.0) as ap75
+from (select distinct source_label as label from boxes) l left join v on v.label = l.label and a = 'all' group by l.label""")
 def per_class_ap(spark, d):
     b = B.boxes(spark, d)
     labels = b.select(F.col("source_label").alias("label")).distinct()
