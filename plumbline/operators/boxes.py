@@ -18,38 +18,82 @@ def with_reasons(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("filter_reasons", box_filter_reasons(*CORNERS, "width", "height")).withColumn("valid", F.size("filter_reasons") == 0)
 
 
-def annotation_clean(boxes: DataFrame) -> DataFrame:
-    """One row an image: raw objects in order with their reasons, the valid ones alone, counts, and an error if no box is valid
-    or the image's sizes disagree."""
-    raw = F.struct("obj_id", F.array(*CORNERS).alias("bbox"), "source_label", "valid", "filter_reasons")
-    out = with_reasons(boxes).groupBy("image_id").agg(
+def annotation_clean(boxes: DataFrame, label_map: DataFrame | None = None) -> DataFrame:
+    """One row an image: raw objects in order with their reasons, the valid ones alone, counts, and the first error that applies.
+
+    boxes may have a column ``doc``, the annotation document of a box: documents of an image with equal content count once
+    (n_docs, n_duplicate_docs), and objects are numbered anew over those that stay. A box whose coordinates are all null is an
+    object without a box. With a label map (source_label, detector_label, public_id) objects carry its labels. Errors:
+    no_size, non_positive_size, incomplete_object (no label or no box), unmapped_label, inconsistent_size, no_valid_box.
+    """
+    b = boxes if "doc" in boxes.columns else boxes.withColumn("doc", F.lit(0))
+    content = F.struct("obj_id", "source_label", "width", "height", *CORNERS)
+    docs = b.groupBy("image_id", "doc").agg(F.array_sort(F.collect_list(content)).alias("content"))
+    kept = docs.groupBy("image_id", "content").agg(F.min("doc").alias("doc"), F.count("*").alias("times"))
+    counts = kept.groupBy("image_id").agg(F.count("*").alias("n_docs"), F.sum(F.col("times") - 1).alias("n_duplicate_docs"))
+    rows = kept.select("image_id", "doc", F.inline("content"))
+    rows = with_reasons(rows).withColumn("incomplete", F.col("source_label").isNull() | (F.coalesce(*CORNERS).isNull()))
+    names = ["detector_label", "public_id"] if label_map is not None else []
+    if label_map is not None:
+        rows = rows.join(label_map.select("source_label", *names), "source_label", "left")
+    unmapped = F.coalesce(F.bool_or(F.col("source_label").isNotNull() & F.col(names[0]).isNull()), F.lit(False)) if names else F.lit(False)
+    raw = F.struct("doc", "obj_id", F.array(*CORNERS).alias("bbox"), "source_label", *names, "valid", "filter_reasons")
+    out = rows.groupBy("image_id").agg(
         F.min("width").alias("width"), F.min("height").alias("height"),
-        F.countDistinct("width", "height").alias("sizes"),
-        F.array_sort(F.collect_list(raw)).alias("raw_objects"),
+        F.countDistinct("width", "height").alias("sizes"), F.bool_or(F.col("width").isNull() | F.col("height").isNull()).alias("no_size"),
+        F.bool_or("incomplete").alias("incomplete"), unmapped.alias("unmapped"),
+        F.array_sort(F.collect_list(raw)).alias("raw"),
     )
-    good = F.filter("raw_objects", lambda o: o["valid"])
-    out = out.withColumn("objects", F.transform(good, lambda o: F.struct(o["obj_id"].alias("obj_id"), o["bbox"].alias("bbox"), o["source_label"].alias("source_label"))))
+    pick = lambda o, i, cs: F.struct(i.cast("int").alias("obj_id"), *(o[c].alias(c) for c in cs))
+    every = ["bbox", "source_label", *names]
+    out = out.withColumn("raw_objects", F.transform("raw", lambda o, i: pick(o, i, [*every, "valid", "filter_reasons"])))
+    out = out.withColumn("objects", F.transform(F.filter("raw_objects", lambda o: o["valid"]), lambda o: pick(o, o["obj_id"], every)))
     size_error = (F.col("width") <= 0) | (F.col("height") <= 0)
-    return out.withColumn("error", F.when(F.col("sizes") > 1, "inconsistent_size").when(size_error, "non_positive_size").when(F.size("objects") == 0, "no_valid_box").otherwise(""))
+    error = F.when(F.col("no_size"), "no_size").when(size_error, "non_positive_size").when(F.col("incomplete"), "incomplete_object").when(F.col("unmapped"), "unmapped_label")
+    error = error.when(F.col("sizes") > 1, "inconsistent_size").when(F.size("objects") == 0, "no_valid_box").otherwise("")
+    return out.withColumn("error", error).join(counts, "image_id").drop("raw", "no_size", "incomplete", "unmapped")
 
 
 def per_label_stats(boxes: DataFrame, label: str = "source_label") -> DataFrame:
     return boxes.groupBy(label).agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("boxes"))
 
 
-def label_space_audit(boxes: DataFrame, label: str = "source_label") -> DataFrame:
+def label_space_audit(boxes: DataFrame, label_map: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """(subject, value, n, low, high): of each label space over valid boxes how many labels there are, the least and the largest (source,
+    and with a label map also detector and public); raw, valid and filtered boxes and images; with images (image_format, image_mode)
+    how many there are of each format and mode."""
     b = with_reasons(boxes)
-    return b.agg(
-        F.countDistinct(label).alias("labels"), F.min(label).alias("label_min"), F.max(label).alias("label_max"),
-        F.count("*").alias("raw_boxes"), F.count_if("valid").alias("valid_boxes"), F.count_if(~F.col("valid")).alias("filtered_boxes"), F.countDistinct("image_id").alias("images"),
-    )
-
-
-def exceptions_report(boxes: DataFrame, test_images: DataFrame) -> DataFrame:
-    """(kind, key, detail): filtered boxes with their reasons, and labels that the test images lack."""
+    spaces = {"source": "source_label"}
+    if label_map is not None:
+        b = b.join(label_map.select("source_label", "detector_label", "public_id"), "source_label", "left")
+        spaces |= {"detector": "detector_label", "public": "public_id"}
+    good = lambda c: F.when(F.col("valid"), F.col(c))
+    per = [x for s, c in spaces.items() for x in (F.countDistinct(good(c)).alias(f"n_{s}"), F.min(good(c)).cast("long").alias(f"low_{s}"), F.max(good(c)).cast("long").alias(f"high_{s}"))]
+    row = b.agg(*per, F.count("*").alias("raw"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("filtered"), F.countDistinct("image_id").alias("images"))
+    null = F.lit(None).cast("long")
+    one = lambda kind, value, n, low=null, high=null: F.struct(F.lit(kind).alias("subject"), F.lit(value).alias("value"), n.alias("n"), low.alias("low"), high.alias("high"))
+    rows = [one("labels", s, F.col(f"n_{s}"), F.col(f"low_{s}"), F.col(f"high_{s}")) for s in spaces] + [one("boxes", k, F.col(k)) for k in ("raw", "valid", "filtered")] + [one("images", "annotated", F.col("images"))]
+    out = row.select(F.inline(F.array(*rows)))
+    for kind in ("image_format", "image_mode") if images is not None else ():
+        out = out.union(images.groupBy(F.lit(kind).alias("subject"), F.col(kind).alias("value")).agg(F.count("*").alias("n")).select("*", null.alias("low"), null.alias("high")))
+    return out
+
+
+def exceptions_report(boxes: DataFrame, test_images: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(kind, key, detail): duplicated documents (boxes with a column ``doc``) with how many are ignored, filtered boxes with their
+    reasons, labels that the test images lack, and images (image_id) that no annotation names."""
+    if "doc" in boxes.columns:
+        clean = annotation_clean(boxes)
+        duplicated = clean.where("n_duplicate_docs > 0").select(F.lit("duplicated_document").alias("kind"), F.col("image_id").cast("string").alias("key"), F.col("n_duplicate_docs").cast("string").alias("detail"))
+        again = clean.select("image_id", F.col("width"), F.col("height"), F.inline("raw_objects")).select("image_id", "width", "height", "obj_id", "source_label", *(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(CORNERS)))
+        return duplicated.union(exceptions_report(again, test_images, images))
     filtered = with_reasons(boxes).where(~F.col("valid")).select(F.lit("filtered_box").alias("kind"), F.concat_ws("/", "image_id", "obj_id").alias("key"), F.array_join("filter_reasons", ",").alias("detail"))
     gap = label_gap(boxes, test_images).select(F.lit("label_missing_in_test").alias("kind"), F.col("source_label").cast("string").alias("key"), F.lit("").alias("detail"))
-    return filtered.union(gap)
+    out = filtered.union(gap)
+    if images is not None:
+        extra = images.join(boxes.select("image_id").distinct(), "image_id", "left_anti").select(F.lit("extra_file").alias("kind"), F.col("image_id").cast("string").alias("key"), F.lit("").alias("detail"))
+        out = out.union(extra)
+    return out
 
 
 def label_gap(boxes: DataFrame, test_images: DataFrame) -> DataFrame:

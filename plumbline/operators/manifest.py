@@ -47,7 +47,8 @@ def group_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.
     """(group_id, home, size, split): no group is in two splits, every class is in its required ones, each near its ratio.
 
     A group's home is its class with the fewest groups. Within a home the smallest groups are reserved for the required splits;
-    the others follow in random order, each going where the middle of its rows falls in the remaining quotas.
+    the others follow in random order, each going where the middle of its rows falls in the remaining quotas. Then, while a class
+    lacks one of its splits, groups move there that leave all their classes covered; what ten rounds can't mend is an error.
     """
     counts = groups.groupBy("class_id").agg(F.count("*").alias("k"))
     home = groups.join(counts, "class_id").groupBy("group_id").agg(F.min(F.struct("k", "class_id")).alias("h"), F.first("size").alias("size"), F.first("tie_break").alias("tie_break"))
@@ -62,7 +63,33 @@ def group_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.
     middle = F.col("upto") - F.col("size") / 2
     quota = [F.greatest(F.lit(0.0), F.lit(ratios[i]) * F.col("total") - F.col(f"r_{s}")) for i, s in enumerate(SPLITS)]
     placed = rest.withColumn("split", F.when(middle <= quota[0], "train").when(middle <= quota[0] + quota[1], "val").otherwise("test"))
-    return placed.select("group_id", "home", "size", "split").union(all_.where("reserved is not null").select("group_id", "home", "size", F.col("reserved").alias("split")))
+    out = checkpointed(placed.select("group_id", "home", "size", "split").union(all_.where("reserved is not null").select("group_id", "home", "size", F.col("reserved").alias("split"))))
+    for _ in range(10):
+        gaps = checkpointed(missing_coverage(groups, out))
+        if gaps.isEmpty():
+            return out
+        out = checkpointed(_covered(groups, out, gaps))
+    left = missing_coverage(groups, out).take(3)
+    if left:
+        raise ValueError("no group can be moved to " + ", ".join(f"{r.split} of class {r.class_id}" for r in left))
+    return out
+
+
+def _covered(groups: DataFrame, split: DataFrame, gaps: DataFrame) -> DataFrame:
+    """split after one round of moves: for each missing (class, split) its smallest group that leaves no class without a split it needs.
+    Of the groups that would leave the same split of a class, one moves."""
+    member = groups.select("group_id", "class_id", "tie_break").join(split, "group_id")
+    needed = required_splits(groups).select("class_id", F.explode(F.split("required", ",")).alias("split"), F.lit(True).alias("needed"))
+    held = member.groupBy("class_id", "split").agg(F.count("*").alias("k")).join(needed, ["class_id", "split"], "left")
+    member = member.join(held, ["class_id", "split"])
+    free = member.groupBy("group_id").agg(F.bool_and(F.col("needed").isNull() | (F.col("k") > 1)).alias("free")).where("free").select("group_id")
+    wanted = member.join(free, "group_id").join(gaps.withColumnRenamed("split", "to"), "class_id").where("split <> to")
+    best = wanted.groupBy("class_id", "to").agg(F.min(F.struct("size", "tie_break", "group_id")).alias("b"))
+    moves = best.groupBy(F.col("b.group_id").alias("group_id")).agg(F.min("to").alias("to"), F.min("b.tie_break").alias("tie"))
+    first = W.partitionBy("class_id", "split").orderBy("tie", "group_id")
+    sole = member.join(moves, "group_id").withColumn("turn", F.row_number().over(first)).groupBy("group_id").agg(F.max("turn").alias("turn")).where("turn = 1")  # at most a move a missing pair
+    moves = moves.join(sole, "group_id").select("group_id", "to")
+    return split.join(moves, "group_id", "left").withColumn("split", F.coalesce("to", "split")).drop("to")
 
 
 def missing_coverage(groups: DataFrame, split: DataFrame) -> DataFrame:
@@ -130,10 +157,16 @@ def enrich_samples(manifest: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return manifest.join(taxonomy, "class_id")
 
 
-def taxonomy_rollup(taxonomy: DataFrame) -> DataFrame:
-    """(dimension, value, class_count, image_count) per host, category and host group, in one pass of grouping sets."""
+def taxonomy_rollup(taxonomy: DataFrame, declared: DataFrame) -> DataFrame:
+    """(dimension, ordinal, value, class_count, image_count) of every declared host, category and host group, 0 where no class has it.
+
+    declared: (dimension, ordinal, value), the values in the order in which they are declared. Each class is three rows of one
+    aggregation, its host's, its category's and its host group's.
+    """
     t = taxonomy.select(F.expr("stack(3, 'host', cast(host_id as string), 'category', cast(category as string), 'host_group', cast(host_group as string)) as (dimension, value)"), "image_count")
-    return t.groupBy("dimension", "value").agg(F.count("*").alias("class_count"), F.sum("image_count").alias("image_count"))
+    sums = t.groupBy("dimension", "value").agg(F.count("*").alias("class_count"), F.sum("image_count").alias("image_count"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return declared.join(sums, ["dimension", "value"], "left").select("dimension", "ordinal", "value", zero("class_count"), zero("image_count"))
 
 
 def class_weights(counts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -170,16 +203,23 @@ def seeded_order(df: DataFrame, seed: int, key: str, n: int | None = None) -> Da
     return d if n is None else d.limit(n)
 
 
-def split_invariants(a: DataFrame, b: DataFrame, official: DataFrame) -> DataFrame:
-    """(invariant, violations) of two id sets that should be disjoint and make up the official set."""
+def split_invariants(a: DataFrame, b: DataFrame, official: DataFrame, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(invariant, violations) of two id sets that should be disjoint, not empty, and make up the official set; with ``lists``, two
+    DataFrames (formal_index, image_id), also how many places of the two lists differ (order)."""
     side = lambda df, a, b, o: df.select(F.col(df.columns[0]).alias("id"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(o).alias("o"))
     each = side(a, 1, 0, 0).union(side(b, 0, 1, 0)).union(side(official, 0, 0, 1)).groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("o").alias("o"))
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     row = each.agg(
         n(((F.col("a") > 0) & (F.col("b") > 0)).cast("int")).alias("disjoint"),
         n(F.greatest(F.col("o") - F.col("a") - F.col("b"), F.lit(0))).alias("missing"), n(F.greatest(F.col("a") + F.col("b") - F.col("o"), F.lit(0))).alias("unexpected"),
+        ((n("a") == 0).cast("long") + (n("b") == 0).cast("long")).alias("empty"),
     )
-    return row.select(F.expr("stack(3, 'disjoint', disjoint, 'missing', missing, 'unexpected', unexpected) as (invariant, violations)"))
+    out = row.select(F.expr("stack(4, 'disjoint', disjoint, 'missing', missing, 'unexpected', unexpected, 'empty', empty) as (invariant, violations)"))
+    if lists:
+        one, other = (x.select("formal_index", F.col("image_id").alias(c)) for x, c in zip(lists, ("one", "other"), strict=True))
+        places = one.join(other, "formal_index", "full_outer").agg(F.lit("order").alias("invariant"), F.count_if(~F.col("one").eqNullSafe(F.col("other"))).alias("violations"))
+        out = out.union(places)
+    return out
 
 
 def violations(checks: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import stable_tie_break
 from plumbline.operators.lineage import checkpointed
+from plumbline.operators.prefix import ranked
 
 
 def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 8) -> DataFrame:
@@ -17,7 +17,8 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
     image stands for its rarest label that still lacks some; of each label's, those that help most are taken, so many that the
     other labels of the same images are not overfilled, and only if none of their labels would lose its last training image
     (counted over all that stand, hence on the safe side). The rest fills the exact size with images whose labels are furthest
-    below their share, under the same guard; labels of one image never block it.
+    below their share, under the same guard; labels of one image never block it. All ranks are two-level, so neither the table
+    nor a frequent label is one task's.
     """
     own = labels.select("image_id", "label").distinct()
     n = own.select("image_id").distinct().count()
@@ -26,31 +27,34 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
     support = own.groupBy("label").agg(F.count("*").alias("s"))
     want = F.least(F.greatest(F.bround(F.col("s") * ratio), F.when(F.col("s") >= 2, 1).otherwise(0)), F.col("s") - 1).cast("long")
     own = checkpointed(own.join(support.withColumn("want", want), "label").withColumn("tie", stable_tie_break(seed, "image_id")))
-    chosen = checkpointed(own.select("image_id").limit(0))
-    for k in range(rounds):
-        have = own.join(chosen, "image_id", "left_semi").groupBy("label").agg(F.count("*").alias("got"))
-        state = own.join(have, "label", "left").withColumn("got", F.coalesce("got", F.lit(0))).withColumn("lack", F.col("want") - F.col("got"))
-        free = state.join(chosen, "image_id", "left_anti")
-        rarest = free.where("lack > 0").groupBy("image_id").agg(F.min(F.struct("s", "label")).alias("r"), F.first("tie").alias("tie"), F.sum(F.col("lack") / F.col("s")).alias("need"))
-        rarest = rarest.select("image_id", F.col("r.label").alias("label"), "tie", "need").join(have, "label", "left").join(support, "label").withColumn("got", F.coalesce("got", F.lit(0)))
-        lack = F.least(F.greatest(F.bround(F.col("s") * ratio), F.when(F.col("s") >= 2, 1).otherwise(0)), F.col("s") - 1) - F.col("got")
-        stands = rarest.withColumn("at", F.row_number().over(W.partitionBy("label").orderBy(F.desc("need"), "tie"))).where(F.col("at") <= F.ceil(lack / (2 * width))).select("image_id", "tie")
-        taken = _guarded(free, stands).join(stands, "image_id")
-        room = target - chosen.count()
-        new = taken.orderBy("tie").limit(max(0, min(room, -(-target // 2)))).select("image_id")
-        chosen, before = checkpointed(chosen.union(new)), chosen
-        if chosen.count() == before.count():
+    chosen, have = checkpointed(own.select("image_id").limit(0)), 0
+
+    def state() -> DataFrame:
+        """The rows of images that are not chosen, with how many images of their label are."""
+        got = own.join(chosen, "image_id", "left_semi").groupBy("label").agg(F.count("*").alias("got"))
+        return own.join(got, "label", "left").withColumn("got", F.coalesce("got", F.lit(0))).join(chosen, "image_id", "left_anti")
+
+    for _ in range(rounds):
+        free = checkpointed(state().withColumn("lack", F.col("want") - F.col("got")))
+        short = free.where("lack > 0")
+        rarest = short.groupBy("image_id").agg(F.min(F.struct("s", "label", "lack")).alias("r"), F.first("tie").alias("tie"), (-F.sum(F.col("lack") / F.col("s"))).alias("need"))
+        stands = ranked(rarest.select("image_id", "r.label", "r.lack", "tie", "need"), ["label"], "need", "tie", "at").where(F.col("at") <= F.ceil(F.col("lack") / (2 * width))).select("image_id", "tie")
+        room = max(0, min(target - have, -(-target // 2)))
+        new = ranked(_guarded(free, stands).join(stands, "image_id"), [], None, "tie", "at").where(F.col("at") <= room).select("image_id")
+        chosen, before = checkpointed(chosen.union(new)), have
+        have = chosen.count()
+        if have == before:
             break
     for k in range(rounds):
-        room = target - chosen.count()
+        room = target - have
         if room <= 0:
             break
-        have = own.join(chosen, "image_id", "left_semi").groupBy("label").agg(F.count("*").alias("got"))
-        free = own.join(have, "label", "left").withColumn("got", F.coalesce("got", F.lit(0))).join(chosen, "image_id", "left_anti")
-        below = free.groupBy("image_id").agg(F.avg(F.col("got") + 1 - F.col("s") * ratio).alias("over"), F.first("tie").alias("tie")).orderBy("over", "tie").limit(-(-room // 2) if k + 1 < rounds else room)
-        new = _guarded(free, below).select("image_id")
-        chosen, before = checkpointed(chosen.union(new)), chosen
-        if chosen.count() == before.count():
+        free = checkpointed(state())
+        over = free.groupBy("image_id").agg(F.avg(F.col("got") + 1 - F.col("s") * ratio).alias("over"), F.first("tie").alias("tie"))
+        below = ranked(over, [], "over", "tie", "at").where(F.col("at") <= (-(-room // 2) if k + 1 < rounds else room)).select("image_id", "tie")
+        chosen, before = checkpointed(chosen.union(_guarded(free, below))), have
+        have = chosen.count()
+        if have == before:
             raise ValueError(f"{room} more images are wanted, but each would take a label's last training image")
     val = chosen.withColumn("side", F.lit("val"))
     return own.select("image_id").distinct().join(val, "image_id", "left").fillna("train", ["side"])
@@ -58,8 +62,5 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
 
 def _guarded(free: DataFrame, stands: DataFrame) -> DataFrame:
     """The standing images that leave each of their labels (of two or more images) one in training, counting all that stand."""
-    rows = free.join(stands.select("image_id"), "image_id", "left_semi")
-    rows = rows.withColumn("upto", F.col("got") + F.row_number().over(W.partitionBy("label").orderBy("tie")))
-    return rows.groupBy("image_id").agg(F.bool_and((F.col("s") < 2) | (F.col("upto") <= F.col("s") - 1)).alias("fine")).where("fine").select("image_id")
-
-
+    rows = ranked(free.join(stands.select("image_id"), "image_id", "left_semi"), ["label"], None, "tie", "at")
+    return rows.groupBy("image_id").agg(F.bool_and((F.col("s") < 2) | (F.col("got") + F.col("at") <= F.col("s") - 1)).alias("fine")).where("fine").select("image_id")

@@ -30,6 +30,49 @@ def batch_predict(rows: DataFrame, key: str, features: str, factory: Callable[[]
     return rows.select(key, features).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, top array<struct<class_id int, score double>>")
 
 
+def joint_predict(
+    rows: DataFrame, key: str, features: str, factory: Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]], taxonomy: DataFrame, k: int = 5, detections: DataFrame | None = None, batch: int = 1024
+) -> DataFrame:
+    """(key, top, host, category, detections): what a classifier with three heads and a detector say of each row, nested.
+
+    factory() loads a model that maps a feature matrix to scores of classes, hosts and categories. top: the k best classes
+    (class_id, name, host, category, probability); host and category: those of the best class, with the largest probability of
+    their own heads. taxonomy: (class_id, name, host, category), a dimension. detections: rows of ``key`` (det_id, label, class_id,
+    name, host, score, xmin..ymax), as boxes.postprocess and taxonomy.map_predictions give them, best first in the result.
+    """
+
+    def softmax(z: np.ndarray) -> np.ndarray:
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                p, host, category = (softmax(np.asarray(z, float)) for z in model(np.array(part[features].tolist(), float)))
+                best = np.argsort(-p, axis=1, kind="stable")[:, :k]
+                top = [[{"rank": r, "class_id": int(c), "probability": round(float(s[c]), 6)} for r, c in enumerate(b)] for b, s in zip(best, p, strict=True)]
+                yield pd.DataFrame({key: part[key], "top": top, "host_p": host.max(axis=1).round(6), "category_p": category.max(axis=1).round(6)})
+
+    kind = rows.schema[key].dataType.simpleString()
+    scored = rows.select(key, features).mapInPandas(run, f"{key} {kind}, top array<struct<rank int, class_id int, probability double>>, host_p double, category_p double")
+    named = scored.select(key, "host_p", "category_p", F.inline("top")).join(taxonomy.select("class_id", "name", "host", "category"), "class_id", "left")
+    entry = F.struct("rank", "class_id", "name", "host", "category", "probability")
+    out = named.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("t"), F.first("host_p").alias("host_p"), F.first("category_p").alias("category_p"))
+    first = F.get("t", F.lit(0))
+    out = out.select(
+        key, F.transform("t", lambda x: x.dropFields("rank")).alias("top"),
+        F.struct(first["host"].alias("host"), F.col("host_p").alias("probability")).alias("host"), F.struct(first["category"].alias("category"), F.col("category_p").alias("probability")).alias("category"),
+    )
+    box = F.struct((-F.col("score")).alias("minus"), "det_id", "label", "class_id", "name", "host", F.array("xmin", "ymin", "xmax", "ymax").alias("box"))
+    if detections is None:
+        return out.withColumn("detections", F.array().cast("array<struct<label:int,class_id:int,name:string,host:string,score:double,box:array<double>>>"))
+    lists = detections.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("d"))
+    shown = F.transform("d", lambda x: F.struct(x["label"].alias("label"), x["class_id"].alias("class_id"), x["name"].alias("name"), x["host"].alias("host"), (-x["minus"]).alias("score"), x["box"].alias("box")))
+    return out.join(lists, key, "left").withColumn("detections", F.coalesce(shown, F.array())).drop("d")
+
+
 def linear_probe(rows: DataFrame, features: str, target: str, weight: str | None = None, iterations: int = 30, penalty: float = 1e-3) -> DataFrame:
     """rows with logits (array) and pred of a linear head fitted on frozen vectors, optionally with row weights."""
     data = rows.withColumn("__x", array_to_vector(F.transform(features, lambda v: v.cast("double")))).withColumn("__y", F.col(target).cast("double"))

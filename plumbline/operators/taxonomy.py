@@ -18,17 +18,23 @@ def resolve_host(names: DataFrame, aliases: DataFrame, overrides: DataFrame) ->
     """(name, host, tier, status) of each name.
 
     Tiers: 0 an override; 1 "(alias)" or "(alias " inside the name; 2 the name is the alias or begins with it and a space or a
-    bracket; 3 the alias as a whole word. The first tier with a host decides: one host is ok, several are ambiguous; no tier at
-    all is unresolved. Full-width brackets count as plain ones. aliases: (alias, host), a small dimension.
+    bracket; 3 the alias is one of the name's words, where brackets are spaces too. The first tier with a host decides: one host
+    is ok, several are ambiguous; no tier at all is unresolved. Full-width brackets count as plain ones.
+
+    What of a name could be an alias is listed (beginnings up to a space or bracket, words), so aliases are found by equality.
     """
     plain = F.translate(F.lower("name"), "（）", "()")
     n = names.select("name").distinct().withColumn("plain", plain)
     a = aliases.select(F.lower("alias").alias("alias"), "host").distinct()
-    inside = F.contains("plain", F.concat(F.lit("("), F.col("alias"), F.lit(")"))) | F.contains("plain", F.concat(F.lit("("), F.col("alias"), F.lit(" ")))
-    begins = (F.col("plain") == F.col("alias")) | F.startswith("plain", F.concat("alias", F.lit(" "))) | F.startswith("plain", F.concat("alias", F.lit("(")))
-    word = F.contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
-    tier = F.when(inside, 1).when(begins, 2).when(word, 3)
-    found = n.join(F.broadcast(a), inside | begins | word).select("name", "host", tier.alias("tier"))  # a dimension of host names
+    # beginnings of t that end before one of ``stops`` or, if ``whole``, at its end
+    at = lambda t: F.filter(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: i <= F.length(t))
+    heads = lambda t, stops: F.transform(F.filter(at(t), lambda i: F.substr(t, i, F.lit(1)).isin(*stops)), lambda i: F.substr(t, F.lit(1), i - 1))
+    opened = F.slice(F.split("plain", r"\("), 2, 1_000)
+    in_brackets = F.flatten(F.transform(opened, lambda t: heads(t, [" ", ")"])))
+    begins = F.concat(heads(F.col("plain"), [" ", "("]), F.array("plain"))
+    tokens = F.split(F.trim(F.translate("plain", "()", "  ")), r"\s+")
+    tier = lambda k, c: F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(k).alias("tier"), x.alias("alias")))
+    found = n.select("name", F.inline(F.concat(tier(1, in_brackets), tier(2, begins), tier(3, tokens)))).join(a, "alias").select("name", "host", "tier")
     found = found.union(overrides.join(n.select("name"), "name", "left_semi").select("name", "host", F.lit(0).alias("tier")))
     best = found.groupBy("name").agg(F.min("tier").alias("tier"))
     hosts = found.join(best, ["name", "tier"]).groupBy("name", "tier").agg(F.countDistinct("host").alias("k"), F.min("host").alias("host"))

@@ -21,7 +21,7 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(F.broadcast(classes(spark, sf_dir).select("class_id", F.col("name").alias("source"))), "source")  # a row a class
+    docs = table(spark, sf_dir, "documents").join(classes(spark, sf_dir).select("class_id", F.col("name").alias("source")), "source")
     files = docs.select(F.col("doc_id").cast("string").alias("relative_path"), "class_id", "text", "n_chars")
     return M.audit_content(files, "text", bad="n_chars < 40", error="concat('only ', n_chars, ' characters')").drop("n_chars")
 
@@ -56,7 +56,7 @@ def scores(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """(sample_id, target, logits): inner products with the labels' mean vectors, rounded to 6 decimals."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("target"), F.posexplode("embedding").alias("i", "v"))
     mean = e.groupBy(F.col("target").alias("cls"), "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    each = e.join(F.broadcast(mean), "i").groupBy("vec_id", "target", "cls").agg(F.round(F.sum(F.col("v").cast("double") * F.col("m")), 6).alias("z"))  # k rows of a vector's length
+    each = e.join(mean, "i").groupBy("vec_id", "target", "cls").agg(F.round(F.sum(F.col("v").cast("double") * F.col("m")), 6).alias("z"))  # k rows of a vector's length
     return each.groupBy(F.col("vec_id").alias("sample_id"), "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "z"))), lambda s: s["z"]).alias("logits"))
 
 

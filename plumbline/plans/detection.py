@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalars as S
 from plumbline.operators import boxes as X
 from plumbline.operators import coco, multilabel
+from plumbline.operators import manifest as M
 from plumbline.operators import taxonomy as T
 from plumbline.plans import bindings as B
 
@@ -81,30 +82,62 @@ def per_label_stats(spark, d):
     return X.per_label_stats(B.boxes(spark, d))
 
 
-@query(f"""with {B.REASONS} select count(distinct source_label) as labels, min(source_label) as label_min, max(source_label) as label_max, count(*) as raw_boxes,
-  count(*) filter (where len(filter_reasons) = 0) as valid_boxes, count(*) filter (where len(filter_reasons) > 0) as filtered_boxes, count(distinct image_id) as images from reasons""")
+@query(f"""with {B.REASONS}, m as (select distinct cast(replace(p_brand, 'Brand#', '') as int) as source_label, (cast(replace(p_brand, 'Brand#', '') as int) * 7) % 23 as public_id from part),
+l as (select source_label, public_id, dense_rank() over (order by public_id) as detector_label from m), v as (select r.*, len(filter_reasons) = 0 as valid, public_id, detector_label from reasons r left join l using (source_label))
+select 'labels' as subject, 'source' as value, count(distinct source_label) as n, min(source_label)::bigint as low, max(source_label)::bigint as high from v where valid
+union all select 'labels', 'detector', count(distinct detector_label), min(detector_label), max(detector_label) from v where valid
+union all select 'labels', 'public', count(distinct public_id), min(public_id), max(public_id) from v where valid
+union all select 'boxes', 'raw', count(*), null, null from v union all select 'boxes', 'valid', count(*), null, null from v where valid union all select 'boxes', 'filtered', count(*), null, null from v where not valid
+union all select 'images', 'annotated', count(distinct image_id), null, null from v
+union all select 'image_format', case when o_orderstatus = 'P' then 'PNG' else 'JPEG' end, count(*), null, null from orders group by 2
+union all select 'image_mode', case when o_orderpriority = '5-LOW' then 'L' else 'RGB' end, count(*), null, null from orders group by 2""")
 def label_space_audit(spark, d):
-    return X.label_space_audit(B.boxes(spark, d))
+    brand = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int")
+    m = T.assign_detector_labels(B.table(spark, d, "part").select(brand.alias("source_label"), (brand * 7 % 23).alias("public_id")).distinct())
+    images = B.table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", "PNG").otherwise("JPEG").alias("image_format"), F.when(F.col("o_orderpriority") == "5-LOW", "L").otherwise("RGB").alias("image_mode"))
+    return X.label_space_audit(B.boxes(spark, d), m, images)
+
+
+def _documents(b):
+    """Boxes with the annotation document that they are of: images with a box whose pk is a multiple of nine have theirs twice."""
+    twice = b.where("pk % 9 = 0").select("image_id").distinct()
+    return b.withColumn("doc", F.lit(0)).union(b.join(twice, "image_id", "left_semi").withColumn("doc", F.lit(1)))
 
 
 @query(f"""with {B.REASONS} select image_id, count(*) as raw, count(*) filter (where len(filter_reasons) = 0) as valid, coalesce(string_agg(cast(obj_id as varchar), ',' order by obj_id) filter (where len(filter_reasons) = 0), '') as kept,
-  case when count(*) filter (where len(filter_reasons) = 0) = 0 then 'no_valid_box' else '' end as error from reasons group by 1""")
+  1 as n_docs, cast(max((pk % 9 = 0)::int) as bigint) as n_duplicate_docs, sum(case when len(filter_reasons) = 0 then source_label * 7 % 23 else 0 end)::bigint as public_sum,
+  case when bool_or(source_label % 10 = 4) then 'unmapped_label' when count(*) filter (where len(filter_reasons) = 0) = 0 then 'no_valid_box' else '' end as error from reasons group by 1""")
 def annotation_clean(spark, d):
-    c = X.annotation_clean(B.boxes(spark, d))
-    return c.select("image_id", F.size("raw_objects").cast("long").alias("raw"), F.size("objects").cast("long").alias("valid"), F.array_join(F.transform("objects", lambda o: o["obj_id"].cast("string")), ",").alias("kept"), "error")
+    brand = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int")
+    m = T.assign_detector_labels(B.table(spark, d, "part").select(brand.alias("source_label"), (brand * 7 % 23).alias("public_id")).distinct().where("source_label % 10 <> 4"))
+    c = X.annotation_clean(_documents(B.boxes(spark, d)), m)
+    ids = F.array_join(F.transform("objects", lambda o: o["obj_id"].cast("string")), ",").alias("kept")
+    public = F.aggregate("objects", F.lit(0).cast("long"), lambda a, o: a + F.coalesce(o["public_id"], o["source_label"] * 7 % 23))
+    return c.select("image_id", F.size("raw_objects").cast("long").alias("raw"), F.size("objects").cast("long").alias("valid"), ids, "n_docs", "n_duplicate_docs", public.alias("public_sum"), "error")
 
 
-@query(f"""with {B.REASONS} select 'filtered_box' as kind, image_id || '/' || obj_id as key, array_to_string(filter_reasons, ',') as detail from reasons where len(filter_reasons) > 0
-union all select 'label_missing_in_test', cast(source_label as varchar), '' from (select distinct source_label from boxes) where source_label not in (select source_label from boxes where cast(image_id as bigint) % 997 = 1)""")
+#: Test images: the first of a seeded order, as a smoke run takes them.
+_TEST_IMAGES = 8
+_TEST_SQL = f"tests as (select image_id from (select distinct image_id from boxes) order by sha256('7:' || image_id) limit {_TEST_IMAGES})"
+
+
+def _test_images(b):
+    return M.seeded_order(b.select("image_id").distinct(), 7, "image_id", _TEST_IMAGES).select("image_id")
+
+
+@query(f"""with {B.REASONS}, {_TEST_SQL} select 'filtered_box' as kind, image_id || '/' || obj_id as key, array_to_string(filter_reasons, ',') as detail from reasons where len(filter_reasons) > 0
+union all select 'duplicated_document', image_id, '1' from boxes group by image_id having bool_or(pk % 9 = 0)
+union all select 'extra_file', cast(o_orderkey as varchar), '' from orders where o_orderkey not in (select l_orderkey from lineitem)
+union all select 'label_missing_in_test', cast(source_label as varchar), '' from (select distinct source_label from boxes) where source_label not in (select source_label from boxes where image_id in (select image_id from tests))""")
 def exceptions_report(spark, d):
     b = B.boxes(spark, d)
-    return X.exceptions_report(b, b.where("cast(image_id as bigint) % 997 = 1").select("image_id").distinct())
+    return X.exceptions_report(_documents(b), _test_images(b), B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("image_id")))
 
 
-@query(f"with {B.BOXES} select distinct source_label from boxes where source_label not in (select source_label from boxes where cast(image_id as bigint) % 499 = 1)")
+@query(f"with {B.BOXES}, {_TEST_SQL} select distinct source_label from boxes where source_label not in (select source_label from boxes where image_id in (select image_id from tests))")
 def label_gap(spark, d):
     b = B.boxes(spark, d)
-    return X.label_gap(b, b.where("cast(image_id as bigint) % 499 = 1").select("image_id").distinct())
+    return X.label_gap(b, _test_images(b))
 
 
 @query(f"""with {B.BOXES}, i as (select image_id, count(*) as k from boxes group by 1)
@@ -122,14 +155,11 @@ def object_index(spark, d):
 
 
 @query(f"""with {B.BOXES}, c as (select source_label, count(*) as n from boxes group by 1), f as (select source_label, least(8.0, sqrt((select max(n) from c)::double / n)) as f from c),
-w as (select image_id, max(f) as f from boxes join f using (source_label) where cast(image_id as bigint) % 7 <> 0 group by 1)
+w as (select image_id, max(f) as f from boxes join f using (source_label) group by 1)
 select cast(o_orderkey as varchar) as image_id, round(coalesce(f, 1.0), 9) as factor from orders left join w on w.image_id = cast(o_orderkey as varchar)""")
 def repeat_factors(spark, d):
     images = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("image_id"))
-    b = B.boxes(spark, d)
-    out = X.repeat_factors(b, images)
-    gone = F.col("image_id").cast("long") % 7 == 0
-    return out.select("image_id", F.round(F.when(gone, F.lit(1.0)).otherwise(F.col("factor")), 9).alias("factor"))
+    return X.repeat_factors(B.boxes(spark, d), images).select("image_id", F.round("factor", 9).alias("factor"))
 
 
 @query(f"""with recursive {B.DETECTIONS}, gd as (select image_id, label, count(*) as n_truth from truth group by all),

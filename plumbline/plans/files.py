@@ -52,44 +52,62 @@ def scan_files(spark, d):
     return files.select("dir").distinct()
 
 
-@query(f"""with {B.REASONS} select image_id, count(*) as n_objects, min(xmin) as first_x, max(ymax) as last_y from reasons where cast(image_id as bigint) % 50 = 1 group by 1""")
+@query(f"""with {B.REASONS} select image_id, count(*) as n_objects, 1 as n_docs, cast(max((pk % 9 = 0)::int) as int) as n_dup, min(xmin) as first_x, max(ymax) as last_y from reasons group by 1""")
 def read_voc_annotations(spark, d):
-    """One XML file for the images of each hash, written as one text part each; the images are those whose id is 1 modulo 50."""
-    b = B.boxes(spark, d).where("cast(image_id as bigint) % 50 = 1")
+    """All images' annotations as files with a root a line; images with a box whose pk is a multiple of nine have theirs twice."""
+    b = B.boxes(spark, d)
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c.cast("string"), F.lit(f"</{name}>"))
     box = F.concat(*(tag(c, F.col(c)) for c in ("xmin", "ymin", "xmax", "ymax")))
     obj = tag("object", F.concat(tag("name", F.col("source_label")), tag("bndbox", box)))
     size = tag("size", F.concat(tag("width", F.lit(640)), tag("height", F.lit(480))))
-    docs = b.groupBy("image_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("obj_id", obj.alias("o")))), lambda s: s["o"])).alias("o"))
+    docs = b.groupBy("image_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("obj_id", obj.alias("o")))), lambda s: s["o"])).alias("o"), F.max((F.col("pk") % 9 == 0).cast("int")).alias("again"))
     at = _folder(spark, "voc")
-    docs.select("image_id", tag("annotation", F.concat(size, F.col("o"))).alias("value")).write.partitionBy("image_id").text(at)
-    parts = spark.read.text(f"{at}/*/part-*", wholetext=True).select(F.regexp_extract(F.input_file_name(), "image_id=([^/]+)", 1).alias("image_id"), "value")
-    out = R.parsed_annotations(parts)
+    value = tag("annotation", F.concat(tag("filename", F.concat("image_id", F.lit(".jpg"))), size, F.col("o")))
+    docs.select(F.explode(F.array_repeat(value, F.col("again") + 1)).alias("value")).write.text(at)
+    out = R.read_annotation_lines(spark, at)
     o = F.col("objects")
-    return out.select("image_id", F.size(o).cast("long").alias("n_objects"), F.array_min(F.transform(o, lambda x: x["xmin"])).alias("first_x"), F.array_max(F.transform(o, lambda x: x["ymax"])).alias("last_y"))
+    return out.select("image_id", F.size(o).cast("long").alias("n_objects"), "n_docs", "n_dup", F.array_min(F.transform(o, lambda x: x["xmin"])).alias("first_x"), F.array_max(F.transform(o, lambda x: x["ymax"])).alias("last_y"))
 
 
-@query("select cast(row_number() over (order by cast(doc_id as varchar)) as int) - 1 as formal_index, cast(doc_id as varchar) as image_id from documents")
+@query("select row_number() over (order by cast(doc_id as varchar)) - 1 as formal_index, cast(doc_id as varchar) as image_id from documents")
 def read_id_list(spark, d):
+    """The ids of all documents, written in order as many files and read line by line."""
     ids = B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("value")).orderBy("value")
-    return R.read_id_list(spark, _one_text(ids, _folder(spark, "ids")))
+    at = _folder(spark, "ids")
+    ids.write.text(at)
+    return R.read_id_list(spark, at)
 
 
-@query(f"with {B.SPLIT} select relative_path, class_id, m.sha256 from manifest m join split on group_id = m.sha256 where decode_status = 'ok' and split = 'val'")
-def read_manifest(spark, d):
+def _split_manifest(spark, d):
     m = checkpointed(B.manifest(spark, d))
     s = M.group_split(M.duplicate_groups(m)).select(F.col("group_id").alias("sha256"), "split")
     at = _folder(spark, "manifest")
     Wr.write_manifest(m.join(s, "sha256", "left").fillna("", ["split"]), at)
-    return R.read_manifest(spark, f"{at}/manifest", "val").select("relative_path", "class_id", "sha256")
+    return at
+
+
+@query(f"with {B.SPLIT} select relative_path, class_id, m.sha256 from manifest m join split on group_id = m.sha256 where decode_status = 'ok' and split = 'val'")
+def read_manifest(spark, d):
+    return R.read_manifest(spark, f"{_split_manifest(spark, d)}/manifest", "val").select("relative_path", "class_id", "sha256")
 
 
-@query("select cast(doc_id as varchar) as image_id, quality, toxic from labels where doc_id % 3 = 0")
+@query(f"""with {B.SPLIT} select relative_path, class_id, split from manifest m join split on group_id = m.sha256 where decode_status = 'ok'
+union all select relative_path, class_id, '' from manifest where decode_status <> 'ok'""")
+def write_manifest(spark, d):
+    """What is written, read back: usable rows with their split, and the excluded ones."""
+    at = _split_manifest(spark, d)
+    bad = spark.read.csv(f"{at}/excluded", header=True).select("relative_path", F.col("class_id").cast("int").alias("class_id"), F.lit("").alias("split"))
+    return R.read_manifest(spark, f"{at}/manifest").select("relative_path", "class_id", "split").union(bad)
+
+
+@query(f"""with {B.SPLIT} select cast(doc_id as varchar) as image_id, quality, toxic from labels where cast(doc_id as varchar) in (select relative_path from manifest m join split on group_id = m.sha256 where decode_status = 'ok' and split = 'train')""")
 def read_annotation_index(spark, d):
+    """The labelled documents' records, restricted to those of the training split."""
     labels = B.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("image_id"), "quality", "toxic")
     at = _folder(spark, "index")
     labels.write.json(at)
-    return R.read_annotation_index(spark, at, labels.where("cast(image_id as bigint) % 3 = 0").select("image_id"), "image_id string, quality int, toxic int")
+    train = R.read_manifest(spark, f"{_split_manifest(spark, d)}/manifest", "train").select(F.col("relative_path").alias("image_id"))
+    return R.read_annotation_index(spark, at, labels.join(train, "image_id", "left_semi").select("image_id"), "image_id string, quality int, toxic int")
 
 
 @query(f"with {B.CLASSES} select class_id, name, host_id, category from dims")
@@ -112,6 +130,21 @@ def read_run_history(spark, d):
     return out.select(F.replace("run", F.lit("run="), F.lit("")).alias("run"), "epoch", "best_metric", "best_epoch")
 
 
+@query(f"""with {B.HISTORY}, l as (select *, row_number() over (partition by run order by epoch desc) as r from bests)
+select cast(run as varchar) as run, 'events' as task, case when epoch - best_epoch >= 5 then 'stopped' else 'running' end as status, epoch, epoch * 50 as global_step from l where r = 1""")
+def read_run_state(spark, d):
+    """Each run's last state as a JSON file in its folder; the task is the folder above."""
+    from plumbline.operators import runs
+
+    h = runs.best_so_far(B.history(spark, d))
+    last = h.groupBy("run").agg(F.max_by(F.struct("epoch", "best_epoch"), "epoch").alias("s")).select("run", "s.*")
+    state = F.struct(F.when(F.col("epoch") - F.col("best_epoch") >= 5, "stopped").otherwise("running").alias("status"), "epoch", (F.col("epoch") * 50).alias("global_step"))
+    at = f"{_folder(spark, 'states')}/events"
+    last.select("run", F.to_json(state).alias("value")).write.partitionBy("run").text(at)
+    out = R.read_run_state(spark, f"{at}/*/part-*")
+    return out.select(F.replace("run", F.lit("run="), F.lit("")).alias("run"), "task", "status", "epoch", "global_step")
+
+
 @query(f"with {B.MANIFEST} select count(*) as total, count(*) filter (where decode_status = 'ok') as usable from manifest")
 def write_report(spark, d):
     at = _folder(spark, "report")

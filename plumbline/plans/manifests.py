@@ -8,6 +8,7 @@ from plumbline.functions import scalars as S
 from plumbline.operators import manifest as M
 from plumbline.operators import taxonomy as T
 from plumbline.operators.lineage import checkpointed
+from plumbline.operators.prefix import ranked
 from plumbline.plans import bindings as B
 from plumbline.sources.writers import canonical_json
 
@@ -68,23 +69,28 @@ _RULES = {"src1": "disease", "src4": "disease", "src7": "healthy", "src12": "hea
 def assign_category(spark, d):
     rules = spark.createDataFrame(list(_RULES.items()), "name string, category string")
     names = B.table(spark, d, "documents").select("doc_id", F.col("source").alias("name"))
-    return T.assign_category(names, F.broadcast(rules)).select("doc_id", "category")  # a fixed rule table
+    return T.assign_category(names, rules).select("doc_id", "category")
 
 
-_ALIASES = [("green", "verde"), ("dark", "umbra"), ("light", "umbra"), ("blue", "mare"), ("steel", "metal"), ("copper", "metal"), ("brass", "metal"), ("red", "rubra")]
+_ALIASES = [("green", "verde"), ("dark", "umbra"), ("light", "umbra"), ("blue", "mare"), ("steel", "metal"), ("copper", "metal"), ("brass", "metal"), ("red", "rubra"), ("red widget", "special"), ("gear", "metal"), ("ring", "orbis")]
 _ALIAS_SQL = ", ".join(f"('{a}', '{h}')" for a, h in _ALIASES)
 
 
-@query(f"""with a(alias, host) as (values {_ALIAS_SQL}), n as (select distinct p_name as name, lower(p_name) as plain from part),
+@query(rf"""with a(alias, host) as (values {_ALIAS_SQL}), n as (select p_name as name from part union select split_part(p_name, ' ', 2) || ' of the（' || split_part(p_name, ' ', 1) || ' kind)' from part
+  union select 'some ' || replace(p_name, ' ', '(') || ')' from part), m as (select name, translate(lower(name), '（）', '()') as plain from n),
 f as (select name, host, case when contains(plain, '(' || alias || ')') or contains(plain, '(' || alias || ' ') then 1
    when plain = alias or starts_with(plain, alias || ' ') or starts_with(plain, alias || '(') then 2
-   when contains(' ' || plain || ' ', ' ' || alias || ' ') then 3 end as tier from n, a),
+   when list_contains(regexp_split_to_array(trim(replace(replace(plain, '(', ' '), ')', ' ')), '\s+'), alias) then 3 end as tier from m, a),
 g as (select name, tier, count(distinct host) as k, min(host) as host from f where tier is not null group by all),
 b as (select name, min(tier) as tier from g group by 1)
 select n.name, case when k = 1 then host end as host, b.tier, case when k is null then 'unresolved' when k > 1 then 'ambiguous' else 'ok' end as status
 from n left join b using (name) left join g on g.name = n.name and g.tier = b.tier""")
 def resolve_host(spark, d):
-    names = B.table(spark, d, "part").select(F.col("p_name").alias("name"))
+    """Part names, plain and with one of their words in brackets."""
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    part = B.table(spark, d, "part")
+    forms = [F.col("p_name"), F.concat(word(2), F.lit(" of the（"), word(1), F.lit(" kind)")), F.concat(F.lit("some "), F.replace("p_name", F.lit(" "), F.lit("(")), F.lit(")"))]
+    names = part.select(F.explode(F.array(*forms)).alias("name"))
     return T.resolve_host(names, spark.createDataFrame(_ALIASES, "alias string, host string"), spark.createDataFrame([], "name string, host string"))
 
 
@@ -131,23 +137,26 @@ def enrich_samples(spark, d):
     return M.enrich_samples(B.manifest(spark, d), dims).select("relative_path", "class_id", "host_id", "category")
 
 
-@query("""select 'missing_image' as violation, cast(doc_id as varchar) as id from documents where doc_id % 11 <> 0 and doc_id not in (select doc_id from labels)
-union all select 'missing_annotation', cast(doc_id as varchar) from documents where doc_id % 11 <> 0 and doc_id not in (select doc_id from labels where quality = 1)
-union all select 'extra_image', cast(doc_id as varchar) from labels where doc_id not in (select doc_id from documents where doc_id % 11 <> 0)""")
+@query("""with f as (select doc_id from documents where n_chars >= 40) select 'missing_image' as violation, cast(doc_id as varchar) as id from f where doc_id not in (select doc_id from labels)
+union all select 'missing_annotation', cast(doc_id as varchar) from f where doc_id not in (select doc_id from labels where quality = 1)
+union all select 'extra_image', cast(doc_id as varchar) from labels where doc_id not in (select doc_id from f)""")
 def pair_audit(spark, d):
     docs, labels = B.table(spark, d, "documents"), B.table(spark, d, "labels")
     ids = lambda df: df.select(F.col("doc_id").alias("id"))
-    return M.pair_audit(ids(docs.where("doc_id % 11 <> 0")), ids(labels), ids(labels.where("quality = 1")))
+    return M.pair_audit(ids(docs.where("n_chars >= 40")), ids(labels), ids(labels.where("quality = 1")))
 
 
-@query("""with r as (select o_orderkey, o_custkey % 640 as w, case when o_orderkey % 97 = 0 then 1 else o_custkey % 480 end as h from orders), f as (select o_orderkey, o_custkey % 640 as w, o_custkey % 480 as h from orders where o_orderkey % 1000 <> 1)
-select o_orderkey, r.w as recorded_w, r.h as recorded_h, f.w as found_w, f.h as found_h, case when f.o_orderkey is null then 'missing' else 'mismatch' end as status
-from r left join f using (o_orderkey) where f.o_orderkey is null or r.w <> f.w or r.h <> f.h""")
+@query("""with r as (select o_orderkey, o_custkey % 640 as w, o_custkey % 480 as h from orders), f as (select l_orderkey, max(l_quantity) as q, o_custkey % 640 as w, case when max(l_quantity) = 50 then 1 else o_custkey % 480 end as h from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey, o_custkey)
+select o_orderkey, r.w as recorded_w, r.h as recorded_h, f.w as found_w, f.h as found_h, case when f.l_orderkey is null then 'missing' else 'mismatch' end as status
+from r left join f on l_orderkey = o_orderkey where l_orderkey is null or r.w <> f.w or r.h <> f.h""")
 def dimension_check(spark, d):
+    """Recorded sizes of all orders against those found by their lines: none for orders without lines, another height where a line has the largest quantity."""
     o = B.table(spark, d, "orders")
-    w, h = (F.col("o_custkey") % 640).alias("w"), F.col("o_custkey") % 480
-    recorded = o.select("o_orderkey", w, F.when(F.col("o_orderkey") % 97 == 0, 1).otherwise(h).alias("h"))
-    return M.mismatches(recorded, o.where("o_orderkey % 1000 <> 1").select("o_orderkey", w, h.alias("h")), "o_orderkey", ["w", "h"])
+    w, h = F.col("o_custkey") % 640, F.col("o_custkey") % 480
+    recorded = o.select("o_orderkey", w.alias("w"), h.alias("h"))
+    lines = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").alias("q"))
+    found = o.join(lines, "o_orderkey").select("o_orderkey", w.alias("w"), F.when(F.col("q") == 50, F.lit(1).cast("long")).otherwise(h).alias("h"))
+    return M.mismatches(recorded, found, "o_orderkey", ["w", "h"])
 
 
 @query(f"""with {B.MANIFEST}, r as (select relative_path, case when class_id = 3 then repeat('0', 64) else sha256 end as sha256 from manifest), f as (select * from manifest where decode_status = 'ok')
@@ -201,13 +210,19 @@ def extension_histogram(spark, d):
     return M.histogram(B.table(spark, d, "pages"), S.file_extension("url"), "extension")
 
 
-@query(f"""with {B.MANIFEST}, t as (select d.*, n from dims d join (select class_id, count(*) as n from manifest group by 1) using (class_id))
-select 'host' as dimension, cast(host_id as varchar) as value, count(*) as class_count, cast(sum(n) as bigint) as image_count from t group by host_id
-union all select 'category', cast(category as varchar), count(*), cast(sum(n) as bigint) from t group by category
-union all select 'host_group', cast(host_group as varchar), count(*), cast(sum(n) as bigint) from t group by host_group""")
+@query(f"""with {B.MANIFEST}, t as (select d.*, n from dims d join (select class_id, count(*) as n from manifest group by 1) using (class_id)),
+s as (select 'host' as dimension, cast(host_id as varchar) as value, count(*) as c, sum(n) as n from t group by host_id
+union all select 'category', cast(category as varchar), count(*), sum(n) from t group by category
+union all select 'host_group', cast(host_group as varchar), count(*), sum(n) from t group by host_group),
+w as (select unnest(['host', 'category', 'host_group']) as dimension, unnest([7, 5, 2]) as k), e as (select dimension, unnest(range(0, k)) as o from w)
+select dimension, cast(o as bigint) as ordinal, cast(o as varchar) as value, coalesce(c, 0) as class_count, cast(coalesce(n, 0) as bigint) as image_count from e left join s using (dimension) where s.value = cast(o as varchar)
+union all select dimension, cast(o as bigint), cast(o as varchar), 0, 0 from e where not exists (select 1 from s where s.dimension = e.dimension and s.value = cast(o as varchar))""")
 def taxonomy_rollup(spark, d):
+    """Seven hosts, five categories and two host groups are declared; the classes have five, four and two of them."""
     counts = B.manifest(spark, d).groupBy("class_id").agg(F.count("*").alias("image_count"))
-    return M.taxonomy_rollup(B.classes(spark, d).join(counts, "class_id"))
+    declared = spark.range(7).select(F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), F.lit(n).alias("n")) for k, n in (("host", 7), ("category", 5), ("host_group", 2))))).alias("x"), "id").where("id < x.n")
+    declared = declared.select("x.dimension", F.col("id").alias("ordinal"), F.col("id").cast("string").alias("value"))
+    return M.taxonomy_rollup(B.classes(spark, d).join(counts, "class_id"), declared)
 
 
 @query(f"""with {B.MANIFEST}, p as (select sha256 from manifest where decode_status = 'ok' group by 1 having count(distinct class_id) > 1)
@@ -222,11 +237,12 @@ def contract_check(spark, d):
     return M.violations([("bad_file", bad), ("content_in_several_classes", several), ("unlabelled", free)])
 
 
-@query(f"""with {B.MANIFEST}, w as (select class_id, case when coalesce(n, 0) > 0 then 1 / sqrt(n) else 1.0 end as w from classes left join (select class_id, count(*) as n from manifest where decode_status = 'ok' and class_id % 7 <> 2 group by 1) using (class_id))
-select class_id, round(w / (select avg(w) from w), 9) as weight from w""")
+@query(f"""with {B.MANIFEST}, w as (select i as class_id, case when coalesce(n, 0) > 0 then 1 / sqrt(n) else 1.0 end as w from range(0, 23) r(i) left join (select class_id, count(*) as n from manifest where decode_status = 'ok' group by 1) on class_id = i)
+select cast(class_id as int) as class_id, round(w / (select avg(w) from w), 9) as weight from w""")
 def class_weights(spark, d):
-    counts = B.manifest(spark, d).where("decode_status = 'ok' and class_id % 7 <> 2").groupBy("class_id").agg(F.count("*").alias("n"))
-    return M.class_weights(counts, B.classes(spark, d).select("class_id")).select("class_id", F.round("weight", 9).alias("weight"))
+    """Over a dimension of 23 classes, three of which no document has."""
+    counts = B.manifest(spark, d).where("decode_status = 'ok'").groupBy("class_id").agg(F.count("*").alias("n"))
+    return M.class_weights(counts, spark.range(23).select(F.col("id").cast("int").alias("class_id"))).select("class_id", F.round("weight", 9).alias("weight"))
 
 
 @query(f"""with {B.MANIFEST} select relative_path, class_id, round(1 / sqrt(count(*) over (partition by class_id)), 9) as weight from manifest""")
@@ -248,11 +264,17 @@ def seeded_order_head(spark, d):
     return M.seeded_order(B.table(spark, d, "documents").select("doc_id"), 3, "doc_id", 100)
 
 
-@query(f"""with {B.SPLIT}, tr as (select group_id from split where split = 'train'), te as (select group_id from split where split <> 'train'), al as (select distinct group_id from groups)
+@query(f"""with {B.SPLIT}, tr as (select group_id from split where split = 'train'), te as (select group_id from split where split <> 'train'), al as (select distinct group_id from groups),
+li as (select row_number() over (order by group_id) as k, group_id from te), ot as (select row_number() over (order by sha256('1:' || group_id)) as k, group_id from te)
 select 'disjoint' as invariant, count(*) as violations from (select * from tr intersect select * from te)
 union all select 'missing', count(*) from (select * from al except all (select * from tr union all select * from te))
-union all select 'unexpected', count(*) from ((select * from tr union all select * from te) except all select * from al)""")
+union all select 'unexpected', count(*) from ((select * from tr union all select * from te) except all select * from al)
+union all select 'empty', ((select count(*) from tr) = 0)::int + ((select count(*) from te) = 0)::int
+union all select 'order', count(*) from li join ot using (k) where li.group_id <> ot.group_id""")
 def split_invariants(spark, d):
+    """The two lists compared for order are the test groups by id and by another tie break."""
     g = checkpointed(M.duplicate_groups(B.manifest(spark, d)))
     s = checkpointed(M.group_split(g))
-    return M.split_invariants(s.where("split = 'train'").select("group_id"), s.where("split <> 'train'").select("group_id"), g.select("group_id").distinct())
+    test = s.where("split <> 'train'").select("group_id", S.stable_tie_break(1, "group_id").alias("tie"))
+    place = lambda tie: ranked(test, [], None, tie, "formal_index").select("formal_index", F.col("group_id").alias("image_id"))
+    return M.split_invariants(s.where("split = 'train'").select("group_id"), test.select("group_id"), g.select("group_id").distinct(), (place("group_id"), place("tie")))

@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
+from plumbline.operators import boxes as X
 from plumbline.operators import classification as C
 from plumbline.operators import manifest as M
 from plumbline.operators import predict, runs
+from plumbline.operators import taxonomy as T
 from plumbline.plans import bindings as B
 
 Q: dict = {}
@@ -113,15 +115,54 @@ def multitask_loss(spark, d):
     return C.multitask_loss(s2, _weights(s), 10, 5, 2).select(F.round("loss", 6).alias("loss"))
 
 
+def _centres(e) -> np.ndarray:
+    """The labels' mean vectors, a row a class."""
+    each = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    rows = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")).orderBy("label").collect()
+    return np.array([r.c for r in rows])
+
+
 @query(f"with {B.SCORES} select sample_id as vec_id, cls as class_id, z as score, cast(r as int) as rank from ranked where r <= 5")
 def batch_predict(spark, d):
     e = B.table(spark, d, "embeddings")
-    rows = e.groupBy("label").agg(*(F.avg(F.element_at("embedding", i + 1).cast("double")).alias(f"m{i}") for i in range(64))).orderBy("label").collect()  # a row a class
-    centre = np.array([[r[f"m{i}"] for i in range(64)] for r in rows])
+    centre = _centres(e)
     out = predict.batch_predict(e, "vec_id", "embedding", lambda: lambda x: np.round(x @ centre.T, 6))
     return out.select("vec_id", F.posexplode("top").alias("r", "t")).select("vec_id", "t.class_id", "t.score", (F.col("r") + 1).alias("rank"))
 
 
+_JOINT = f"""with {B.DETECTIONS}, {B.SCORES.replace("ranked as", "zr as").replace("from ranked", "from zr").replace("mean as", "mean_ as").replace("join mean using", "join mean_ using")},
+zz as (select sample_id, cls, z as x, 'class' as head from z union all select sample_id, cls % 5, sum(z), 'host' from z group by 1, 2 union all select sample_id, cls % 2, sum(z), 'category' from z group by 1, 2),
+sm as (select sample_id, head, cls, exp(x - mx) / sum(exp(x - mx)) over w as p from (select *, max(x) over (partition by sample_id, head) as mx from zz) window w as (partition by sample_id, head)),
+top as (select sample_id, head, max(p) as p from sm group by all), best as (select sample_id, cls from zr where r = 1),
+pd as (select image_id, det_id, round(score, 6) as score, row_number() over (partition by image_id order by round(score, 6) desc, det_id) as r from dets where score >= 0.3),
+nd as (select image_id, count(*) as n, max(score) as s from pd where r <= 30 group by 1)
+select b.sample_id as vec_id, cls as class_id, 'class ' || cls as name, 'host' || cls % 5 as host, round(h.p, 6) as host_p, 'category' || cls % 2 as category, round(c.p, 6) as category_p, round(t.p, 6) as probability, 5 as n_top, cast(coalesce(n, 0) as int) as n_detections, s as best_score
+from best b join top t on t.sample_id = b.sample_id and t.head = 'class' join top h on h.sample_id = b.sample_id and h.head = 'host' join top c on c.sample_id = b.sample_id and c.head = 'category' left join nd on image_id = cast(b.sample_id as varchar)"""
+
+
+@query(_JOINT)
+def joint_predict(spark, d):
+    """Class, host and category heads by centroids, and the detections of the image with the vector's number."""
+    e = B.table(spark, d, "embeddings")
+    centre = _centres(e)
+    fold = lambda z, k: np.stack([z[:, i::k].sum(axis=1) for i in range(k)], axis=1)
+
+    def model(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z = np.round(x @ centre.T, 6)
+        return z, fold(z, 5), fold(z, 2)
+
+    names = spark.range(len(centre)).select(F.col("id").cast("int").alias("class_id"), F.concat(F.lit("class "), "id").alias("name"), F.concat(F.lit("host"), F.col("id") % 5).alias("host"), F.concat(F.lit("category"), F.col("id") % 2).alias("category"))
+    found = X.postprocess(B.detections(B.boxes(spark, d)))
+    label_map = found.select(F.col("label").alias("detector_label"), (F.col("label") % 10).alias("public_id")).distinct()
+    found = T.map_predictions(found, label_map, names).withColumnRenamed("public_id", "class_id").withColumn("vec_id", F.col("image_id").cast(e.schema["vec_id"].dataType))
+    out = predict.joint_predict(e, "vec_id", "embedding", lambda: model, names, detections=found)
+    first = F.get("top", F.lit(0))
+    return out.select(
+        "vec_id", first["class_id"].alias("class_id"), first["name"].alias("name"), F.col("host.host").alias("host"), F.col("host.probability").alias("host_p"), F.col("category.category").alias("category"),
+        F.col("category.probability").alias("category_p"), first["probability"].alias("probability"), F.size("top").alias("n_top"), F.size("detections").alias("n_detections"), F.get("detections", F.lit(0))["score"].alias("best_score"),
+    )
+
+
 @query()
 def linear_probe_fit(spark, d):
     e = B.table(spark, d, "embeddings").withColumnRenamed("label", "target").withColumn("host_target", F.col("target") % 5).withColumn("category_target", F.col("target") % 2)

@@ -27,27 +27,26 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
 
 
-def finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs the stream over what is there. Append mode goes to a Parquet sink; otherwise the last batch of a result replaces the one
-    before, as in a table of current states."""
+def finished(stream: DataFrame, mode: str, name: str, key: list[str] | None = None) -> DataFrame:
+    """Runs the stream over what is there. Append mode goes to a Parquet sink. In update mode a batch's changed rows are written
+    below its number (so a batch that runs again replaces itself), and the last row of each key is its current one."""
     spark, at = stream.sparkSession, _folder(stream.sparkSession, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{at}/out").start()
     else:
-        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/{n:012d}")).start()
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
-    names = sorted(s.getPath().getName() for s in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop))
-    return spark.read.schema(stream.schema).parquet(f"{at}/out/{names[-1]}")
+    rows = spark.read.parquet(f"{at}/out")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in key)), "batch").alias("last")).select(*key, "last.*")
 
 
 def stream_latest_state(spark, d):
     e = events(spark, d).select(F.col("user_id").alias("run"), F.col("ts").alias("updated_at"), "event_id")
     keyed = e.withColumn("updated_at", F.struct("updated_at", "event_id"))
-    out = finished(R.latest_states(keyed), "complete", "latest")
+    out = finished(R.latest_states(keyed), "update", "latest", ["run"])
     return out.select("run", F.col("updated_at.updated_at").alias("updated_at"), "event_id", "snapshots")
 
 

@@ -75,8 +75,15 @@ def read_voc_annotations(spark: SparkSession, path: str) -> DataFrame:
     return parsed_annotations(whole)
 
 
+def read_annotation_lines(spark: SparkSession, path: str) -> DataFrame:
+    """read_voc_annotations for files of many images, an annotation root a line, whose <filename> names the image."""
+    lines = spark.read.text(path).select(F.regexp_extract("value", r"<filename>([^<]*?)(?:\.[A-Za-z]+)?</filename>", 1).alias("image_id"), "value")
+    return parsed_annotations(lines)
+
+
 def parsed_annotations(whole: DataFrame) -> DataFrame:
-    """read_voc_annotations for texts that are read already: (image_id, value)."""
+    """read_voc_annotations for texts that are read already: (image_id, value); an image may have several rows."""
+    whole = whole.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("value"))
     text = "size struct<width string, height string>, object array<struct<name string, bndbox struct<xmin string, ymin string, xmax string, ymax string>>>"
     docs = whole.withColumn("all", F.regexp_extract_all("value", F.lit(r"(?s)<annotation\b.*?</annotation>"), F.lit(0))).withColumn("docs", F.array_distinct("all"))
     each = docs.select("image_id", F.size("docs").alias("n_docs"), (F.size("all") - F.size("docs")).alias("n_dup"), F.posexplode_outer("docs").alias("d", "doc"))
@@ -90,8 +97,17 @@ def parsed_annotations(whole: DataFrame) -> DataFrame:
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """(formal_index, image_id) of a text file with one id a line; duplicates fail."""
-    return _unique(_lines(spark, path), "line", path).select((F.row_number().over(W.orderBy("ord")) - 1).alias("formal_index"), F.col("line").alias("image_id"))
+    """(formal_index, image_id) of text files with one id a line, in the order of the files' names and their lines; duplicates fail.
+
+    Lines are read split by split; an index is the number of ids in the splits before (a row a split is totalled for this) and the
+    place within the split, so no task holds the list.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.trim(F.regexp_replace("value", "\r$", "")).alias("image_id")).where("image_id <> ''")
+    _unique(lines, "image_id", path)
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row a split
+    return lines.join(splits, ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first")).alias("formal_index"), "image_id")
 
 
 def read_manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -116,6 +132,15 @@ def read_json_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.inline(table))
 
 
+def read_run_state(spark: SparkSession, glob: str, schema: str = "task string, run_id string, status string, epoch int, global_step long, steps_per_epoch int, updated_at double") -> DataFrame:
+    """(run, task, ..., modified) of state files, one JSON object each, named by their run's folder; ``task`` is the folder above the
+    run's where the file has none. A malformed file gives a row with nulls; ``modified`` is the file's time."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
+    parts = F.split("_metadata.file_path", "/")
+    rows = rows.withColumn("run", F.element_at(parts, -2)).withColumn("modified", F.col("_metadata.file_modification_time"))
+    return rows.withColumn("task", F.coalesce(F.nullif("task", F.lit("")), F.element_at(parts, -3))) if "task" in rows.columns else rows
+
+
 def read_run_history(spark: SparkSession, glob: str, schema: str = "epoch int, train_loss double, best_metric double, best_epoch int, timestamp double") -> DataFrame:
     """(run, epoch, ...) of history files, JSON arrays named by their run's folder; a malformed file gives no rows."""
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)

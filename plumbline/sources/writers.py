@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def write_manifest(manifest: DataFrame, out: str) -> None:
-    """Usable rows as Parquet partitioned by split, in the order of class and path within files; bad rows as gzip CSV beside them."""
+    """Usable rows as Parquet partitioned by split, ranges of class and path in order in each file; bad rows as gzip CSV beside them."""
+    order = ["split", "class_id", "relative_path"]
     ok = manifest.where("decode_status = 'ok'")
-    ok.repartition("split").sortWithinPartitions("split", "class_id", "relative_path").write.partitionBy("split").parquet(f"{out}/manifest")
+    ok.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("split").parquet(f"{out}/manifest")
     manifest.where("decode_status <> 'ok'").orderBy("class_id", "relative_path").write.option("compression", "gzip").csv(f"{out}/excluded", header=True)
 
 

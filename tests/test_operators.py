@@ -155,3 +155,87 @@ def test_linear_probe_learns(spark, sf):
     rows = linear_probe_fit(spark, sf).where("head = 'category_target'")
     total, right = rows.agg(F.sum("n"), F.sum(F.when(F.col("target") == F.col("pred"), F.col("n")))).first()
     assert right > 0.55 * total
+
+
+def test_resolve_host_words_in_brackets(spark):
+    aliases = spark.createDataFrame([("rice", "R"), ("sweet corn", "S"), ("corn", "C")], ["alias", "host"])
+    names = spark.createDataFrame([("pest rice(china)",), ("old sweet corn",), ("sweet corn (old)",), ("x (sweet corn leaf)",), ("ricefield",), ("rice corn",), ("a rice and corn",), ("",), (None,)], ["name"])
+    got = {r.name: (r.host, r.tier, r.status) for r in T.resolve_host(names, aliases, spark.createDataFrame([], "name string, host string")).collect()}
+    assert got["pest rice(china)"] == ("R", 3, "ok")
+    assert got["old sweet corn"] == ("C", 3, "ok")  # an alias of two words is no word
+    assert got["sweet corn (old)"] == ("S", 2, "ok") and got["x (sweet corn leaf)"] == ("S", 1, "ok")
+    assert got["ricefield"] == (None, None, "unresolved") and got["rice corn"] == ("R", 2, "ok")
+    assert got["a rice and corn"] == (None, 3, "ambiguous")
+
+
+def test_group_split_covers_classes_without_a_home(spark):
+    """Class 9 shares each of its groups with a smaller class, whose own groups take the reserved places."""
+    rows = []
+    for c in range(5):
+        rows += [(f"g{c}", c, 5, 10, 2, f"{c}a"), (f"g{c}", 9, 5, 10, 2, f"{c}a")] + [(f"s{c}{k}", c, 1, 1, 1, f"{c}{k}") for k in range(3)]
+    g = spark.createDataFrame(rows, "group_id string, class_id int, n long, size long, n_classes long, tie_break string")
+    s = M.group_split(g)
+    assert M.missing_coverage(g, s).count() == 0 and s.count() == s.select("group_id").distinct().count() == 20
+    alone = g.where("group_id like 'g%'")  # nothing can move: each smaller class has this one group
+    with pytest.raises(ValueError, match="class 9"):
+        M.group_split(alone)
+
+
+def test_multilabel_split_of_a_dominant_label(spark):
+    rows = [(i, 0) for i in range(3000)] + [(i, 1 + i % 7) for i in range(0, 3000, 5)] + [(1, 50), (2, 51), (3, 51)]
+    labels = spark.createDataFrame(rows, "image_id long, label int")
+    out = multilabel.multilabel_split(labels, 0.25, seed=1)
+    assert out.where("side = 'val'").count() == 750 and out.count() == 3000
+    both = {r.label: (r.v, r.n) for r in labels.join(out, "image_id").groupBy("label").agg(F.count_if(F.col("side") == "val").alias("v"), F.count("*").alias("n")).collect()}
+    assert all(0 < v < n for k, (v, n) in both.items() if n > 1)
+
+
+def test_ranks_in_stretches(spark):
+    from plumbline.operators.prefix import ranked
+
+    rows = spark.range(5000).selectExpr("id % 3 as k", "cast((id * 7919) % 101 as double) as v", "sha2(cast(id as string), 256) as tie")
+    plain = rows.selectExpr("*", "row_number() over (partition by k order by v, tie) as at")
+    assert ranked(rows, ["k"], "v", "tie", "at").exceptAll(plain.select("k", "v", "tie", "at")).count() == 0
+    assert ranked(rows.limit(0), [], "v", "tie", "at").count() == 0
+
+
+def test_annotation_errors(spark):
+    schema = "image_id string, doc int, obj_id int, source_label int, width int, height int, xmin double, ymin double, xmax double, ymax double"
+    ok = (5.0, 5.0, 9.0, 9.0)
+    rows = [
+        ("twice", 0, 0, 1, 10, 10, *ok), ("twice", 1, 0, 1, 10, 10, *ok), ("two", 0, 0, 1, 10, 10, *ok), ("two", 1, 0, 2, 10, 10, 5.0, 5.0, 5.0, 9.0), ("sizes", 0, 0, 1, 10, 10, *ok), ("sizes", 1, 0, 1, 20, 10, *ok),
+        ("zero", 0, 0, 1, 0, 10, *ok), ("none", 0, 0, 1, None, 10, *ok), ("nobox", 0, 0, 1, 10, 10, None, None, None, None), ("nolabel", 0, 0, None, 10, 10, *ok), ("odd", 0, 0, 7, 10, 10, *ok), ("flat", 0, 0, 1, 10, 10, 5.0, 5.0, 5.0, 5.0),
+    ]
+    b = spark.createDataFrame(rows, schema)
+    m = spark.createDataFrame([(1, 1, 30), (2, 2, 40)], "source_label int, detector_label int, public_id int")
+    got = {r.image_id: r for r in X.annotation_clean(b, m).collect()}
+    assert {k: r.error for k, r in got.items()} == {"twice": "", "two": "", "sizes": "inconsistent_size", "zero": "non_positive_size", "none": "no_size", "nobox": "incomplete_object", "nolabel": "incomplete_object", "odd": "unmapped_label", "flat": "no_valid_box"}
+    assert (got["twice"].n_docs, got["twice"].n_duplicate_docs, len(got["twice"].raw_objects)) == (1, 1, 1)
+    assert [(o.obj_id, o.public_id, o.valid) for o in got["two"].raw_objects] == [(0, 30, True), (1, 40, False)] and [o.detector_label for o in got["two"].objects] == [1]
+    report = {(r.kind, r.key) for r in X.exceptions_report(b, spark.createDataFrame([("two",)], ["image_id"]), spark.createDataFrame([("two",), ("extra",)], ["image_id"])).collect()}
+    assert {("duplicated_document", "twice"), ("extra_file", "extra"), ("label_missing_in_test", "7")} <= report and ("extra_file", "two") not in report
+
+
+def test_joint_predict(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], ["id", "x"])
+    names = spark.createDataFrame([(0, "a", "h0", "c0"), (1, "b", "h1", "c1")], "class_id int, name string, host string, category string")
+    det = spark.createDataFrame([(1, 0, 5, 1, "b", "h1", 0.5, 1.0, 2.0, 3.0, 4.0), (1, 1, 6, 0, "a", "h0", 0.9, 1.0, 2.0, 3.0, 4.0)], "id long, det_id int, label int, class_id int, name string, host string, score double, xmin double, ymin double, xmax double, ymax double")
+    model = lambda: lambda x: (x, x * 0, x * 2)
+    got = {r.id: r for r in predict.joint_predict(rows, "id", "x", model, names, k=2, detections=det).collect()}
+    assert [t.name for t in got[1].top] == ["a", "b"] and got[1].host.host == "h0" and got[1].host.probability == 0.5 and got[2].category.category == "c1"
+    assert [d.score for d in got[1].detections] == [0.9, 0.5] and got[2].detections == []
+    assert {len(r.detections) for r in predict.joint_predict(rows, "id", "x", model, names).collect()} == {0}
+
+
+def test_late_epochs(spark, tmp_path):
+    """An epoch that arrives in a later batch than one after it is dropped; each run is alerted once."""
+    from plumbline.streaming.runs import early_stop_alerts
+
+    batches = [[(1, 1, 5.0), (1, 3, 1.0)], [(1, 2, 9.0), (1, 4, 2.0), (2, 1, 1.0)], [(1, 5, 9.0), (2, 2, 2.0)]]
+    at = str(tmp_path / "in")
+    for b in batches:
+        spark.createDataFrame(b, "run long, epoch int, metric double").coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema("run long, epoch int, metric double").option("maxFilesPerTrigger", 1).parquet(at)
+    out = early_stop_alerts(stream, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert [(r.run, r.epoch, r.best_metric, r.best_epoch) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 5.0, 1)]

@@ -101,3 +101,31 @@ def test_hierarchy(spark, tmp_path):
     assert (tmp_path / "v/host_id=h/category=c").is_dir()
     Wr.write_report(spark.createDataFrame([(1,)], "total int"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).first().total == 1
+
+
+def test_id_list_of_many_splits(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    ids = [f"id{(k * 7919) % 5000:05d}" for k in range(5000)]
+    (tmp_path / "l" / "part-0").write_text("\n".join(ids[:3000]) + "\n\n")
+    (tmp_path / "l" / "part-1").write_text("\r\n".join(f" {i} " for i in ids[3000:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = R.read_id_list(spark, str(tmp_path / "l")).orderBy("formal_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.formal_index for r in rows] == list(range(5000)) and [r.image_id for r in rows] == ids
+
+
+def test_run_state(spark, tmp_path):
+    for run, text in (("r1", '{"task": "t", "status": "running", "epoch": 3}'), ("r2", "{broken"), ("r3", '{"epoch": 1}')):
+        (tmp_path / "tasks" / run).mkdir(parents=True)
+        (tmp_path / "tasks" / run / "state.json").write_text(text)
+    got = {r.run: (r.task, r.status, r.epoch) for r in R.read_run_state(spark, str(tmp_path / "tasks/*/state.json")).collect()}
+    assert got == {"r1": ("t", "running", 3), "r2": ("tasks", None, None), "r3": ("tasks", None, 1)}
+
+
+def test_annotation_lines(spark, tmp_path):
+    a = xml((1, (1, 2, 3, 4))).replace("<annotation>", "<annotation><filename>a.b.jpg</filename>")
+    (tmp_path / "x.txt").write_text(a + "\n" + a + "\n" + xml((2, (1, 2, 3, 4)), (3, (1, 2, 3, 4))).replace("<annotation>", "<annotation><filename>c.png</filename>") + "\n")
+    got = {r.image_id: (r.n_docs, r.n_dup, len(r.objects)) for r in R.read_annotation_lines(spark, str(tmp_path / "x.txt")).collect()}
+    assert got == {"a.b": (1, 1, 1), "c": (1, 0, 2)}
