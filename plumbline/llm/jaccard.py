@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, stored, text_blocks
+from plumbline.llm.common import components, fresh, stored, text_blocks
 from plumbline.llm.hashing import mix, shingle_sets
 
 _U = np.uint64
@@ -331,8 +331,9 @@ def joined(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
 
 def deduplicated(docs: DataFrame, **how: int) -> DataFrame:
     """One document of each component stays, that with the smallest doc_id; columns unchanged. Rows with a null doc_id stay."""
-    groups = joined(docs, **how).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(groups, docs["doc_id"] == F.col("__gone"), "left_anti")
+    key = fresh(docs, "gone")
+    groups = joined(docs, **how).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(groups, docs["doc_id"] == F.col(key), "left_anti")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

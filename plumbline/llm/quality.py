@@ -1,4 +1,11 @@
-"""Quality rules: counts within a text, and lines that too many documents of one host share (operator 7)."""
+"""Quality rules: counts within a text, and lines that too many documents of one host share (operator 7).
+
+Lines are hashed in a normal form and counted by host in two steps. A candidate is a line of more than MIN_DOCS distinct documents
+of a host (exact copies are one document). Copies with changes share most of their lines too, and these are no boilerplate: so
+only documents of which candidates make up at most half vote, and a line is common if more than MIN_DOCS documents vote for it.
+The limit is a number of documents, whatever the size of the host. Common lines are removed, and a document of which too little
+is left is depleted.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard
-from plumbline.llm.common import stored, text_blocks
+from plumbline.llm.common import fresh, stored, text_blocks
 from plumbline.llm.hashing import mix, shingle_hashes, word_hashes
 
 _BLANK = b" \t\n\r\x0b\x0c"
@@ -20,8 +26,8 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _WORD_START = np.array([(c & 0xC0) != 0x80 and c not in _BLANK for c in range(256)])
 
-#: A line is common on a host if more than this many distinct documents and more than this share of the host's have it.
-MIN_DOCS, MAX_SHARE = 10, 0.1
+#: A line is common on a host if more than this many documents vote for it; a document votes if candidates have at most this share of its words.
+MIN_DOCS, VOTES = 10, 0.5
 #: A document is depleted when less than this share of its words is outside common lines.
 MIN_LEFT = 0.3
 
@@ -87,43 +93,25 @@ def text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{kept}, {_STATS}")
 
 
-def _text_id() -> Column:
-    return F.xxhash64("text").alias("text_id")
-
-
-def _in_groups(docs: DataFrame, stats: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
-    """The lines (host, line) that are in more than ``min_docs`` groups of near copies (linked texts of docs, as in the near-duplicate
-    stage of the pipeline); only texts that have one of the lines are compared, each once."""
-    held = stored(stats.where("size(lines) > 0").select("host", "text_id", F.explode("lines").alias("line")).join(lines, ["host", "line"]).distinct(), "held-lines")
-    own = docs.select(_text_id(), "text").join(held.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
-    groups = jaccard.joined(stored(own.withColumnRenamed("text_id", "doc_id"), "line-texts"), width=5, num=80, den=100).select(F.col("doc_id").alias("text_id"), F.col("component_id").alias("group"))
-    each = held.join(groups, "text_id").select("host", "line", "group").distinct()
-    return each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).select("host", "line")
-
-
-def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, by_groups: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, votes: float = VOTES, min_left: float = MIN_LEFT) -> DataFrame:
     """Per row of docs: doc_id, the counts, removed_lines (hashes), removed_words, base_failed, depleted and kept.
 
-    A line counts once for each distinct text of a host, so exact copies do not make their own lines common. With ``by_groups``
-    it counts once for each group of near copies, and ``max_share`` is not used: the limit does not grow with the host. The lines are
-    exploded to (host, line, content), de-duplicated and counted, with partial aggregation before each shuffle; the common
-    lines go back to the documents by a join that AQE can split for a hot host. Nulls and empty texts have no words and fail
-    the base rule; a null host is a host of its own; rows that repeat a doc_id are each judged and all returned.
+    Only candidate lines are looked at after the first count, so what is joined is small beside the lines. Counts are partial
+    before each shuffle, and a line of very many documents meets one row, so AQE can split it. Nulls and empty texts have no
+    words and fail the base rule; a null host is a host of its own; rows that repeat a doc_id are each judged and all returned.
     """
-    ids = [_text_id()] if by_groups else []
-    stats = stored(text_stats(docs.select(F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), *ids, "text"), ["doc_id", "host", *["text_id"] * by_groups]).withColumn("row", F.monotonically_increasing_id()), "line-stats")
-    seen = stats.where("size(lines) > 0").select("host", "content", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    if by_groups:
-        common = stored(_in_groups(docs, stats, stored(seen.select("host", "line"), "candidate-lines"), min_docs), "common-lines")
-    else:
-        texts = stats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
-        common = stored(seen.join(texts, "host").where(F.col("n_docs") > max_share * F.col("n_texts")).select("host", "line"), "common-lines")
-    each = stats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    lost = each.join(common, ["host", "line"]).groupBy("row").agg(F.collect_list("line").alias("removed_lines"), F.sum("words").cast("long").alias("removed_words"))
+    stats = stored(text_stats(docs.select(F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), "text"), ["doc_id", "host"]), "line-stats")
+    texts = stats.where("size(lines) > 0").groupBy("host", "content").agg(F.first("n_words").alias("n_words"), F.first(F.arrays_zip("lines", "line_words")).alias("x"))  # equal within a group
+    each = stored(texts.select("host", "content", "n_words", F.inline("x")).withColumnsRenamed({"lines": "line", "line_words": "words"}), "text-lines")
+    candidates = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).select("host", "line")
+    held = stored(each.join(candidates, ["host", "line"]), "candidate-lines")
+    voters = held.groupBy("host", "content").agg(F.sum("words").alias("words"), F.first("n_words").alias("n_words")).where(F.col("words") <= votes * F.col("n_words")).select("host", "content")
+    common = held.join(voters, ["host", "content"]).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).select("host", "line")
+    lost = held.join(common, ["host", "line"]).groupBy("host", "content").agg(F.collect_list("line").alias("removed_lines"), F.sum("words").cast("long").alias("removed_words"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     return (
-        stats.drop("content", "lines", "line_words", "text_id")
-        .join(lost, "row", "left")
+        stats.drop("lines", "line_words")
+        .join(lost, ["host", "content"], "left")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"),
@@ -153,8 +141,9 @@ def filtered(docs: DataFrame, **limits: float) -> DataFrame:
 
     Rows that repeat a doc_id pass together if one of them does; null ids count as one id.
     """
-    verdict = verdicts(docs, **limits).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("removed_lines"))).alias("__removed"))
-    out = without_lines(docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("__id"))).select(*docs.columns, "__removed"), "__removed")
+    key, gone = fresh(docs, "id"), fresh(docs, "removed")
+    verdict = verdicts(docs, **limits).where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.array_distinct(F.flatten(F.collect_list("removed_lines"))).alias(gone))
+    out = without_lines(docs.join(verdict, docs["doc_id"].eqNullSafe(F.col(key))).select(*docs.columns, gone), gone)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -175,8 +164,11 @@ l0 as (select row, host, t, unnest(string_split(t, chr(10))) as line, generate_s
 l as (select *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as lw from l0),
 dup as (select row, count(*) as n_dup_lines from (select row, row_number() over (partition by row, line order by o) as k from l where len(lw) > 0) where k > 1 group by 1),
 k as (select row, host, t, array_to_string(lw, ' ') as line, sum(len(lw)) as words from l where len(lw) > 0 group by all),
-texts as (select host, count(distinct t) as n from d group by 1),
-common as (select host, line from (select host, line, count(distinct t) as c from k group by all) join texts using (host) where c > {MIN_DOCS} and c > {MAX_SHARE}::double * n),
+held as (select t, host, line, any_value(words) as words from k group by all),
+candidate as (select host, line from held group by all having count(*) > {MIN_DOCS}),
+size as (select t, host, sum(words) as n from held group by all),
+voters as (select t, host from (select t, host, sum(words) as w from held join candidate using (host, line) group by all) join size using (t, host) where w <= {VOTES}::double * n),
+common as (select host, line from held join candidate using (host, line) join voters using (t, host) group by all having count(*) > {MIN_DOCS}),
 lost as (select row, sum(words)::bigint as removed_words from k join common using (host, line) group by 1),
 a as (select doc_id, n_words, word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
   coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(removed_words, 0) as removed_words

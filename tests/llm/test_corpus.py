@@ -110,15 +110,20 @@ def test_base_counts(spark, sf, odd):
 
 
 def test_common_lines(spark, none):
-    own = [(i, "\n".join([f"Shared  LINE of all {'x ' * 60}", f"own words {i} " * 3]), "a", None) for i in range(30)]
+    line = f"Shared  LINE of all {'x ' * 60}"
+    mostly = [(i, "\n".join([line, f"own words {i} " * 3]), "a", None) for i in range(30)]
+    voters = [(50 + i, f"shared line OF all {'x ' * 60}\n" + " ".join(f"u{i}n{k}" for k in range(90)), "a", None) for i in range(11)]
     clean = [(100 + i, " ".join(f"w{i}n{k}" for k in range(80)), "a", None) for i in range(40)]
-    other = [(200, f"Shared  LINE of all {'x ' * 60} end\n" + " ".join(f"v{k}" for k in range(60)), "b", None)]
-    df = spark.createDataFrame(own + own[:3] + clean + other, "doc_id long, text string, source string, n_chars long")
+    other = [(200, line + " end\n" + " ".join(f"v{k}" for k in range(60)), "b", None)]
+    df = spark.createDataFrame(mostly + mostly[:3] + voters + clean + other, "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: r for r in quality.verdicts(df).collect()}
     assert got[0].depleted and not got[0].kept and got[0].removed_words == 64
     assert all(got[100 + i].kept for i in range(40)) and got[200].removed_words == 0
     out = quality.filtered(df)
-    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {*range(100, 140), 200}
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {*range(50, 61), *range(100, 140), 200}
+    # ten voters are too few; documents that are mostly candidates don't vote
+    few = quality.verdicts(df.where("doc_id <> 50"))
+    assert few.where("removed_words > 0").count() == 0
     assert quality.verdicts(none).count() == 0 and quality.filtered(none).count() == 0
 
 
@@ -128,6 +133,25 @@ def test_copies_are_no_common_lines(spark):
     assert quality.verdicts(df).where("not depleted").count() == 310
 
 
+def test_quality_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    found = con.execute(quality.OP7_SQL)
+    names = [x[0] for x in found.description]
+    df = quality.op7_quality_rules(spark, sf)
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(found.fetchall())
+
+
+def test_columns_of_the_names_used_inside(spark, odd):
+    """Stages keep columns whatever they are called."""
+    df = odd.withColumn("removed_0", F.lit(1)).withColumn("id_0", F.lit(2)).withColumn("gone_0", F.lit(3)).withColumn("n", F.lit(4))
+    for out in (quality.filtered(df), jaccard.deduplicated(df)):
+        assert out.columns == df.columns and out.count() > 0
+        out.collect()
+
+
 def test_common_lines_of_a_large_host(spark):
     line = "Sign in to read more of this site and accept our terms"
     ids = lambda a, n: range(a, a + n)
