@@ -2,7 +2,7 @@
 
 A word's tokens are what byte-pair merging gives exactly when each adjacent pair of them is: merging the two tokens' text
 alone gives these two tokens again. So greedy longest-match proposals for a whole batch of words are made and checked as
-arrays, and only words with an incompatible pair are merged step by step.
+arrays, and only words with an incompatible pair are merged step by step. Decoding gathers the tokens' texts from one byte array.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from plumbline.llm.common import text_blocks
 from plumbline.llm.hashing import _BASE, _INV, _INVERSE, _POW, _powers, mix
@@ -31,6 +31,8 @@ _BYTE = mix(np.arange(1, 257, dtype=_U))
 _STOP = b"\xff"
 #: Entries that a task keeps of words and of pairs; a full table is begun anew.
 KEPT_WORDS, KEPT_PAIRS = 400_000, 2_000_000
+#: Characters below are Latin letters, signs and ASCII, whose case and classes are settled and which do not compose with each other.
+_LATIN_END = "\u0250"
 _BREAK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
@@ -48,10 +50,14 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, byte_of = spec["model"], _byte_of()
+        self.byte_of, self.library = byte_of, Tokenizer.from_file(path)
         end = model["end_of_word_suffix"]
         raw = lambda s: bytes(byte_of[c] for c in s.removesuffix(end)) + _STOP * s.endswith(end)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.text = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
+        text = {i: s.encode() + b" " for s, i in [*model["vocab"].items(), *self.special.items()]}
+        each = [text.get(i, b"") for i in range(max(text) + 1)]
+        self.text_at = np.concatenate([[0], np.cumsum([len(t) for t in each])])
+        self.text = np.frombuffer(b"".join(each), np.uint8)
         self.id_of = {raw(s): i for s, i in model["vocab"].items() if s not in self.special}
         self.raw_of = {i: b for b, i in self.id_of.items()}
         self.rank = {}
@@ -79,12 +85,9 @@ class WordBpe:
         self.clear()
 
     def clear(self) -> None:
-        """Begins the tables anew: of words (and special ids) and of stretches without white space, their ids and decoded text."""
-        special = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
-        self.word_ids: dict[str | int, bytes] = dict(special)
-        self.word_text: dict[str | int, bytes] = {i: self.text[i].encode() for i in special}
+        """Begins the tables of ids anew: of words (and special ids) and of stretches without white space."""
+        self.word_ids: dict[str | int, bytes] = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
         self.part_ids: dict[str, bytes] = {}
-        self.part_text: dict[str, bytes] = {}
 
     @staticmethod
     def _hash(rows: np.ndarray) -> np.ndarray:
@@ -221,15 +224,12 @@ class WordBpe:
             apart = self._compatible((tokens[inside] << 32) | tokens[inside + 1])
             bad[of[inside[~apart]]] = True
         cut = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
-        listed, flat, text = tokens.tolist(), tokens.astype("<u4").tobytes(), self.text
+        flat = tokens.astype("<u4").tobytes()
         for k in np.flatnonzero(~bad).tolist():
-            s, e = cut[k], cut[k + 1]
-            self.word_ids[words[k]] = flat[4 * s : 4 * e]
-            self.word_text[words[k]] = " ".join([text[i] for i in listed[s:e]]).encode()
+            self.word_ids[words[k]] = flat[4 * cut[k] : 4 * cut[k + 1]]
         failed = np.flatnonzero(bad).tolist()
         for k, ids in zip(failed, self.merged_many([raw[k] for k in failed]), strict=True):
             self.word_ids[words[k]] = array("I", ids).tobytes()
-            self.word_text[words[k]] = " ".join([text[i] for i in ids]).encode()
 
     def _split(self, part: str) -> list[str | int]:
         """Words and special ids of a stretch without ASCII white space."""
@@ -237,13 +237,15 @@ class WordBpe:
         for seg in self.special_pattern.split(part) if "<|" in part else [part]:
             if seg in self.special:
                 out.append(self.special[seg])
-            elif seg:
-                low = seg if seg.isascii() else unicodedata.normalize("NFC", seg).replace("Σ", "σ")
-                out += self.word_pattern.findall(low.lower())
+            elif seg and max(seg) < _LATIN_END:
+                out += self.word_pattern.findall(seg.lower())
+            elif seg:  # normal forms, cases and classes of other characters depend on a version of Unicode: the library's decides
+                plain = self.library.normalizer.normalize_str(seg)
+                out += [bytes(self.byte_of[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
         return out
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
-        """Per text, its ids (unsigned 32-bit, little-endian) and the decoded text in UTF-8."""
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids (unsigned 32-bit, little-endian)."""
         parts = [_BREAK.split(t) for t in texts]
         if len(self.part_ids) > KEPT_WORDS or len(self.word_ids) > KEPT_WORDS:
             self.clear()
@@ -251,14 +253,30 @@ class WordBpe:
         split = {p: self._split(p) for p in new}
         if fresh := list({w for own in split.values() for w in own}.difference(self.word_ids)):
             self.words(fresh)
-        word_ids, word_text, part_ids, part_text = self.word_ids, self.word_text, self.part_ids, self.part_text
+        word_ids, part_ids = self.word_ids, self.part_ids
         for p, own in split.items():
-            if len(own) == 1:
-                part_ids[p], part_text[p] = word_ids[own[0]], word_text[own[0]]
-            else:
-                part_ids[p], part_text[p] = b"".join([word_ids[w] for w in own]), b" ".join([word_text[w] for w in own])
-        for own in parts:
-            yield np.frombuffer(b"".join(map(part_ids.__getitem__, own)), "<u4"), b" ".join(filter(None, map(part_text.__getitem__, own)))
+            part_ids[p] = word_ids[own[0]] if len(own) == 1 else b"".join([word_ids[w] for w in own])
+        return [np.frombuffer(b"".join(map(part_ids.__getitem__, own)), "<u4") for own in parts]
+
+    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The texts of lists of ids, in UTF-8: the tokens with spaces between. Ids that are no token are left out."""
+        flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+        flat = np.where((flat < 0) | (flat >= len(self.text_at) - 1), -1, flat)
+        size = np.where(flat < 0, 0, self.text_at[flat + 1] - self.text_at[flat])
+        ends = np.cumsum(size)
+        out, at, cut = [], 0, np.cumsum([len(x) for x in ids])
+        for stop in cut:
+            # some MB of text at a time: an id's bytes are where its token's are
+            for s in range(at, stop, 1 << 18):
+                e = min(stop, s + (1 << 18))
+                n = size[s:e]
+                place = np.arange(n.sum()) + np.repeat(self.text_at[flat[s:e]] - (ends[s:e] - n - (ends[s - 1] if s else 0)), n)
+                out.append(self.text[place].tobytes())
+            at = stop
+        # pieces of one text belong together; the last space is none
+        pieces = iter(out)
+        many = [-(-len(x) // (1 << 18)) for x in ids]
+        return [b"".join([next(pieces) for _ in range(k)])[:-1] for k in many]
 
 
 @lru_cache(maxsize=1)
@@ -269,7 +287,8 @@ def _coder(path: str) -> WordBpe:
 def encoded(docs: DataFrame, name: str = "word_bpe_49k.json", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """doc_id, n_tokens and the chosen outputs of each row: ids (array), decoded (text), ids_sha256, decoded_sha256.
 
-    A null text is taken as empty: no ids, an empty decoded text. Rows that repeat a doc_id are each encoded.
+    A null text is taken as empty: no ids, an empty decoded text. Rows that repeat a doc_id are each encoded. doc_id is cast to
+    long (an id that is no number is an error).
     """
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     make = {"ids": lambda i, d: i.astype(np.int32), "decoded": lambda i, d: d.decode(), "ids_sha256": lambda i, d: hashlib.sha256(i.tobytes()).hexdigest(), "decoded_sha256": lambda i, d: hashlib.sha256(d).hexdigest()}
@@ -277,16 +296,28 @@ def encoded(docs: DataFrame, name: str = "word_bpe_49k.json", outputs: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(public_tokenizers.path(name))
         for batch, texts in text_blocks(batches):
-            n, out = [], [[] for _ in outputs]
-            for ids, decoded in coder.encoded([(t or b"").decode() for t in texts]):
-                n.append(len(ids))
-                for into, o in zip(out, outputs, strict=True):
-                    into.append(make[o](ids, decoded))
+            ids = coder.encoded([(t or b"").decode() for t in texts])
+            back = coder.decoded(ids) if any(o.startswith("decoded") for o in outputs) else [b""] * len(ids)
+            n, out = list(map(len, ids)), [[make[o](i, d) for i, d in zip(ids, back, strict=True)] for o in outputs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, kinds[o][1]) for x, o in zip(out, outputs, strict=True))], ["doc_id", "n_tokens", *outputs])
 
     schema = ", ".join(["doc_id long", "n_tokens long", *(f"{o} {kinds[o][0]}" for o in outputs)])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def decoded(rows: DataFrame, name: str = "word_bpe_49k.json", ids: str = "ids") -> DataFrame:
+    """rows (doc_id, ids array<int>) with ``decoded``, the text of the ids, instead of them. Nulls and empty lists give an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(public_tokenizers.path(name))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = coder.decoded([np.array([-1 if i is None else i for i in x or []], np.int64) for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "decoded"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), ids).mapInArrow(run, "doc_id long, decoded string")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), outputs=("ids_sha256", "decoded_sha256"))

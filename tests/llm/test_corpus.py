@@ -275,7 +275,11 @@ def test_bpe(spark, sf, odd, none):
         assert g.decoded == tk.decode(ids, skip_special_tokens=False)
         assert g.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and g.n_tokens == len(ids)
         assert g.decoded_sha256 == hashlib.sha256(g.decoded.encode()).hexdigest()
-    assert bpe.encoded(none).count() == 0
+    assert bpe.encoded(none).count() == 0 and bpe.decoded(bpe.encoded(none, outputs=("ids",))).count() == 0
+    back = {r.doc_id: r.decoded for r in bpe.decoded(bpe.encoded(df, outputs=("ids",)).drop("n_tokens")).collect()}
+    assert back == {i: r.decoded for i, r in got.items()}
+    strange = spark.createDataFrame([(1, [5, 10**6, None, -3, 7]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe.decoded(strange).collect()} == {1: tk.decode([5, 7], skip_special_tokens=False), 2: "", 3: ""}
 
 
 def test_bpe_exact_merging_both_ways():
@@ -287,3 +291,41 @@ def test_bpe_exact_merging_both_ways():
     assert coder.merged_many(raw) == [coder.merged(w) for w in raw]
     coder.words(some)
     assert [coder.word_ids[w] for w in some] == [__import__("numpy").array(coder.merged(w), "<u4").tobytes() for w in raw]
+
+
+def wide_texts(n, seed=11):
+    """Random texts over scripts, marks, spaces, digits, symbols and what tokenizers treat apart."""
+    import random
+
+    r = random.Random(seed)
+    ranges = [(0x20, 0x7F), (0x20, 0x7F), (0x00, 0x20), (0x80, 0x180), (0x300, 0x370), (0x370, 0x400), (0x400, 0x530), (0x590, 0x780), (0x900, 0xD80), (0xE00, 0x1000), (0x1100, 0x1200), (0x1E00, 0x2070), (0x2070, 0x2C00), (0x3000, 0x3400), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xE000, 0xE100), (0xF900, 0xFFFE), (0x10000, 0x10400), (0x1D400, 0x1D800), (0x1F000, 0x1FB00), (0xE0000, 0xE0200)]
+    bits = ["'s", "'S", "'ll", "’s", " '", "'t", "don't", "  ", "\r\n", "\n\n ", "\t", "\u00a0", "\u2003", "\u3000", "\u200d", "\ufeff", "<|endoftext|>", "<|endof", "|>", "123", "4567890", "٣٤", "½", "Ⅷ", "a" * 40, "=" * 30, "\u0301" * 5, "Ǆ", "ß", "İ", "ﬁ", "Å"]
+    for _ in range(n):
+        out = []
+        for _ in range(r.randint(0, 40)):
+            if r.random() < 0.3:
+                out.append(r.choice(bits))
+            else:
+                lo, hi = r.choice(ranges)
+                out.append("".join(chr(r.randrange(lo, hi)) for _ in range(r.randint(1, 6))))
+                out.append(r.choice(["", "", " "]))
+        yield "".join(out)
+
+
+def test_ids_of_a_wide_corpus():
+    tk, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    texts = list(wide_texts(20_000))
+    for t, e in zip(texts, tk.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert encode(t) == e.ids, t
+    for t in (" " * 100_000, "a" * 200_000, "\n" * 50_000 + "x", "é" * 60_000):
+        assert encode(t) == tk.encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_of_a_wide_corpus():
+    tk, coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    texts = list(wide_texts(10_000, 12))
+    ids = coder.encoded(texts)
+    want = [e.ids for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
+    bad = [t for t, a, b in zip(texts, ids, want, strict=True) if a.tolist() != b]
+    assert not bad, bad[:3]
+    assert [d.decode() for d in coder.decoded(ids)] == tk.decode_batch(want, skip_special_tokens=False)
