@@ -6,9 +6,14 @@ final estimates then count them too.
 
 Counting and looking up are one exchange by blocks. Documents are put in chunks of about a million tokens; a chunk sends each
 distinct n-gram's hash and counts once to the bucket that its hash falls in (so a frequent n-gram costs a row per chunk, not
-per token), the bucket adds up, and sends the totals back to the chunks that asked. The number of buckets follows the number
-of tokens, so a bucket's size does not grow with the input. Nothing of the model passes through the driver but the weights,
-N and V.
+per token), the bucket adds up, and sends the totals back to the chunks that asked. Chunks are in groups of at most FAN, and each
+group has buckets of its own, whose number follows the group's tokens: a bucket gets at most FAN messages. Where there are several
+groups, their buckets' sums are added up by upper buckets, as many as follow all tokens, and the totals go back the same way. So
+neither messages nor n-grams of a bucket grow with the input up to FAN groups, some 10 ** 14 tokens. Nothing of the model passes through
+the driver but the weights, N and V.
+
+Longer contexts are left out: a chunk of a million tokens of the check tables has 182,000 distinct tokens, 723,000 pairs and 884,000
+triples, so triples would double the exchange, from about 3.1 to about 6 times the input, where 4 are allowed.
 """
 
 from __future__ import annotations
@@ -22,13 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored, text_blocks
+from plumbline.llm.common import dropped, stored, text_blocks
 from plumbline.llm.hashing import mix, word_hashes
 
 _U = np.uint64
 _END, _BEGIN = _U(0x6A09E667F3BCC908), _U(0xBB67AE8584CAA73B)
 #: Tokens of a chunk; distinct n-grams of a bucket, about; context-frequency buckets (powers of two, the last is open).
 CHUNK, BUCKET, FREQUENCIES = 1_000_000, 2_000_000, 40
+#: Chunks of a group: the most messages that a bucket gets.
+FAN = 1 << 14
 ROUNDS = 15
 #: Roles of a document: counted, left out of the counts to learn the weights, not learnt from at all.
 COUNTED, LEFT_OUT, UNSEEN = 0, 1, 2
@@ -105,9 +112,27 @@ def _large(counts: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), "<i8")
 
 
-def totals(parts: DataFrame, buckets: int) -> DataFrame:
+def _added(hashes: list[np.ndarray], counts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct hashes of messages in order, the sums of their counts by row (0 counted, 1 left out), and each message's places.
+    counts: of the k-th message, which row they belong to; messages have distinct hashes."""
+    each, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    ends = np.cumsum([len(x) for x in hashes])
+    places = [at[e - len(x) : e] for x, e in zip(hashes, ends, strict=True)]
+    sums = np.zeros((2, len(each)), np.int64)
+    for place, (row, c) in zip(places, counts, strict=True):
+        sums[row, place] += c
+    return each, sums, places
+
+
+def _seen(each: np.ndarray, sums: np.ndarray, kind: int) -> tuple[int, int]:
+    """Tokens and distinct tokens."""
+    real = (each != _BEGIN) & (sums[0] + sums[1] > 0)
+    return (int(sums[:, real].sum()), int(real.sum())) if kind == 1 else (0, 0)
+
+
+def totals(parts: DataFrame, buckets: int, groups: int = 1) -> DataFrame:
     """(chunk, left_out, kind, bucket, kept, held, n, v): for the chunk's n-grams in hash order, in how many tokens of counted
-    and of left-out documents they are. n and v: tokens and distinct tokens that the bucket has, given once."""
+    and of left-out documents they are. n and v: tokens and distinct tokens, in rows that add up to all."""
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -122,29 +147,69 @@ def totals(parts: DataFrame, buckets: int) -> DataFrame:
                     cut = _slices(hashes, buckets)
                     for b in np.flatnonzero(np.diff(cut)):
                         s = slice(cut[b], cut[b + 1])
-                        out.append((int(b), row.chunk, row.left_out, kind, hashes[s].tobytes(), _small(counts[s])))
+                        out.append((row.group, int(b), row.chunk, row.left_out, kind, hashes[s].tobytes(), _small(counts[s])))
                 del t
-                yield pd.DataFrame(out, columns=["bucket", "chunk", "left_out", "kind", "hashes", "counts"])
+                yield pd.DataFrame(out, columns=["group", "bucket", "chunk", "left_out", "kind", "hashes", "counts"])
+
+    def messages(frame: pd.DataFrame) -> Iterator[tuple]:
+        """Of each kind of n-grams: the kind, the rows of the messages, and what _added gives."""
+        for kind, rows in frame.groupby("kind"):
+            yield kind, rows, *_added([np.frombuffer(x, _U) for x in rows.hashes], [(int(r.left_out), _large(r.counts)) for r in rows.itertuples()])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, rows, each, sums, places in messages(frame):
+            n, v = _seen(each, sums, kind)
+            for row, place in zip(rows.itertuples(), places, strict=True):
+                out.append((row.chunk, row.left_out, kind, row.bucket, _small(sums[0, place]), _small(sums[1, place]), n, v))
+                n = v = 0
+        return pd.DataFrame(out, columns=["chunk", "left_out", "kind", "bucket", "kept", "held", "n", "v"])
+
+    def up(frame: pd.DataFrame) -> pd.DataFrame:
+        """A group's sums, cut for the upper buckets."""
+        out = []
+        for kind, rows, each, sums, _ in messages(frame):
+            cut = _slices(each, buckets * groups)
+            for u in np.flatnonzero(np.diff(cut)):
+                s = slice(cut[u], cut[u + 1])
+                out.append((int(u), rows.group.iloc[0], rows.bucket.iloc[0], kind, each[s].tobytes(), _small(sums[0, s]), _small(sums[1, s])))
+        return pd.DataFrame(out, columns=["upper", "group", "bucket", "kind", "hashes", "kept", "held"])
+
+    def over(frame: pd.DataFrame) -> pd.DataFrame:
+        """All groups' sums, sent back to the groups' buckets."""
         out = []
         for kind, rows in frame.groupby("kind"):
             hashes = [np.frombuffer(x, _U) for x in rows.hashes]
-            each, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            ends = np.cumsum([len(x) for x in hashes])
-            spans = list(zip(ends - [len(x) for x in hashes], ends, strict=True))
-            sums = np.zeros((2, len(each)), np.int64)
-            for row, (s, e) in zip(rows.itertuples(), spans, strict=True):
-                sums[int(row.left_out), at[s:e]] += _large(row.counts)  # distinct within a message
-            real = (each != _BEGIN) & (sums[0] + sums[1] > 0)
-            n, v = (int(sums[:, real].sum()), int(real.sum())) if kind == 1 else (0, 0)
-            for row, (s, e) in zip(rows.itertuples(), spans, strict=True):
-                out.append((row.chunk, row.left_out, kind, row.bucket, _small(sums[0, at[s:e]]), _small(sums[1, at[s:e]]), n, v))
+            each, sums, places = _added(hashes * 2, [(k, _large(c)) for k, column in enumerate((rows.kept, rows.held)) for c in column])
+            n, v = _seen(each, sums, kind)
+            for row, place in zip(rows.itertuples(), places, strict=False):
+                out.append((row.group, row.bucket, kind, row.upper, _small(sums[0, place]), _small(sums[1, place]), n, v))
+                n = v = 0
+        return pd.DataFrame(out, columns=["group", "bucket", "kind", "upper", "kept", "held", "n", "v"])
+
+    def down(key, asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """The totals of a group's bucket, sent back to the chunks."""
+        out = []
+        for kind, rows, _, _, places in messages(asked):
+            own = found[found.kind == kind].sort_values("upper")
+            kept, held = (np.concatenate([_large(x) for x in own[c]]) for c in ("kept", "held"))
+            n, v = int(own.n.sum()), int(own.v.sum())
+            for row, place in zip(rows.itertuples(), places, strict=True):
+                out.append((row.chunk, row.left_out, kind, row.bucket, _small(kept[place]), _small(held[place]), n, v))
                 n = v = 0
         return pd.DataFrame(out, columns=["chunk", "left_out", "kind", "bucket", "kept", "held", "n", "v"])
 
-    asked = parts.mapInPandas(ask, "bucket int, chunk long, left_out boolean, kind int, hashes binary, counts binary")
-    return stored(asked.groupBy("bucket").applyInPandas(add, "chunk long, left_out boolean, kind int, bucket int, kept binary, held binary, n long, v long"), "lm-totals")
+    asked = parts.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int")).mapInPandas(ask, "group int, bucket int, chunk long, left_out boolean, kind int, hashes binary, counts binary")
+    answer = "chunk long, left_out boolean, kind int, bucket int, kept binary, held binary, n long, v long"
+    if groups == 1:
+        return stored(asked.groupBy("bucket").applyInPandas(add, answer), "lm-totals")
+    asked = stored(asked, "lm-asked")
+    own = asked.groupBy("group", "bucket")
+    sums = own.applyInPandas(up, "upper int, group int, bucket int, kind int, hashes binary, kept binary, held binary")
+    back = sums.groupBy("upper").applyInPandas(over, "group int, bucket int, kind int, upper int, kept binary, held binary, n long, v long")
+    out = stored(own.cogroup(back.groupBy("group", "bucket")).applyInPandas(down, answer), "lm-totals")
+    dropped(asked)
+    return out
 
 
 def _looked_up(rows: pd.DataFrame, answers: pd.DataFrame) -> Iterator[tuple]:
@@ -193,17 +258,24 @@ def learnt_weights(parts: DataFrame, answers: DataFrame, n: int, v: int) -> np.n
     return weights
 
 
+def learnt(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int, np.ndarray]:
+    """The chunks of docs, their n-grams' totals, the numbers of tokens and of distinct tokens learnt from, and the weights."""
+    parts = chunks(docs)
+    n_chunks, tokens = parts.agg(F.count("*"), F.sum("tokens")).first()
+    groups = max(1, -(-n_chunks // FAN))
+    buckets = max(-(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups), (tokens or 0) // groups // BUCKET + 1)
+    answers = totals(parts, buckets, groups)
+    n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
+    return parts, answers, n, v, learnt_weights(parts, answers, n, v)
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; nulls and empty texts are an end token alone.
 
-    Without any training document all counts are 0 and every token gets the uniform part.
+    Without any training document all counts are 0 and every token gets the uniform part. Rows that repeat a doc_id are each counted
+    and scored; doc_id is cast to long (an id that is no number is an error), a null one counts as the empty text in the split.
     """
-    parts = chunks(docs)
-    tokens = parts.agg(F.sum("tokens")).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET + 1)
-    answers = totals(parts, buckets)
-    n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
-    weights = learnt_weights(parts, answers, n, v)
+    parts, answers, n, v, weights = learnt(docs)
 
     def score(key, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []

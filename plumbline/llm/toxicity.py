@@ -94,7 +94,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Mod
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] | None = None) -> Model:
     """Learns from labelled rows of docs, without those whose crc32 of doc_id modulo held_out[0] is held_out[1].
 
-    Labels other than 0 and 1 are left out; a doc_id with several labels takes the largest. The sample is bounded by
+    Labels other than 0 and 1 are left out; a doc_id with several labels takes the largest, one with several texts that of its
+    examples that comes first as bytes. The sample is bounded by
     MAX_POSITIVE and MAX_NEGATIVE; examples of a label that the bound thins weigh more by as much. Without any example the
     model has no weights and a bias of 0.
     """
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tupl
 
     # the sample has at most MAX_POSITIVE + MAX_NEGATIVE ids: a broadcast of bounded size
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(featured, "doc_id long, y int, x binary")
-    examples = stored(examples.dropDuplicates(["doc_id"]), "examples")
+    examples = stored(examples.groupBy("doc_id", "y").agg(F.min("x").alias("x")), "examples")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(o=mix(pdf.doc_id.to_numpy().astype(np.uint64))).sort_values(["o", "doc_id"])

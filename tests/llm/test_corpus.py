@@ -182,19 +182,73 @@ def test_toxicity(spark, sf, odd, none):
     assert {r.score for r in toxicity.scored(docs, toxicity.fit(docs, labels.limit(0)), ["doc_id"]).collect()} == {0.5}
 
 
-def test_lm(spark, sf, odd, none):
+class PlainLm:
+    """Deleted interpolation in plain Python, from (doc_id, text) rows."""
+
+    def __init__(self, rows):
+        self.one, self.two, self.left = collections.Counter(), collections.Counter(), []
+        kept_one, kept_two = collections.Counter(), collections.Counter()
+        kept = 0
+        for i, t in rows:
+            crc = zlib.crc32(str(i).encode())
+            if crc % 5 == 1:
+                continue
+            own = ["<", *words((t or "").translate(LOWER)), None]
+            self.one.update(own)
+            self.two.update(zip(own, own[1:], strict=False))
+            if crc // 5 % 10 == 0:
+                self.left.append(own)
+            else:
+                kept += len(own) - 1
+                kept_one.update(own)
+                kept_two.update(zip(own, own[1:], strict=False))
+        self.n, self.v = sum(c for w, c in self.one.items() if w != "<"), len(set(self.one) - {"<"})
+        self.weights = [[0.0, 0.7, 0.3]] + [[0.4, 0.4, 0.2] for _ in range(39)]
+        for _ in range(15):
+            sums = collections.defaultdict(lambda: [0.0, 0.0, 0.0])
+            for own in self.left:
+                for u, w in zip(own, own[1:], strict=False):
+                    b = self.bucket(kept_one[u])
+                    x = [self.weights[b][0] * (kept_two[u, w] / kept_one[u] if kept_one[u] else 0.0), self.weights[b][1] * kept_one[w] / max(1, kept), self.weights[b][2] / (self.v + 1)]
+                    sums[b] = [s + y / sum(x) for s, y in zip(sums[b], x, strict=True)]
+            for b, s in sums.items():
+                s = [s[0] + (0.01 if b else 0.0), s[1] + 0.01, s[2] + 0.01]
+                self.weights[b] = [y / sum(s) for y in s]
+
+    @staticmethod
+    def bucket(count):
+        return min(39, math.ceil(math.log2(count + 1)))
+
+    def p(self, u, w):
+        a, b, c = self.weights[self.bucket(self.one[u])]
+        return a * (self.two[u, w] / self.one[u] if self.one[u] else 0.0) + b * (self.one[w] if w != "<" else 0) / self.n + c / (self.v + 1)
+
+    def score(self, t):
+        own = ["<", *words((t or "").translate(LOWER)), None]
+        return sum(math.log10(self.p(u, w)) for u, w in zip(own, own[1:], strict=False))
+
+
+@pytest.mark.parametrize("fan", [1 << 14, 2])
+def test_lm(spark, sf, odd, none, monkeypatch, fan):
+    """Against plain Python, with one group of chunks and with many that are added up in two levels."""
+    monkeypatch.setattr(lm, "FAN", fan)
+    if fan == 2:
+        monkeypatch.setattr(lm, "CHUNK", 5_000)
+        monkeypatch.setattr(lm, "BUCKET", 3_000)
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in texts(spark, sf).items()}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
+    train = {i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1}
     c = collections.Counter(w for i in train for w in tokens[i])
     n, v = sum(c.values()), len(c)
+    plain = PlainLm(texts(spark, sf).items())
+    assert (plain.n, plain.v) == (n, v)
     got = {r.doc_id: r for r in lm.scored(df).collect()}
-    for i, t in tokens.items():
+    for i, t in texts(spark, sf).items():
         g = got[i]
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (i not in set(train), len(t), sum(c[w] > 0 for w in t), n)
-        assert g.base_score == pytest.approx(base, rel=1e-9) and g.score < 0
-    held = [got[i] for i in tokens if i not in set(train)]
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i])
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (i not in train, len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n)
+        assert g.base_score == pytest.approx(base, rel=1e-9) and g.score == pytest.approx(plain.score(t), rel=1e-6)
+    held = [got[i] for i in tokens if i not in train]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     odds = lm.scored(odd).collect()
     assert len(odds) == odd.count() and {r.n_tokens for r in odds if r.doc_id in (5, 6, 7)} == {1}
@@ -202,13 +256,55 @@ def test_lm(spark, sf, odd, none):
 
 
 def test_lm_is_a_distribution(spark):
-    """Over a tiny vocabulary the probabilities of all continuations of a context add up to one."""
-    train = [(i, "a b a b c") for i in range(40)]
-    nxt = [(1000 + k, f"a {w}") for k, w in enumerate(["a", "b", "c", "zzz"])]
-    rows = [x for x in train + nxt]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lm.scored(df).collect()}
-    assert all(10 ** got[1000 + k].score <= 1 for k in range(4))
+    """The probabilities of all continuations of a context add up to one, whether the context was seen often, once or never."""
+    rows = [(i, "a b a b c" if i % 3 else "b c d") for i in range(200)] + [(500, "once upon"), (1000, "a d"), (1001, "zzz a")]
+    plain = PlainLm(rows)
+    got = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == pytest.approx(plain.score(t)) for i, t in rows)  # so these are the operator's probabilities
+    for u in ["<", "a", "b", "once", "never seen"]:
+        every = sum(plain.p(u, w) for w in plain.one if w != "<") + plain.p(u, "unknown")
+        assert every == pytest.approx(1.0)
+
+
+def test_ftrl_by_hand():
+    """FTRL-proximal with per-coordinate rates, in plain Python over dictionaries."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    rows = [np.array(sorted(r.sample(range(60), r.randint(0, 12))), np.int32) for _ in range(300)]
+    labels = np.array([int(3 in x or (7 in x and 9 in x)) for x in rows])
+    weights = np.array([2.0 if y else 1.0 for y in labels])
+    model = toxicity.ftrl(rows, labels, weights)
+    often = collections.Counter(int(c) for x in rows for c in x)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        l1 = 0 if k == "bias" else toxicity.L1
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y, s in zip(rows, labels, weights, strict=True):
+            keys = [int(c) for c in x if often[int(c)] >= toxicity.MIN_DOCS] + ["bias"]
+            w = {k: weight(k) for k in keys}
+            g = s * (1 / (1 + math.exp(-sum(w.values()))) - y)
+            for k in keys:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+    want = {k: weight(k) for k in often if often[k] >= toxicity.MIN_DOCS and weight(k)}
+    assert dict(zip(model.at.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(want)
+    assert model.bias == pytest.approx(weight("bias")) and 3 in want and len(want) < 60
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Of several texts of one id the same one is learnt from, in whatever order rows come."""
+    rows = [(i, f"{'bad' if i % 2 else 'good'} words v{i % 9} and {k}") for i in range(80) for k in ("one", "two", "three")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(k), labels) for k, x in ((1, rows), (5, rows[::-1]))]
+    assert models[0].at.tolist() == models[1].at.tolist() and models[0].weight.tolist() == models[1].weight.tolist()
 
 
 def test_packing(spark, sf, odd, none):
