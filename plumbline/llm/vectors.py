@@ -5,6 +5,10 @@ to, by sums of table look-ups, and what passes is compared again by exact cosine
 in its nearest PROBES lists. A code passes when the looked-up distance is at most the largest distance of a link plus the
 code's own stored error, so by the triangle inequality quantisation loses nothing: only probing can.
 
+The number of lists is the square root of the number of vectors, so lists grow as slowly as they can. Beyond FLAT lists the coarse
+quantiser has two levels: cells fitted on a small sample, and in each cell, in a task of its own, centres by the cell's share of the
+vectors; a vector looks for its lists in its nearest DESCENTS cells.
+
 Vectors are taken as double unit vectors. Equal vectors are one class, which counts with its size. A list is worked on in
 cells of bounded numbers of queries and codes, so a list that very many vectors share is many tasks; a cell sends on counts
 and a forest of its links, not pairs.
@@ -24,8 +28,11 @@ from plumbline.llm.common import components, sampled, stored
 
 #: Lists that a code is in; subspaces; codes of a subspace; Lloyd rounds.
 PROBES, SUBSPACES, CODES, ROUNDS = 8, 16, 64, 6
-#: Lists: the square root of the number of vectors, within these bounds. Vectors fitted on: so many a list, those whose hashed id is smallest.
-LISTS, FITTED = (4, 1 << 13), 24
+#: Lists: the square root of the number of vectors, within these bounds (the largest model broadcast is LISTS[1] centres of 4 bytes a
+#: dimension; it is reached at 7e10 vectors). Vectors fitted on: so many a list, those whose hashed id is smallest.
+LISTS, FITTED = (4, 1 << 18), 24
+#: Most lists of a quantiser of one level; cells that a vector looks for lists in.
+FLAT, DESCENTS = 1024, 12
 #: Queries and codes of a cell.
 QUERIES, ENTRIES = 512, 4096
 
@@ -49,34 +56,55 @@ def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centres and the code books of the residuals' subspaces (the last ones padded with zeros)."""
+    """Coarse centres by cell, the cells' centres, and the code books of the residuals' subspaces (the last ones padded with zeros)."""
 
-    def __init__(self, sample: np.ndarray, lists: int) -> None:
-        self.dim = sample.shape[1]
+    def __init__(self, cells: np.ndarray, centres: list[np.ndarray]) -> None:
+        self.dim = cells.shape[1]
         self.width = -(-self.dim // SUBSPACES)
-        self.coarse = _means(sample, min(lists, len(sample)))
-        rest = self._split(sample - self.coarse[_nearest(sample, self.coarse)])
+        self.cells, self.at = cells, np.cumsum([0, *map(len, centres)])
+        self.coarse = np.concatenate(centres).astype(np.float32)
+        self.half = (self.coarse.astype(np.float64) ** 2).sum(axis=1) / 2
+
+    def fit_codes(self, sample: np.ndarray) -> None:
+        """The code books, from the residuals of a sample."""
+        rest = self._split(sample - self.coarse[self.lists(sample)[:, 0]])
         self.books = np.stack([_means(rest[:, m], min(CODES, len(sample))) for m in range(SUBSPACES)])
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.width * SUBSPACES - self.dim))).reshape(len(x), SUBSPACES, self.width)
 
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The nearest PROBES lists of each row (or all, if there are fewer), the nearest first."""
+        many = min(PROBES, len(self.coarse))
+        apart = (self.cells**2).sum(axis=1) / 2 - x @ self.cells.T
+        first = np.argsort(apart, axis=1, kind="stable")[:, :DESCENTS]
+        best, place = np.full((len(x), many), np.inf), np.full((len(x), many), -1)
+        for c in np.unique(first):
+            rows = np.flatnonzero((first == c).any(axis=1))
+            s, e = self.at[c], self.at[c + 1]
+            d = np.concatenate([best[rows], self.half[s:e] - x[rows] @ self.coarse[s:e].T.astype(np.float64)], axis=1)
+            i = np.concatenate([place[rows], np.broadcast_to(np.arange(s, e), (len(rows), e - s))], axis=1)
+            order = np.argsort(d, axis=1, kind="stable")[:, :many]
+            best[rows], place[rows] = np.take_along_axis(d, order, axis=1), np.take_along_axis(i, order, axis=1)
+        # a vector whose cells have fewer lists than it probes has its nearest again
+        return np.where(place < 0, place[:, :1], place).astype(np.int32)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest lists (PROBES, the home first), codes, the error's norm, and the squared norm of what the code stands for."""
-        half = (self.coarse**2).sum(axis=1) / 2
-        near = np.argsort(half - x @ self.coarse.T, axis=1, kind="stable")[:, :PROBES].astype(np.int32)
+        """Nearest lists (the home first), codes, the error's norm, and the squared norm of what the code stands for."""
+        near = self.lists(x)
         rest = self._split(x - self.coarse[near[:, 0]])
         code = np.stack([_nearest(rest[:, m], self.books[m]) for m in range(SUBSPACES)], axis=1).astype(np.uint8)
         back = self.decode(near[:, 0], code)
         return near, code, np.sqrt(((x - back) ** 2).sum(axis=1)), (back**2).sum(axis=1)
 
     def decode(self, home: np.ndarray, code: np.ndarray) -> np.ndarray:
-        return self.coarse[home] + self.books[np.arange(SUBSPACES), code].reshape(len(code), -1)[:, : self.dim]
+        return self.coarse[home].astype(np.float64) + self.books[np.arange(SUBSPACES), code].reshape(len(code), -1)[:, : self.dim]
 
     def distances(self, q: np.ndarray, home: np.ndarray, code: np.ndarray, square: np.ndarray) -> np.ndarray:
         """Asymmetric distances of full queries and codes, from tables of inner products."""
         table = np.einsum("qmw,mkw->mqk", self._split(q), self.books)
-        inner = (q @ self.coarse.T)[:, home]
+        each, at = np.unique(home, return_inverse=True)
+        inner = (q @ self.coarse[each].T.astype(np.float64))[:, at]
         for m in range(SUBSPACES):
             inner += table[m][:, code[:, m]]
         return np.sqrt(np.maximum(0, 1 + square[None, :] - 2 * inner))
@@ -117,18 +145,57 @@ def _units(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.where(F.size("embedding") == dim).select("vec_id", "embedding").mapInPandas(unit, "id long, unit binary")
 
 
+def _in_one_task(sample: DataFrame, work) -> object:
+    """work(unit vectors by id) of a small bounded sample, done in one task."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"made": [pickle.dumps(work(_rows(f.sort_values("id").unit, np.float64)))]})
+
+    return pickle.loads(sample.groupBy(F.lit(1).alias("all")).applyInPandas(run, "made binary").first()["made"])
+
+
+def _fitted(classes: DataFrame, total: int) -> Quantiser:
+    """The quantiser of total vectors (id, unit)."""
+    lists = int(min(max(total**0.5, LISTS[0]), LISTS[1]))
+    sample = stored(sampled(classes.select("id", "unit"), min(lists, FLAT) * FITTED, "id"), "vector-sample")
+    if lists <= FLAT:
+        centres = _in_one_task(sample, lambda x: _means(x, min(lists, len(x))))
+        model = Quantiser(centres.mean(axis=0, keepdims=True), [centres])
+    else:
+        cells = _in_one_task(sample, lambda x: _means(x, min(round(lists**0.5), len(x))))
+
+        def cell_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield f.assign(cell=_nearest(_rows(f.unit, np.float64), cells))
+
+        # a sample that no task sees whole: about FITTED vectors a list
+        whole = 1 << 30
+        own = classes.select("id", "unit").where(F.pmod(F.xxhash64("id"), F.lit(whole)) < F.lit(int(whole * min(1.0, lists * FITTED / total))))
+        own = stored(own.mapInPandas(cell_of, "id long, unit binary, cell int"), "vector-cells")
+        counts = own.groupBy("cell").agg(F.count("*").alias("n"))
+        most = 4 * lists // len(cells) + 1  # lists of a cell; a cell with more vectors than that fits a sample of them
+        share = counts.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(most), F.round(F.col("n") / FITTED).cast("int"))))
+        picked = own.join(share, "cell").where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(whole)) < F.col("k") * FITTED * F.lit(float(whole)) / F.col("n"))
+
+        def centres_of(f: pd.DataFrame) -> pd.DataFrame:
+            x = _rows(f.sort_values("id").unit, np.float64)
+            return pd.DataFrame({"cell": [f.cell.iloc[0]], "centres": [_means(x, min(int(f.k.iloc[0]), len(x))).astype(np.float32).tobytes()]})
+
+        found = {r.cell: np.frombuffer(r.centres, np.float32).reshape(-1, cells.shape[1]) for r in picked.groupBy("cell").applyInPandas(centres_of, "cell int, centres binary").collect()}  # LISTS[1] centres at most, about
+        model = Quantiser(cells, [found.get(c, cells[c : c + 1]) for c in range(len(cells))])
+
+    def with_codes(x: np.ndarray) -> Quantiser:
+        model.fit_codes(x)
+        return model
+
+    return _in_one_task(sample, with_codes)
+
+
 def _linked(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(a, b, n): with b null, n more linked rows for class a; else an edge of the links' forest."""
     spark = classes.sparkSession
     total = classes.count()
-    lists = int(min(max(total**0.5, LISTS[0]), LISTS[1]))
-    sample = sampled(classes.select("id", "unit"), lists * FITTED, "id")
-
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"model": [pickle.dumps(Quantiser(_rows(f.sort_values("id").unit, np.float64), lists))]})
-
-    fitted = sample.groupBy(F.lit(1).alias("all")).applyInPandas(fit, "model binary").first()
-    model = spark.sparkContext.broadcast(pickle.loads(fitted["model"]))
+    model = spark.sparkContext.broadcast(_fitted(classes, total))
     far = (2 * (1 - threshold)) ** 0.5
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +203,7 @@ def _linked(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             for at in range(0, len(f), 2048):
                 p = f.iloc[at : at + 2048]
                 near, code, error, square = model.value.encode(_rows(p.unit, np.float64))
-                yield pd.DataFrame({"id": p.id, "times": p.times, "unit": p.unit, "home": near[:, 0], "probes": [r.tobytes() for r in near], "near": near.tolist(), "code": [r.tobytes() for r in code], "error": error, "square": square})
+                yield pd.DataFrame({"id": p.id, "times": p.times, "unit": p.unit, "home": near[:, 0], "probes": [r.tobytes() for r in near], "near": [np.unique(r).tolist() for r in near], "code": [r.tobytes() for r in code], "error": error, "square": square})
 
     coded = stored(classes.mapInPandas(encode, "id long, times long, unit binary, home int, probes binary, near array<int>, code binary, error double, square double"), "vector-codes")
     entries = coded.select(F.explode("near").alias("list"), "id", "home", "code", "error", "square")
