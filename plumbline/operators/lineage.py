@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share. Only in local mode, where it may be unset, a folder is made and set."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="spark-plumbline-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir, which all executors share (one is made where none is set, as in tests)."""
+    """df, written to the shared folder. Spark removes a checkpoint with its DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-plumbline-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.lineage import shared_folder
 from plumbline.plans import bindings as B
 from plumbline.plans.scoring import _STATES, _STOP
 from plumbline.streaming import runs as R
@@ -17,9 +17,8 @@ SQL: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's checkpoint and output: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-plumbline-")
-    return f"{top.rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
+    """A new folder for a stream's checkpoint and output, or a query's files, below the shared folder."""
+    return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
