@@ -339,3 +339,17 @@ def deduplicated(docs: DataFrame, **how: int) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+#: The same in DuckDB's SQL, for tables small enough for all pairs that share a shingle.
+OP10_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from w),
+c as (select s, min(doc_id) as id, len(s) as n from s where len(s) > 0 group by s),
+x as (select id, n, unnest(s) as t from c),
+link as (select a.id as a, b.id as b from x a join x b on a.t = b.t and a.id < b.id and 85 * greatest(a.n, b.n) <= 100 * least(a.n, b.n) group by a.id, b.id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edge as (select a, b from link union all select b, a from link),
+reach as (select a, b from edge union select r.a, e.b from reach r join edge e on r.b = e.a),
+low as (select a as id, least(a, min(b)) as component_id from reach group by a)
+select s.doc_id, len(s.s) as n_shingles, coalesce(low.component_id, c.id, s.doc_id) as component_id from s left join c on c.s = s.s left join low on low.id = c.id
+"""

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from plumbline.llm.bpe import op6_bpe
 from plumbline.llm.chat import OP2_SQL, op2_chat_formatting
-from plumbline.llm.jaccard import op10_jaccard_join
+from plumbline.llm.jaccard import OP10_SQL, op10_jaccard_join
 from plumbline.llm.licences import op9_license_scan
 from plumbline.llm.lm import op1_lm_scoring
 from plumbline.llm.packing import op5_packing
 from plumbline.llm.quality import OP7_SQL, op7_quality_rules
 from plumbline.llm.shards import op8_sharding
 from plumbline.llm.toxicity import op3_toxicity
-from plumbline.llm.vectors import op4_vector_duplicates
+from plumbline.llm.vectors import OP4_SQL, op4_vector_duplicates
 
 
 def queries() -> dict:
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op4_vector_duplicates": OP4_SQL, "op7_quality_rules": OP7_SQL, "op10_jaccard_join": OP10_SQL}

@@ -273,3 +273,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 def op4_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: The same in DuckDB's SQL, for tables small enough for all pairs.
+OP4_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+fine as (select vec_id, e from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from fine a join fine b on a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+edge as (select a, b from link union all select b, a from link),
+reach as (select a, b from edge union select r.a, e.b from reach r join edge e on r.b = e.a),
+n as (select a, count(*) as n from edge group by a), low as (select a, least(a, min(b)) as c from reach group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept from v left join n on n.a = vec_id left join low on low.a = vec_id
+"""

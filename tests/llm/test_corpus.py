@@ -133,17 +133,6 @@ def test_copies_are_no_common_lines(spark):
     assert quality.verdicts(df).where("not depleted").count() == 310
 
 
-def test_quality_sql(spark, sf):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
-    found = con.execute(quality.OP7_SQL)
-    names = [x[0] for x in found.description]
-    df = quality.op7_quality_rules(spark, sf)
-    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(found.fetchall())
-
-
 def test_columns_of_the_names_used_inside(spark, odd):
     """Stages keep columns whatever they are called."""
     df = odd.withColumn("removed_0", F.lit(1)).withColumn("id_0", F.lit(2)).withColumn("gone_0", F.lit(3)).withColumn("n", F.lit(4))

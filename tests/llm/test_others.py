@@ -14,12 +14,14 @@ from plumbline.llm.common import components
 from plumbline.llm.queries import oracle_sql, queries
 
 
-def test_chat_oracle(spark, sf):
-    df = queries()["op2_chat_formatting"](spark, sf)
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_oracle(spark, sf, name):
+    df = queries()[name](spark, sf)
     cols = sorted(df.columns)
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
-    found = con.execute(oracle_sql()["op2_chat_formatting"])
+    for t in ("conversations", "documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    found = con.execute(oracle_sql()[name])
     names = [x[0] for x in found.description]
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[names.index(c)] for c in cols) for r in found.fetchall())
 
