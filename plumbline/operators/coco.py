@@ -7,8 +7,6 @@ detection stays one row until precision is taken at the true positives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,35 +94,18 @@ def matches(truth: DataFrame, detections: DataFrame, score_min: float = 0.05) ->
     return _alone(rows.where(~F.col("competing"))).unionByName(_competing(groups))
 
 
-def _true_positives(ranked: DataFrame) -> DataFrame:
-    """(label, part, setting, k, n): of each stretch ``part`` of a label's detections in order, the true positives with how many of the
-    stretch are true positives (k) and counted (n) up to there; and once for each stretch and setting, as k = 0 - total, n = total."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shift = np.arange(_T * _A)
-        label = part = None
-        sums = np.zeros((2, _T * _A), np.int64)
-
-        def total() -> pd.DataFrame:
-            return pd.DataFrame({"label": label, "part": part, "setting": shift, "k": -sums[0], "n": sums[1]})
+def _flags(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For a stretch of a label's detections in order: true positive and counted, [detection, setting]."""
+    rows = rows.sort_values(["minus", "image_id", "det_id"], kind="stable")
+    tp, counted = ((rows[c].to_numpy()[:, None] >> np.arange(_T * _A)) & 1 for c in ("tp", "counted"))
+    return tp.astype(bool), counted.astype(bool)
 
-        for f in frames:
-            at = np.flatnonzero(f.label.ne(f.label.shift()).to_numpy())
-            for s, e in zip(at, [*at[1:], len(f)], strict=True):
-                own = f.iloc[s:e]
-                if label is not None and own.label.iloc[0] != label:
-                    yield total()
-                    sums = np.zeros((2, _T * _A), np.int64)
-                label, part = own.label.iloc[0], own.part.iloc[0]
-                tp, counted = ((own[c].to_numpy()[:, None] >> shift) & 1 for c in ("tp", "counted"))
-                k, n = np.cumsum(tp, axis=0) + sums[0], np.cumsum(counted, axis=0) + sums[1]
-                i, c = np.nonzero(tp)
-                sums = np.stack([k[-1], n[-1]])
-                yield pd.DataFrame({"label": label, "part": part, "setting": c, "k": k[i, c], "n": n[i, c]})
-        if label is not None:
-            yield total()
 
-    return ranked.select("label", "part", "tp", "counted").mapInPandas(run, f"label {ranked.schema['label'].dataType.simpleString()}, part int, setting int, k long, n long")
+def _precision(tp: np.ndarray, counted: np.ndarray, base: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of true positives so far, and the precision at each true positive (elsewhere -1). base: a row a setting, in order."""
+    k = np.cumsum(tp, axis=0) + base["k"].to_numpy()
+    n = np.cumsum(counted, axis=0) + base["n"].to_numpy()
+    return k, np.where(tp, k / np.maximum(n, 1), -1.0)
 
 
 def precision_table(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -132,25 +113,45 @@ def precision_table(truth: DataFrame, found: DataFrame) -> DataFrame:
 
     By falling score, recall after the k-th true positive is k / truths. The precision at a recall point is the largest at or
     after the first rank that reaches it, so each true positive stands for the points p / 100 in ((k - 1) / truths, k / truths].
-    A label's detections are ranked in stretches of bounded size: the stretches' sums are totalled first, so no task ranks a whole label.
+    A label's detections are ranked in stretches of bounded size: what lies before a stretch (sums) and after it (the largest
+    precision) comes from a row a stretch and setting, so no task ranks a whole label.
     """
     own = truth.select("label", box_area(*_BOX).alias("area"), F.explode(F.array(*(F.struct(F.lit(a).alias("name"), F.lit(i).alias("i"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (a, (lo, hi)) in enumerate(AREAS.items())))).alias("a"))
     truths = own.where(F.col("area").between(F.col("a.lo"), F.col("a.hi"))).groupBy("label", F.col("a.name").alias("area"), F.col("a.i").alias("i")).agg(F.count("*").alias("truths"))
     grid = truths.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(_T - 1)))).withColumn("setting", F.col("i") * _T + F.col("t"))
-    order = ["label", F.desc("score"), "image_id", "det_id"]
-    ranked = checkpointed(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    rows = checkpointed(_true_positives(ranked))
+    order = ["label", "minus", "image_id", "det_id"]
+    ranked = checkpointed(found.withColumn("minus", -F.col("score")).drop("score").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    stretch = ranked.groupBy("label", "part")
+    label = f"label {found.schema['label'].dataType.simpleString()}"
+
+    def totals(rows: pd.DataFrame) -> pd.DataFrame:
+        tp, counted = _flags(rows)
+        return pd.DataFrame({"label": rows.label.iloc[0], "part": rows.part.iloc[0], "setting": np.arange(_T * _A), "k": tp.sum(axis=0), "n": counted.sum(axis=0)})
+
+    def tops(rows: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        _, p = _precision(*_flags(rows), base.sort_values("setting"))
+        return base.assign(p=p.max(axis=0)[base.setting.to_numpy()])[["label", "part", "setting", "k", "n", "p"]]
+
+    def points(rows: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        base = base.sort_values("setting")
+        tp, counted = _flags(rows)
+        k, p = _precision(tp, counted, base)
+        envelope = np.maximum(np.maximum.accumulate(p[::-1], axis=0)[::-1], base["later"].to_numpy())
+        every = base["truths"].to_numpy()
+        held = np.maximum(every, 1)
+        many = np.where(tp, (100 * k) // held - (100 * (k - 1)) // held + (k == 1), 0)
+        out = pd.DataFrame({"label": base.label, "setting": base.setting, "ap": (envelope * many).sum(axis=0) / 101, "recall": np.where(tp, k / held, 0.0).max(axis=0)})
+        return out[every > 0]
+
+    sums = checkpointed(stretch.applyInPandas(totals, f"{label}, part int, setting int, k long, n long"))  # a row a stretch and setting
     before = W.partitionBy("label", "setting").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    base = rows.where("k <= 0").select("label", "setting", "part", F.coalesce(F.sum(-F.col("k")).over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))  # a row a stretch and setting
-    hits = rows.where("k > 0").join(base, ["label", "setting", "part"]).select("label", "setting", "part", (F.col("k") + F.col("k0")).alias("k"), (F.col("n") + F.col("n0")).alias("n")).withColumn("p", F.col("k") / F.col("n"))
+    base = sums.select("label", "part", "setting", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("k", "n")))
+    best = checkpointed(stretch.cogroup(base.groupBy("label", "part")).applyInPandas(tops, f"{label}, part int, setting int, k long, n long, p double"))
     after = W.partitionBy("label", "setting").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
-    later = hits.groupBy("label", "setting", "part").agg(F.max("p").alias("p")).select("label", "setting", "part", F.max("p").over(after).alias("later"))
-    inside = W.partitionBy("label", "setting", "part").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
-    hits = hits.join(later, ["label", "setting", "part"]).join(grid, ["label", "setting"]).withColumn("envelope", F.greatest(F.max("p").over(inside), "later"))
-    exact = lambda k: F.expr(f"(100 * {k}) div truths")
-    hits = hits.withColumn("points", exact("k") - exact("(k - 1)") + F.when(F.col("k") == 1, 1).otherwise(0))
-    sums = hits.groupBy("label", "setting").agg((F.sum(F.col("envelope") * F.col("points")) / 101).alias("ap"), F.max(F.col("k") / F.col("truths")).alias("recall"))
-    return grid.join(sums, ["label", "setting"], "left").select("label", "area", "t", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    last = best.withColumn("later", F.coalesce(F.max("p").over(after), F.lit(-1.0))).join(grid.select("label", "setting", "truths"), ["label", "setting"], "left").fillna(0, ["truths"])
+    each = stretch.cogroup(last.groupBy("label", "part")).applyInPandas(points, f"{label}, setting int, ap double, recall double")
+    done = each.groupBy("label", "setting").agg(F.sum("ap").alias("ap"), F.max("recall").alias("recall"))
+    return grid.join(done, ["label", "setting"], "left").select("label", "area", "t", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 def coco_map(truth: DataFrame, detections: DataFrame, score_min: float = 0.05) -> DataFrame:
