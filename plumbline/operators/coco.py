@@ -88,7 +88,8 @@ def matches(truth: DataFrame, detections: DataFrame, score_min: float = 0.05) ->
     # an image's and label's detections compete if one has two candidates or two have the same
     of = W.partitionBy("image_id", "label")
     objects = F.flatten(F.collect_list(F.transform("cands", lambda x: x["obj_id"])).over(of))
-    rows = rows.withColumn("competing", (F.max(F.size("cands")).over(of) > 1) | (F.size(F.array_distinct(objects)) < F.size(objects)))
+    competing = (F.max(F.size("cands")).over(of) > 1) | (F.size(F.array_distinct(objects)) < F.size(objects))
+    rows = checkpointed(rows.withColumn("competing", competing))  # read for both kinds, and again to find the ranges of scores
     det = F.struct((-F.col("score")).alias("minus"), "det_id", "area", "cands")
     groups = rows.where("competing").groupBy("image_id", "label").agg(F.array_sort(F.collect_list(det)).alias("dets"))
     return _alone(rows.where(~F.col("competing"))).unionByName(_competing(groups))
