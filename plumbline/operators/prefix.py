@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.lineage import checkpointed
+
 
 def running_total(df: DataFrame, by: list[str], order: list[str | Column], value: str, out: str, stretch: Column | None = None, digits: int = 3) -> DataFrame:
     """df with ``out``: the sum of ``value`` over the rows of the key up to and including this one, by ``order``.
@@ -23,7 +25,7 @@ def running_total(df: DataFrame, by: list[str], order: list[str | Column], value
 
 def ranked(df: DataFrame, by: list[str], value: str | None, tie: str, out: str, levels: int = 512) -> DataFrame:
     """df with ``out``: the rank of each row within its key, from 1, by ``value`` ascending (if given) and then the hex digest ``tie``."""
-    d = df.withColumn("__one", F.lit(1).cast("long"))
+    d = checkpointed(df.withColumn("__one", F.lit(1).cast("long")))  # read for the range of values, the sums and the ranks
     if value is None:
         return running_total(d, by, [tie], "__one", out).drop("__one")
     low, high = d.agg(F.min(value), F.max(value)).first()
