@@ -5,6 +5,7 @@ from __future__ import annotations
 from plumbline.llm.alignment import op13_tokenizer_alignment
 from plumbline.llm.bpe import op6_bpe
 from plumbline.llm.chat import OP2_SQL, op2_chat_formatting
+from plumbline.llm.goodness import op11_quality_classifier
 from plumbline.llm.jaccard import OP10_SQL, op10_jaccard_join
 from plumbline.llm.licences import op9_license_scan
 from plumbline.llm.lm import op1_lm_scoring
@@ -17,7 +18,7 @@ from plumbline.llm.vectors import OP4_SQL, op4_vector_duplicates
 
 
 def queries() -> dict:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_chat_formatting": op2_chat_formatting, "op3_toxicity": op3_toxicity, "op4_vector_duplicates": op4_vector_duplicates, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_quality_rules": op7_quality_rules, "op8_sharding": op8_sharding, "op9_license_scan": op9_license_scan, "op10_jaccard_join": op10_jaccard_join, "op12_spelling_variants": op12_spelling_variants, "op13_tokenizer_alignment": op13_tokenizer_alignment}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_chat_formatting": op2_chat_formatting, "op3_toxicity": op3_toxicity, "op4_vector_duplicates": op4_vector_duplicates, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_quality_rules": op7_quality_rules, "op8_sharding": op8_sharding, "op9_license_scan": op9_license_scan, "op10_jaccard_join": op10_jaccard_join, "op11_quality_classifier": op11_quality_classifier, "op12_spelling_variants": op12_spelling_variants, "op13_tokenizer_alignment": op13_tokenizer_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
