@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import dropped, stored, text_blocks
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Links of a chunk; pairs of a bucket, about; chunks of a group; distinct words that a worker remembers.
-CHUNK, BUCKET, FAN, KEPT_WORDS = 2_000_000, 2_000_000, 1 << 14, 1 << 17
+#: Links of a chunk; pairs of a bucket, about; chunks of a group; distinct words of a generation that a worker remembers.
+CHUNK, BUCKET, FAN, KEPT_WORDS = 2_000_000, 2_000_000, 1 << 14, 3 << 16
 #: Bytes and documents that are aligned at once; characters after which a long text is cut into slices.
 BLOCK, BLOCK_DOCS, SLICE = 1 << 21, 1 << 14, 1 << 20
 #: Distinct words that are encoded as one string.
@@ -94,7 +94,8 @@ class Encoder:
         self.a_bytes = [bytes(alphabet[c] for c in self.a.id_to_token(i)) if all(c in alphabet for c in self.a.id_to_token(i)) else self.a.id_to_token(i).encode() for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, ...] | None]:
         """Of each text: ids and byte ends of both sides; None if the bytes of a side are not the text's.
@@ -150,13 +151,15 @@ class Encoder:
         yield from (raw[x:y] for x, y in zip(cut, cut[1:], strict=False))
 
     def of(self, distinct: list[str]) -> list[bytes | None]:
-        """What encoded() gives for each word; words are remembered, and all are forgotten when they are too many."""
-        new = [w for w in distinct if w not in self.known]
+        """What encoded() gives for each word. Words are remembered in two generations: when the younger is full it becomes the older one,
+        and words of the older one that come again move up."""
+        young, old = self.young, self.old
+        new = [w for w in distinct if w not in young and w not in old]
         found = dict(zip(new, self.encoded(new), strict=True))
-        out = [found[w] if w in found else self.known[w] for w in distinct]
-        if len(self.known) + len(found) > KEPT_WORDS:
-            self.known.clear()
-        self.known.update((w, x) for w, x in found.items() if len(w) <= 64)
+        out = [found[w] if w in found else young[w] if w in young else old[w] for w in distinct]
+        young.update((w, x) for w, x in zip(distinct, out, strict=True) if len(w) <= 64)
+        if len(young) > KEPT_WORDS:
+            self.young, self.old = {}, young
         return out
 
 
