@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import box_area, box_filter_reasons
+from plumbline.operators.lineage import checkpointed
+from plumbline.operators.selection import median
 
 CORNERS = ("xmin", "ymin", "xmax", "ymax")
 
@@ -83,7 +85,7 @@ def exceptions_report(boxes: DataFrame, test_images: DataFrame, images: DataFram
     """(kind, key, detail): duplicated documents (boxes with a column ``doc``) with how many are ignored, filtered boxes with their
     reasons, labels that the test images lack, and images (image_id) that no annotation names."""
     if "doc" in boxes.columns:
-        clean = annotation_clean(boxes)
+        clean = checkpointed(annotation_clean(boxes))  # read for each kind
         duplicated = clean.where("n_duplicate_docs > 0").select(F.lit("duplicated_document").alias("kind"), F.col("image_id").cast("string").alias("key"), F.col("n_duplicate_docs").cast("string").alias("detail"))
         again = clean.select("image_id", F.col("width"), F.col("height"), F.inline("raw_objects")).select("image_id", "width", "height", "obj_id", "source_label", *(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(CORNERS)))
         return duplicated.union(exceptions_report(again, test_images, images))
@@ -103,10 +105,11 @@ def label_gap(boxes: DataFrame, test_images: DataFrame) -> DataFrame:
 
 
 def dataset_geometry(boxes: DataFrame) -> DataFrame:
-    """Images, objects an image, share of images with one object, and the median relative area."""
-    b = boxes.withColumn("area", box_area(*CORNERS) / (F.col("width") * F.col("height")))
+    """Images, objects an image, share of images with one object, and the median relative area, by counts in refined buckets."""
+    b = checkpointed(boxes.select("image_id", (box_area(*CORNERS) / (F.col("width") * F.col("height"))).alias("area")))
     images = b.groupBy("image_id").agg(F.count("*").alias("k"))
-    return images.agg(F.count("*").alias("images"), F.avg("k").alias("objects_per_image"), F.avg((F.col("k") == 1).cast("double")).alias("single_object_share")).crossJoin(b.agg(F.percentile("area", 0.5).alias("median_relative_area")))  # one row each
+    middle = F.lit(median(b, "area")).cast("double").alias("median_relative_area")
+    return images.agg(F.count("*").alias("images"), F.avg("k").alias("objects_per_image"), F.avg((F.col("k") == 1).cast("double")).alias("single_object_share")).select("*", middle)
 
 
 def object_index(boxes: DataFrame, order: list[str]) -> DataFrame:

@@ -43,12 +43,13 @@ def required_splits(groups: DataFrame) -> DataFrame:
     return out.withColumn("required", F.when(F.col("n_groups") >= 3, "train,val,test").when(F.col("n_groups") == 2, "train,test").when(F.col("n_groups") == 1, "train").otherwise(""))
 
 
-def group_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
-    """(group_id, home, size, split): no group is in two splits, every class is in its required ones, each near its ratio.
+def group_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), rounds: int = 0) -> DataFrame:
+    """(group_id, home, size, split): no group is in two splits, every class is in its required ones, each class and all near the ratios.
 
     A group's home is its class with the fewest groups. Within a home the smallest groups are reserved for the required splits;
     the others follow in random order, each going where the middle of its rows falls in the remaining quotas. Then, while a class
-    lacks one of its splits, groups move there that leave all their classes covered; what ten rounds can't mend is an error.
+    lacks one of its splits, groups move there that leave all their classes covered; what ten rounds can't mend is an error. With
+    ``rounds``, balanced() then auctions groups between splits, as far as a class or all of them are off by more than their largest group.
     """
     counts = groups.groupBy("class_id").agg(F.count("*").alias("k"))
     home = groups.join(counts, "class_id").groupBy("group_id").agg(F.min(F.struct("k", "class_id")).alias("h"), F.first("size").alias("size"), F.first("tie_break").alias("tie_break"))
@@ -67,12 +68,79 @@ def group_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.
     for _ in range(10):
         gaps = checkpointed(missing_coverage(groups, out))
         if gaps.isEmpty():
-            return out
+            return balanced(groups, out, ratios, rounds)
         out = checkpointed(_covered(groups, out, gaps))
     left = missing_coverage(groups, out).take(3)
     if left:
         raise ValueError("no group can be moved to " + ", ".join(f"{r.split} of class {r.class_id}" for r in left))
-    return out
+    return balanced(groups, out, ratios, rounds)
+
+
+def split_quotas(groups: DataFrame, split: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
+    """(class_id, split, n, groups, target, largest, needed) of each class and split; class_id is null for all classes together.
+
+    n: rows there; groups: groups that have the class there; target: the ratio's share of the class; largest: its largest group;
+    needed: whether the class has to be in that split. A row that is |n - target| <= largest is within one group of its quota.
+    """
+    where = F.create_map(*(x for s, r in zip(SPLITS, ratios, strict=True) for x in (F.lit(s), F.lit(float(r)))))
+    member = groups.select("group_id", "class_id", "n").join(split.select("group_id", "split"), "group_id")
+    parts = lambda df: df.groupBy("class_id").agg(F.sum("n").alias("total"), F.max("n").alias("largest"), *(f(F.when(F.col("split") == s, F.col("n"))).alias(f"{f.__name__}_{s}") for s in SPLITS for f in (F.sum, F.count)))
+    every = split.select(F.lit(None).cast(groups.schema["class_id"].dataType).alias("class_id"), F.col("size").alias("n"), "split")
+    rows = F.inline(F.array(*(F.struct(F.lit(s).alias("split"), F.coalesce(f"sum_{s}", F.lit(0)).alias("n"), F.col(f"count_{s}").alias("groups")) for s in SPLITS)))
+    out = parts(member).unionByName(parts(every)).select("class_id", "total", "largest", rows)
+    required = required_splits(groups).select("class_id", F.split("required", ",").alias("required"))
+    out = out.join(required, "class_id", "left")
+    return out.select("class_id", "split", "n", "groups", (F.col("total") * where[F.col("split")]).alias("target"), "largest", F.coalesce(F.array_contains("required", F.col("split")), F.lit(False)).alias("needed"))
+
+
+def balanced(groups: DataFrame, split: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), rounds: int = 12) -> DataFrame:
+    """split after an auction: groups move from a split that has too much to one that has too little, first where a class is off by more
+    than its largest group, then where all together are off by more than the largest group of all.
+
+    In a round every class that is off names the split it has most too much of and the one it lacks most. Groups that have it there bid to
+    move, one of several such classes for the one that is furthest off; if no class is off, all groups of the fullest split bid for
+    the emptiest. Only groups bid whose move alone leaves each of their classes covered and within one group of its quota, or nearer to it.
+    Bids are taken in an order that each round shuffles anew, as long as the class has something to move; one wins if its move does that
+    still when all bids before it have moved as well. What loses may bid in the next round. Rounds end when nothing is off, or
+    nothing moves, or after ``rounds``. Running totals are two-level, so neither a class nor a lane is one task's.
+    """
+    kind = groups.schema["class_id"].dataType
+    member = checkpointed(groups.select("group_id", "class_id", "n", "tie_break"))
+    member = member.unionByName(member.groupBy("group_id").agg(F.first("tie_break").alias("tie_break"), F.sum("n").alias("n")).withColumn("class_id", F.lit(None).cast(kind)))
+    member = checkpointed(member.withColumn("key", F.coalesce(F.col("class_id").cast("string"), F.lit(""))).drop("class_id"))
+    for k in range(rounds):
+        quotas = split_quotas(groups, split, ratios).withColumn("key", F.coalesce(F.col("class_id").cast("string"), F.lit("")))
+        quotas = checkpointed(quotas.select("key", "split", "groups", "largest", "needed", (F.col("n") - F.col("target")).alias("over")))
+        off = quotas.where("abs(over) > largest").agg(F.max("key")).first()[0]  # the empty key is that of all classes
+        if off is None:
+            break
+        lanes = quotas.groupBy("key").agg(F.max_by("split", "over").alias("source"), F.min_by("split", "over").alias("to"), F.least(F.max("over"), -F.min("over")).alias("room"), F.max(F.abs("over") - F.col("largest")).alias("worst"))
+        lanes = lanes.where("worst > 0").where(F.lit(off == "") | (F.col("key") != ""))
+        here = member.join(split.select("group_id", "split"), "group_id").withColumn("tie", stable_tie_break(k, "tie_break"))
+        asked = here.join(lanes, "key").where("split = source").groupBy("group_id", "tie").agg(F.max_by(F.struct("key", "n", "source", "to", "room"), F.struct("worst", "key")).alias("x"))
+        asked = asked.select("group_id", "tie", F.col("x.key").alias("bidder"), F.col("x.n").alias("part"), "x.source", "x.to", "x.room")
+        alone = member.join(asked, "group_id").withColumn("moved", F.col("n")).withColumn("turn", F.lit(1))
+        bids = checkpointed(asked.join(_allowed(alone, quotas).select("group_id"), "group_id", "left_semi"))
+        bids = running_total(bids, ["bidder"], ["tie", "group_id"], "part", "upto").where("upto - part / 2 <= room")
+        rows = checkpointed(member.join(bids.select("group_id", "source", "to", "tie"), "group_id").withColumn("one", F.lit(1)))
+        rows = running_total(rows, ["key", "source", "to"], ["tie", "group_id"], "n", "moved")
+        rows = running_total(rows, ["key", "source", "to"], ["tie", "group_id"], "one", "turn")
+        won = checkpointed(_allowed(rows, quotas))
+        if won.isEmpty():
+            break
+        split = checkpointed(split.join(won, "group_id", "left").withColumn("split", F.coalesce("to", "split")).drop("to"))
+    return split
+
+
+def _allowed(moves: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(group_id, to) of the groups all of whose rows (key, source, to, moved, turn) leave the key in the splits it needs, and within one
+    group of its quota or nearer to it."""
+    at = lambda name, side: quotas.select("key", F.col("split").alias(name), *(F.col(c).alias(f"{side}_{c}") for c in ("over", "groups", "largest", "needed")))
+    known = moves.join(at("source", "from"), ["key", "source"]).join(at("to", "into"), ["key", "to"])
+    left, got = F.col("from_over") - F.col("moved"), F.col("into_over") + F.col("moved")
+    near = (F.abs(left) <= F.greatest("from_largest", F.abs("from_over"))) & (F.abs(got) <= F.greatest("into_largest", F.abs("into_over")))
+    covered = ~F.col("from_needed") | (F.col("turn") < F.col("from_groups"))
+    return known.groupBy("group_id").agg(F.bool_and(near & covered).alias("fine"), F.first("to").alias("to")).where("fine").select("group_id", "to")
 
 
 def _covered(groups: DataFrame, split: DataFrame, gaps: DataFrame) -> DataFrame:

@@ -2,45 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import stable_tie_break
 from plumbline.operators.lineage import checkpointed
-from plumbline.operators.prefix import ranked
+from plumbline.operators.selection import smallest
 
+#: A label's images are counted by levels of their priorities, so many to an octave: the first few images of a label are told apart.
+_STEPS, _RANGE = 16, 40
+#: What part of a label's lack a round takes.
+SHARE = 0.8
 
-def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 8) -> DataFrame:
+
+def _level(priority: Column) -> Column:
+    return F.floor(_STEPS * F.log2(1 + priority * float(1 << _RANGE))).cast("int")
+
+
+def _cut(rows: DataFrame, name: str) -> DataFrame:
+    """(label, name): the highest level up to which at most ``most`` of the label's rows (label, level, most, rate) are, or their
+    ``rate`` part, rounded up, if that is less; -1 if no level is."""
+    counts = rows.groupBy("label", "level").agg(F.count("*").alias("n"), F.max("most").alias("most"), F.max("rate").alias("rate"))
+    all_ = W.partitionBy("label")  # at most _STEPS * _RANGE rows a label
+    upto = counts.select("label", "level", F.sum("n").over(all_.orderBy("level").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.least("most", F.ceil(F.col("rate") * F.sum("n").over(all_))).alias("most"))
+    return upto.groupBy("label").agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("most"), F.col("level"))), F.lit(-1)).alias(name))
+
+
+def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 10) -> DataFrame:
     """(image_id, side) with side "val" for exactly round-half-even(n * ratio) images, else "train". labels: (image_id, label).
 
-    A label with n images wants about n * ratio of them in val, at least one if it has two, and never all. In each round every
-    image stands for its rarest label that still lacks some; of each label's, those that help most are taken, so many that the
-    other labels of the same images are not overfilled, and only if none of their labels would lose its last training image
-    (counted over all that stand, hence on the safe side). The rest fills the exact size with images whose labels are furthest
-    below their share, under the same guard; labels of one image never block it. All ranks are two-level, so neither the table
-    nor a frequent label is one task's.
+    A label with n images wants about n * ratio of them in val, at least one if it has two, and never all. Every image has a seeded
+    priority. In each round an image stands for its rarest label that still lacks some. While some label has none, only such labels
+    count, each takes one image, and images of several go first. Then SHARE of what a label lacks is taken from its standing images, in proportion to how many of its images stand for it, since the others are taken for their own labels: they are
+    counted by levels of priority, and those below the level where that is reached are taken, unless one of their labels
+    would lose its last training image (told by levels in the same way, over all that stand). The rest fills the exact size
+    with images whose labels are furthest below their share, under the same guard; labels of one image never block it. A round is a few
+    aggregations of counts: nothing is ranked or sorted, so neither the table nor a frequent label is one task's.
     """
-    own = labels.select("image_id", "label").distinct()
-    n = own.select("image_id").distinct().count()
-    target = round(n * ratio)  # half-even
-    width = max(1.0, own.count() / max(1, n))  # labels of an image
-    support = own.groupBy("label").agg(F.count("*").alias("s"))
+    pairs = labels.select("image_id", "label").where("image_id is not null and label is not null").distinct()
+    support = pairs.groupBy("label").agg(F.count("*").alias("s"))
     want = F.least(F.greatest(F.bround(F.col("s") * ratio), F.when(F.col("s") >= 2, 1).otherwise(0)), F.col("s") - 1).cast("long")
-    own = checkpointed(own.join(support.withColumn("want", want), "label").withColumn("tie", stable_tie_break(seed, "image_id")))
+    hashed = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}:{k}"), "image_id"), 11) / float(1 << 53)
+    own = checkpointed(pairs.join(support.withColumn("want", want), "label").repartition("image_id").withColumn("p", hashed(0)))
+    images = checkpointed(own.select("image_id").distinct())
+    n = images.count()
+    target = round(n * ratio)  # half-even
     chosen, have = checkpointed(own.select("image_id").limit(0)), 0
 
     def state() -> DataFrame:
         """The rows of images that are not chosen, with how many images of their label are."""
         got = own.join(chosen, "image_id", "left_semi").groupBy("label").agg(F.count("*").alias("got"))
-        return own.join(got, "label", "left").withColumn("got", F.coalesce("got", F.lit(0))).join(chosen, "image_id", "left_anti")
+        return own.join(chosen, "image_id", "left_anti").join(got, "label", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+
+    def limited(found: DataFrame, room: int) -> DataFrame:
+        found = checkpointed(found)
+        return (found if found.count() <= room else smallest(found, room, ["p"])).select("image_id")
 
     for _ in range(rounds):
-        free = checkpointed(state().withColumn("lack", F.col("want") - F.col("got")))
-        short = free.where("lack > 0")
-        rarest = short.groupBy("image_id").agg(F.min(F.struct("s", "label", "lack")).alias("r"), F.first("tie").alias("tie"), (-F.sum(F.col("lack") / F.col("s"))).alias("need"))
-        stands = ranked(rarest.select("image_id", "r.label", "r.lack", "tie", "need"), ["label"], "need", "tie", "at").where(F.col("at") <= F.ceil(F.col("lack") / (2 * width))).select("image_id", "tie")
-        room = max(0, min(target - have, -(-target // 2)))
-        new = ranked(_guarded(free, stands).join(stands, "image_id"), [], None, "tie", "at").where(F.col("at") <= room).select("image_id")
+        free = state().withColumn("lack", F.col("want") - F.col("got"))
+        free = checkpointed(free.withColumn("bare", (F.col("got") == 0) & (F.col("want") > 0)))
+        lacking, bare = free.agg(F.count_if(F.col("lack") > 0), F.count_if("bare")).first()
+        room = min(target - have, -(-target // 2))
+        if room <= 0 or not lacking:
+            break
+        short = free.where("bare").withColumn("lack", F.lit(1).cast("long")) if bare else free.where("lack > 0")
+        stands = short.groupBy("image_id").agg(F.min(F.struct("s", "label", "lack", "got")).alias("r"), F.first("p").alias("p"), F.count("*").alias("helps"))
+        rate = F.lit(1.0) if bare else SHARE * F.col("r.lack") / (F.col("r.s") - F.col("r.got"))
+        stands = stands.select("image_id", (F.col("p") / (F.col("helps") * F.col("helps") if bare else F.lit(1))).alias("p"), "r.label", F.col("r.lack").alias("most"), rate.alias("rate"))
+        stands = checkpointed(stands.withColumn("level", _level(F.col("p"))))
+        new = limited(_guarded(free, stands.join(_cut(stands, "cut"), "label").where("level <= cut").select("image_id", "p")), room)
         chosen, before = checkpointed(chosen.union(new)), have
         have = chosen.count()
         if have == before:
@@ -50,17 +80,26 @@ def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, round
         if room <= 0:
             break
         free = checkpointed(state())
-        over = free.groupBy("image_id").agg(F.avg(F.col("got") + 1 - F.col("s") * ratio).alias("over"), F.first("tie").alias("tie"))
-        below = ranked(over, [], "over", "tie", "at").where(F.col("at") <= (-(-room // 2) if k + 1 < rounds else room)).select("image_id", "tie")
-        chosen, before = checkpointed(chosen.union(_guarded(free, below))), have
+        over = free.groupBy("image_id").agg(F.avg(F.col("got") + 1 - F.col("s") * ratio).alias("over"), F.first("p").alias("p"))
+        below = smallest(checkpointed(over.withColumn("p2", hashed(1))), -(-room // 2) if k + 1 < rounds and room > 8 else room, ["over", "p", "p2"])
+        new = limited(_guarded(free, below.select("image_id", "p")), room)
+        chosen, before = checkpointed(chosen.union(new)), have
         have = chosen.count()
+        if have == before:
+            new = smallest(_guarded(free, over.select("image_id", "p")).withColumn("p2", hashed(1)), 1, ["p", "p2"]).select("image_id")
+            chosen = checkpointed(chosen.union(new))
+            have = chosen.count()
         if have == before:
             raise ValueError(f"{room} more images are wanted, but each would take a label's last training image")
-    val = chosen.withColumn("side", F.lit("val"))
-    return own.select("image_id").distinct().join(val, "image_id", "left").fillna("train", ["side"])
+    if have < target:
+        raise ValueError(f"{target - have} more images are wanted after {rounds} rounds")
+    return images.join(chosen.withColumn("side", F.lit("val")), "image_id", "left").fillna("train", ["side"])
 
 
-def _guarded(free: DataFrame, stands: DataFrame) -> DataFrame:
-    """The standing images that leave each of their labels (of two or more images) one in training, counting all that stand."""
-    rows = ranked(free.join(stands.select("image_id"), "image_id", "left_semi"), ["label"], None, "tie", "at")
-    return rows.groupBy("image_id").agg(F.bool_and((F.col("s") < 2) | (F.col("got") + F.col("at") <= F.col("s") - 1)).alias("fine")).where("fine").select("image_id")
+def _guarded(free: DataFrame, standing: DataFrame) -> DataFrame:
+    """The standing images (image_id, p) that leave each of their labels (of two or more images) one in training, counting by levels of
+    priority all that stand."""
+    rows = free.drop("p").join(standing, "image_id").withColumn("level", _level(F.col("p")))
+    rows = checkpointed(rows.select("image_id", "p", "label", "level", "s", (F.col("s") - 1 - F.col("got")).alias("most"), F.lit(1.0).alias("rate")))
+    fine = rows.join(_cut(rows.where("s >= 2"), "cut"), "label", "left").groupBy("image_id").agg(F.first("p").alias("p"), F.bool_and((F.col("s") < 2) | (F.col("level") <= F.col("cut"))).alias("fine"))
+    return fine.where("fine").select("image_id", "p")

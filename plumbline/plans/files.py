@@ -52,6 +52,39 @@ def scan_files(spark, d):
     return files.select("dir").distinct()
 
 
+#: Each order as a small image: by its key modulo 8 a PNG, a GIF, a JPEG, an extended WebP, a PNG without its end, no image, a JPEG named as PNG, an empty file.
+_IMAGES = """i as (select o_orderkey as k, o_orderkey % 8 as kind, case when o_custkey % 50 = 0 then 0 else o_custkey % 640 + 1 end as w, o_orderkey % 480 + 1 as h from orders),
+x as (select *, printf('%08X', w) as w4, printf('%08X', h) as h4 from i),
+y as (select *, substr(w4, 7, 2) || substr(w4, 5, 2) as w2, substr(h4, 7, 2) || substr(h4, 5, 2) as h2 from x),
+f as (select k, kind, w, h, case kind when 0 then '89504E470D0A1A0A0000000D49484452' || w4 || h4 || '0802000000' || '00000000' || '0000000049454E44AE426082'
+  when 1 then '474946383961' || w2 || h2 || '000000' || '3B' when 3 then '52494646160000005745425056503858' || '0A000000' || '10000000' || w2 || '00' || h2 || '00'
+  when 4 then '89504E470D0A1A0A0000000D49484452' || w4 || h4 || '0800000000' when 5 then '4A554E4B' when 7 then ''
+  else 'FFD8FFE000104A46494600010100000100010000' || 'FFC0001108' || substr(h4, 5) || substr(w4, 5) || '03' || '011100021101031101' || 'FFD9' end as x,
+  'images/' || k || case kind when 1 then '.gif' when 2 then '.jpg' when 3 then '.webp' when 5 then '.jpg' else '.png' end as path from y)"""
+
+
+@query(f"""with {_IMAGES}, v as (select *, case when kind in (0, 4, 6) or kind in (1, 2) then w > 0 when kind = 3 then true else false end as sized from f)
+select path, sha256(unhex(x)) as sha256, length(x) // 2 as size_bytes, case when kind in (0, 4) then 'PNG' when kind = 1 then 'GIF' when kind in (2, 6) then 'JPEG' when kind = 3 then 'WEBP' end as image_format,
+  case when kind = 0 or kind in (2, 6) then 'RGB' when kind = 1 then 'P' when kind = 3 then 'RGBA' when kind = 4 then 'L' end as image_mode,
+  case when kind = 3 then w + 1 when kind in (5, 7) then null else w end::int as width, case when kind = 3 then h + 1 when kind in (5, 7) then null else h end::int as height, kind = 6 as renamed,
+  case when sized and kind <> 4 then 'ok' else 'bad' end as decode_status,
+  case when kind = 7 then 'Empty: no bytes' when kind = 5 then 'UnknownFormat: begins with 4a554e4b' when not sized then 'BadHeader: ' || case when kind in (0, 4) then 'PNG' when kind = 1 then 'GIF' else 'JPEG' end || ' without a size'
+  when kind = 4 then 'Truncated: PNG without its end' else '' end as decode_error from v""")
+def audit_images(spark, d):
+    """All orders as images, truncated, renamed, empty and unreadable ones among them."""
+    big = lambda c, n: F.lpad(F.hex(c), n, "0")
+    little = lambda c: F.concat(F.substring(big(c, 4), 3, 2), F.substring(big(c, 4), 1, 2))
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 8).alias("kind"), F.when(F.col("o_custkey") % 50 == 0, F.lit(0)).otherwise(F.col("o_custkey") % 640 + 1).alias("w"), (F.col("o_orderkey") % 480 + 1).alias("h"))
+    png = lambda more: F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(F.col("w"), 8), big(F.col("h"), 8), F.lit(more))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), big(F.col("h"), 4), big(F.col("w"), 4), F.lit("03011100021101031101FFD9"))
+    gif = F.concat(F.lit("474946383961"), little(F.col("w")), little(F.col("h")), F.lit("0000003B"))
+    webp = F.concat(F.lit("52494646160000005745425056503858" + "0A000000" + "10000000"), little(F.col("w")), F.lit("00"), little(F.col("h")), F.lit("00"))
+    kind = F.col("kind")
+    content = F.when(kind == 0, png("0802000000" + "00000000" + "0000000049454E44AE426082")).when(kind == 1, gif).when(kind == 3, webp).when(kind == 4, png("0800000000")).when(kind == 5, F.lit("4A554E4B")).when(kind == 7, F.lit("")).otherwise(jpeg)
+    suffix = F.when(kind == 1, ".gif").when(kind.isin(2, 5), ".jpg").when(kind == 3, ".webp").otherwise(".png")
+    return R.audited_images(o.select(F.concat(F.lit("images/"), "k", suffix).alias("path"), F.unhex(content).alias("content")))
+
+
 @query(f"""with {B.REASONS} select image_id, count(*) as n_objects, 1 as n_docs, cast(max((pk % 9 = 0)::int) as int) as n_dup, min(xmin) as first_x, max(ymax) as last_y from reasons group by 1""")
 def read_voc_annotations(spark, d):
     """All images' annotations as files with a root a line; images with a box whose pk is a multiple of nine have theirs twice."""

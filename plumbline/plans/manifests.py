@@ -184,6 +184,18 @@ def group_stratified_split(spark, d):
     return M.group_split(checkpointed(M.duplicate_groups(B.manifest(spark, d))))
 
 
+@query(f"""with {B.SPLIT}, m as (select class_id, n, split from groups join split using (group_id) union all select null, size, split from split),
+t as (select class_id, sum(n) as total, max(n) as largest from m group by 1), s(split, r) as (values ('train', 0.8::double), ('val', 0.1::double), ('test', 0.1::double)),
+q as (select class_id, case when count(*) >= 3 then ['train', 'val', 'test'] when count(*) = 2 then ['train', 'test'] else ['train'] end as required from groups group by 1)
+select t.class_id, s.split, round(total * r, 6) as target, largest, coalesce(list_contains(required, s.split), false) as needed, true as covered, true as within
+from t cross join s left join q on q.class_id = t.class_id""")
+def group_split_balanced(spark, d):
+    """After the auction each class, and all of them, are in every split they need and within one group of their quotas there."""
+    g = checkpointed(M.duplicate_groups(B.manifest(spark, d)))
+    q = M.split_quotas(g, M.group_split(g, rounds=12))
+    return q.select("class_id", "split", F.round("target", 6).alias("target"), "largest", "needed", (~F.col("needed") | (F.col("groups") > 0)).alias("covered"), (F.abs(F.col("n") - F.col("target")) <= F.col("largest")).alias("within"))
+
+
 @query(f"""with {B.SPLIT}, c as (select class_id, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'val') as val, count(*) filter (where split = 'test') as test
   from manifest join split on sha256 = group_id where decode_status = 'ok' group by 1)
 select class_id, coalesce(train, 0) as train, coalesce(val, 0) as val, coalesce(test, 0) as test, coalesce(train + val + test, 0) as total_images from classes left join c using (class_id)""")

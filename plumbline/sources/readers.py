@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.images import image_header
+from plumbline.functions.scalars import file_extension
+
 MANIFEST = "relative_path string, class_id int, sha256 string, size_bytes long, width int, height int, decode_status string, decode_error string, duplicate_group_id string, split string"
 
 
@@ -55,14 +58,26 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 
 
 def audit_images(spark: SparkSession, root: str) -> DataFrame:
-    """scan_files with sha256, decode_status, width and height; files that are no image stay, as bad."""
-    path = f"{root.rstrip('/')}/*"
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
-    images = spark.read.format("image").option("dropInvalid", False).load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("w"), F.col("image.height").alias("h"))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    both = files.withColumn("path", plain("path")).join(images.withColumn("path", plain("path")), "path", "left")
-    ok = F.coalesce(F.col("w") > 0, F.lit(False))
-    return both.select("path", "sha256", "size_bytes", F.when(ok, F.col("w")).alias("width"), F.when(ok, F.col("h")).alias("height"), F.when(ok, "ok").otherwise("bad").alias("decode_status"))
+    """audited_images() of the files in the folders below root, each read once. Spark's reader leaves out files without any byte."""
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*").select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    return audited_images(files)
+
+
+#: Suffixes of each format, and so which names tell the truth.
+SUFFIXES = {"PNG": (".png",), "JPEG": (".jpg", ".jpeg"), "GIF": (".gif",), "WEBP": (".webp",)}
+
+
+def audited_images(files: DataFrame) -> DataFrame:
+    """path, sha256, size_bytes, image_format, image_mode, width, height, renamed, decode_status and decode_error of files (path, content).
+
+    Headers are parsed by column functions, so a file is one row of one scan and no pixel is decoded. Files that are no image, and images
+    without their end, stay as bad. renamed: the format is known, and the path's suffix is that of none or of another.
+    """
+    known = files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), image_header("content").alias("h"))
+    suffix = F.create_map(*(x for k, own in SUFFIXES.items() for s in own for x in (F.lit(s), F.lit(k))))[file_extension("path")]
+    renamed = F.coalesce(F.col("h.image_format") != F.coalesce(suffix, F.lit("")), F.lit(False))
+    status = F.when(F.col("h.decode_error") == "", "ok").otherwise("bad")
+    return known.select("path", "sha256", "size_bytes", "h.image_format", "h.image_mode", "h.width", "h.height", renamed.alias("renamed"), status.alias("decode_status"), "h.decode_error")
 
 
 def read_voc_annotations(spark: SparkSession, path: str) -> DataFrame:

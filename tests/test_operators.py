@@ -70,6 +70,65 @@ def test_group_split_invariants(spark, sf):
         assert M.missing_coverage(g, s).count() == 0
 
 
+def test_group_split_auction(spark):
+    """Groups of two and three classes, most of them in the first split: the auction brings classes and all of them to their quotas."""
+    import hashlib
+    import random
+
+    rng, rows = random.Random(5), []
+    for i in range(600):
+        own = {c: rng.choice([1, 1, 2, 5]) for c in rng.sample(range(12), rng.choice([1, 2, 2, 3]))}
+        rows += [(f"g{i}", c, n, sum(own.values()), len(own), hashlib.sha256(f"0:g{i}".encode()).hexdigest()) for c, n in own.items()]
+    g = spark.createDataFrame(rows, "group_id string, class_id int, n long, size long, n_classes long, tie_break string")
+    off = lambda s: M.split_quotas(g, s).where("abs(n - target) > largest").count()
+    start = M.group_split(g)
+    skewed = start.withColumn("split", F.when(F.col("split") == "test", F.when(F.substring("group_id", -1, 1) < "7", "train").otherwise("test")).otherwise(F.col("split")))
+    skewed = skewed.join(start.select("group_id", F.col("split").alias("was")), "group_id")
+    out = M.balanced(g, skewed.drop("was"))
+    assert off(skewed.drop("was")) > 3 >= off(out)
+    assert out.count() == out.select("group_id").distinct().count() == 600
+    assert M.missing_coverage(g, out).count() <= M.missing_coverage(g, skewed.drop("was")).count()
+    assert M.split_quotas(g, out).where("class_id is null and abs(n - target) > largest").count() == 0
+    same = M.balanced(g, out)
+    assert off(same) <= off(out)
+
+
+def test_order_statistics(spark):
+    import random
+    import statistics
+
+    from plumbline.operators.selection import median, nth_smallest, smallest
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1.0, 2.0, 2.0, 3.0, 5e300, -5e300, 1e-9]), rng.random()) for i in range(999)]
+    df = spark.createDataFrame([*rows, (999, None, float("nan"))], "id int, a double, b double").repartition(5)
+    for c, k in (("a", 1), ("b", 2)):
+        values = sorted(r[k] for r in rows)
+        assert median(df, c) == statistics.median(values)
+        for rank in (1, 400, 999):
+            value, below, equal = nth_smallest(df, c, rank, levels=7)
+            assert value == values[rank - 1] and below == sum(x < value for x in values) and equal == values.count(value)
+    assert nth_smallest(df, "a", 1000) is None and median(df.limit(0), "a") is None
+    assert median(df.where("id in (0, 1)"), "b") == pytest.approx((rows[0][2] + rows[1][2]) / 2, rel=1e-15)
+    best = sorted((r[1], r[2]) for r in rows)
+    for k in (0, 1, 250, 998, 5000):
+        assert sorted((r.a, r.b) for r in smallest(df.where("a is not null"), k, ["a", "b"]).collect()) == best[:k]
+
+
+def test_multilabel_split_of_many_rare_labels(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(120) if rng.random() < 0.5 else 0) for i in range(900) for _ in range(rng.randint(1, 5))]
+    labels = spark.createDataFrame([*rows, (None, 1), (5, None)], "image_id int, label int")
+    out = multilabel.multilabel_split(labels, 0.3, seed=2)
+    n = len({i for i, _ in rows})
+    assert out.count() == n and out.where("side = 'val'").count() == round(n * 0.3)
+    each = labels.distinct().join(out, "image_id").groupBy("label").agg(F.count_if(F.col("side") == "val").alias("v"), F.count("*").alias("n")).collect()
+    assert all(r.v < r.n for r in each if r.n > 1)
+    assert sum(r.v == 0 for r in each if r.n > 1) <= 1
+
+
 def test_multilabel_split(spark, sf):
     labels = B.boxes(spark, sf).select("image_id", F.col("source_label").alias("label")).distinct()
     out = multilabel.multilabel_split(labels, 0.2, seed=3)

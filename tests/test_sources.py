@@ -129,3 +129,33 @@ def test_annotation_lines(spark, tmp_path):
     (tmp_path / "x.txt").write_text(a + "\n" + a + "\n" + xml((2, (1, 2, 3, 4)), (3, (1, 2, 3, 4))).replace("<annotation>", "<annotation><filename>c.png</filename>") + "\n")
     got = {r.image_id: (r.n_docs, r.n_dup, len(r.objects)) for r in R.read_annotation_lines(spark, str(tmp_path / "x.txt")).collect()}
     assert got == {"a.b": (1, 1, 1), "c": (1, 0, 2)}
+
+
+def test_image_headers(spark, tmp_path):
+    """Files as their formats define them: every kind of WebP, JPEG segments before the frame, ends missing, and bytes of no image."""
+    big, little = (lambda n, k: n.to_bytes(k, "big")), (lambda n, k: n.to_bytes(k, "little"))
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + big(70000, 4) + big(3, 4) + b"\x08\x06\0\0\0" + bytes(4) + bytes.fromhex("0000000049454E44AE426082")
+    frame = b"\xff\xc2" + big(17, 2) + b"\x08" + big(33, 2) + big(44, 2) + b"\x01" + bytes(9)
+    jpeg = b"\xff\xd8" + b"\xff\xe1" + big(20, 2) + b"\xff\xc0" + bytes(16) + b"\xff\xc4" + big(4, 2) + bytes(2) + frame + bytes(50) + b"\xff\xd9"
+    gif = b"GIF87a" + little(300, 2) + little(2, 2) + bytes(3) + b"\x3b"
+    riff = lambda kind, body: b"RIFF" + little(4 + 8 + len(body), 4) + b"WEBP" + kind + little(len(body), 4) + body
+    lossless = riff(b"VP8L", b"\x2f" + little((640 - 1) | (480 - 1) << 14 | 1 << 28, 4))
+    lossy = riff(b"VP8 ", bytes(3) + b"\x9d\x01\x2a" + little(176 | 1 << 14, 2) + little(144, 2) + bytes(4))
+    more = riff(b"VP8X", bytes(4) + little(99999, 3) + little(4, 3))
+    want = {
+        "a.png": (png, "PNG", "RGBA", 70000, 3, False, ""), "b.jpeg": (jpeg, "JPEG", "L", 44, 33, False, ""), "c.gif": (gif, "GIF", "P", 300, 2, False, ""), "d.webp": (lossless, "WEBP", "RGBA", 640, 480, False, ""),
+        "e.webp": (lossy, "WEBP", "RGB", 176, 144, False, ""), "f.webp": (more, "WEBP", "RGB", 100000, 5, False, ""), "g.jpg": (png, "PNG", "RGBA", 70000, 3, True, ""),
+        "h.png": (png[:-4], "PNG", "RGBA", 70000, 3, False, "Truncated: PNG without its end"), "i.png": (png[:20], "PNG", None, 70000, None, False, "BadHeader: PNG without a size"), "j.jpg": (jpeg[:30], "JPEG", None, None, None, False, "BadHeader: JPEG without a size"),
+        "k.webp": (lossy[:-2], "WEBP", "RGB", 176, 144, False, "Truncated: WEBP without its end"), "l.jpg": (b"", None, None, None, None, False, "Empty: no bytes"), "m.jpg": (b"text", None, None, None, None, False, "UnknownFormat: begins with 74657874"),
+        "n.jpg": (b"\xff\xd8\xff\xe0\0\x01", "JPEG", None, None, None, False, "BadHeader: JPEG without a size"),
+    }
+    (tmp_path / "kind").mkdir()
+    for name, row in want.items():
+        (tmp_path / "kind" / name).write_bytes(row[0])
+    got = {r.path.rsplit("/", 1)[1]: r for r in R.audit_images(spark, str(tmp_path)).collect()}
+    want.pop("l.jpg")  # Spark's reader lists no empty file
+    assert got.keys() == want.keys()
+    for name, (raw, *row) in want.items():
+        r = got[name]
+        assert [r.image_format, r.image_mode, r.width, r.height, r.renamed, r.decode_error] == row and r.size_bytes == len(raw), name
+        assert r.decode_status == ("ok" if row[-1] == "" else "bad")
