@@ -32,8 +32,8 @@ from plumbline.llm.common import dropped, stored, text_blocks
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Links of a chunk; pairs of a bucket, about; chunks of a group; distinct words of a generation that a worker remembers.
 CHUNK, BUCKET, FAN, KEPT_WORDS = 2_000_000, 2_000_000, 1 << 14, 3 << 16
-#: Bytes and documents that are aligned at once; characters after which a long text is cut into slices.
-BLOCK, BLOCK_DOCS, SLICE = 1 << 21, 1 << 14, 1 << 20
+#: Characters and documents that are aligned at once; a longer text is cut into slices.
+BLOCK, BLOCK_DOCS = 1 << 21, 1 << 14
 #: Distinct words that are encoded as one string.
 JOINED = 512
 #: Ids have at most so many bits.
@@ -43,7 +43,8 @@ _STIR = 0x9E3779B1
 
 _PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _UNSAFE = re.compile(r"[^!-~À-ÿ \n][ \n]")
-_SAFE_END = re.compile(r"[!-~À-ÿ]\Z")
+_SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x100)]))
+_NEW = object()
 _CUT = re.compile(r"(?<=[!-~À-ÿ])(?=[ \n])")
 
 
@@ -52,7 +53,7 @@ def words(text: str) -> list[str]:
     return [x for x in _CUT.split(text) if x] if _UNSAFE.search(text) else _PLAIN.findall(text)
 
 
-def slices(text: str, size: int = SLICE) -> Iterator[str]:
+def slices(text: str, size: int = BLOCK) -> Iterator[str]:
     """The text in slices of about ``size`` characters, cut where words() cuts."""
     start = 0
     while start < len(text):
@@ -122,7 +123,7 @@ class Encoder:
         joined, held = [], []
         for k, word in enumerate(new):
             held.append(word)
-            if len(held) == JOINED or k + 1 == len(new) or not _SAFE_END.search(word):
+            if len(held) == JOINED or k + 1 == len(new) or word[-1] not in _SAFE:
                 joined.append(held)
                 held = []
         for part, found in zip(joined, self.tokens(["".join(x) for x in joined]), strict=True):
@@ -153,13 +154,16 @@ class Encoder:
     def of(self, distinct: list[str]) -> list[bytes | None]:
         """What encoded() gives for each word. Words are remembered in two generations: when the younger is full it becomes the older one,
         and words of the older one that come again move up."""
-        young, old = self.young, self.old
-        new = [w for w in distinct if w not in young and w not in old]
-        found = dict(zip(new, self.encoded(new), strict=True))
-        out = [found[w] if w in found else young[w] if w in young else old[w] for w in distinct]
-        young.update((w, x) for w, x in zip(distinct, out, strict=True) if len(w) <= 64)
-        if len(young) > KEPT_WORDS:
-            self.young, self.old = {}, young
+        out = [self.young.get(w, _NEW) for w in distinct]
+        missed = [k for k, x in enumerate(out) if x is _NEW]
+        for k in missed:
+            out[k] = self.old.get(distinct[k], _NEW)
+        new = [k for k in missed if out[k] is _NEW]
+        for k, x in zip(new, self.encoded([distinct[k] for k in new]), strict=True):
+            out[k] = x
+        self.young.update((distinct[k], out[k]) for k in missed if len(distinct[k]) <= 64)
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
         return out
 
 
@@ -184,8 +188,8 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Chunk:
     """Aligned documents of a chunk: counts and group digests by document, and each document's distinct pairs with their counts."""
 
-    def __init__(self, libraries: Encoder) -> None:
-        self.libraries, self.digits = libraries, _digit_table(max(len(libraries.a_bytes), len(libraries.b_bytes)))
+    def __init__(self, libraries: Encoder, block: int = BLOCK) -> None:
+        self.block, self.libraries, self.digits = block, libraries, _digit_table(max(len(libraries.a_bytes), len(libraries.b_bytes)))
         self.clear()
 
     def clear(self) -> None:
@@ -203,12 +207,12 @@ class Chunk:
         if not text:
             return
         text = " " + text
-        if len(text) > SLICE and any(x is None for part in slices(text) for x in self.libraries.of(list(dict.fromkeys(words(part))))):
+        if len(text) > self.block and any(x is None for part in slices(text, self.block) for x in self.libraries.of(list(dict.fromkeys(words(part))))):
             return
-        for part in slices(text):
+        for part in slices(text, self.block):
             self.held.append((len(self.ids) - 1, words(part)))
             self.bytes += len(part)
-            if self.bytes >= BLOCK or len(self.held) >= BLOCK_DOCS:
+            if self.bytes >= self.block or len(self.held) >= BLOCK_DOCS:
                 self.align()
 
     def align(self) -> None:
@@ -315,15 +319,15 @@ def _large(x: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<i8")
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def chunks(docs: DataFrame, size: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) aligned, a row a chunk: counts and digests by document, and which pairs each has how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(encoder())
+        chunk = Chunk(encoder(), block)
         for batch, texts in text_blocks(batches):
             for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 chunk.add(doc, text.decode() if text else None)
-                if chunk.links >= CHUNK:
+                if chunk.links >= size:
                     yield chunk.row()
         if chunk.ids:
             yield chunk.row()
@@ -391,16 +395,16 @@ def pair_counts(parts: DataFrame, buckets: int, groups: int = 1) -> DataFrame:
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def aligned(docs: DataFrame) -> DataFrame:
+def aligned(docs: DataFrame, chunk: int = CHUNK, fan: int = FAN, block: int = BLOCK) -> DataFrame:
     """Of each row of docs (doc_id, text): tokens of both sides, groups, links, and how frequent the linked pairs are in all of docs.
 
     Null and empty texts, and texts whose tokens' bytes are not the text's, have no tokens: zeros and an empty digest. Rows that repeat a
     doc_id are aligned and counted each; doc_id is cast to long; other columns are not looked at. Ties for a B id's most frequent
     pair all count as best.
     """
-    parts = chunks(docs)
+    parts = chunks(docs, chunk, block)
     n, pairs = parts.agg(F.count("*"), F.sum("n_pairs")).first()
-    groups = max(1, -(-n // FAN))
+    groups = max(1, -(-n // fan))
     buckets = min(1 << _BITS, max(-(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups), (pairs or 0) // groups // BUCKET + 1))
     answers = pair_counts(parts, buckets, groups)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import time
 import uuid
 from collections.abc import Callable
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.common import shared_folder
+from plumbline.llm.common import fresh, shared_folder
 
 #: Size of a merged shard, and of the smallest tier; each tier is FACTOR times the one below; shards of a tier that make it merge.
 TARGET, SMALLEST, FACTOR, RUNS = 128 << 20, 1 << 20, 4, 4
 #: Rows of a shard that an append writes at most; hours after which an unlisted folder is no writer's work in progress.
 ROWS, GRACE = 20_000, 24.0
+#: Attempts of a commit, and seconds of the first pause between them at most.
+TRIES, PAUSE = 20, 0.05
 
 
 @dataclass(frozen=True)
@@ -122,8 +125,11 @@ class ShardedTable:
         return base + 1
 
     def _changed(self, change: Callable[[list[Run]], list[Run] | None], schema: str | None = None) -> int:
-        """Commits change(live runs) on top of the latest version, again if another writer was faster; 0 if it gives None."""
-        while True:
+        """Commits change(live runs) on top of the latest version; 0 if it gives None. If another writer was faster it tries again after a
+        pause that grows, TRIES times in all."""
+        for k in range(TRIES):
+            if k:
+                time.sleep(random.uniform(0, min(PAUSE * 2**k, 10.0)))
             base = self.version()
             document = self._document(base)
             if schema and document["schema"] and json.loads(schema) != json.loads(document["schema"]):
@@ -135,6 +141,7 @@ class ShardedTable:
                 return self.commit(runs, base, schema or document["schema"])
             except RuntimeError:
                 continue
+        raise RuntimeError(f"other writers were faster {TRIES} times")
 
     def _measured(self, path: str, schema: StructType) -> Run:
         files = self.spark.read.schema(schema).parquet(f"{self.root}/{path}").groupBy("_metadata.file_path").agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("size"))
@@ -151,8 +158,10 @@ class ShardedTable:
             writer(df).parquet(f"{self.root}/{at}")
             paths = [at]
         else:
-            writer(df.withColumn("__arrival", arrival.cast("string"))).partitionBy("__arrival").parquet(f"{self.root}/{at}")
-            found = self._fs.globStatus(self._path(f"{self.root}/{at}/__arrival=*")) or []
+            # the folders' column is a name that neither df nor the files have
+            name = fresh(df, "arrival")
+            writer(df.withColumn(name, arrival.cast("string"))).partitionBy(name).parquet(f"{self.root}/{at}")
+            found = self._fs.globStatus(self._path(f"{self.root}/{at}/{name}=*")) or []
             paths = [f"{at}/{s.getPath().getName()}" for s in found] or [at]
         new = [self._measured(p, schema) for p in paths]
         return self._changed(lambda live: live + new, schema.json())
@@ -214,16 +223,18 @@ class ShardedTable:
                 self._fs.delete(s.getPath(), True)
 
 
-#: Arrivals that op8 splits the table into.
-ARRIVALS = 4
+#: Arrivals that op8 splits the table into, and in how many appends they come.
+ARRIVALS, APPENDS = 4, 2
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, appended as ARRIVALS runs and compacted: for each row, read from the last version's shards, its shard and how large that is."""
+    """documents, arriving in APPENDS commits of several runs each, with a compaction after each: for each row, read from the last version's shards, its shard and how large that is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     table = ShardedTable(spark, f"{shared_folder(spark)}/plumbline/shards-{uuid.uuid4().hex}")
-    table.append(docs, rows=2_000, arrival=F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
-    table.compact()
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    for k in range(APPENDS):
+        table.append(docs.where(arrival % APPENDS == k), rows=2_000, arrival=arrival)
+        table.compact()
     table.vacuum(keep=1)
     size = F.col("_metadata.file_size")
     tiers = F.when(size <= SMALLEST, 0).otherwise(F.ceil(F.log(float(FACTOR), size / SMALLEST) - 1e-12)).cast("int")

@@ -127,6 +127,35 @@ def test_common_lines(spark, none):
     assert quality.verdicts(none).count() == 0 and quality.filtered(none).count() == 0
 
 
+@pytest.mark.parametrize("words_of_line", [3, 9, 54])
+def test_common_lines_whatever_their_share(spark, words_of_line):
+    """Ten lines of 300 pages go, be they 30, 60 or 90 % of a page with 60 words of its own; mostly boilerplate is depleted."""
+    lines = [" ".join(f"l{k}w{j}" for j in range(words_of_line)) for k in range(10)]
+    own = lambda i: "\n".join(" ".join(f"p{i}n{k}" for k in range(15 * j, 15 * j + 15)) for j in range(4))
+    df = spark.createDataFrame([(i, "\n".join([*lines[:5], own(i), *lines[5:]]), "a") for i in range(300)], "doc_id long, text string, source string")
+    got = quality.verdicts(df).collect()
+    assert all(len(r.removed_lines) == 10 and r.removed_words == 10 * words_of_line and r.depleted == (words_of_line == 54) for r in got)
+
+
+def test_near_copies_keep_their_lines(spark):
+    """2,000 copies of a text, each with 1 to 20 words replaced, inserted or deleted, beside pages that share none of its lines."""
+    import random
+
+    rng = random.Random(1)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(20)] for _ in range(20)]
+    rows = []
+    for i in range(2000):
+        lines = [list(x) for x in base]
+        for _ in range(rng.randint(1, 20)):
+            line, kind = rng.choice(lines), rng.random()
+            k = rng.randrange(len(line))
+            line[k : k + (kind < 0.8)] = [rng.choice(vocabulary)] if kind < 0.6 or kind >= 0.8 else []
+        rows.append((i, "\n".join(" ".join(x) for x in lines), "a"))
+    got = quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.where("size(removed_lines) > 0 or not kept").count() == 0
+
+
 def test_copies_are_no_common_lines(spark):
     text = "\n".join(f"line {k} of one document with some words in it" for k in range(8))
     df = spark.createDataFrame([(i, text, "a") for i in range(300)] + [(1000 + i, " ".join(f"w{i}n{k}" for k in range(60)), "a") for i in range(10)], "doc_id long, text string, source string")

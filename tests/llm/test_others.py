@@ -185,7 +185,7 @@ def test_pipeline_keeps_clean_documents(spark, sf):
 
 def test_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):

@@ -1,5 +1,6 @@
 """Sharded tables: round trips, versions, racing writers, odd rows."""
 
+import random
 import threading
 
 import pytest
@@ -101,3 +102,36 @@ def test_odd_and_empty(spark, odd, none, tmp_path):
     empty = shards.ShardedTable(spark, str(tmp_path / "e"))
     empty.append(none, arrival=F.col("source"))
     assert empty.compact() == 1 and empty.read().count() == 0
+
+
+def test_arrivals_beside_columns_of_their_name(spark, tmp_path):
+    """The folders' column takes a name that the table does not have, whatever that is called."""
+    df = spark.range(40).selectExpr("id", "id * 2 as arrival_0", "cast(id as string) as __arrival", "id % 3 as arrival")
+    t = shards.ShardedTable(spark, str(tmp_path / "t"))
+    t.append(df, arrival=F.col("id") % 4)
+    assert len(t.manifest()) == 4
+    t.compact()
+    assert t.read().columns == df.columns and t.read().exceptAll(df).count() == 0 == df.exceptAll(t.read()).count()
+
+
+def test_choice_of_runs_in_plain_python(spark, tmp_path):
+    """The runs that compact() would merge first, against sizes put into tiers by hand, over versions with several commits."""
+    t = shards.ShardedTable(spark, str(tmp_path / "t"), target=1 << 20, runs=3, smallest=1000)
+    rng = random.Random(3)
+    for k in range(60):
+        live = [shards.Run(f"shards/{k}-{j}", rng.randint(0, 3), 10, rng.randint(0, 3_000_000)) for j in range(rng.randint(0, 9))]
+        want = {}
+        for r in live:
+            if r.shards and r.size // r.shards < 1 << 19:
+                mean, level = r.size // r.shards, 0
+                while mean > 1000 * 4**level:
+                    level += 1
+                want.setdefault(level, []).append(r)
+        assert t._due(live) == [own for _, own in sorted(want.items()) if sum(r.shards for r in own) >= 3]
+
+
+def test_commits_give_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "TRIES", 3)
+    monkeypatch.setattr(shards.ShardedTable, "_published", lambda self, version, text: False)
+    with pytest.raises(RuntimeError, match="3 times"):
+        shards.ShardedTable(spark, str(tmp_path / "t")).append(spark.range(3))
