@@ -109,6 +109,10 @@ def _precision(tp: np.ndarray, counted: np.ndarray, base: pd.DataFrame) -> tuple
     return k, np.where(tp, k / np.maximum(n, 1), -1.0)
 
 
+#: Detections of a stretch, about: ranges are cut by sampled quantiles.
+STRETCH = 20_000
+
+
 def precision_table(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(label, area, t, ap, recall) for labels with ground truth in the area; t is the threshold's place.
 
@@ -121,7 +125,8 @@ def precision_table(truth: DataFrame, found: DataFrame) -> DataFrame:
     truths = own.where(F.col("area").between(F.col("a.lo"), F.col("a.hi"))).groupBy("label", F.col("a.name").alias("area"), F.col("a.i").alias("i")).agg(F.count("*").alias("truths"))
     grid = truths.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(_T - 1)))).withColumn("setting", F.col("i") * _T + F.col("t"))
     order = ["label", "minus", "image_id", "det_id"]
-    ranked = checkpointed(found.withColumn("minus", -F.col("score")).drop("score").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    stretches = -(-found.count() // STRETCH) or 1  # a stated number, so that ranges are not put together again by their bytes
+    ranked = checkpointed(found.withColumn("minus", -F.col("score")).drop("score").repartitionByRange(stretches, *order).withColumn("part", F.spark_partition_id()))
     stretch = ranked.groupBy("label", "part")
     label = f"label {found.schema['label'].dataType.simpleString()}"
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A dimension of at most so many rows is broadcast; a larger one is joined by shuffling.
+DIMENSION = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +28,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def is_small(df: DataFrame, most: int = DIMENSION) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def dimension(df: DataFrame, most: int = DIMENSION) -> DataFrame:
+    """df for a join with facts: computed once, and marked to be broadcast if it has at most ``most`` rows; else as it is."""
+    d = checkpointed(df)
+    return F.broadcast(d) if is_small(d, most) else d

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import error_text, stable_tie_break
-from plumbline.operators.lineage import checkpointed
+from plumbline.operators.lineage import checkpointed, dimension
 from plumbline.operators.prefix import running_total
 
 SPLITS = ("train", "val", "test")
@@ -222,7 +222,7 @@ def mismatches(recorded: DataFrame, found: DataFrame, key: str, columns: list[st
 
 def enrich_samples(manifest: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """manifest with the host and category ordinals of its class; the taxonomy is a dimension, a row a class."""
-    return manifest.join(taxonomy, "class_id")
+    return manifest.join(dimension(taxonomy), "class_id")
 
 
 def taxonomy_rollup(taxonomy: DataFrame, declared: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def sample_weights(samples: DataFrame, mode: str = "sqrt") -> DataFrame:
     """Each sample's weight by its class's count n: 1 / sqrt(n) ("sqrt") or 1 / n ("inverse")."""
     counts = samples.groupBy("class_id").agg(F.count("*").alias("n"))
     w = 1 / F.sqrt("n") if mode == "sqrt" else 1 / F.col("n")
-    return samples.join(counts, "class_id").withColumn("weight", w).drop("n")
+    return samples.join(dimension(counts), "class_id").withColumn("weight", w).drop("n")
 
 
 def weighted_resample(df: DataFrame, weight: str, n: int, seed: int, key: str) -> DataFrame:

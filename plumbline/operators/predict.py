@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.lineage import checkpointed, is_small
+
 
 def batch_predict(rows: DataFrame, key: str, features: str, factory: Callable[[], Callable[[np.ndarray], np.ndarray]], k: int = 5, batch: int = 1024) -> DataFrame:
     """(key, top): the k best classes of each row as structs (class_id, score), best first, ties to the lower id.
@@ -57,9 +59,16 @@ def joint_predict(
 
     kind = rows.schema[key].dataType.simpleString()
     scored = rows.select(key, features).mapInPandas(run, f"{key} {kind}, top array<struct<rank int, class_id int, probability double>>, host_p double, category_p double")
-    named = scored.select(key, "host_p", "category_p", F.inline("top")).join(taxonomy.select("class_id", "name", "host", "category"), "class_id", "left")
-    entry = F.struct("rank", "class_id", "name", "host", "category", "probability")
-    out = named.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("t"), F.first("host_p").alias("host_p"), F.first("category_p").alias("category_p"))
+    names = checkpointed(taxonomy.select("class_id", F.struct("name", "host", "category").alias("names")))
+    entry = lambda x, n: F.struct(x["rank"].alias("rank"), x["class_id"].alias("class_id"), *(n[c].alias(c) for c in ("name", "host", "category")), x["probability"].alias("probability"))
+    if is_small(names):  # one row with all names goes to every task; rows are named where they are
+        book = names.agg(F.map_from_entries(F.collect_list(F.struct("class_id", "names"))).alias("book"))
+        out = scored.crossJoin(F.broadcast(book)).select(key, "host_p", "category_p", F.transform("top", lambda x: entry(x, F.col("book")[x["class_id"]])).alias("t"))
+    else:
+        rows_ = checkpointed(scored.withColumn("__row", F.monotonically_increasing_id()))  # rows that repeat a key stay apart
+        named = rows_.select("__row", F.explode("top").alias("x")).join(names.select(F.col("class_id").alias("__class"), "names"), F.col("x.class_id") == F.col("__class"), "left")
+        tops = named.groupBy("__row").agg(F.array_sort(F.collect_list(entry(F.col("x"), F.col("names")))).alias("t"))
+        out = rows_.drop("top").join(tops, "__row", "left").drop("__row")
     first = F.get("t", F.lit(0))
     out = out.select(
         key, F.transform("t", lambda x: x.dropFields("rank")).alias("top"),

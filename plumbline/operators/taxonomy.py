@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import normal_name
+from plumbline.operators.lineage import dimension
 
 
 def assign_category(names: DataFrame, rules: DataFrame, default: str = "pest") -> DataFrame:
@@ -61,11 +62,13 @@ def assign_detector_labels(labels: DataFrame) -> DataFrame:
 
 def map_labels(objects: DataFrame, label_map: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects with the columns of their source_label's entry, and the objects that have none."""
-    return objects.join(label_map, "source_label"), objects.join(label_map, "source_label", "left_anti")
+    m = dimension(label_map)
+    return objects.join(m, "source_label"), objects.join(m, "source_label", "left_anti")
 
 
 def map_predictions(detections: DataFrame, label_map: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Detections with public_id (-1 if unmapped), name ("class_<label>") and host ("")."""
-    public = label_map.select(F.col("detector_label").alias("label"), "public_id").distinct()
-    out = detections.join(public, "label", "left").join(taxonomy.select(F.col("class_id").alias("public_id"), "name", "host"), "public_id", "left")
+    public = dimension(label_map.select(F.col("detector_label").alias("label"), "public_id").distinct())
+    names = dimension(taxonomy.select(F.col("class_id").alias("public_id"), "name", "host"))
+    out = detections.join(public, "label", "left").join(names, "public_id", "left")
     return out.withColumn("public_id", F.coalesce("public_id", F.lit(-1))).withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), F.col("label")))).withColumn("host", F.coalesce("host", F.lit("")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators import manifest as M
+from plumbline.operators.lineage import dimension
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,10 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(classes(spark, sf_dir).select("class_id", F.col("name").alias("source")), "source")
-    files = docs.select(F.col("doc_id").cast("string").alias("relative_path"), "class_id", "text", "n_chars")
-    return M.audit_content(files, "text", bad="n_chars < 40", error="concat('only ', n_chars, ' characters')").drop("n_chars")
+    """Digests first, so texts are read in the scan and go through no join."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), "source", "text", "n_chars")
+    audited = M.audit_content(files, "text", bad="n_chars < 40", error="concat('only ', n_chars, ' characters')").drop("n_chars")
+    return audited.join(dimension(classes(spark, sf_dir).select("class_id", F.col("name").alias("source"))), "source").select("relative_path", "class_id", "sha256", "size_bytes", "decode_status", "decode_error")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import boxes as X
-from plumbline.operators import coco, multilabel
+from plumbline.operators import coco, contract, multilabel
 from plumbline.operators import manifest as M
 from plumbline.operators import taxonomy as T
 from plumbline.operators.lineage import checkpointed
@@ -264,3 +264,45 @@ def multilabel_split_invariants(spark, d):
     each = pairs.join(split, "image_id").groupBy("label").agg(F.count("*").alias("images"), ((F.count("*") < 2) | (val > 0) & (val < F.count("*"))).alias("covered"), (F.abs(val - F.count("*") * 0.2) <= F.greatest(F.lit(1.0), F.count("*") * 0.03)).alias("near"))
     exact = val == F.bround(F.count("*") * 0.2).cast("long")
     return each.union(split.agg(F.lit(-1), val, exact, F.lit(True)))
+
+
+_CONTRACT = f"""{B.REASONS}, od as (select o_orderkey as k, o_orderkey::varchar as image_id, o_orderkey % 10 as part from orders), i as (select distinct image_id from boxes),
+ok as (select * from od where image_id in (select image_id from i)), m as (select distinct image_id from reasons where source_label = 25 and len(filter_reasons) = 0), bad as (select distinct image_id from reasons where image_id::bigint % 13 = 0 and len(filter_reasons) > 0)"""
+
+
+@query(f"""with {_CONTRACT}
+select 'split' as "check", image_id from od where (part < 8 and k % 97 = 0) or (part = 8 and k % 83 = 0) union all select 'official', image_id from od where part = 8 and k % 83 = 0
+union all select 'test_order', image_id from od where part = 9 and k % 89 = 0
+union all select 'missing_record', image_id from od where image_id not in (select image_id from i) union all select 'repeated_record', image_id from ok where k % 79 = 0
+union all select 'unsafe_path', image_id from ok where k % 101 = 0 union all select 'missing_image', image_id from ok where k % 107 = 0 union all select 'missing_annotation', image_id from ok where k % 73 = 0
+union all select 'image_hash', image_id from ok where k % 103 = 0 and k % 107 <> 0 union all select 'annotation_hash', image_id from ok where k % 71 = 0 and k % 73 <> 0
+union all select 'dimensions', image_id from ok where k % 109 = 0 and k % 107 <> 0 union all select 'invalid_box', image_id from bad union all select 'label_space', image_id from m""")
+def detection_contract(spark, d):
+    """All orders as images with lists, records and files, each of which breaks the contract here and there."""
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("image_id"), (F.col("o_orderkey") % 10).alias("part"))
+    k = F.col("k")
+    named = lambda name, where, ord_=k: o.where(where).select(F.lit(name).alias("list"), "image_id", ord_.alias("ord"))
+    lists = named("train", "part < 8").union(named("val", "part = 8 and k % 83 <> 0 or part < 8 and k % 97 = 0")).union(named("test", "part = 9", k + (k % 89 == 0).cast("int")))
+    lists = lists.union(named("official_trainval", "part < 9")).union(named("official_test", "part = 9"))
+    b = X.with_reasons(B.boxes(spark, d)).where((F.col("image_id").cast("long") % 13 == 0) | F.col("valid"))
+    label = F.col("source_label")
+    obj = F.struct(F.array(*X.CORNERS).alias("bbox"), "source_label", label.alias("detector_label"), (label * 7 % 23).alias("public_id"))
+    own = B.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("image_id")).groupBy("image_id").agg(F.count("*").alias("n_raw"))
+    records = own.join(b.groupBy("image_id").agg(F.collect_list(obj).alias("objects")), "image_id", "left").withColumn("k", F.col("image_id").cast("long"))
+    path = lambda folder, suffix: F.concat(F.when(k % 101 == 0, "../").otherwise(""), F.lit(folder), "image_id", F.lit(suffix))
+    sha = lambda salt, id_="image_id": F.sha2(F.concat(F.lit(salt), id_), 256)
+    records = records.select("k", "image_id", path("images/", ".jpg").alias("image_path"), path("xml/", ".xml").alias("annotation_path"), F.lit(640).alias("width"), F.lit(480).alias("height"), sha("i").alias("image_sha256"), sha("a").alias("annotation_sha256"), "n_raw", F.coalesce("objects", F.array()).alias("objects"))
+    records = records.union(records.where(k % 79 == 0))
+    images = o.where("k % 107 <> 0").select("image_id", F.when(k % 103 == 0, "0").otherwise(sha("i")).alias("sha256"), F.when(k % 109 == 0, 1).otherwise(640).alias("width"), F.lit(480).alias("height"))
+    annotations = o.where("k % 73 <> 0").select("image_id", F.when(k % 71 == 0, "0").otherwise(sha("a")).alias("sha256"))
+    return contract.detection_contract(lists, records, images, annotations, (1, 24), (0, 22))[0].select("check", "image_id")
+
+
+@query("""with l as (select o_orderkey::varchar as image_id, o_orderkey as ord, case when o_orderkey % 5 = 4 then 1 else 0 end as list from orders),
+p as (select *, row_number() over (order by list, ord) - 1 as formal_index, lag(image_id) over (partition by list order by ord) as last from l)
+select image_id, formal_index, case when list = 1 then 'test' else 'trainval' end as official_partition, coalesce(last < image_id, true) as ordered from p""")
+def official_partition(spark, d):
+    """Order keys as two id lists in numeric order, which is not that of text."""
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("image_id"), F.col("o_orderkey").alias("ord"))
+    test = F.col("ord") % 5 == 4
+    return contract.official_partition(o.where(~test), o.where(test))

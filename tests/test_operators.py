@@ -298,3 +298,35 @@ def test_late_epochs(spark, tmp_path):
     out = early_stop_alerts(stream, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     out.awaitTermination()
     assert [(r.run, r.epoch, r.best_metric, r.best_epoch) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 5.0, 1)]
+
+
+def test_detection_contract_counts_and_odd_rows(spark):
+    """Counts come from the job of the violations; nulls fail their checks instead of passing them."""
+    from plumbline.operators import contract
+
+    lists = [("train", "a", 0), ("official_trainval", "a", 0), ("test", "b", 4), ("official_test", "b", 4), ("train", None, 1)]
+    box = lambda *c: (list(c), 1, 1, 0)
+    records = [("a", "i/a.jpg", "x/a.xml", 10, 10, "1", "2", 3, [box(0.0, 0.0, 10.0, 10.0)]), ("b", None, "x/b.xml", 10, None, "1", None, 2, [box(0.0, 0.0, float("nan"), 3.0), (None, None, None, None)]), ("c", "i/c.jpg", "x/c..d.xml", 1, 1, None, None, 0, [])]
+    kind = "image_id string, image_path string, annotation_path string, width int, height int, image_sha256 string, annotation_sha256 string, n_raw int, objects array<struct<bbox array<double>, source_label int, detector_label int, public_id int>>"
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    images = df([("a", "1", 10, 10), ("b", "1", 10, 10), ("z", "0", 1, 1)], "image_id string, sha256 string, width int, height int")
+    found, counts = contract.detection_contract(df(lists, "list string, image_id string, ord int"), df(records, kind), images, df([("a", "2")], "image_id string, sha256 string"), (1, 9), (0, 9))
+    got = {(r.check, r.image_id) for r in found.collect()}
+    assert got == {("unsafe_path", "b"), ("dimensions", "b"), ("invalid_box", "b"), ("label_space", "b"), ("missing_annotation", "b"), ("unlisted_record", "c"), ("missing_image", "c"), ("missing_annotation", "c"), ("official", None)}
+    assert contract.unexpected(counts, {"train": 2, "test": 1, "records": 3, "images": 3, "raw_boxes": 5, "valid_boxes": 3, "failed_images": 3}) == {}
+    assert contract.unexpected(counts, {"val": 1}) == {"val": (1, 0)}
+    empty = contract.detection_contract(df([], "list string, image_id string, ord int"), df([], kind), images.limit(0), df([], "image_id string, sha256 string"), (1, 9), (0, 9))[0]
+    assert empty.count() == 0
+
+
+def test_joint_predict_keeps_rows_that_repeat_a_key(spark, monkeypatch):
+    import numpy as np
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [0.0, 2.0])], "k int, x array<double>")
+    names = spark.createDataFrame([(0, "zero", "h0", "c0")], "class_id int, name string, host string, category string")
+    factory = lambda: lambda x: (np.asarray(x), np.asarray(x), np.asarray(x))
+    want = sorted([(1, [0, 1], ["zero", None]), (1, [1, 0], [None, "zero"]), (None, [1, 0], [None, "zero"])], key=str)
+    shape = lambda out: sorted(((r.k, [t.class_id for t in r.top], [t.name for t in r.top]) for r in out.collect()), key=str)
+    assert shape(predict.joint_predict(rows, "k", "x", factory, names, k=2)) == want
+    monkeypatch.setattr(predict, "is_small", lambda df: False)
+    assert shape(predict.joint_predict(rows, "k", "x", factory, names, k=2)) == want
