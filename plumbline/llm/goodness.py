@@ -27,7 +27,7 @@ from plumbline.llm.hashing import mix, word_hashes
 #: A word repeats another one that is at most so many words before it.
 NEARBY = 3
 #: Slots of words and of shapes, numbers of a vector, non-zero numbers of an index vector, neighbours on each side.
-WORDS, SHAPES, DIM, NONZERO, WINDOW = 1 << 15, 1 << 12, 64, 8, 2
+WORDS, SHAPES, DIM, NONZERO, WINDOW = 1 << 15, 1 << 12, 32, 4, 2
 SLOTS = WORDS + SHAPES
 #: Tables of sums are added up in slices of slots, at most FAN tables at a time.
 SLICES, FAN = 48, 64
@@ -79,7 +79,7 @@ class Sums:
             return
         text = np.repeat(np.arange(len(texts)), np.diff(at))
         own = self.index[words] + self.index[shapes]
-        around = np.zeros_like(own)
+        around = np.zeros(own.shape, np.int32)
         for step in range(1, min(WINDOW, len(own) - 1) + 1):
             same = (text[step:] == text[:-step])[:, None]
             around[:-step] += own[step:] * same
@@ -88,7 +88,7 @@ class Sums:
             order = np.argsort(slots, kind="stable")
             start = np.flatnonzero(np.diff(slots[order], prepend=-1))
             each = slots[order[start]]
-            self.table[each, :DIM] += np.add.reduceat(around[order], start, axis=0, dtype=np.int64)
+            self.table[each, :DIM] += np.add.reduceat(around[order], start, axis=0)
             self.table[each, DIM] += np.diff(np.append(start, len(slots)))
 
 
@@ -137,6 +137,9 @@ class Vectors:
     vector: np.ndarray
     weight: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.weighted = self.vector * self.weight[:, None]
+
     @staticmethod
     def of(sums: np.ndarray) -> Vectors:
         """Means of neighbours, without what all terms of a kind have in common, of about equal length."""
@@ -158,9 +161,8 @@ class Vectors:
         out = np.zeros((len(texts), 2 * DIM))
         for k, slots in enumerate((words, shapes)):
             if len(full):
-                weight = self.weight[slots].astype(np.float64)
-                total = np.add.reduceat(self.vector[slots] * weight[:, None], at[:-1][full], axis=0)
-                out[full, k * DIM : (k + 1) * DIM] = total / np.add.reduceat(weight, at[:-1][full])[:, None]
+                total = np.add.reduceat(self.weighted[slots], at[:-1][full], axis=0)
+                out[full, k * DIM : (k + 1) * DIM] = total / np.add.reduceat(self.weight[slots], at[:-1][full])[:, None]
         return out
 
 
