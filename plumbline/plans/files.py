@@ -8,6 +8,7 @@ from plumbline.operators import manifest as M
 from plumbline.operators.lineage import checkpointed
 from plumbline.plans import bindings as B
 from plumbline.plans.streams import _folder
+from plumbline.sources import commits as Cm
 from plumbline.sources import readers as R
 from plumbline.sources import writers as Wr
 
@@ -185,13 +186,14 @@ def write_report(spark, d):
     return spark.read.json(at).select("total", "usable")
 
 
-@query("select n_regionkey, count(*) as n from nation group by 1")
+@query("select l_partkey, l_suppkey, cast(count(*) as bigint) as n, cast(sum(l_quantity) as double) as quantity from lineitem group by all")
 def write_once(spark, d):
-    rows = B.table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    """The lines' totals by part and supplier, written twice (the second time in another order) and read by the marker."""
+    rows = B.table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
     at = _folder(spark, "once")
-    if not Wr.write_once(rows, at) or Wr.write_once(rows, at):
+    if not Cm.write_once(rows, at) or Cm.write_once(rows.select("quantity", "n", "l_suppkey", "l_partkey"), at):
         raise AssertionError("the second write is not the no-op that it should be")
-    return spark.read.parquet(at)
+    return Cm.read_once(spark, at)
 
 
 @query(f"with {B.CLASSES} select class_id, host_id, category from dims")

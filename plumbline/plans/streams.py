@@ -31,10 +31,11 @@ def finished(stream: DataFrame, mode: str, name: str, key: list[str] | None = No
     below its number (so a batch that runs again replaces itself), and the last row of each key is its current one."""
     spark, at = stream.sparkSession, _folder(stream.sparkSession, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{at}/out").start()
-    else:
-        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
+    with R.durable_state(spark):
+        if mode == "append":
+            query = writer.format("parquet").option("path", f"{at}/out").start()
+        else:
+            query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -50,22 +51,37 @@ def stream_latest_state(spark, d):
 
 
 def stream_early_stop(spark, d):
-    """Epochs are numbered before the stream begins, as a run's own records are."""
+    """Epochs are numbered before the stream begins, as a run's own records are, and come in four micro-batches in no order."""
     at = _folder(spark, "epochs")
-    B.history(spark, d).select("run", "epoch", "metric").write.parquet(at)
-    stream = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at).select(F.col("run").cast("long").alias("run"), F.col("epoch").cast("int").alias("epoch"), F.col("metric").cast("double").alias("metric"))
+    B.history(spark, d).select("run", F.col("epoch").cast("int").alias("epoch"), F.col("metric").cast("double").alias("metric"), "event_id").repartition(4, "event_id").drop("event_id").write.parquet(at)
+    stream = spark.readStream.schema(spark.read.parquet(at).schema).option("maxFilesPerTrigger", 1).parquet(at)
     return finished(R.early_stop_alerts(stream, 5), "append", "early-stop")
 
 
+def stream_run_outcomes(spark, d):
+    """Four micro-batches in the order of time; the runs that neither stop nor pause for 18 hours are still running at the end."""
+    at = _folder(spark, "timed-epochs")
+    rows = B.history(spark, d).select("run", F.col("epoch").cast("int").alias("epoch"), F.col("metric").cast("double").alias("metric"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = B.table(spark, d, "events").agg(F.min(F.col("ts").cast("timestamp").cast("double")), F.max(F.col("ts").cast("timestamp").cast("double"))).first()
+    part = F.least(F.floor((F.col("ts").cast("double") - F.lit(first)) / (F.lit(last) - F.lit(first)) * 4), F.lit(3))
+    for k in range(4):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return finished(R.run_outcomes(stream, 12, 18 * 3600.0, "10 minutes"), "append", "outcomes")
+
+
 def stream_epoch_metrics(spark, d):
     e = events(spark, d).select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("loss"))
     out = finished(R.window_means(e, "1 day", "10 minutes"), "append", "windows")
     return out.select("run", F.col("start").cast("timestamp_ntz").alias("start"), F.round("mean_loss", 6).alias("mean_loss"), "steps")
 
 
-for f in (stream_latest_state, stream_early_stop, stream_epoch_metrics):
+for f in (stream_latest_state, stream_early_stop, stream_run_outcomes, stream_epoch_metrics):
     Q[f.__name__] = f
 SQL["stream_latest_state"] = f"with {_STATES} select run, max(updated_at) as updated_at, arg_max(event_id, (updated_at, event_id)) as event_id, count(*) as snapshots from states group by run"
 SQL["stream_early_stop"] = f"with {_STOP} select cast(run as bigint) as run, epoch, best_metric, best_epoch from s where o = 1 and since >= 5"
+SQL["stream_run_outcomes"] = f"""with {B.HISTORY}, g as (select *, coalesce(lead(ts) over (partition by run order by epoch), (select max(ts) - interval '10 minutes' from events)) - ts > interval '18 hours' as pause from bests join history using (run, epoch, metric)),
+e as (select run, epoch, best_metric, best_epoch, case when epoch - best_epoch >= 12 then 'stopped' else 'silent' end as outcome, row_number() over (partition by run order by epoch) as r from g where pause or epoch - best_epoch >= 12)
+select run, epoch, best_metric, best_epoch, outcome from e where r = 1"""
 # the last window stays open: the watermark never passes its end
 SQL["stream_epoch_metrics"] = "select user_id as run, time_bucket(interval '1 day', ts) as start, round(avg(value), 6) as mean_loss, count(*) as steps from events where time_bucket(interval '1 day', ts) + interval '1 day' <= (select max(ts) - interval '10 minutes' from events) group by all"

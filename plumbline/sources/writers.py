@@ -23,25 +23,6 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
 
 
-def fingerprint(df: DataFrame) -> tuple[int, int]:
-    """Row count and a hash that does not depend on the rows' order."""
-    cols = sorted(df.columns)
-    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    return int(r.n), int(r.h)
-
-
-def write_once(df: DataFrame, out: str) -> bool:
-    """Writes Parquet unless the same rows are there already (False); other rows there are an error."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        if fingerprint(spark.read.parquet(out)) != fingerprint(df):
-            raise ValueError(f"{out} exists with other rows")
-        return False
-    df.write.mode("errorifexists").parquet(out)
-    return True
-
-
 def write_hierarchy_view(df: DataFrame, out: str) -> None:
     """Rows to browse as host / category folders."""
     df.write.mode("overwrite").partitionBy("host_id", "category").parquet(out)

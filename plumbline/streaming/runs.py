@@ -1,14 +1,14 @@
-"""Runs as streams: latest states, early-stop alerts, and mean losses by time window."""
+"""Runs as streams: latest states, early stopping and silence, mean losses by time window, and state files as they come."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def latest_states(states: DataFrame) -> DataFrame:
@@ -17,32 +17,117 @@ def latest_states(states: DataFrame) -> DataFrame:
     return states.groupBy("run").agg(F.max_by(F.struct("updated_at", *rest), F.col("updated_at")).alias("s"), F.count("*").alias("snapshots")).select("run", "s.*", "snapshots")
 
 
-def early_stop_alerts(epochs: DataFrame, patience: int) -> DataFrame:
-    """(run, epoch, best_metric, best_epoch) once for each run, when patience is used up. epochs: (run long, epoch int, metric double).
+class _Stopping(StatefulProcessor):
+    """Early stopping of one run. Epochs that came before the ones they follow are held in a map state until their turn."""
+
+    def __init__(self, patience: int, silence: float | None, keep: float) -> None:
+        self.patience, self.silence, self.keep = patience, silence, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "best double, at int, last int, seen double, ended boolean")
+        self.held = handle.getMapState("held", "epoch int", "metric double, ts double")
+
+    def _walk(self, ready: list[tuple[int, float, float]], best: float, at: int, last: int, seen: float) -> tuple[tuple, str | None]:
+        """The state after the epochs (epoch, metric, time) in order, up to the one that ends the run, and how it ended."""
+        for epoch, metric, ts in ready:
+            if self.silence is not None and last and ts - seen > self.silence:
+                return (best, at, last, seen), "silent"
+            last, seen = epoch, ts if last == 0 else max(seen, ts)
+            if metric > best:  # false for NaN, which stands for null too
+                best, at = metric, epoch
+            if last - at >= self.patience:
+                return (best, at, last, seen), "stopped"
+        return (best, at, last, seen), None
+
+    def _timer(self, at: float) -> None:
+        if self.silence is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int(at * 1000))
+
+    def _close(self, key: tuple, state: tuple, how: str, until: float) -> pd.DataFrame:
+        self.run.update((*state, True))
+        self.held.clear()
+        self._timer(until + self.keep)
+        return pd.DataFrame([(key[0], state[2], state[0], state[1], how)], columns=["run", "epoch", "best_metric", "best_epoch", "outcome"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows))
+        state = self.run.get() if self.run.exists() else (-1.0, 0, 0, 0.0, False)
+        best, at, last, seen, ended = state
+        if ended:
+            if self.silence is not None and frame.ts.notna().any():
+                self._timer(frame.ts.max().timestamp() + self.keep)
+            return
+        held = {k[0]: v for k, v in self.held.iterator()} if self.held.exists() else {}
+        wait = dict(held)
+        for epoch, metric, ts in zip(frame.epoch, frame.metric, frame.ts if self.silence is not None else [pd.Timestamp(0)] * len(frame), strict=True):
+            if pd.notna(epoch) and epoch > last and pd.notna(ts):
+                one = (float("nan") if pd.isna(metric) else float(metric), ts.timestamp())
+                old = wait.get(int(epoch), one)
+                wait[int(epoch)] = one if old[0] != old[0] else max(old, one) if one[0] == one[0] else old
+        ready = []
+        while last + len(ready) + 1 in wait:
+            e = last + len(ready) + 1
+            ready.append((e, *wait.pop(e)))
+        state, how = self._walk(ready, best, at, last, seen)
+        if how:
+            yield self._close(key, state, how, max([state[3], *(ts for _, _, ts in ready)]))
+            return
+        self.run.update((*state, False))
+        for e, *_ in ready:
+            if e in held:
+                self.held.removeKey((e,))
+        for e, v in wait.items():
+            if held.get(e) != v:
+                self.held.updateValue((e,), v)
+        self._timer(max([state[3], *(ts for _, ts in wait.values())]) + (self.silence or 0))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best, at, last, seen, ended = self.run.get()
+        if ended:
+            self.run.clear()
+            return
+        state, how = self._walk(sorted((k[0], *v) for k, v in self.held.iterator()), best, at, last, seen)
+        yield self._close(key, state, how or "silent", expiredTimerInfo.getExpiryTimeInMs() / 1000)
 
-    State per run: the best metric and its epoch, the last epoch seen, and whether it has stopped. Within a micro-batch epochs
-    are put in order; an epoch not after the last one seen is late and dropped.
+    def close(self) -> None:
+        pass
+
+
+def run_outcomes(epochs: DataFrame, patience: int, silence: float | None = None, late: str = "1 hour", keep: float = 30 * 86400.0) -> DataFrame:
+    """(run, epoch, best_metric, best_epoch, outcome) once for each run that ends: "stopped" at the epoch that uses up patience, as
+    operators.runs.early_stop says, or "silent" at its last epoch when it has no new one for ``silence`` seconds of event time.
+
+    epochs: (run, epoch int from 1, metric double), and ts timestamp where silence is given. Epochs may come in any order and any
+    micro-batch: one waits in the state until those before it have come; when the run falls silent, those that still wait are taken in
+    order, whatever is missing between them. An epoch that was counted before is left out; of one that repeats before that, the largest metric counts.
+    A null or NaN metric is never a best; rows without an epoch or time are none. Rows that come ``late`` after later ones are dropped, as by any watermark. An ended run is
+    remembered until no row of it has come for ``keep`` seconds of event time, so that none begins it anew; then its state goes. Without silence there are no timers, and the last of each run's states stays. For append mode,
+    on the RocksDB state store (see durable_state).
     """
+    columns = ["run", "epoch", "metric", *["ts"] * (silence is not None)]
+    rows = epochs.select(*columns) if silence is None else epochs.select(*columns).withWatermark("ts", late)
+    kind = f"run {epochs.schema['run'].dataType.simpleString()}, epoch int, best_metric double, best_epoch int, outcome string"
+    return rows.groupBy("run").transformWithStateInPandas(_Stopping(patience, silence, keep), kind, "append", "None" if silence is None else "EventTime")
+
+
+def early_stop_alerts(epochs: DataFrame, patience: int) -> DataFrame:
+    """(run, epoch, best_metric, best_epoch) once for each run, when patience is used up: run_outcomes without timers."""
+    return run_outcomes(epochs, patience).drop("outcome")
+
 
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, at, last, stopped = state.get if state.exists else (-1.0, 0, 0, False)
-        rows = pd.concat(list(frames)).sort_values("epoch")
-        out = []
-        for epoch, metric in zip(rows.epoch, rows.metric, strict=True):
-            if epoch <= last or stopped:
-                continue
-            last = int(epoch)
-            if metric is not None and metric > best:
-                best, at = float(metric), last
-            if last - at >= patience:
-                stopped = True
-                out.append((key[0], last, best, at))
-        state.update((best, at, last, stopped))
-        yield pd.DataFrame(out, columns=["run", "epoch", "best_metric", "best_epoch"])
-
-    return epochs.groupBy("run").applyInPandasWithState(
-        step, "run long, epoch int, best_metric double, best_epoch int", "best double, at int, last int, stopped boolean", "append", GroupStateTimeout.NoTimeout
-    )
+@contextmanager
+def durable_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, on disk and in the checkpoint, instead of in the executors' memory."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def window_means(steps: DataFrame, length: str = "10 minutes", late: str = "10 minutes") -> DataFrame:

@@ -286,18 +286,52 @@ def test_joint_predict(spark):
     assert {len(r.detections) for r in predict.joint_predict(rows, "id", "x", model, names).collect()} == {0}
 
 
-def test_late_epochs(spark, tmp_path):
-    """An epoch that arrives in a later batch than one after it is dropped; each run is alerted once."""
-    from plumbline.streaming.runs import early_stop_alerts
+def _runs(spark, at, out, **how):
+    """Runs the files of ``at`` to the end, one a micro-batch, from where the checkpoint beside ``out`` has got to."""
+    from plumbline.streaming.runs import durable_state, run_outcomes
 
-    batches = [[(1, 1, 5.0), (1, 3, 1.0)], [(1, 2, 9.0), (1, 4, 2.0), (2, 1, 1.0)], [(1, 5, 9.0), (2, 2, 2.0)]]
-    at = str(tmp_path / "in")
+    stream = spark.readStream.schema("run long, epoch int, metric double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(at)
+    with durable_state(spark):
+        q = run_outcomes(stream, **how).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sorted((r.run, r.epoch, r.best_metric, r.best_epoch, r.outcome) for r in spark.read.parquet(out).collect())
+
+
+def test_epochs_in_any_order_and_a_restart(spark, tmp_path):
+    """Shuffled over micro-batches, and stopped and started between them, alerts are those of the batch operator."""
+    import random
+
+    from plumbline.operators.runs import early_stop
+
+    rng, at, out = random.Random(5), str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(run, e, rng.choice([None, float("nan"), rng.random(), rng.random()]), None) for run in range(12) for e in range(1, rng.randint(2, 16))]
+    rows += rng.sample(rows, 20)  # the same record again
+    rng.shuffle(rows)
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], "run long, epoch int, metric double, ts timestamp").coalesce(1).write.mode("append").parquet(at)
+        if k in (1, 3):  # a new query goes on from the checkpoint
+            got = _runs(spark, at, out, patience=4)
+    once = list({(r[0], r[1]): r for r in rows}.values())
+    whole = early_stop(spark.createDataFrame(once, "run long, epoch int, metric double, ts timestamp"), 4)
+    assert got and got == sorted((r.run, r.epoch, r.best_metric, r.best_epoch, "stopped") for r in whole.where("stop").collect())
+
+
+def test_silent_runs(spark, tmp_path):
+    """A run ends by its timer when the others' time has passed it; what it held is taken then, and what comes after is no new run."""
+    from datetime import datetime, timedelta
+
+    t = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    batches = [
+        [(1, 1, 5.0, t(0)), (1, 4, 7.0, t(1)), (2, 1, 1.0, t(0)), (3, 1, 2.0, t(0))],  # run 1 lacks epochs 2 and 3
+        [(2, 2, 3.0, t(9)), (3, 2, 1.0, t(6)), (2, 3, None, t(12))],  # run 2 pauses for nine hours
+        [(3, 3, 1.0, t(13)), (3, 4, 0.5, t(14)), (3, 5, 0.5, t(15))],
+        [(1, 2, 9.0, t(16)), (4, 1, 1.0, t(30))],  # run 1 has ended
+    ]
+    at, out = str(tmp_path / "in"), str(tmp_path / "out")
     for b in batches:
-        spark.createDataFrame(b, "run long, epoch int, metric double").coalesce(1).write.mode("append").parquet(at)
-    stream = spark.readStream.schema("run long, epoch int, metric double").option("maxFilesPerTrigger", 1).parquet(at)
-    out = early_stop_alerts(stream, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    out.awaitTermination()
-    assert [(r.run, r.epoch, r.best_metric, r.best_epoch) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 5.0, 1)]
+        spark.createDataFrame(b, "run long, epoch int, metric double, ts timestamp").coalesce(1).write.mode("append").parquet(at)
+    got = _runs(spark, at, out, patience=4, silence=8 * 3600.0, late="1 hour")
+    assert got == [(1, 4, 7.0, 4, "silent"), (2, 1, 1.0, 1, "silent"), (3, 5, 2.0, 1, "stopped")]
 
 
 def test_detection_contract_counts_and_odd_rows(spark):

@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from plumbline.sources import commits as Cm
 from plumbline.sources import readers as R
 from plumbline.sources import writers as Wr
 
@@ -87,15 +88,53 @@ def test_json_and_history(spark, tmp_path):
     assert [(r.run, r.epoch) for r in rows] == [("r1", 1)]
 
 
-def test_write_once(spark, tmp_path):
+def test_canonical_json(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
-    out = str(tmp_path / "o")
-    assert Wr.write_once(df, out) and not Wr.write_once(df.orderBy("s"), out)
-    with pytest.raises(ValueError, match="other rows"):
-        Wr.write_once(df.limit(1), out)
     assert sorted(r.j for r in df.select(Wr.canonical_json("s", "i").alias("j")).collect()) == ['{"i":1,"s":"a"}', '{"i":2,"s":null}']
 
 
+def test_write_once(spark, tmp_path):
+    """Same rows in any order are a no-op that reads no data; other rows, types or files of others are errors; empty tables count too."""
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "i int, s string")
+    out = str(tmp_path / "o")
+    assert Cm.write_once(df, out)
+    for f in tmp_path.glob("o/rows-*/*.parquet"):
+        f.rename(f.with_suffix(".away"))
+    assert not Cm.write_once(df.orderBy("s").select("s", "i"), out)
+    for f in tmp_path.glob("o/rows-*/*.away"):
+        f.rename(f.with_suffix(".parquet"))
+    assert sorted(map(str, Cm.read_once(spark, out).collect())) == sorted(map(str, df.collect()))
+    for other in (df.limit(1), df.distinct(), df.selectExpr("cast(i as bigint) as i", "s"), df.withColumnRenamed("s", "t")):
+        with pytest.raises(ValueError, match="other rows"):
+            Cm.write_once(other, out)
+    assert Cm.write_once(df.limit(0), str(tmp_path / "e")) and not Cm.write_once(df.limit(0), str(tmp_path / "e")) and Cm.read_once(spark, str(tmp_path / "e")).count() == 0
+    df.write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="not written by write_once"):
+        Cm.write_once(df, str(tmp_path / "p"))
+    with pytest.raises(FileNotFoundError):
+        Cm.read_once(spark, str(tmp_path / "p"))
+
+
+def test_racing_writers(spark, tmp_path):
+    """Of eight writers with four different tables one wins; the one with its rows learns that they are there, the others fail, and no folder but the winner's is left."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    out = str(tmp_path / "r")
+
+    def attempt(k):
+        try:
+            return Cm.write_once(spark.range(100).selectExpr(f"id + {k % 4} as x"), out)
+        except ValueError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(attempt, range(8)))
+    (winner,) = [k for k in range(8) if got[k] is True]
+    assert [k for k in range(8) if got[k] is False] == [(winner + 4) % 8] and got.count(None) == 6
+    assert Cm.read_once(spark, out).agg({"x": "min"}).first()[0] == winner % 4
+    assert len(list(tmp_path.glob("r/rows-*"))) == 1 and not list(tmp_path.glob("r/.draft-*"))
+
+
 def test_hierarchy(spark, tmp_path):
     Wr.write_hierarchy_view(spark.createDataFrame([("h", "c", 1)], "host_id string, category string, class_id int"), str(tmp_path / "v"))
     assert (tmp_path / "v/host_id=h/category=c").is_dir()
