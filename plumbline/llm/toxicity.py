@@ -19,7 +19,9 @@ BITS = 24
 #: At most so many labelled rows of each label are learnt from (those whose hashed id is smallest): the bound of the one training task.
 MAX_POSITIVE, MAX_NEGATIVE = 6_000, 14_000
 EPOCHS, MIN_DOCS = 4, 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.5, 1.0
+#: A coordinate's L1 penalty is at least so many standard deviations of what its examples' gradients would add up to if it told nothing.
+NOISE = 8.0
 #: At most so many non-zero weights are broadcast (the largest); the model is far below it in practice, and a fit beyond it fails.
 MAX_WEIGHTS = 1 << 20
 THRESHOLD = 0.3
@@ -59,7 +61,12 @@ class Model:
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """FTRL-proximal with per-coordinate rates, in the rows' order, EPOCHS times. rows: distinct coordinates of each example."""
+    """FTRL-proximal with per-coordinate rates, in the rows' order, EPOCHS times. rows: distinct coordinates of each example.
+
+    The penalty is per coordinate too: L1, or NOISE times sqrt(q * b * (1 - b)) if that is more, with q the sum of its examples' squared
+    weights and b the weighted share of label 1. So a coordinate that many examples have needs more than chance for a weight, and
+    with few examples the rare words of a long text, which are most of its coordinates, get none.
+    """
     count = np.zeros(1 << BITS, np.uint16)
     for r in rows:
         count[r] += 1  # a row's coordinates are distinct, and there are fewer rows than 2 ** 16
@@ -72,8 +79,11 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Mod
         spot = place[r]
         own.append(np.append(spot[spot >= 0], np.int32(len(at))))  # the last is the bias
     del place
-    z, n = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
-    l1 = np.full(len(at) + 1, L1)
+    z, n, squares = (np.zeros(len(at) + 1) for _ in range(3))
+    for i, s in zip(own, weights, strict=True):
+        squares[i] += s * s
+    share = float((labels * weights).sum() / max(weights.sum(), 1e-9))
+    l1 = np.maximum(L1, NOISE * np.sqrt(squares * share * (1 - share)))
     l1[-1] = 0
 
     def weight(i: np.ndarray) -> np.ndarray:
@@ -136,7 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tupl
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of docs and ``score``, the model's probability for the whole text. Null texts count as empty."""
+    """The ``keep`` columns of docs and ``score``, the model's probability for the whole text, a row for each row of docs.
+
+    A null text counts as empty, and an empty one has the score of the bias; a text of any length is taken whole; equal texts have equal
+    scores, so repeated rows and ties stay as they are; an empty table gives no rows. Other columns, whatever their names, are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +162,11 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def filtered(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2), threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is below the threshold; columns unchanged. Scored in place: each row needs its own text only."""
+    """The rows of docs whose score is below the threshold; columns unchanged. Scored in place: each row needs its own text only.
+
+    A score equal to the threshold goes. Nulls, empty and long texts, repeated rows and empty tables are as in scored(); without any usable label
+    the model has no weights and scores everything 0.5, so a threshold up to that keeps nothing and the caller has to give labels.
+    """
     model = fit(docs, labels, held_out=held_out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
