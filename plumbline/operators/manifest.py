@@ -220,6 +220,15 @@ def mismatches(recorded: DataFrame, found: DataFrame, key: str, columns: list[st
     return out.where(F.col("__there").isNull() | differs).withColumn("status", status).drop("__key", "__there")
 
 
+def changed_ranges(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, start, length, status) of the ranges (path, start, length, sha256) that are not the same in both: changed, missing or extra,
+    with recorded's length where it has one. A changed byte names its range; a file that grew or shrank its last ones."""
+    f = found.select("path", "start", F.col("length").alias("__length"), F.col("sha256").alias("__sha256"))
+    both = recorded.join(f, ["path", "start"], "full_outer").where(~F.col("sha256").eqNullSafe(F.col("__sha256")) | ~F.col("length").eqNullSafe(F.col("__length")))
+    status = F.when(F.col("__sha256").isNull(), "missing").when(F.col("sha256").isNull(), "extra").otherwise("changed")
+    return both.select("path", "start", F.coalesce("length", "__length").alias("length"), status.alias("status"))
+
+
 def enrich_samples(manifest: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """manifest with the host and category ordinals of its class; the taxonomy is a dimension, a row a class."""
     return manifest.join(dimension(taxonomy), "class_id")

@@ -196,6 +196,36 @@ def write_once(spark, d):
     return Cm.read_once(spark, at)
 
 
+_RANGES = """h as (select doc_id // 2000 as b, doc_id, md5(text) as h, doc_id % 1009 = 5 as other from documents where text is not null),
+f as (select b, string_agg(h || chr(10), '' order by doc_id, h) as old, string_agg(case when other then repeat('0', 32) else h end || chr(10), '' order by doc_id, h) as new from h group by 1),
+r as (select b, unnest(range(0, length(old), 4096)) as start, old, new from f), p as (select b, start, sha256(substr(old, start + 1, 4096)) as was, sha256(substr(new, start + 1, 4096)) as now, length(substr(old, start + 1, 4096)) as length from r)"""
+
+
+def _hash_files(spark, d, name: str, changed: bool) -> str:
+    """Texts' md5s as lines, 2,000 ids a folder; a changed tree has other lines for some ids."""
+    at = _folder(spark, name)
+    h = F.md5("text")
+    rows = B.table(spark, d, "documents").where("text is not null").select(F.floor(F.col("doc_id") / 2000).alias("b"), "doc_id", h.alias("h"), (F.when(F.col("doc_id") % 1009 == 5, "0" * 32).otherwise(h) if changed else h).alias("value"))
+    rows.repartition("b").sortWithinPartitions("b", "doc_id", "h").select("b", "value").write.partitionBy("b").text(at)
+    return at
+
+
+def _ranges(spark, at: str):
+    return R.range_digests(spark, at, 4096, "part-*").withColumn("path", F.regexp_extract("path", "/b=([0-9]+)/", 1))
+
+
+@query(f"with {_RANGES} select b as file, count(*) as ranges, cast(sum(length) as bigint) as size, sha256(string_agg(was, '' order by start)) as sha256 from p group by 1")
+def range_digests(spark, d):
+    return R.tree_digests(_ranges(spark, _hash_files(spark, d, "hashes", False))).select(F.col("path").cast("long").alias("file"), "ranges", "size", "sha256")
+
+
+@query(f"with {_RANGES} select b as file, start, cast(length as bigint) as length, 'changed' as status from p where was <> now")
+def changed_ranges(spark, d):
+    """The ranges of a tree in which some lines changed since its digests were recorded."""
+    out = M.changed_ranges(_ranges(spark, _hash_files(spark, d, "hashes", False)), _ranges(spark, _hash_files(spark, d, "later", True)))
+    return out.select(F.col("path").cast("long").alias("file"), "start", "length", "status")
+
+
 @query(f"with {B.CLASSES} select class_id, host_id, category from dims")
 def write_hierarchy_view(spark, d):
     at = _folder(spark, "view")

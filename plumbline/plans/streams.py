@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.lineage import shared_folder
 from plumbline.plans import bindings as B
 from plumbline.plans.scoring import _STATES, _STOP
+from plumbline.sources.readers import stream_run_state
 from plumbline.streaming import runs as R
 
 Q: dict = {}
@@ -70,16 +71,34 @@ def stream_run_outcomes(spark, d):
     return finished(R.run_outcomes(stream, 12, 18 * 3600.0, "10 minutes"), "append", "outcomes")
 
 
+def stream_run_states(spark, d):
+    """Each run's snapshots as JSON lines of a file in its folder, one in eleven cut off, read as a stream of files; the latest by time of what could be read."""
+    at, out = _folder(spark, "state-files"), _folder(spark, "states")
+    e = B.table(spark, d, "events")
+    state = F.struct(F.lit("running").alias("status"), (F.col("event_id") % 9 + 1).cast("int").alias("epoch"), F.col("event_id").alias("global_step"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_at"))
+    text = F.to_json(state)
+    lines = e.select(F.col("user_id").alias("run"), F.when(F.col("event_id") % 11 == 0, F.substring(text, 1, 25)).otherwise(text).alias("value"))
+    lines.repartition("run").write.partitionBy("run").text(at)
+    stream = stream_run_state(spark, f"{at}/*/part-*", lines=True, files=400)
+    stream.writeStream.foreachBatch(lambda df, n: R.keep_states(df, out, n)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    good = spark.read.parquet(f"{out}/states").groupBy("run").agg(F.max(F.struct("updated_at", "global_step", "epoch")).alias("s"), F.count("*").alias("states"))
+    bad = spark.read.parquet(f"{out}/malformed").groupBy("run").agg(F.count("*").alias("malformed"))
+    both = good.join(bad, "run", "full_outer")
+    return both.select(F.replace("run", F.lit("run="), F.lit("")).cast("long").alias("run"), "s.epoch", "s.global_step", F.coalesce("states", F.lit(0)).alias("states"), F.coalesce("malformed", F.lit(0)).alias("malformed"))
+
+
 def stream_epoch_metrics(spark, d):
     e = events(spark, d).select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("loss"))
     out = finished(R.window_means(e, "1 day", "10 minutes"), "append", "windows")
     return out.select("run", F.col("start").cast("timestamp_ntz").alias("start"), F.round("mean_loss", 6).alias("mean_loss"), "steps")
 
 
-for f in (stream_latest_state, stream_early_stop, stream_run_outcomes, stream_epoch_metrics):
+for f in (stream_latest_state, stream_early_stop, stream_run_outcomes, stream_run_states, stream_epoch_metrics):
     Q[f.__name__] = f
 SQL["stream_latest_state"] = f"with {_STATES} select run, max(updated_at) as updated_at, arg_max(event_id, (updated_at, event_id)) as event_id, count(*) as snapshots from states group by run"
 SQL["stream_early_stop"] = f"with {_STOP} select cast(run as bigint) as run, epoch, best_metric, best_epoch from s where o = 1 and since >= 5"
+SQL["stream_run_states"] = """select user_id as run, cast(arg_max(event_id % 9 + 1, (ts, event_id)) filter (where event_id % 11 <> 0) as int) as epoch, arg_max(event_id, (ts, event_id)) filter (where event_id % 11 <> 0) as global_step,
+count(*) filter (where event_id % 11 <> 0) as states, count(*) filter (where event_id % 11 = 0) as malformed from events group by 1"""
 SQL["stream_run_outcomes"] = f"""with {B.HISTORY}, g as (select *, coalesce(lead(ts) over (partition by run order by epoch), (select max(ts) - interval '10 minutes' from events)) - ts > interval '18 hours' as pause from bests join history using (run, epoch, metric)),
 e as (select run, epoch, best_metric, best_epoch, case when epoch - best_epoch >= 12 then 'stopped' else 'silent' end as outcome, row_number() over (partition by run order by epoch) as r from g where pause or epoch - best_epoch >= 12)
 select run, epoch, best_metric, best_epoch, outcome from e where r = 1"""

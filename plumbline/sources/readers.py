@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+import pyarrow.fs
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from plumbline.functions.images import image_header
 from plumbline.functions.scalars import file_extension
@@ -147,16 +155,67 @@ def read_json_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.inline(table))
 
 
-def read_run_state(spark: SparkSession, glob: str, schema: str = "task string, run_id string, status string, epoch int, global_step long, steps_per_epoch int, updated_at double") -> DataFrame:
-    """(run, task, ..., modified) of state files, one JSON object each, named by their run's folder; ``task`` is the folder above the
-    run's where the file has none. A malformed file gives a row with nulls; ``modified`` is the file's time."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
-    parts = F.split("_metadata.file_path", "/")
-    rows = rows.withColumn("run", F.element_at(parts, -2)).withColumn("modified", F.col("_metadata.file_modification_time"))
+RUN_STATE = "task string, run_id string, status string, epoch int, global_step long, steps_per_epoch int, updated_at double"
+
+
+def _run_states(reader: DataFrameReader | DataStreamReader, glob: str, schema: str, lines: bool) -> DataFrame:
+    """(run, task, ..., malformed, path, modified): a row a state, with its text in ``malformed`` and nulls where it is no JSON object of the schema."""
+    rows = reader.schema(f"{schema}, malformed string").option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").json(glob)
+    rows = rows.withColumn("path", F.col("_metadata.file_path")).withColumn("modified", F.col("_metadata.file_modification_time"))
+    parts = F.split("path", "/")
+    rows = rows.withColumn("run", F.element_at(parts, -2))
     return rows.withColumn("task", F.coalesce(F.nullif("task", F.lit("")), F.element_at(parts, -3))) if "task" in rows.columns else rows
 
 
+def read_run_state(spark: SparkSession, glob: str, schema: str = RUN_STATE, lines: bool = False) -> DataFrame:
+    """(run, task, ..., malformed, path, modified) of state files, one JSON object each (with ``lines``, one a line), named by their run's
+    folder; ``task`` is the folder above the run's where the file has none. A malformed file gives a row with nulls and its text in
+    ``malformed``; ``modified`` is the file's time, and a filter on it keeps other files from being read."""
+    return _run_states(spark.read, glob, schema, lines)
+
+
+def stream_run_state(spark: SparkSession, glob: str, schema: str = RUN_STATE, lines: bool = False, files: int = 1000) -> DataFrame:
+    """read_run_state as a stream of files as they appear, at most ``files`` a micro-batch. A file that is replaced under its name is not read
+    again by a file stream; streaming.runs.poll_states does that."""
+    return _run_states(spark.readStream.option("maxFilesPerTrigger", files), glob, schema, lines)
+
+
 def read_run_history(spark: SparkSession, glob: str, schema: str = "epoch int, train_loss double, best_metric double, best_epoch int, timestamp double") -> DataFrame:
     """(run, epoch, ...) of history files, JSON arrays named by their run's folder; a malformed file gives no rows."""
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
     return rows.withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2)).where("epoch is not null").withColumn("ts", F.timestamp_seconds("timestamp"))
+
+
+def range_digests(spark: SparkSession, path: str, piece: int = 64 << 20, glob: str = "*") -> DataFrame:
+    """(path, start, length, sha256) of the files below a folder, by ranges of ``piece`` bytes, so that the tasks which read a large file are
+    many and files may be larger than a row can be. Only names and sizes are listed; a task reads its ranges a block at a time, through
+    pyarrow's file systems. Empty files are not listed by Spark's reader. A file that ends before its listed size is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(piece).cast("long"))).alias("start"), F.col("length").alias("size"))
+    ranges = ranges.select("path", "start", F.least(F.lit(piece), F.col("size") - F.col("start")).cast("long").alias("length")).repartition("path", "start")
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for file, start, length in zip(frame.path, frame.start, frame.length, strict=True):
+                system, at = pyarrow.fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", file), safe="/:@"))
+                h, left = hashlib.sha256(), int(length)
+                with system.open_input_file(at) as f:
+                    f.seek(int(start))
+                    while left:
+                        block = f.read(min(left, 1 << 20))
+                        if not block:
+                            raise OSError(f"{file} ends {left} bytes before its listed size")
+                        h.update(block)
+                        left -= len(block)
+                out.append(h.hexdigest())
+            yield frame.assign(sha256=out)
+
+    return ranges.mapInPandas(digest, "path string, start long, length long, sha256 string")
+
+
+def tree_digests(ranges: DataFrame) -> DataFrame:
+    """(path, size, ranges, sha256) a file: the digest of its ranges' digests, as lowercase hex in order. A row a range goes into it, no bytes."""
+    order = F.array_sort(F.collect_list(F.struct("start", "sha256")))
+    out = ranges.groupBy("path").agg(F.sum("length").alias("size"), F.count("*").alias("ranges"), order.alias("d"))
+    return out.select("path", "size", "ranges", F.sha2(F.array_join(F.transform("d", lambda x: x["sha256"]), ""), 256).alias("sha256"))

@@ -8,8 +8,11 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from plumbline.sources.readers import read_run_state
+
 
 def latest_states(states: DataFrame) -> DataFrame:
     """The latest state of each run by updated_at; a snapshot that arrives late and is older changes nothing. For update or complete mode."""
@@ -134,3 +137,46 @@ def window_means(steps: DataFrame, length: str = "10 minutes", late: str = "10 m
     """(run, start, mean_loss, steps) of tumbling windows of ts; rows later than the watermark are dropped. For append mode."""
     w = steps.withWatermark("ts", late).groupBy("run", F.window("ts", length).alias("w")).agg(F.avg("loss").alias("mean_loss"), F.count("*").alias("steps"))
     return w.select("run", F.col("w.start").alias("start"), "mean_loss", "steps")
+
+
+def keep_states(states: DataFrame, out: str, n: int) -> None:
+    """Writes a batch of run states (sources.readers.read_run_state) below its number, so that one that runs again replaces itself:
+    those that could be read to ``out``/states, malformed ones (path, modified, malformed) to ``out``/malformed."""
+    states.persist()
+    try:
+        states.where("malformed is null").drop("malformed").write.mode("overwrite").parquet(f"{out}/states/batch={n}")
+        states.where("malformed is not null").select("run", "path", "modified", "malformed").write.mode("overwrite").parquet(f"{out}/malformed/batch={n}")
+    finally:
+        states.unpersist()
+
+
+def poll_states(spark: SparkSession, glob: str, out: str, n: int) -> None:
+    """Poll ``n`` of state files that are replaced in place: those whose time is not before the last one kept by the polls before are read, without
+    those of just that time which are kept already. Run by a timer as a stream, it is the sink of poll_stream."""
+    new = read_run_state(spark, glob)
+    if n:
+        before = _kept(spark, out, n)
+        last = before.agg(F.max("modified")).first()[0]
+        if last is not None:
+            same = before.where(F.col("modified") == F.lit(last)).select("path", "modified").distinct()
+            new = new.where(F.col("modified") >= F.lit(last)).join(same, ["path", "modified"], "left_anti")
+    keep_states(new, out, n)
+
+
+def _kept(spark: SparkSession, out: str, n: int) -> DataFrame:
+    """(path, modified) of the files that batches before ``n`` read."""
+    kinds = [spark.read.parquet(f"{out}/{kind}").where(F.col("batch") < n).select("path", "modified") for kind in ("states", "malformed")]
+    return kinds[0].union(kinds[1])
+
+
+def poll_stream(spark: SparkSession, glob: str, out: str, checkpoint: str, every: str = "3 seconds") -> StreamingQuery:
+    """poll_states every so often until stopped; a restart goes on with the next poll. Each tick of a rate stream is a micro-batch, whose rows aren't used."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: poll_states(spark, glob, out, n)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def current_states(spark: SparkSession, out: str) -> DataFrame:
+    """The latest state of each run among those kept, by the file's time, then by the batch that read it."""
+    rows = spark.read.parquet(f"{out}/states")
+    rest = [c for c in rows.columns if c not in ("run", "modified", "batch")]
+    return rows.groupBy("run").agg(F.max(F.struct("modified", "batch", *rest)).alias("s")).select("run", "s.*")

@@ -198,3 +198,78 @@ def test_image_headers(spark, tmp_path):
         r = got[name]
         assert [r.image_format, r.image_mode, r.width, r.height, r.renamed, r.decode_error] == row and r.size_bytes == len(raw), name
         assert r.decode_status == ("ok" if row[-1] == "" else "bad")
+
+
+def test_ranges_of_files(spark, tmp_path):
+    """Digests by range against hashlib, last ranges and whole multiples included; a changed byte names its range, other sizes their last ones."""
+    import hashlib
+    import random
+
+    from plumbline.operators.manifest import changed_ranges
+
+    rng = random.Random(1)
+    blobs = {"a.bin": rng.randbytes(2_500_000), "b.bin": rng.randbytes(3 * 4096), "c.bin": b"x", "sub/a b.bin": rng.randbytes(5000)}
+    for name, blob in blobs.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(blob)
+    (tmp_path / "none.bin").write_bytes(b"")
+    for piece in (4096, 1_200_000):
+        found = R.range_digests(spark, str(tmp_path), piece)
+        got = {(r.path.split(str(tmp_path) + "/")[1].replace("%20", " "), r.start): (r.length, r.sha256) for r in found.collect()}
+        want = {(n, k): (len(b[k : k + piece]), hashlib.sha256(b[k : k + piece]).hexdigest()) for n, b in blobs.items() for k in range(0, len(b), piece)}
+        assert got == want
+        trees = {r.path.rsplit("/", 1)[1]: (r.size, r.ranges, r.sha256) for r in R.tree_digests(found).collect() if "/sub/" not in r.path}
+        for n in ("a.bin", "b.bin", "c.bin"):
+            own = [want[n, k][1] for k in range(0, len(blobs[n]), piece)]
+            assert trees[n] == (len(blobs[n]), len(own), hashlib.sha256("".join(own).encode()).hexdigest())
+    before = spark.createDataFrame(R.range_digests(spark, str(tmp_path), 4096).toPandas())
+    (tmp_path / "a.bin").write_bytes(blobs["a.bin"][:1_000_000] + bytes([blobs["a.bin"][1_000_000] ^ 1]) + blobs["a.bin"][1_000_001:])
+    (tmp_path / "b.bin").write_bytes(blobs["b.bin"] + b"more")
+    (tmp_path / "c.bin").unlink()
+    out = changed_ranges(before, R.range_digests(spark, str(tmp_path), 4096)).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.start, r.length, r.status) for r in out) == [("a.bin", 1_000_000 // 4096 * 4096, 4096, "changed"), ("b.bin", 12288, 4, "extra"), ("c.bin", 0, 1, "missing")]
+
+
+def test_polled_states(spark, tmp_path):
+    """Files that appear, are replaced under their names, share a time or are malformed, over several polls; what the last poll gives is what the batch reader gives."""
+    import os
+
+    from plumbline.streaming import runs
+
+    def put(run, text, at):
+        (tmp_path / "tasks" / run).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tasks" / run / "state.json").write_text(text)
+        os.utime(tmp_path / "tasks" / run / "state.json", (at, at))
+
+    glob, out = str(tmp_path / "tasks/*/state.json"), str(tmp_path / "out")
+    polls = [
+        [("r1", '{"status": "running", "epoch": 1}', 1000), ("r2", '{"epoch": 5}', 1000), ("r3", "{broken", 900)],
+        [("r4", '{"epoch": 7}', 1000), ("r1", '{"status": "running", "epoch": 2}', 1010)],  # r4 has the last poll's time
+        [],
+        [("r1", '{"status": "done",', 1020), ("r3", '{"epoch": 1}', 1020)],  # r1's file is being written
+        [("r1", '{"status": "done", "epoch": 3}', 1021)],
+    ]
+    for n, changes in enumerate(polls):
+        for c in changes:
+            put(*c)
+        for _ in range(2 if n == 3 else 1):  # a poll that runs again replaces itself
+            runs.poll_states(spark, glob, out, n)
+        assert {r.path.rsplit("/", 2)[1] for b in ("states", "malformed") for r in spark.read.parquet(f"{out}/{b}").where(f"batch = {n}").collect()} == {c[0] for c in changes}
+    got = {r.run: (r.task, r.status, r.epoch) for r in runs.current_states(spark, out).collect()}
+    assert got == {"r1": ("tasks", "done", 3), "r2": ("tasks", None, 5), "r3": ("tasks", None, 1), "r4": ("tasks", None, 7)}
+    assert got == {r.run: (r.task, r.status, r.epoch) for r in R.read_run_state(spark, glob).collect()}
+    assert sorted((r.run, r.malformed) for r in spark.read.parquet(f"{out}/malformed").collect()) == [("r1", '{"status": "done",'), ("r3", "{broken")]
+
+
+def test_state_files_as_a_stream(spark, tmp_path):
+    from plumbline.streaming import runs
+
+    out = str(tmp_path / "out")
+    for part in (range(5), range(5, 8)):
+        for k in part:
+            (tmp_path / "t" / f"r{k}").mkdir(parents=True)
+            (tmp_path / "t" / f"r{k}" / "state.json").write_text("{" if k == 6 else json.dumps({"epoch": k}))
+        stream = R.stream_run_state(spark, str(tmp_path / "t/*/state.json"), files=2)
+        stream.writeStream.foreachBatch(lambda df, n: runs.keep_states(df, out, n)).option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start().awaitTermination()
+    assert {r.run: r.epoch for r in runs.current_states(spark, out).collect()} == {f"r{k}": k for k in range(8) if k != 6}
+    assert [r.run for r in spark.read.parquet(f"{out}/malformed").collect()] == ["r6"] and spark.read.parquet(f"{out}/states").select("batch").distinct().count() >= 4
