@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from plumbline.operators.lineage import checkpointed, is_small
 
@@ -82,10 +83,50 @@ def joint_predict(
     return out.join(lists, key, "left").withColumn("detections", F.coalesce(shown, F.array())).drop("d")
 
 
-def linear_probe(rows: DataFrame, features: str, target: str, weight: str | None = None, iterations: int = 30, penalty: float = 1e-3) -> DataFrame:
-    """rows with logits (array) and pred of a linear head fitted on frozen vectors, optionally with row weights."""
+def _head(rows: DataFrame, features: str, target: str, weight: str | None, iterations: int, penalty: float) -> tuple[LogisticRegressionModel, DataFrame]:
+    """A multinomial linear head of ``target`` fitted on frozen vectors, and the rows that it was fitted on, as it reads them."""
     data = rows.withColumn("__x", array_to_vector(F.transform(features, lambda v: v.cast("double")))).withColumn("__y", F.col(target).cast("double"))
     extra = {"weightCol": weight} if weight else {}
     model = LogisticRegression(featuresCol="__x", labelCol="__y", predictionCol="__p", rawPredictionCol="__raw", probabilityCol="__prob", maxIter=iterations, regParam=penalty, family="multinomial", **extra).fit(data)
+    return model, data
+
+
+def linear_probe(rows: DataFrame, features: str, target: str, weight: str | None = None, iterations: int = 30, penalty: float = 1e-3) -> DataFrame:
+    """rows with logits (array) and pred of a linear head fitted on frozen vectors, optionally with row weights."""
+    model, data = _head(rows, features, target, weight, iterations, penalty)
     out = model.transform(data).withColumn("logits", vector_to_array("__raw")).withColumn("pred", F.col("__p").cast("int"))
     return out.drop("__x", "__y", "__p", "__raw", "__prob")
+
+
+def fit_heads(rows: DataFrame, features: str, heads: dict[str, str], at: str, weight: str | None = None, iterations: int = 30, penalty: float = 1e-3) -> None:
+    """Fits a linear head for each target column (heads: name to column) and saves each as a pyspark.ml model, ``at``/<name>. Rows without
+    a target or vector are left out. Saved again, a head is replaced."""
+    for name, target in heads.items():
+        model, _ = _head(rows.where(F.col(target).isNotNull() & F.col(features).isNotNull()), features, target, weight, iterations, penalty)
+        model.write().overwrite().save(f"{at}/{name}")
+
+
+def score_heads(rows: DataFrame, features: str, heads: list[str], at: str, width: int, batch: int = 4096) -> DataFrame:
+    """rows with <name>_logits (array) of each saved head, by one pass of batches of ``width``-dimensional vectors over all heads' weights.
+
+    The weights (classes x dimensions, whatever the rows) are read from the saved models once, broadcast, and stacked to one matrix once in a Python
+    worker. A row without a vector has null logits.
+    """
+    models = {name: LogisticRegressionModel.load(f"{at}/{name}") for name in heads}
+    weights = rows.sparkSession.sparkContext.broadcast([(n, m.coefficientMatrix.toArray(), m.interceptVector.toArray()) for n, m in models.items()])
+
+    def make() -> Callable[[np.ndarray], dict[str, np.ndarray]]:
+        names, matrices, offsets = zip(*weights.value, strict=True)
+        matrix, offset = np.concatenate(matrices).T, np.concatenate(offsets)
+        ends = np.cumsum([len(m) for m in matrices])[:-1]
+
+        def scores(x: np.ndarray) -> dict[str, np.ndarray]:
+            return dict(zip(names, np.split(x.astype(float) @ matrix + offset, ends, axis=1), strict=True))
+
+        return scores
+
+    kind = StructType([StructField(n, ArrayType(DoubleType())) for n in heads])
+    udf = predict_batch_udf(make, return_type=kind, batch_size=batch, input_tensor_shapes=[[width]])
+    there = F.col(features).isNotNull()
+    out = rows.withColumn("__s", udf(F.coalesce(features, F.array_repeat(F.lit(0.0).cast(rows.schema[features].dataType.elementType), width))))
+    return out.select(*rows.columns, *(F.when(there, F.col("__s")[n]).alias(f"{n}_logits") for n in heads))

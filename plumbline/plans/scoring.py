@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from plumbline.operators import classification as C
 from plumbline.operators import manifest as M
 from plumbline.operators import predict, runs
 from plumbline.operators import taxonomy as T
+from plumbline.operators.lineage import checkpointed, shared_folder
 from plumbline.plans import bindings as B
 
 Q: dict = {}
@@ -175,6 +178,24 @@ def linear_probe_fit(spark, d):
     return out
 
 
+@query()
+def linear_heads(spark, d):
+    """Class, host and category heads fitted, saved in the shared folder, loaded, and scored in one pass; how good each is on the rows it was fitted on, in percent."""
+    e = B.table(spark, d, "embeddings").withColumnRenamed("label", "target").withColumn("host_target", F.col("target") % 5).withColumn("category_target", F.col("target") % 2)
+    at = f"{shared_folder(spark)}/plumbline/heads-{uuid.uuid4().hex}"
+    heads = {"class": "target", "host": "host_target", "category": "category_target"}
+    predict.fit_heads(e, "embedding", heads, at)
+    width = e.select(F.max(F.size("embedding"))).first()[0]
+    scored = checkpointed(predict.score_heads(e, "embedding", list(heads), at, width).drop("embedding"))
+    out = None
+    for name, target in heads.items():
+        s = C.with_prediction(scored.select(F.col(target).alias("target"), F.col(f"{name}_logits").alias("logits")))
+        confusion = checkpointed(C.confusion_matrix(s))
+        row = C.topk_accuracy(s).crossJoin(C.macro_f1(confusion)).crossJoin(C.balanced_accuracy(confusion)).withColumn("head", F.lit(name))  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
 _STATES = """states as (select event_id, user_id as run, ts as updated_at, event_id % 50 as step, 50 as steps_per_epoch, event_id % 9 + 1 as epoch, 10 as epochs, abs(value) as seconds_per_step from events)"""
 
 

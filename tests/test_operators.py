@@ -208,6 +208,41 @@ def test_batch_predict_order(spark):
     assert got == {1: [1, 2], 2: [0, 1]}
 
 
+def test_saved_heads(spark, tmp_path):
+    """Saved and loaded heads give the logits of plain products with the fitted weights, and of the fit itself; rows without vectors have none."""
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    y = (x[:, :3] + rng.normal(size=(300, 3)) * 0.2).argmax(axis=1)
+    rows = [(i, [float(v) for v in x[i]], int(y[i]), int(y[i] % 2)) for i in range(300)] + [(300, None, 1, 1), (301, [0.0] * 6, None, None)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, a int, b int").repartition(3)
+    predict.fit_heads(df, "v", {"one": "a", "two": "b"}, str(tmp_path))
+    predict.fit_heads(df, "v", {"two": "b"}, str(tmp_path))
+    got = {r.id: r for r in predict.score_heads(df, "v", ["one", "two"], str(tmp_path), 6, batch=7).collect()}
+    assert len(got) == 302 and got[300].one_logits is None and got[300].two_logits is None
+    for name, k in (("one", 3), ("two", 2)):
+        m = LogisticRegressionModel.load(f"{tmp_path}/{name}")
+        want = x @ m.coefficientMatrix.toArray().T + m.interceptVector.toArray()
+        assert want.shape == (300, k) and all(np.allclose(got[i][f"{name}_logits"], want[i]) for i in range(300))
+    fitted = {r.id: r.logits for r in predict.linear_probe(df.where("a is not null and v is not null"), "v", "a").collect()}
+    assert all(np.allclose(got[i].one_logits, z, atol=1e-6) for i, z in fitted.items())
+    assert np.mean([np.argmax(got[i].one_logits) == y[i] for i in range(300)]) > 0.9
+
+
+def test_linear_heads_query(spark, sf):
+    """The query's metrics are those of the plain fits of the same heads."""
+    from plumbline.operators import classification as C
+    from plumbline.plans import scoring
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("label", "target")
+    got = {r["head"]: r for r in scoring.linear_heads(spark, sf).collect()}
+    assert got.keys() == {"class", "host", "category"} and all(0 <= r.top1 <= r.top5 <= 100 for r in got.values())
+    plain = predict.linear_probe(e, "embedding", "target").select("target", "logits", "pred")
+    assert abs(C.topk_accuracy(plain).first().top1 - got["class"].top1) < 0.5 and abs(C.macro_f1(C.confusion_matrix(plain)).first().macro_f1 - got["class"].macro_f1) < 0.5
+
+
 def test_linear_probe_learns(spark, sf):
     from plumbline.plans.scoring import linear_probe_fit
 
