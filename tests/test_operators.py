@@ -399,3 +399,26 @@ def test_joint_predict_keeps_rows_that_repeat_a_key(spark, monkeypatch):
     assert shape(predict.joint_predict(rows, "k", "x", factory, names, k=2)) == want
     monkeypatch.setattr(predict, "is_small", lambda df: False)
     assert shape(predict.joint_predict(rows, "k", "x", factory, names, k=2)) == want
+
+
+def test_contract_sql_checks_the_labels_of_all_boxes_of_a_record(spark, tmp_path):
+    """Order 13's only box of label 25 is empty, and its record keeps it; order 14's record leaves it out."""
+    import datetime
+
+    import duckdb
+
+    from plumbline.plans import detection
+
+    day = datetime.datetime(2024, 1, 1)
+    tables = {
+        "orders": spark.createDataFrame([(13, 1, "O", 1.0, day, "1"), (14, 1, "O", 1.0, day, "1"), (15, 1, "O", 1.0, day, "1")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "lineitem": spark.createDataFrame([(k, p, 1, n, q, 1.0) for k, p, n, q in [(13, 1, 1, 1.0), (13, 2, 2, 9.0), (14, 1, 1, 1.0), (14, 2, 2, 9.0), (15, 1, 1, 9.0)]], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"),
+        "part": spark.createDataFrame([(1, "Brand#25"), (2, "Brand#11")], "p_partkey long, p_brand string"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {(r.check, r.image_id) for r in detection.detection_contract(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(detection.SQL["detection_contract"]).fetchall())
+    assert {i for c, i in got if c == "label_space"} == {"13", "15"} and ("invalid_box", "13") in got and ("invalid_box", "14") not in got
