@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from plumbline.operators.lineage import checkpointed, is_small
+from plumbline.operators.lineage import checkpointed, is_small, shared_folder
 
 
 def batch_predict(rows: DataFrame, key: str, features: str, factory: Callable[[], Callable[[np.ndarray], np.ndarray]], k: int = 5, batch: int = 1024) -> DataFrame:
@@ -91,10 +92,18 @@ def _head(rows: DataFrame, features: str, target: str, weight: str | None, itera
     return model, data
 
 
+def without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model, saved to the shared folder and loaded again. A model that was just fitted holds its training summary, and through it the session,
+    which tasks can't be sent once any query of the session has used an Observation; a saved model holds its weights only."""
+    at = f"{shared_folder(SparkSession.active())}/plumbline/head-{uuid.uuid4().hex}"
+    model.save(at)
+    return LogisticRegressionModel.load(at)
+
+
 def linear_probe(rows: DataFrame, features: str, target: str, weight: str | None = None, iterations: int = 30, penalty: float = 1e-3) -> DataFrame:
     """rows with logits (array) and pred of a linear head fitted on frozen vectors, optionally with row weights."""
     model, data = _head(rows, features, target, weight, iterations, penalty)
-    out = model.transform(data).withColumn("logits", vector_to_array("__raw")).withColumn("pred", F.col("__p").cast("int"))
+    out = without_summary(model).transform(data).withColumn("logits", vector_to_array("__raw")).withColumn("pred", F.col("__p").cast("int"))
     return out.drop("__x", "__y", "__p", "__raw", "__prob")
 
 

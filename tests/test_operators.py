@@ -422,3 +422,13 @@ def test_contract_sql_checks_the_labels_of_all_boxes_of_a_record(spark, tmp_path
     got = {(r.check, r.image_id) for r in detection.detection_contract(spark, str(tmp_path)).collect()}
     assert got == set(con.execute(detection.SQL["detection_contract"]).fetchall())
     assert {i for c, i in got if c == "label_space"} == {"13", "15"} and ("invalid_box", "13") in got and ("invalid_box", "14") not in got
+
+
+def test_linear_probe_after_an_observation(spark):
+    """A session that has observed a query has a part that tasks can't be sent; a fitted model must not take it along."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count("*").alias("n")).count() == 3 and seen.get == {"n": 3}
+    df = spark.createDataFrame([([float(i % 2), 1.0], i % 2) for i in range(20)], "v array<double>, y int")
+    assert all(r.y == r.pred for r in predict.linear_probe(df, "v", "y").collect())
