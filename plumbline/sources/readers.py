@@ -155,6 +155,7 @@ def read_json_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.inline(table))
 
 
+HISTORY = "epoch int, train_loss double, best_metric double, best_epoch int, timestamp double"
 RUN_STATE = "task string, run_id string, status string, epoch int, global_step long, steps_per_epoch int, updated_at double"
 
 
@@ -180,7 +181,39 @@ def stream_run_state(spark: SparkSession, glob: str, schema: str = RUN_STATE, li
     return _run_states(spark.readStream.option("maxFilesPerTrigger", files), glob, schema, lines)
 
 
-def read_run_history(spark: SparkSession, glob: str, schema: str = "epoch int, train_loss double, best_metric double, best_epoch int, timestamp double") -> DataFrame:
+JOURNAL = "run string, text string"
+
+
+def _journal(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    rows = reader.schema(JOURNAL).json(path)
+    return rows.withColumn("path", F.col("_metadata.file_path")).withColumn("modified", F.col("_metadata.file_modification_time"))
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """(run, text, path, modified) of files that hold the records of many runs, {"run": ..., "text": ...} a line: what a run wrote is the text, as it
+    was written. With a folder and file for each run, listing and opening them is what a job over very many runs does; a journal's files are as many as their bytes ask for."""
+    return _journal(spark.read, path)
+
+
+def stream_journal(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """read_journal as a stream of files as they appear, at most ``files`` a micro-batch."""
+    return _journal(spark.readStream.option("maxFilesPerTrigger", files), path)
+
+
+def journal_states(journal: DataFrame, schema: str = RUN_STATE) -> DataFrame:
+    """read_run_state for the rows of a journal: (run, task, ..., malformed, path, modified), ``task`` being the folder of the journal where a state has none."""
+    rows = journal.withColumn("s", F.from_json("text", f"{schema}, malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}))
+    rows = rows.select("run", "s.*", "path", "modified")
+    return rows.withColumn("task", F.coalesce(F.nullif("task", F.lit("")), F.element_at(F.split("path", "/"), -2))) if "task" in rows.columns else rows
+
+
+def journal_histories(journal: DataFrame, schema: str = HISTORY) -> DataFrame:
+    """read_run_history for the rows of a journal, whose texts are JSON arrays; a malformed one gives no rows."""
+    rows = journal.select("run", F.explode(F.from_json("text", f"array<struct<{schema}>>")).alias("e"))
+    return rows.select("e.*", "run").where("epoch is not null").withColumn("ts", F.timestamp_seconds("timestamp"))
+
+
+def read_run_history(spark: SparkSession, glob: str, schema: str = HISTORY) -> DataFrame:
     """(run, epoch, ...) of history files, JSON arrays named by their run's folder; a malformed file gives no rows."""
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
     return rows.withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2)).where("epoch is not null").withColumn("ts", F.timestamp_seconds("timestamp"))

@@ -26,3 +26,8 @@ def canonical_json(*columns: str) -> Column:
 def write_hierarchy_view(df: DataFrame, out: str) -> None:
     """Rows to browse as host / category folders."""
     df.write.mode("overwrite").partitionBy("host_id", "category").parquet(out)
+
+
+def write_journal(records: DataFrame, out: str) -> None:
+    """Records (run, text) of many runs as JSON lines, for readers.read_journal."""
+    records.select(F.col("run").cast("string").alias("run"), "text").write.json(out)

@@ -273,3 +273,48 @@ def test_state_files_as_a_stream(spark, tmp_path):
         stream.writeStream.foreachBatch(lambda df, n: runs.keep_states(df, out, n)).option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start().awaitTermination()
     assert {r.run: r.epoch for r in runs.current_states(spark, out).collect()} == {f"r{k}": k for k in range(8) if k != 6}
     assert [r.run for r in spark.read.parquet(f"{out}/malformed").collect()] == ["r6"] and spark.read.parquet(f"{out}/states").select("batch").distinct().count() >= 4
+
+
+def test_journals_say_what_the_files_of_runs_say(spark, tmp_path):
+    """The same texts as a file a run and as lines of a journal, malformed, empty and odd ones among them; the journal's files don't grow with the runs."""
+    from plumbline.sources import writers as Wr
+
+    texts = {"a": '{"task": "t", "status": "running", "epoch": 3}', "b": '{"status": "run', "c": '{"task": "", "epoch": 1}', "d": '{"epoch": "x"}', "e": "[1, 2", "f\u00e4 \"1": '{"status": "a\\nb", "epoch": 9}'}
+    for name, text in texts.items():
+        at = tmp_path / "tasks" / name
+        at.mkdir(parents=True)
+        (at / "state.json").write_text(text)
+    fields = lambda df: {r.run: (r.task, r.status, r.epoch, r.malformed) for r in df.collect()}
+    Wr.write_journal(spark.createDataFrame(list(texts.items()), "run string, text string").coalesce(1), str(tmp_path / "j/tasks"))
+    files = fields(R.read_run_state(spark, str(tmp_path / "tasks/[a-e]/state.json")))
+    got = fields(R.journal_states(R.read_journal(spark, str(tmp_path / "j/tasks"))))
+    assert {k: v for k, v in got.items() if k in files} == files and got.keys() == texts.keys()
+    assert got["f\u00e4 \"1"] == ("tasks", "a\nb", 9, None)
+    assert len(list((tmp_path / "j/tasks").glob("part-*"))) == 1
+    past = {"a": '[{"epoch": 1, "best_metric": 0.5, "best_epoch": 1, "timestamp": 3.5}, {"epoch": 2}]', "b": '[{"epoch": 1', "c": "[]", "d": '[{"best_epoch": 2}]'}
+    for name, text in past.items():
+        (tmp_path / "tasks" / name / "history.json").write_text(text)
+    Wr.write_journal(spark.createDataFrame(list(past.items()), "run string, text string"), str(tmp_path / "h"))
+    key = lambda df: sorted(((r.run, r.epoch, r.best_metric, r.best_epoch, r.ts) for r in df.collect()), key=str)
+    found = key(R.journal_histories(R.read_journal(spark, str(tmp_path / "h"))))
+    assert found == key(R.read_run_history(spark, str(tmp_path / "tasks/*/history.json"))) and len(found) == 2
+
+
+def test_queries_over_runs_write_few_files(spark, sf, monkeypatch):
+    """Folders and files of the queries over all runs don't grow with the number of runs."""
+    import os
+
+    from plumbline.plans import files as P
+    from plumbline.plans import streams as St
+
+    made = []
+
+    def folder(spark, name):
+        made.append(St.shared_folder(spark) + f"/few/{name}-{len(made)}")
+        return made[-1]
+
+    monkeypatch.setattr(P, "_folder", folder)
+    monkeypatch.setattr(St, "_folder", folder)
+    for q in (P.read_run_history, P.read_run_state, St.stream_run_states):
+        assert q(spark, sf).count() > 10
+    assert len(made) == 4 and not [d for at in made for _, ds, _ in os.walk(at.removeprefix("file:")) for d in ds if d.startswith("run=")]
