@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -21,15 +20,16 @@ def latest_states(states: DataFrame) -> DataFrame:
 
 
 class _Stopping(StatefulProcessor):
-    """Early stopping of one run. Epochs that came before the ones they follow are held in a map state until their turn."""
+    """Early stopping of one run. Epochs that came before the ones they follow are held in a list state until their turn: a call of the state
+    server reads or adds all of a batch, where a map takes one for each epoch."""
 
     def __init__(self, patience: int, silence: float | None, keep: float) -> None:
         self.patience, self.silence, self.keep = patience, silence, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "best double, at int, last int, seen double, ended boolean")
-        self.held = handle.getMapState("held", "epoch int", "metric double, ts double")
+        self.run = handle.getValueState("run", "best double, at int, last int, seen double, ended boolean, waits boolean")
+        self.held = handle.getListState("held", "epoch int, metric double, ts double")
 
     def _walk(self, ready: list[tuple[int, float, float]], best: float, at: int, last: int, seen: float) -> tuple[tuple, str | None]:
         """The state after the epochs (epoch, metric, time) in order, up to the one that ends the run, and how it ended."""
@@ -49,27 +49,26 @@ class _Stopping(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(int(at * 1000))
 
-    def _close(self, key: tuple, state: tuple, how: str, until: float) -> pd.DataFrame:
-        self.run.update((*state, True))
+    def _close(self, key: tuple, state: tuple, how: str, until: float) -> Row:
+        self.run.update((*state, True, False))
         self.held.clear()
         self._timer(until + self.keep)
-        return pd.DataFrame([(key[0], state[2], state[0], state[1], how)], columns=["run", "epoch", "best_metric", "best_epoch", "outcome"])
+        return Row(run=key[0], epoch=state[2], best_metric=state[0], best_epoch=state[1], outcome=how)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows))
-        state = self.run.get() if self.run.exists() else (-1.0, 0, 0, 0.0, False)
-        best, at, last, seen, ended = state
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        best, at, last, seen, ended, waits = self.run.get() or (-1.0, 0, 0, 0.0, False, False)
         if ended:
-            if self.silence is not None and frame.ts.notna().any():
-                self._timer(frame.ts.max().timestamp() + self.keep)
+            times = [r.at for r in rows if r.at is not None]
+            if self.silence is not None and times:
+                self._timer(max(times) + self.keep)
             return
-        held = {k[0]: v for k, v in self.held.iterator()} if self.held.exists() else {}
+        held = {e: (m, t) for e, m, t in self.held.get()} if waits else {}
         wait = dict(held)
-        for epoch, metric, ts in zip(frame.epoch, frame.metric, frame.ts if self.silence is not None else [pd.Timestamp(0)] * len(frame), strict=True):
-            if pd.notna(epoch) and epoch > last and pd.notna(ts):
-                one = (float("nan") if pd.isna(metric) else float(metric), ts.timestamp())
-                old = wait.get(int(epoch), one)
-                wait[int(epoch)] = one if old[0] != old[0] else max(old, one) if one[0] == one[0] else old
+        for r in rows:
+            if r.epoch is not None and r.epoch > last and r.at is not None:
+                one = (float("nan") if r.metric is None else float(r.metric), r.at)
+                old = wait.get(r.epoch, one)
+                wait[r.epoch] = one if old[0] != old[0] else max(old, one) if one[0] == one[0] else old
         ready = []
         while last + len(ready) + 1 in wait:
             e = last + len(ready) + 1
@@ -78,21 +77,20 @@ class _Stopping(StatefulProcessor):
         if how:
             yield self._close(key, state, how, max([state[3], *(ts for _, _, ts in ready)]))
             return
-        self.run.update((*state, False))
-        for e, *_ in ready:
-            if e in held:
-                self.held.removeKey((e,))
-        for e, v in wait.items():
-            if held.get(e) != v:
-                self.held.updateValue((e,), v)
+        self.run.update((*state, False, bool(wait)))
+        more = [(e, *v) for e, v in wait.items() if held.get(e) != v]
+        if any(e not in wait or wait[e] != v for e, v in held.items()):
+            self.held.put([(e, *v) for e, v in wait.items()]) if wait else self.held.clear()
+        elif more:
+            self.held.appendList(more)
         self._timer(max([state[3], *(ts for _, ts in wait.values())]) + (self.silence or 0))
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best, at, last, seen, ended = self.run.get()
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        best, at, last, seen, ended, waits = self.run.get()
         if ended:
             self.run.clear()
             return
-        state, how = self._walk(sorted((k[0], *v) for k, v in self.held.iterator()), best, at, last, seen)
+        state, how = self._walk(sorted(tuple(v) for v in self.held.get()) if waits else [], best, at, last, seen)
         yield self._close(key, state, how or "silent", expiredTimerInfo.getExpiryTimeInMs() / 1000)
 
     def close(self) -> None:
@@ -110,10 +108,13 @@ def run_outcomes(epochs: DataFrame, patience: int, silence: float | None = None,
     remembered until no row of it has come for ``keep`` seconds of event time, so that none begins it anew; then its state goes. Without silence there are no timers, and the last of each run's states stays. For append mode,
     on the RocksDB state store (see durable_state).
     """
-    columns = ["run", "epoch", "metric", *["ts"] * (silence is not None)]
-    rows = epochs.select(*columns) if silence is None else epochs.select(*columns).withWatermark("ts", late)
+    columns = ["run", F.col("epoch").cast("int").alias("epoch"), F.col("metric").cast("double").alias("metric")]
+    if silence is None:
+        rows = epochs.select(*columns, F.lit(0.0).alias("at"))
+    else:
+        rows = epochs.select(*columns, "ts", F.col("ts").cast("timestamp").cast("double").alias("at")).withWatermark("ts", late)
     kind = f"run {epochs.schema['run'].dataType.simpleString()}, epoch int, best_metric double, best_epoch int, outcome string"
-    return rows.groupBy("run").transformWithStateInPandas(_Stopping(patience, silence, keep), kind, "append", "None" if silence is None else "EventTime")
+    return rows.groupBy("run").transformWithState(_Stopping(patience, silence, keep), kind, "append", "None" if silence is None else "EventTime")
 
 
 def early_stop_alerts(epochs: DataFrame, patience: int) -> DataFrame:

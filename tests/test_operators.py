@@ -432,3 +432,41 @@ def test_linear_probe_after_an_observation(spark):
     assert spark.range(3).observe(seen, F.count("*").alias("n")).count() == 3 and seen.get == {"n": 3}
     df = spark.createDataFrame([([float(i % 2), 1.0], i % 2) for i in range(20)], "v array<double>, y int")
     assert all(r.y == r.pred for r in predict.linear_probe(df, "v", "y").collect())
+
+
+def test_held_epochs_take_a_few_calls_of_the_state_server():
+    """However many epochs wait, a batch of a run reads and writes its states in a few calls."""
+    from pyspark.sql import Row
+
+    from plumbline.streaming.runs import _Stopping
+
+    calls = []
+
+    class State:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name == "get":
+                    return self.value if not isinstance(self.value, list) else iter(self.value)
+                if name in ("update", "put"):
+                    self.value = given[0]
+                if name == "appendList":
+                    self.value = (self.value or []) + given[0]
+                return None
+
+            return call
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+        getListState = getMapState = getValueState  # noqa: N815
+
+    one = _Stopping(3, None, 1.0)
+    one.init(Handle())
+    rows = lambda epochs: iter([Row(epoch=e, metric=1.0 / e, at=0.0) for e in epochs])
+    assert list(one.handleInputRows((7,), rows(range(500, 1, -1)), None)) == [] and len(calls) <= 4
+    assert list(one.handleInputRows((7,), rows([501]), None)) == [] and len(calls) <= 8
+    assert [tuple(r) for r in one.handleInputRows((7,), rows([1]), None)] == [(7, 4, 1.0, 1, "stopped")] and len(calls) <= 12
