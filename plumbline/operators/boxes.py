@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import box_area, box_filter_reasons
-from plumbline.operators.lineage import checkpointed
+from plumbline.operators.lineage import checkpointed, dimension, stored
 from plumbline.operators.selection import median
 
 CORNERS = ("xmin", "ymin", "xmax", "ymax")
@@ -30,14 +30,15 @@ def annotation_clean(boxes: DataFrame, label_map: DataFrame | None = None) -> Da
     """
     b = boxes if "doc" in boxes.columns else boxes.withColumn("doc", F.lit(0))
     content = F.struct("obj_id", "source_label", "width", "height", *CORNERS)
-    docs = b.groupBy("image_id", "doc").agg(F.array_sort(F.collect_list(content)).alias("content"))
+    # one exchange, by image: every grouping and join below is by image and more, and finds its rows together
+    docs = b.repartition("image_id").groupBy("image_id", "doc").agg(F.array_sort(F.collect_list(content)).alias("content"))
     kept = docs.groupBy("image_id", "content").agg(F.min("doc").alias("doc"), F.count("*").alias("times"))
     counts = kept.groupBy("image_id").agg(F.count("*").alias("n_docs"), F.sum(F.col("times") - 1).alias("n_duplicate_docs"))
     rows = kept.select("image_id", "doc", F.inline("content"))
     rows = with_reasons(rows).withColumn("incomplete", F.col("source_label").isNull() | (F.coalesce(*CORNERS).isNull()))
     names = ["detector_label", "public_id"] if label_map is not None else []
     if label_map is not None:
-        rows = rows.join(label_map.select("source_label", *names), "source_label", "left")
+        rows = rows.join(dimension(label_map.select("source_label", *names)), "source_label", "left")
     unmapped = F.coalesce(F.bool_or(F.col("source_label").isNotNull() & F.col(names[0]).isNull()), F.lit(False)) if names else F.lit(False)
     raw = F.struct("doc", "obj_id", F.array(*CORNERS).alias("bbox"), "source_label", *names, "valid", "filter_reasons")
     out = rows.groupBy("image_id").agg(
@@ -85,7 +86,7 @@ def exceptions_report(boxes: DataFrame, test_images: DataFrame, images: DataFram
     """(kind, key, detail): duplicated documents (boxes with a column ``doc``) with how many are ignored, filtered boxes with their
     reasons, labels that the test images lack, and images (image_id) that no annotation names."""
     if "doc" in boxes.columns:
-        clean = checkpointed(annotation_clean(boxes))  # read for each kind
+        clean = stored(annotation_clean(boxes).select("image_id", "width", "height", "n_duplicate_docs", "raw_objects"))  # read for each kind
         duplicated = clean.where("n_duplicate_docs > 0").select(F.lit("duplicated_document").alias("kind"), F.col("image_id").cast("string").alias("key"), F.col("n_duplicate_docs").cast("string").alias("detail"))
         again = clean.select("image_id", F.col("width"), F.col("height"), F.inline("raw_objects")).select("image_id", "width", "height", "obj_id", "source_label", *(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(CORNERS)))
         return duplicated.union(exceptions_report(again, test_images, images))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet: for wide rows of arrays, which take several times as much as a checkpoint."""
+    at = f"{shared_folder(df.sparkSession)}/plumbline/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def is_small(df: DataFrame, most: int = DIMENSION) -> bool:
     return df.limit(most + 1).count() <= most
 

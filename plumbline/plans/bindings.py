@@ -30,11 +30,13 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    order = ["l_linenumber", "l_quantity", "l_extendedprice"]
     o = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").cast("string").alias("image_id"),
-        (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")) - 1).alias("obj_id"),
-        F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_quantity").alias("q"), F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("source_label"),
+        F.col("l_orderkey").cast("string").alias("image_id"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), *order,
+        F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("source_label"),
     )
+    o = o.withColumn("obj_id", F.row_number().over(W.partitionBy("image_id").orderBy("pk", "sk", *order)) - 1)  # by image, as what follows groups them
+    o = o.select("image_id", "obj_id", "pk", "sk", F.col("l_quantity").alias("q"), "source_label")
     g = o.selectExpr("*", "cast((pk*31+sk*17)%440 as double) as x1", "cast((pk*13+sk*29)%300 as double) as y1", "cast(12+(pk*3)%188 as double) as w", "cast(12+(sk*7)%168 as double) as h")
     return g.selectExpr("image_id", "obj_id", "source_label", "640 as width", "480 as height", "x1 as xmin", "y1 as ymin", "case when q=1 then x1 when q=2 then 700.0D else x1+w end as xmax", "y1+h as ymax", "pk", "sk")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
@@ -101,8 +102,8 @@ def label_space_audit(spark, d):
 
 def _documents(b):
     """Boxes with the annotation document that they are of: images with a box whose pk is a multiple of nine have theirs twice."""
-    twice = b.where("pk % 9 = 0").select("image_id").distinct()
-    return b.withColumn("doc", F.lit(0)).union(b.join(twice, "image_id", "left_semi").withColumn("doc", F.lit(1)))
+    twice = F.max(F.col("pk") % 9 == 0).over(W.partitionBy("image_id"))
+    return b.withColumn("twice", twice).withColumn("doc", F.explode(F.when(F.col("twice"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("twice")
 
 
 @query(f"""with {B.REASONS} select image_id, count(*) as raw, count(*) filter (where len(filter_reasons) = 0) as valid, coalesce(string_agg(cast(obj_id as varchar), ',' order by obj_id) filter (where len(filter_reasons) = 0), '') as kept,

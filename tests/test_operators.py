@@ -470,3 +470,12 @@ def test_held_epochs_take_a_few_calls_of_the_state_server():
     assert list(one.handleInputRows((7,), rows(range(500, 1, -1)), None)) == [] and len(calls) <= 4
     assert list(one.handleInputRows((7,), rows([501]), None)) == [] and len(calls) <= 8
     assert [tuple(r) for r in one.handleInputRows((7,), rows([1]), None)] == [(7, 4, 1.0, 1, "stopped")] and len(calls) <= 12
+
+
+def test_boxes_are_exchanged_by_image_once(spark, sf, capsys):
+    """Documents, objects and counts of an image are found together: the plan has an exchange by image for each reading of the boxes, not for each grouping."""
+    from plumbline.plans import detection
+
+    detection.annotation_clean(spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert 1 <= plan.count("Exchange hashpartitioning(image_id") <= 2 and "Union" not in plan
