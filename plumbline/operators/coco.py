@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import box_area, box_iou
-from plumbline.operators.lineage import checkpointed
+from plumbline.operators.lineage import checkpointed, stored
 
 THRESHOLDS = [0.5 + 0.05 * i for i in range(10)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
@@ -89,7 +89,7 @@ def matches(truth: DataFrame, detections: DataFrame, score_min: float = 0.05) ->
     of = W.partitionBy("image_id", "label")
     objects = F.flatten(F.collect_list(F.transform("cands", lambda x: x["obj_id"])).over(of))
     competing = (F.max(F.size("cands")).over(of) > 1) | (F.size(F.array_distinct(objects)) < F.size(objects))
-    rows = checkpointed(rows.withColumn("competing", competing))  # read for both kinds, and again to find the ranges of scores
+    rows = stored(rows.withColumn("competing", competing))  # read for both kinds
     det = F.struct((-F.col("score")).alias("minus"), "det_id", "area", "cands")
     groups = rows.where("competing").groupBy("image_id", "label").agg(F.array_sort(F.collect_list(det)).alias("dets"))
     return _alone(rows.where(~F.col("competing"))).unionByName(_competing(groups))
@@ -97,7 +97,7 @@ def matches(truth: DataFrame, detections: DataFrame, score_min: float = 0.05) ->
 
 def _flags(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For a stretch of a label's detections in order: true positive and counted, [detection, setting]."""
-    rows = rows.sort_values(["minus", "image_id", "det_id"], kind="stable")
+    rows = rows.sort_values("place")
     tp, counted = ((rows[c].to_numpy()[:, None] >> np.arange(_T * _A)) & 1 for c in ("tp", "counted"))
     return tp.astype(bool), counted.astype(bool)
 
@@ -125,8 +125,11 @@ def precision_table(truth: DataFrame, found: DataFrame) -> DataFrame:
     truths = own.where(F.col("area").between(F.col("a.lo"), F.col("a.hi"))).groupBy("label", F.col("a.name").alias("area"), F.col("a.i").alias("i")).agg(F.count("*").alias("truths"))
     grid = truths.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(_T - 1)))).withColumn("setting", F.col("i") * _T + F.col("t"))
     order = ["label", "minus", "image_id", "det_id"]
+    found = stored(found.withColumn("minus", -F.col("score")).drop("score"))  # matched once: it is counted, sampled for ranges and dealt
     stretches = -(-found.count() // STRETCH) or 1  # a stated number, so that ranges are not put together again by their bytes
-    ranked = checkpointed(found.withColumn("minus", -F.col("score")).drop("score").repartitionByRange(stretches, *order).withColumn("part", F.spark_partition_id()))
+    placed = found.repartitionByRange(stretches, *order).sortWithinPartitions(*order)
+    # a place in order instead of what is ordered by: no later pass reads or sorts ids
+    ranked = stored(placed.select("label", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "tp", "counted"))
     stretch = ranked.groupBy("label", "part")
     label = f"label {found.schema['label'].dataType.simpleString()}"
 

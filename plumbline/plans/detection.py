@@ -10,7 +10,7 @@ from plumbline.operators import boxes as X
 from plumbline.operators import coco, contract, multilabel
 from plumbline.operators import manifest as M
 from plumbline.operators import taxonomy as T
-from plumbline.operators.lineage import checkpointed
+from plumbline.operators.lineage import checkpointed, stored
 from plumbline.plans import bindings as B
 
 Q: dict = {}
@@ -237,14 +237,14 @@ def _metric(name: str, cond: str, column: str = "ap") -> str:
 
 @query(_AP + " union all ".join([" " + _metric("map", "a = 'all'"), _metric("ap50", "a = 'all' and t = 0"), _metric("ap75", "a = 'all' and t = 5"), *(_metric(a, f"a = '{a}'") for a in ("small", "medium", "large")), _metric("ar100", "a = 'all'", "recall")]))
 def coco_map(spark, d):
-    b = checkpointed(B.boxes(spark, d))
+    b = stored(B.boxes(spark, d))
     return coco.coco_map(B.truth(b), B.detections(b))
 
 
 @query(_AP + """ select l.label, coalesce(round(avg(ap) * 100, 4), -100.0) as ap, coalesce(round(avg(ap) filter (where t = 0) * 100, 4), -100.0) as ap50, coalesce(round(avg(ap) filter (where t = 5) * 100, 4), -100.0) as ap75
 from (select distinct source_label as label from boxes) l left join v on v.label = l.label and a = 'all' group by l.label""")
 def per_class_ap(spark, d):
-    b = checkpointed(B.boxes(spark, d))
+    b = stored(B.boxes(spark, d))
     labels = b.select(F.col("source_label").alias("label")).distinct()
     return coco.per_class_ap(B.truth(b), B.detections(b), labels)
 

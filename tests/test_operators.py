@@ -479,3 +479,21 @@ def test_boxes_are_exchanged_by_image_once(spark, sf, capsys):
     detection.annotation_clean(spark, sf).explain()
     plan = capsys.readouterr().out
     assert 1 <= plan.count("Exchange hashpartitioning(image_id") <= 2 and "Union" not in plan
+
+
+def test_matches_are_computed_once(spark):
+    """Precision counts, samples, orders and totals the detections; what they are matched by is not worked out again for any of it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tp(i):
+        seen.add(1)
+        return (1 << 40) - 1 if i % 2 == 0 else 0
+
+    truth = spark.createDataFrame([(f"i{i}", i, 1, 0.0, 0.0, 10.0, 10.0) for i in range(10)], "image_id string, obj_id int, label int, xmin double, ymin double, xmax double, ymax double")
+    found = spark.createDataFrame([(1, 1 - i / 100, f"i{i % 10}", i) for i in range(20)], "label int, score double, image_id string, det_id int")
+    found = found.withColumn("tp", F.udf(tp, "long")("det_id")).withColumn("counted", F.lit((1 << 40) - 1).cast("long"))
+    rows = coco.precision_table(truth, found).where("area = 'all' and t = 0").collect()
+    assert seen.value == 20 and len(rows) == 1
+    held = {k: k / (2 * k - 1) for k in range(1, 11)}  # the k-th true positive is at rank 2k - 1
+    want = sum(max(v for k, v in held.items() if k >= max(1, -(-x * 10 // 100))) for x in range(101)) / 101
+    assert abs(rows[0].ap - want) < 1e-9 and rows[0].recall == 1.0
