@@ -6,100 +6,139 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators.lineage import checkpointed
+from plumbline.operators.lineage import checkpointed, is_small, stored
 from plumbline.operators.selection import smallest
 
 #: A label's images are counted by levels of their priorities, so many to an octave: the first few images of a label are told apart.
 _STEPS, _RANGE = 16, 40
-#: What part of a label's lack a round takes.
-SHARE = 0.8
+#: Images whose seeded number is within this many square roots of a label's images, as a share of them, of the ratio are left to the rounds.
+#: A sample's count of a label is off by at most half a square root (standard deviation), so they are some 30 times what is to be moved.
+BAND = 8.0
+#: What part of a label's deviation a round takes from the images that stand for it.
+SHARE = 0.6
+#: How far a label may go beyond its share in a round: a part of its images and of their square root, and what is left of both a round later.
+_SLACK, _ROOT, _LESS, _LESS_ROOT = 0.1, 0.4, 0.55, 0.7
+#: What a label with nothing on one side weighs; all other labels weigh the square of their deviation by their images.
+_BARE = 4.0
+#: The key of a row that stands for the image itself, so that the size of val is one more label's.
+_ALL = ""
 
 
 def _level(priority: Column) -> Column:
     return F.floor(_STEPS * F.log2(1 + priority * float(1 << _RANGE))).cast("int")
 
 
-def _cut(rows: DataFrame, name: str) -> DataFrame:
-    """(label, name): the highest level up to which at most ``most`` of the label's rows (label, level, most, rate) are, or their
-    ``rate`` part, rounded up, if that is less; -1 if no level is."""
-    counts = rows.groupBy("label", "level").agg(F.count("*").alias("n"), F.max("most").alias("most"), F.max("rate").alias("rate"))
-    all_ = W.partitionBy("label")  # at most _STEPS * _RANGE rows a label
-    upto = counts.select("label", "level", F.sum("n").over(all_.orderBy("level").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.least("most", F.ceil(F.col("rate") * F.sum("n").over(all_))).alias("most"))
-    return upto.groupBy("label").agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("most"), F.col("level"))), F.lit(-1)).alias(name))
+def _cut(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, cut): the highest level up to which at most ``most`` of the key's rows (*by, level, most) are; -1 if no level is."""
+    counts = rows.groupBy(*by, "level").agg(F.count("*").alias("n"), F.max("most").alias("most"))
+    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy(*by).orderBy("level").rowsBetween(W.unboundedPreceding, 0)))  # levels, whatever the rows
+    return upto.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("most"), F.col("level"))), F.lit(-1)).alias("cut"))
 
 
-def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 10) -> DataFrame:
-    """(image_id, side) with side "val" for exactly round-half-even(n * ratio) images, else "train". labels: (image_id, label).
+def image_labels(labels: DataFrame) -> DataFrame:
+    """(image_id, labels): an image's distinct labels as an array, from rows of (image_id, label) without nulls, written to the shared folder."""
+    pairs = labels.select("image_id", "label").where("image_id is not null and label is not null")
+    return stored(pairs.groupBy("image_id").agg(F.sort_array(F.collect_set("label")).alias("labels")))
+
+
+def multilabel_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 12) -> DataFrame:
+    """(image_id, side) with side "val" for exactly round-half-even(n * ratio) images, else "train". labels: (image_id, label). See split_images."""
+    return split_images(image_labels(labels), ratio, seed, rounds).select("image_id", "side")
+
+
+def split_images(images: DataFrame, ratio: float = 0.2, seed: int = 0, rounds: int = 12) -> DataFrame:
+    """images (image_id, labels), which are read several times, with ``side``: "val" for exactly round-half-even(n * ratio) of them, else "train".
 
     A label with n images wants about n * ratio of them in val, at least one if it has two, and never all. Every image has a seeded
-    priority. In each round an image stands for its rarest label that still lacks some. While some label has none, only such labels
-    count, each takes one image, and images of several go first. Then SHARE of what a label lacks is taken from its standing images, in proportion to how many of its images stand for it, since the others are taken for their own labels: they are
-    counted by levels of priority, and those below the level where that is reached are taken, unless one of their labels
-    would lose its last training image (told by levels in the same way, over all that stand). The rest fills the exact size
-    with images whose labels are furthest below their share, under the same guard; labels of one image never block it. A round is a few
-    aggregations of counts: nothing is ranked or sorted, so neither the table nor a frequent label is one task's.
+    number, and is in val if that is below the ratio: so each label's count is off by about the square root of its images. Only images with
+    a number near the ratio, by the images of their rarest label, are moved to mend that; those of rare labels all are, of frequent ones a
+    share that falls as they grow. In a round an image is proposed to change sides if that lowers the sum of squared deviations by
+    images, and stands for the label that gains most. SHARE of a label's deviation is taken from the images that stand for it, by levels
+    of gain and priority, and of those the ones that take none of their labels too far, by levels again: never its last training
+    image. The exact size is one more label, and is reached at last by the images that harm the others least, under the same guard;
+    labels of one image never block it. Nothing is ranked or sorted, so neither the table nor a frequent label is one task's.
     """
-    pairs = labels.select("image_id", "label").where("image_id is not null and label is not null").distinct()
-    support = pairs.groupBy("label").agg(F.count("*").alias("s"))
-    want = F.least(F.greatest(F.bround(F.col("s") * ratio), F.when(F.col("s") >= 2, 1).otherwise(0)), F.col("s") - 1).cast("long")
     hashed = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}:{k}"), "image_id"), 11) / float(1 << 53)
-    own = checkpointed(pairs.join(support.withColumn("want", want), "label").repartition("image_id").withColumn("p", hashed(0)))
-    images = checkpointed(own.select("image_id").distinct())
     n = images.count()
     target = round(n * ratio)  # half-even
-    chosen, have = checkpointed(own.select("image_id").limit(0)), 0
-
-    def state() -> DataFrame:
-        """The rows of images that are not chosen, with how many images of their label are."""
-        got = own.join(chosen, "image_id", "left_semi").groupBy("label").agg(F.count("*").alias("got"))
-        return own.join(chosen, "image_id", "left_anti").join(got, "label", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-
-    def limited(found: DataFrame, room: int) -> DataFrame:
-        found = checkpointed(found)
-        return (found if found.count() <= room else smallest(found, room, ["p"])).select("image_id")
-
-    for _ in range(rounds):
-        free = state().withColumn("lack", F.col("want") - F.col("got"))
-        free = checkpointed(free.withColumn("bare", (F.col("got") == 0) & (F.col("want") > 0)))
-        lacking, bare = free.agg(F.count_if(F.col("lack") > 0), F.count_if("bare")).first()
-        room = min(target - have, -(-target // 2))
-        if room <= 0 or not lacking:
-            break
-        short = free.where("bare").withColumn("lack", F.lit(1).cast("long")) if bare else free.where("lack > 0")
-        stands = short.groupBy("image_id").agg(F.min(F.struct("s", "label", "lack", "got")).alias("r"), F.first("p").alias("p"), F.count("*").alias("helps"))
-        rate = F.lit(1.0) if bare else SHARE * F.col("r.lack") / (F.col("r.s") - F.col("r.got"))
-        stands = stands.select("image_id", (F.col("p") / (F.col("helps") * F.col("helps") if bare else F.lit(1))).alias("p"), "r.label", F.col("r.lack").alias("most"), rate.alias("rate"))
-        stands = checkpointed(stands.withColumn("level", _level(F.col("p"))))
-        new = limited(_guarded(free, stands.join(_cut(stands, "cut"), "label").where("level <= cut").select("image_id", "p")), room)
-        chosen, before = checkpointed(chosen.union(new)), have
-        have = chosen.count()
-        if have == before:
+    if not target:
+        return images.withColumn("side", F.lit("train"))
+    each = images.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("s")).where("s >= 2")
+    each = checkpointed(each.withColumn("want", F.least(F.greatest(F.bround(F.col("s") * ratio), F.lit(1)), F.col("s") - 1).cast("long")))
+    small = is_small(each)
+    dim = F.broadcast if small else lambda df: df
+    rarest = images.select("image_id", "labels", F.explode_outer("labels").alias("label")).join(dim(each), "label", "left").groupBy("image_id", "labels").agg(F.coalesce(F.min("s"), F.lit(n)).alias("s"))
+    off, near = hashed(0) - ratio, BAND / F.sqrt("s")
+    dealt = stored(rarest.select("image_id", "labels", F.when(off < -near, "val").when(off >= near, "train").alias("side")))
+    base = dealt.where("side = 'val'").select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("base"))
+    each = each.join(base, "label", "left").fillna(0, ["base"]).select("label", F.concat(F.lit("="), F.col("label").cast("string")).alias("key"), "s", "want", "base")
+    base_n = dealt.where("side = 'val'").count()
+    pool = dealt.where("side is null").select("image_id", "labels")
+    rows = pool.select("image_id", F.explode("labels").alias("label")).join(dim(each), "label").drop("label")
+    rows = rows.union(pool.select("image_id", F.lit(_ALL), F.lit(n).cast("long"), F.lit(target).cast("long"), F.lit(base_n).cast("long")))
+    rows = stored(rows.select("*", hashed(1).alias("p"), F.lit(False).alias("val")))
+
+    def counted(rows: DataFrame, slack: Column) -> tuple[DataFrame, int, int]:
+        """A row a label with what one more image in val or train gains and how many may come at most, how many labels are off by more than one image, and how many images are in val."""
+        v, s, dev, real = F.col("v"), F.col("s"), F.col("dev"), F.col("key") != _ALL
+        t = rows.groupBy("key").agg(F.max("s").alias("s"), F.max("want").alias("want"), (F.max("base") + F.count_if("val")).alias("v")).withColumn("dev", v - F.col("want"))
+        bare = lambda c: F.when(real & c, _BARE).otherwise(0.0)
+        t = t.select(
+            "key", "v", "dev",
+            (-(2 * dev + 1) / s + bare(v == 0)).alias("in_gain"), ((2 * dev - 1) / s + bare(v == s) - bare(v == 1)).alias("out_gain"),
+            F.when(real, s - 1 - v).otherwise(n).alias("in_room"), F.when(real, v - 1).otherwise(n).alias("out_room"),
+            F.greatest(F.lit(1), slack - dev).alias("in_most"), F.greatest(F.lit(1), slack + dev).alias("out_most"),
+        )
+        t = checkpointed(t)
+        off, have = t.agg(F.count_if(real & (F.abs("dev") > 1)), F.max(F.when(~real, v))).first()
+        return t, off, have
+
+    def guarded(rows: DataFrame, t: DataFrame, proposed: DataFrame, hard: bool) -> DataFrame:
+        """The proposed images (image_id, level) that take none of their labels beyond what may come, counting by levels all that are proposed."""
+        most = lambda d: F.col(f"{d}_room") if hard else F.least(f"{d}_room", f"{d}_most")
+        r = rows.join(proposed.select("image_id", "level"), "image_id").join(dim(t), "key")
+        r = checkpointed(r.select("image_id", "key", "val", "level", F.when(F.col("val"), most("out")).otherwise(most("in")).alias("most")))
+        return r.join(dim(_cut(r, ["key", "val"])), ["key", "val"]).groupBy("image_id").agg(F.bool_and(F.col("level") <= F.col("cut")).alias("flip")).where("flip")
+
+    def gains(rows: DataFrame, t: DataFrame, size: bool) -> DataFrame:
+        """Images with what it gains if they change sides, the label that gains most, and whether a label of theirs lets none come."""
+        part = F.when(F.col("val"), F.col("out_gain")).otherwise(F.col("in_gain")) * (F.lit(1.0) if size else F.when(F.col("key") == _ALL, 0.0).otherwise(1.0))
+        room = F.when(F.col("val"), F.col("out_room")).otherwise(F.col("in_room"))
+        r = rows.select("image_id", "key", "p", "val").join(dim(t), "key").select("image_id", "p", "val", F.struct(part.alias("part"), "key", "dev").alias("r"), (room <= 0).alias("stuck"))
+        # the parts are added as whole numbers, so that their order does not matter
+        total = F.sum(F.round(F.col("r.part") * float(1 << _RANGE)).cast("long")) / float(1 << _RANGE)
+        return r.groupBy("image_id").agg(F.first("p").alias("p"), F.first("val").alias("val"), total.alias("gain"), F.max("r").alias("r"), F.bool_or("stuck").alias("stuck"))
+
+    def flipped(rows: DataFrame, flips: DataFrame) -> DataFrame:
+        """Written as files, since a checkpoint keeps Spark's estimate of its size, which joins multiply: a number with three times the digits each round."""
+        d = rows.join(flips.select("image_id", "flip"), "image_id", "left")
+        return stored(d.withColumn("val", F.col("val") != F.coalesce("flip", F.lit(False))).drop("flip"))
+
+    t, _, _ = counted(rows, F.lit(0))
+    first = rows.where(F.col("key") == _ALL).where(hashed(0) < ratio).select("image_id", _level(F.col("p")).alias("level"))
+    rows = flipped(rows, guarded(rows, t, first, hard=True))
+    for k in range(1, rounds):
+        t, off, have = counted(rows, F.floor(F.greatest(_SLACK * _LESS**k * F.col("s"), _ROOT * _LESS_ROOT**k * F.sqrt("s"))))
+        if not off and have == target:
             break
-    for k in range(rounds):
+        g = gains(rows, t, size=True).where("gain > 0 and not stuck")
+        wants = g.select("image_id", _level(F.col("p") / F.pow(F.greatest(F.col("gain") * n, F.lit(1e-3)), F.lit(2))).alias("level"), F.col("r.key").alias("key"), F.greatest(F.lit(1), F.ceil(SHARE * F.abs("r.dev"))).alias("most"))
+        wants = checkpointed(wants)
+        stands = wants.join(dim(_cut(wants, ["key"])), "key").where("level <= cut")
+        rows = flipped(rows, guarded(rows, t, stands, hard=False))
+    while True:
+        t, _, have = counted(rows, F.lit(0))
         room = target - have
-        if room <= 0:
+        if not room:
             break
-        free = checkpointed(state())
-        over = free.groupBy("image_id").agg(F.avg(F.col("got") + 1 - F.col("s") * ratio).alias("over"), F.first("p").alias("p"))
-        below = smallest(checkpointed(over.withColumn("p2", hashed(1))), -(-room // 2) if k + 1 < rounds and room > 8 else room, ["over", "p", "p2"])
-        new = limited(_guarded(free, below.select("image_id", "p")), room)
-        chosen, before = checkpointed(chosen.union(new)), have
-        have = chosen.count()
-        if have == before:
-            new = smallest(_guarded(free, over.select("image_id", "p")).withColumn("p2", hashed(1)), 1, ["p", "p2"]).select("image_id")
-            chosen = checkpointed(chosen.union(new))
-            have = chosen.count()
-        if have == before:
-            raise ValueError(f"{room} more images are wanted, but each would take a label's last training image")
-    if have < target:
-        raise ValueError(f"{target - have} more images are wanted after {rounds} rounds")
-    return images.join(chosen.withColumn("side", F.lit("val")), "image_id", "left").fillna("train", ["side"])
-
-
-def _guarded(free: DataFrame, standing: DataFrame) -> DataFrame:
-    """The standing images (image_id, p) that leave each of their labels (of two or more images) one in training, counting by levels of
-    priority all that stand."""
-    rows = free.drop("p").join(standing, "image_id").withColumn("level", _level(F.col("p")))
-    rows = checkpointed(rows.select("image_id", "p", "label", "level", "s", (F.col("s") - 1 - F.col("got")).alias("most"), F.lit(1.0).alias("rate")))
-    fine = rows.join(_cut(rows.where("s >= 2"), "cut"), "label", "left").groupBy("image_id").agg(F.first("p").alias("p"), F.bool_and((F.col("s") < 2) | (F.col("level") <= F.col("cut"))).alias("fine"))
-    return fine.where("fine").select("image_id", "p")
+        g = gains(rows, t, size=False).where(~F.col("val") & ~F.col("stuck") if room > 0 else F.col("val"))
+        able = checkpointed(g.select("image_id", (-F.col("gain")).alias("harm"), "p"))
+        best = checkpointed(smallest(able, abs(room), ["harm", "p"]).select("image_id", _level(F.col("p")).alias("level"), F.lit(True).alias("flip")))
+        new = checkpointed(guarded(rows, t, best, hard=True))
+        if not new.count():
+            new = best if room < 0 else smallest(able, 1, ["harm", "p"]).withColumn("flip", F.lit(True))
+            if not new.count():
+                raise ValueError(f"{room} more images are wanted, but each would take a label's last training image")
+        rows = flipped(rows, new)
+    sides = rows.where(F.col("key") == _ALL).select("image_id", F.when(F.col("val"), "val").otherwise("train").alias("side"))
+    return dealt.where("side is not null").union(pool.join(sides, "image_id"))

@@ -259,10 +259,10 @@ select label, count(*) as images, true as covered, true as near from p group by
 union all select -1, round_even(count(distinct image_id) * 0.2::double, 0)::bigint, true, true from p""")
 def multilabel_split_invariants(spark, d):
     """Of each label its images, whether it is on both sides and within 3 % of its images of its share; as label -1 the size of val, and whether it is exact."""
-    pairs = checkpointed(B.boxes(spark, d).select("image_id", F.col("source_label").alias("label")).distinct())
-    split = checkpointed(multilabel.multilabel_split(pairs))
+    images = multilabel.image_labels(B.boxes(spark, d).select("image_id", F.col("source_label").alias("label")))
+    split = multilabel.split_images(images)
     val = F.count_if(F.col("side") == "val")
-    each = pairs.join(split, "image_id").groupBy("label").agg(F.count("*").alias("images"), ((F.count("*") < 2) | (val > 0) & (val < F.count("*"))).alias("covered"), (F.abs(val - F.count("*") * 0.2) <= F.greatest(F.lit(1.0), F.count("*") * 0.03)).alias("near"))
+    each = split.select(F.explode("labels").alias("label"), "side").groupBy("label").agg(F.count("*").alias("images"), ((F.count("*") < 2) | (val > 0) & (val < F.count("*"))).alias("covered"), (F.abs(val - F.count("*") * 0.2) <= F.greatest(F.lit(1.0), F.count("*") * 0.03)).alias("near"))
     exact = val == F.bround(F.count("*") * 0.2).cast("long")
     return each.union(split.agg(F.lit(-1), val, exact, F.lit(True)))
 

@@ -284,6 +284,31 @@ def test_multilabel_split_of_a_dominant_label(spark):
     assert all(0 < v < n for k, (v, n) in both.items() if n > 1)
 
 
+def test_multilabel_split_moves_few_images_of_frequent_labels(spark):
+    """The rest keep the side of their seeded number, so that what is exchanged grows as the square root of the images; labels are within half a percent of their images of their share."""
+    import random
+
+    rng = random.Random(7)
+    rows = sorted({(i, rng.randrange(6)) for i in range(20000) for _ in range(rng.randint(1, 4))})
+    labels = spark.createDataFrame(rows, "image_id long, label int")
+    out = multilabel.multilabel_split(labels, 0.2, seed=5).localCheckpoint()
+    assert out.count() == 20000 and out.where("side = 'val'").count() == 4000
+    drawn = out.selectExpr("side = 'val' as val", "shiftrightunsigned(xxhash64('5:0', image_id), 11) / double(9007199254740992) < 0.2 as drawn")
+    assert drawn.where("val <> drawn").count() < 1000
+    each = labels.join(out, "image_id").groupBy("label").agg(F.count_if(F.col("side") == "val").alias("v"), F.count("*").alias("n")).collect()
+    assert all(abs(r.v - r.n * 0.2) <= r.n * 0.005 for r in each)
+
+
+def test_multilabel_split_of_few_images(spark):
+    schema = "image_id string, label string"
+    assert multilabel.multilabel_split(spark.createDataFrame([], schema)).count() == 0
+    assert [tuple(r) for r in multilabel.multilabel_split(spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], schema)).orderBy("image_id").collect()] == [("a", "train"), ("b", "train")]
+    alone = spark.createDataFrame([(str(i), str(i)) for i in range(5)], schema)
+    assert multilabel.multilabel_split(alone, 0.4).where("side = 'val'").count() == 2
+    with pytest.raises(ValueError, match="last training image"):
+        multilabel.multilabel_split(spark.createDataFrame([("a", "x"), ("b", "x")], schema), 0.9)
+
+
 def test_ranks_in_stretches(spark):
     from plumbline.operators.prefix import ranked
 
