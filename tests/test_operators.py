@@ -299,6 +299,20 @@ def test_multilabel_split_moves_few_images_of_frequent_labels(spark):
     assert all(abs(r.v - r.n * 0.2) <= r.n * 0.005 for r in each)
 
 
+def test_multilabel_split_writes_only_images_near_the_ratio(spark, monkeypatch):
+    """Neither all images nor all their labels are written again: what is, is by image, and few of them where labels are frequent."""
+    import random
+
+    rng, written = random.Random(9), []
+    put = multilabel.stored
+    monkeypatch.setattr(multilabel, "stored", lambda df: written.append(put(df)) or written[-1])
+    images = spark.createDataFrame([(i, sorted(rng.sample(range(5), rng.randint(1, 3)))) for i in range(20000)], "image_id long, labels array<int>").localCheckpoint()
+    out = multilabel.split_images(images, 0.2, seed=5, rounds=3)
+    assert out.columns == ["image_id", "labels", "side"] and out.exceptAll(images.join(out.select("image_id", "side"), "image_id")).count() == 0
+    assert out.count() == 20000 and out.where("side = 'val'").count() == 4000
+    assert written and max(w.count() for w in written) < 5000
+
+
 def test_multilabel_split_of_few_images(spark):
     schema = "image_id string, label string"
     assert multilabel.multilabel_split(spark.createDataFrame([], schema)).count() == 0
